@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import decontaminate, mixing, quality_rules
+from evispark.llm import decontaminate, mixing, neardup, quality_rules, secrets
 from evispark.llm.common import shared_dir, table
 
 
@@ -15,17 +15,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each near-duplicate class stays."""
+    return neardup.near_duplicate_free(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: contaminated documents go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: secrets are replaced by marks; every document stays."""
+    return secrets.redact(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: a row for each copy that the mix takes."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality), ("decontamination", decontamination), ("mixing", mixture)]
+STAGES = [("quality rules", quality), ("near-duplicates", deduplication), ("decontamination", decontamination), ("secrets", secret_redaction), ("mixing", mixture)]
 
 #: Weighted min-wise signatures have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -1,7 +1,8 @@
 """Near-duplicate classes by ProbMinHash: signatures of weighted word shingles, banding, exact verification, components.
 
 Words are those of the decontamination operator; a shingle is `SHINGLE` consecutive words (a shorter text, but not
-an empty one, is one shingle), weighted by its count in the text. Two texts are linked if their probability
+an empty one, is one shingle), weighted by 1 + ln(its count in the text), so that a line said a hundred times does not
+outweigh all the rest. Two texts are linked if their probability
 Jaccard similarity, the sum over common shingles i of 1 / sum_j max(x_j / x_i, y_j / y_i), is at least `threshold`;
 where no shingle repeats this is the Jaccard similarity of their shingle sets. Classes are the connected components.
 
@@ -24,6 +25,7 @@ are unread, and near_duplicate_free() passes them through.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,7 +41,9 @@ from .decontaminate import SPACED, window_hashes, word_bounds, word_hashes
 SHINGLE, THRESHOLD, BANDS, ROWS, REGISTERS = 5, 0.8, 24, 5, 160
 #: Pairs are screened out if their signatures agree in less than threshold - SCREEN deviations of such an estimate.
 SCREEN = 3.3
-CHUNK, BROADCAST_NODES, BLOCK = 1 << 20, 400_000, 192
+CHUNK, BROADCAST_NODES, BLOCK = 1 << 20, 400_000, 64
+#: Sums of fractions carry rounding.
+ROUNDING = 1e-9
 _G, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _48 = np.uint64((1 << 48) - 1)
 
@@ -52,7 +56,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_weights(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts together: the row, 48-bit hash and count of each distinct shingle."""
+    """For texts together: the row, 48-bit hash and weight of each distinct shingle."""
     folded, starts, ends, first = word_bounds(data, offsets)
     n = np.diff(first)
     h = word_hashes(folded, starts, ends)
@@ -73,7 +77,7 @@ def shingle_weights(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[n
     key.sort()
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     key, counts = key[new], np.diff(np.concatenate((new, [len(key)])))
-    return (key >> np.uint64(48)).astype(np.int64), key & _48, counts.astype(np.float64)
+    return (key >> np.uint64(48)).astype(np.int64), key & _48, 1 + np.log(counts)
 
 
 def signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -116,7 +120,7 @@ def _sketch_kernel(size: int, registers: int):
     return kernel
 
 
-def similarity(x: Counter, y: Counter) -> float:
+def similarity(x: dict, y: dict) -> float:
     """The probability Jaccard of two weighted sets."""
     both = [k for k in x if k in y]
     if not both:
@@ -128,14 +132,11 @@ def similarity(x: Counter, y: Counter) -> float:
     return float((cx / total[which]).sum())
 
 
-def shingles(text: bytes, size: int) -> Counter:
+def shingles(text: bytes, size: int) -> dict[tuple, float]:
+    """The weighted shingles of a text."""
     words = text.translate(SPACED).split()
-    return Counter(zip(*[words[k:] for k in range(size)])) if len(words) >= size else Counter([tuple(words)] if words else [])
-
-
-def least_similar(threshold: float):
-    """Whether a value counts as at least the threshold; sums of fractions carry rounding."""
-    return F.col("sim") >= threshold - 1e-9
+    counts = Counter(zip(*[words[k:] for k in range(size)])) if len(words) >= size else Counter([tuple(words)] if words else [])
+    return {k: 1 + math.log(n) for k, n in counts.items()}
 
 
 class Duplicates:
@@ -159,18 +160,23 @@ class Duplicates:
         shared = banded.groupBy("bucket").agg(F.min_by("node", order).alias("center"), F.count("*").alias("n")).where("n > 1").select("bucket", "center", "n")
         return materialize(banded.join(shared, "bucket"), "dup-members")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs(a, b) of nodes, by comparing whole texts."""
-        ids = materialize(self.nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select(F.col("id").alias("wanted")), "dup-wanted")
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, text) for nodes(node): one text of each; the other rows' texts don't move."""
+        ids = materialize(self.nodes.join(nodes.distinct(), "node", "left_semi").select(F.col("id").alias("wanted")), "dup-wanted")
         few = ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
         there = self.docs.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         texts = scan_texts(there, "text", ["text"], [field("node", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())], prefix="")
-        texts = materialize(texts.where("node is not null").groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+        return materialize(texts.where("node is not null").groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs(a, b) of nodes, by comparing whole texts."""
+        pairs = materialize(pairs, "dup-pairs")
+        texts = self.texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         size = self.size
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, kept = None, Counter()
+            last, kept = None, {}
             for batch in batches:
                 sims = []
                 for a, x, y in zip(batch.column(0).to_pylist(), each_text(batch.column(2)), each_text(batch.column(3))):
@@ -180,7 +186,7 @@ class Duplicates:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
         schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("sim", T.DoubleType())])
-        return materialize(both.mapInArrow(compare, schema).where(least_similar(self.threshold)).select("a", "b"), "dup-links")
+        return materialize(both.mapInArrow(compare, schema).where(F.col("sim") >= self.threshold - ROUNDING).select("a", "b"), "dup-links")
 
     def floor(self) -> int:
         """Equal registers below which a pair is screened out."""
@@ -208,44 +214,46 @@ class Duplicates:
         return materialize(rows.join(mains, "bucket"), "dup-mixed")
 
     def across(self, mixed_rows: DataFrame) -> DataFrame:
-        """Pairs of bucket mates in different components, one of them outside the bucket's main component, that pass the screen.
+        """The links between bucket mates in different components, of which one is outside the bucket's main component.
 
-        A bucket's nodes are dealt into blocks of about BLOCK; blocks of outside nodes meet all the bucket's blocks,
-        and whole blocks of signatures are compared at once. A pair comes from the first band that both share only.
+        A bucket's nodes are dealt into blocks of about BLOCK; blocks of outside nodes meet all the bucket's blocks.
+        Whole blocks of signatures are screened at once and what is left is compared by text, so rows made are links.
+        A pair is looked at in the first band only that both share.
         """
-        sig = self.nodes.select("node", "sig")
-        rows = mixed_rows.join(sig, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        cell = F.struct("node", "comp", "sig")
-        all_of = rows.groupBy("bucket", "band", "block").agg(F.collect_list(cell).alias("mates"), F.first("main").alias("main"))
+        texts = self.texts_of(mixed_rows.select("node"))
+        rows = mixed_rows.join(self.nodes.select("node", "sig"), "node").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+        cell = F.struct("node", "comp", "sig", "text")
+        mates = rows.groupBy("bucket", "band", "block").agg(F.collect_list(cell).alias("mates"), F.first("main").alias("main"))
         outside = rows.where("comp <> main").groupBy("bucket", "block").agg(F.collect_list(cell).alias("outside"))
-        met = outside.select("bucket", "outside").join(all_of.select("bucket", "band", "main", "mates"), "bucket").select("band", "main", "outside", "mates")
-        registers, bands, width, least = self.registers, self.bands, self.rows, self.floor()
+        met = outside.select("bucket", "outside").join(mates.select("bucket", "band", "main", "mates"), "bucket").select("band", "main", "outside", "mates")
+        registers, width, least, size, threshold = self.registers, self.rows, self.floor(), self.size, self.threshold
+
+        class Block:
+            def __init__(self, cells: pa.Array):
+                self.node, self.comp = (np.array(cells.field(c).to_pylist(), object) for c in ("node", "comp"))
+                self.sig = np.frombuffer(b"".join(cells.field("sig").to_pylist()), np.uint16).reshape(len(cells), registers)
+                self.text, self.known = cells.field("text"), {}
 
-        def matrix(cells: pa.Array) -> np.ndarray:
-            return np.frombuffer(b"".join(cells.field("sig").to_pylist()), np.uint16).reshape(len(cells), registers)
+            def shingles(self, i: int) -> dict:
+                if i not in self.known:
+                    self.known[i] = shingles(self.text[i].as_py().encode(), size)
+                return self.known[i]
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    band, main, out, mates = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, batch.column(3)[k].values
-                    x, y = matrix(out), matrix(mates)
-                    comp_x, comp_y = (np.array(c.field("comp").to_pylist(), object) for c in (out, mates))
-                    node_x, node_y = (np.array(c.field("node").to_pylist(), object) for c in (out, mates))
-                    found_a, found_b = [], []
-                    for i in range(len(x)):
-                        same = y == x[i]
-                        near = np.flatnonzero(same.sum(axis=1) >= least)
-                        near = near[comp_y[near] != comp_x[i]]
+                    band, main = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                    x, y = Block(batch.column(2)[k].values), Block(batch.column(3)[k].values)
+                    found = []
+                    for i in range(len(x.node)):
+                        same = y.sig == x.sig[i]
+                        near = np.flatnonzero((same.sum(axis=1) >= least) & (y.comp != x.comp[i]))
                         if band and len(near):
-                            earlier = same[near, : band * width].reshape(len(near), band, width).all(axis=2).any(axis=1)
-                            near = near[~earlier]
-                        for j in near.tolist():
-                            if comp_y[j] == main or node_x[i] < node_y[j]:
-                                found_a.append(node_x[i])
-                                found_b.append(node_y[j])
-                    yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], names=["a", "b"])
+                            near = near[~same[near, : band * width].reshape(len(near), band, width).all(axis=2).any(axis=1)]
+                        found += [(x.node[i], y.node[j]) for j in near.tolist() if (y.comp[j] == main or x.node[i] < y.node[j]) and similarity(x.shingles(i), y.shingles(j)) >= threshold - ROUNDING]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
-        return met.mapInArrow(compare, PAIR)
+        return materialize(met.mapInArrow(compare, PAIR), "dup-across")
 
     def classes(self) -> DataFrame:
         """(node, root) of the nodes that have links."""
@@ -259,10 +267,7 @@ class Duplicates:
             more = rows.drop("center").join(again, "bucket").where("comp <> of").withColumnRenamed("one", "center")
             links = links.union(self.compared(self.screened(star(more))))
             rows = self.labelled(members, components(links))
-        more = materialize(self.across(rows), "dup-across")
-        if not more.isEmpty():
-            links = links.union(self.compared(more.distinct()))
-        return components(links)
+        return components(links.union(self.across(rows)))
 
     def described(self, comps: DataFrame) -> DataFrame:
         named = self.nodes.join(comps, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root"))
@@ -303,3 +308,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for each document: id, class_id (the least id of its class), class_rows, class_texts (distinct word sequences)."""
     work = Duplicates(docs, id_col, text_col, size, threshold, bands, rows)
     return work.described(work.classes())
+
+
+def near_duplicate_free(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One document of each class, the one with the least id, with its own columns; of equal (id, words) rows, one stays.
+
+    The rows to leave out are broadcast while they are within BROADCAST_NODES, so that texts stay in place.
+    """
+    opts = {"size": SHINGLE, "threshold": THRESHOLD, "bands": BANDS, "rows": ROWS} | how
+    work = Duplicates(docs, id_col, text_col, *[opts[k] for k in ("size", "threshold", "bands", "rows")])
+    roots = work.nodes.join(work.classes(), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("stays")).select("stays")
+    keys = work.sketched.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("n"))
+    least = work.nodes.join(first, F.col("node") == F.col("stays"), "left").select(F.col("node").alias("of"), F.col("id").alias("least"), F.col("stays").isNotNull().alias("stays"))
+    keys = keys.join(least, F.col("node") == F.col("of")).select("id", "node", "n", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
+    keys = materialize(keys.where("not stays or n > 1").select(F.col("id").alias("x_id"), F.col("node").alias("x_node"), "stays"), "dup-out")
+    few = keys.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    named = scan_texts(docs, text_col, docs.columns, [field("node", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())])
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("x_id")) & (F.col(ADDED + "node") == F.col("x_node"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    kept = named.join(F.broadcast(keys) if few else keys, same, "left_anti").select(*own)
+    again = keys.where("stays")
+    if again.isEmpty():
+        return kept
+    repeated = named.join(F.broadcast(again) if few else again, same, "left_semi").dropDuplicates([id_col, ADDED + "node"]).select(*own)
+    return kept.union(repeated)

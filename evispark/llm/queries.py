@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, mixing, neardup, quality_rules, secrets
 from .common import ADDED, table
 
 
@@ -30,6 +30,17 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col(ADDED + "spans")
+    base = F.sha2(secrets.listed(spans, ("assign", "access", "hex")).cast("binary"), 256)
+    counts = [secrets.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
