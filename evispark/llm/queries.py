@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality_rules, secrets
+from . import decontaminate, hmm, mixing, neardup, quality_rules, secrets, tokencount, urlfilter
 from .common import ADDED, table
 
+#: A file of public tokenizers; its place is a parameter.
+VOCABULARY = os.environ.get("EVISPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
 
 def added(*names: str) -> list:
     return [F.col(ADDED + n).alias(n) for n in names]
@@ -41,6 +45,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokencount.pieces_of(VOCABULARY)
+    return tokencount.counted(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"]).select("doc_id", *added("n_words", "n_tokens", "n_unknown"))
+
+
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = hmm.scored(docs, docs.where(~hmm.held_out()), ["doc_id"]).withColumnRenamed("k_doc_id", "doc_id")
+    return out.select("doc_id", hmm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.default_rules(spark), ["page_id"]).select("page_id", *added("host", "path", "rule", "verdict"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
