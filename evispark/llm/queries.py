@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, mixing, neardup, quality_rules, secrets, tokencount, urlfilter
-from .common import ADDED, table
+from . import decontaminate, hmm, langid, mixing, neardup, quality_gam, quality_rules, secrets, tokencount, urlfilter
+from .common import ADDED, part_of, table
 
 #: A file of public tokenizers; its place is a parameter.
 VOCABULARY = os.environ.get("EVISPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -45,6 +45,21 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.trained(langid.training_rows(docs))
+    held = F.coalesce(part_of("doc_id", 4) == 2, F.lit(False))
+    return langid.predicted(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), *added("lang_pred", "score"))
+
+
+def op6_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_gam.trained(docs, labels.where(part_of("doc_id", 3) != 1))
+    held = F.coalesce(part_of("doc_id", 3) == 1, F.lit(False))
+    out = quality_gam.scored(docs, model, ["doc_id"]).select("doc_id", held.alias("held_out"), *added("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = tokencount.pieces_of(VOCABULARY)
     return tokencount.counted(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"]).select("doc_id", *added("n_words", "n_tokens", "n_unknown"))
