@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries
+from . import build_queries, graph_queries
 
-MODULES = [graph_queries]
+MODULES = [graph_queries, build_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
