@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Rows and bytes that one Arrow batch of texts may hold.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Column prefix of what an operator adds to rows that it passes through.
 ADDED = "__added_"
 TEXT = "__scan_text"
@@ -39,8 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and any executor can read it."""
+def materialize(df: DataFrame, label: str, tasks: int = 0) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and any executor can read it.
+
+    tasks: into so many files at most, where the caller knows the number of rows.
+    """
+    df = df.coalesce(tasks) if tasks else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evispark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -114,6 +121,7 @@ def scan_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Str
             made = kernel(batch.column(at))
             kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in schema.fields])
+        give_back()
 
     return source.mapInArrow(scan, schema)
 
@@ -122,6 +130,14 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "spans": SPANS}
 
 
+def give_back() -> None:
+    """Return a task's freed memory to the system: workers are reused, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def field(name: str, kind: str) -> T.StructField:
     """A nullable field; kind: one of KINDS, or array<one of them>. (Workers import this: no session is there.)"""
     inner = kind.removeprefix("array<").removesuffix(">")

@@ -25,17 +25,14 @@ are unread, and near_duplicate_free() passes them through.
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ADDED, each_text, field, materialize, runs, scan_texts, utf8
+from .common import ADDED, each_text, field, give_back, materialize, runs, scan_texts, utf8
 from .decontaminate import SPACED, window_hashes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, REGISTERS = 5, 0.8, 24, 5, 160
@@ -120,53 +117,72 @@ def _sketch_kernel(size: int, registers: int):
     return kernel
 
 
-def similarity(x: dict, y: dict) -> float:
-    """The probability Jaccard of two weighted sets."""
-    both = [k for k in x if k in y]
-    if not both:
+#: Fixed random values: what a folded byte adds to a word's hash.
+BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+
+
+def profile(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted shingles of a text: sorted 64-bit hashes, over every byte of every word, and their weights."""
+    data = np.frombuffer(text, np.uint8)
+    folded, starts, ends, _ = word_bounds(data, np.array([0, len(data)], np.int64))
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0)
+    length = ends - starts
+    power = np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(int(length.max()) - 1, _G | np.uint64(1)))))
+    inside = np.flatnonzero(folded[: len(data)])
+    offset = np.arange(len(inside)) - np.repeat(np.cumsum(length) - length, length)
+    words = np.add.reduceat(BYTES[folded[inside]] * power[offset], np.cumsum(length) - length)
+    h = np.sort(mixed(window_hashes(mixed(words + length.astype(np.uint64) * _M1), min(size, len(words)))))
+    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[new], 1 + np.log(np.diff(np.concatenate((new, [len(h)]))))
+
+
+def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """The probability Jaccard of two profiles."""
+    both, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    if not len(both):
         return 0.0
-    cx, cy = np.array([x[k] for k in both], float), np.array([y[k] for k in both], float)
-    only_x, only_y = sum(x.values()) - cx.sum(), sum(y.values()) - cy.sum()
+    cx, cy = x[1][i], y[1][j]
+    only_x, only_y = x[1].sum() - cx.sum(), y[1].sum() - cy.sum()
     ratio, which = np.unique(cx / cy, return_inverse=True)
     total = np.array([np.maximum(cx, q * cy).sum() + only_x + q * only_y for q in ratio])
     return float((cx / total[which]).sum())
 
 
-def shingles(text: bytes, size: int) -> dict[tuple, float]:
-    """The weighted shingles of a text."""
-    words = text.translate(SPACED).split()
-    counts = Counter(zip(*[words[k:] for k in range(size)])) if len(words) >= size else Counter([tuple(words)] if words else [])
-    return {k: 1 + math.log(n) for k, n in counts.items()}
-
-
 class Duplicates:
-    """The steps over one table; every table that is read twice is written to the shared folder."""
+    """The steps over one table; every table that is read twice is written to the shared folder.
+
+    A node, a distinct sequence of words, gets a number once its table is made: numbers keep later rows short and
+    their minima in hash aggregation.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int, registers: int = REGISTERS):
         self.docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         self.size, self.threshold, self.bands, self.rows = size, threshold, bands, rows
         self.registers = registers = max(registers, bands * rows)
-        fields = [field("node", "binary"), field("sig", "binary")]
+        fields = [field("digest", "binary"), field("sig", "binary")]
         self.sketched = materialize(scan_texts(self.docs, "text", ["id"], fields, lambda: _sketch_kernel(size, registers), prefix=""), "dup-sketches")
-        nodes = self.sketched.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
-        self.nodes = materialize(nodes, "dup-nodes")
+        nodes = self.sketched.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+        self.nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
 
     def members(self) -> DataFrame:
-        """(band, bucket, node, center) of the buckets that hold two nodes or more; each band has a random order of its own, whose least node is the center."""
+        """(band, bucket, node, center, n) of the buckets that hold n nodes, two or more; each band has an order of its own, whose least node is the center."""
         width = 2 * self.rows
         bucket = F.expr(f"posexplode(transform(sequence(0, {self.bands - 1}), b -> xxhash64(b, substring(sig, b * {width} + 1, {width})))) AS (band, bucket)")
-        banded = self.nodes.select(bucket, "node")
-        order = F.struct(F.xxhash64("node", "band"), "node")
-        shared = banded.groupBy("bucket").agg(F.min_by("node", order).alias("center"), F.count("*").alias("n")).where("n > 1").select("bucket", "center", "n")
-        return materialize(banded.join(shared, "bucket"), "dup-members")
+        banded = self.nodes.select(bucket, "node").withColumn("turned", F.col("node").bitwiseXOR(F.xxhash64("band")))
+        shared = banded.groupBy("bucket").agg(F.min("turned").alias("first"), F.count("*").alias("n")).where("n > 1")
+        met = banded.select("band", "bucket", "node").join(shared, "bucket")
+        return materialize(met.select("band", "bucket", "node", F.col("first").bitwiseXOR(F.xxhash64("band")).alias("center"), "n"), "dup-members")
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
         """(node, text) for nodes(node): one text of each; the other rows' texts don't move."""
-        ids = materialize(self.nodes.join(nodes.distinct(), "node", "left_semi").select(F.col("id").alias("wanted")), "dup-wanted")
-        few = ids.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-        there = self.docs.join(F.broadcast(ids) if few else ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-        texts = scan_texts(there, "text", ["text"], [field("node", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())], prefix="")
-        return materialize(texts.where("node is not null").groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
+        wanted = materialize(self.nodes.join(nodes.distinct(), "node", "left_semi").select("node", "digest", F.col("id").alias("wanted")), "dup-wanted")
+        few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+        side = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+        there = self.docs.join(side(wanted.select("wanted")), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        texts = scan_texts(there, "text", ["text"], [field("found", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())], prefix="")
+        named = texts.join(side(wanted.select("node", "digest")), F.col("found") == F.col("digest"))
+        return materialize(named.groupBy("node").agg(F.first("text").alias("text")), "dup-texts")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs(a, b) of nodes, by comparing whole texts."""
@@ -176,17 +192,17 @@ class Duplicates:
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, kept = None, {}
+            last, kept = None, None
             for batch in batches:
                 sims = []
                 for a, x, y in zip(batch.column(0).to_pylist(), each_text(batch.column(2)), each_text(batch.column(3))):
                     if a != last:
-                        last, kept = a, shingles(x, size)
-                    sims.append(similarity(kept, shingles(y, size)))
+                        last, kept = a, profile(x, size)
+                    sims.append(similarity(kept, profile(y, size)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+            give_back()
 
-        schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("sim", T.DoubleType())])
-        return materialize(both.mapInArrow(compare, schema).where(F.col("sim") >= self.threshold - ROUNDING).select("a", "b"), "dup-links")
+        return materialize(both.mapInArrow(compare, "a long, b long, sim double").where(F.col("sim") >= self.threshold - ROUNDING).select("a", "b"), "dup-links")
 
     def floor(self) -> int:
         """Equal registers below which a pair is screened out."""
@@ -204,13 +220,13 @@ class Duplicates:
                 near = pa.array((x == y).sum(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
-        return both.mapInArrow(screen, PAIR)
+        return both.mapInArrow(screen, "a long, b long")
 
     def labelled(self, members: DataFrame, comps: DataFrame) -> DataFrame:
         """Members of buckets that hold several components, with their component and the bucket's main one."""
-        rows = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "dup-rows")
-        sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        mains = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
+        rows = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "center"), "dup-rows")
+        sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+        mains = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
         return materialize(rows.join(mains, "bucket"), "dup-mixed")
 
     def across(self, mixed_rows: DataFrame) -> DataFrame:
@@ -230,13 +246,13 @@ class Duplicates:
 
         class Block:
             def __init__(self, cells: pa.Array):
-                self.node, self.comp = (np.array(cells.field(c).to_pylist(), object) for c in ("node", "comp"))
+                self.node, self.comp = (cells.field(c).to_numpy() for c in ("node", "comp"))
                 self.sig = np.frombuffer(b"".join(cells.field("sig").to_pylist()), np.uint16).reshape(len(cells), registers)
                 self.text, self.known = cells.field("text"), {}
 
-            def shingles(self, i: int) -> dict:
+            def profile(self, i: int) -> tuple[np.ndarray, np.ndarray]:
                 if i not in self.known:
-                    self.known[i] = shingles(self.text[i].as_py().encode(), size)
+                    self.known[i] = profile(self.text[i].as_py().encode(), size)
                 return self.known[i]
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,58 +266,50 @@ class Duplicates:
                         near = np.flatnonzero((same.sum(axis=1) >= least) & (y.comp != x.comp[i]))
                         if band and len(near):
                             near = near[~same[near, : band * width].reshape(len(near), band, width).all(axis=2).any(axis=1)]
-                        found += [(x.node[i], y.node[j]) for j in near.tolist() if (y.comp[j] == main or x.node[i] < y.node[j]) and similarity(x.shingles(i), y.shingles(j)) >= threshold - ROUNDING]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+                        found += [(x.node[i], y.node[j]) for j in near.tolist() if (y.comp[j] == main or x.node[i] < y.node[j]) and similarity(x.profile(i), y.profile(j)) >= threshold - ROUNDING]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            give_back()
 
-        return materialize(met.mapInArrow(compare, PAIR), "dup-across")
+        return materialize(met.mapInArrow(compare, "a long, b long"), "dup-across")
 
     def classes(self) -> DataFrame:
         """(node, root) of the nodes that have links."""
         members = self.members()
-        star = lambda rows: rows.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
-        links = self.compared(self.screened(star(members)))
+        star = members.where("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+        links = self.compared(self.screened(star))
         rows = self.labelled(members, components(links))
-        for turn in range(RANDOM_ROUNDS):  # chance partners first: most nodes of a large class find it so
-            order = F.struct(F.xxhash64("node", "band", F.lit(turn)), "node")
-            again = rows.groupBy("bucket").agg(F.min_by("node", order).alias("one"), F.min_by("comp", order).alias("of"))
-            more = rows.drop("center").join(again, "bucket").where("comp <> of").withColumnRenamed("one", "center")
-            links = links.union(self.compared(self.screened(star(more))))
-            rows = self.labelled(members, components(links))
         return components(links.union(self.across(rows)))
 
     def described(self, comps: DataFrame) -> DataFrame:
-        named = self.nodes.join(comps, "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root"))
+        """A row for each document: id and its class."""
+        named = self.nodes.join(comps, "node", "left").select("digest", "id", "copies", F.coalesce("root", "node").alias("root"))
         totals = named.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_rows"), F.count("*").alias("class_texts"))
-        named = materialize(named.join(totals, "root").select("node", "class_id", "class_rows", "class_texts"), "dup-named")
+        named = materialize(named.join(totals, "root").select("digest", "class_id", "class_rows", "class_texts"), "dup-named")
         one = F.lit(1).cast("long")
-        alone = self.sketched.where("node is null").select("id", F.col("id").alias("class_id"), one.alias("class_rows"), F.lit(0).cast("long").alias("class_texts"))
-        return self.sketched.where("node is not null").select("id", "node").join(named, "node").select("id", "class_id", "class_rows", "class_texts").union(alone)
-
-
-PAIR = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-RANDOM_ROUNDS = 1
+        alone = self.sketched.where("digest is null").select("id", F.col("id").alias("class_id"), one.alias("class_rows"), F.lit(0).cast("long").alias("class_texts"))
+        return self.sketched.where("digest is not null").select("id", "digest").join(named, "digest").select("id", "class_id", "class_rows", "class_texts").union(alone)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
     """(node, root): connected components of links(a, b) by alternating large-star and small-star contractions.
 
     Each contraction is a minimum for each node (partially aggregated) and a join back, never a list of neighbours.
     """
     edges, seen = materialize(links.where("a <> b").distinct(), "cc-edges"), None
+    tasks = 1 + edges.count() // rows_a_task  # contractions never add edges
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "cc-large")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        down = materialize(large, "cc-large", tasks)
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "cc-small")
+        edges = materialize(small, "cc-small", tasks)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == seen:
             break
         seen = now
-    return materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "cc-roots")
+    return materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "cc-roots", tasks)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -317,19 +325,19 @@ def near_duplicate_free(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     opts = {"size": SHINGLE, "threshold": THRESHOLD, "bands": BANDS, "rows": ROWS} | how
     work = Duplicates(docs, id_col, text_col, *[opts[k] for k in ("size", "threshold", "bands", "rows")])
-    roots = work.nodes.join(work.classes(), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    first = roots.groupBy("root").agg(F.min_by("node", F.struct("id", "node")).alias("stays")).select("stays")
-    keys = work.sketched.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("n"))
-    least = work.nodes.join(first, F.col("node") == F.col("stays"), "left").select(F.col("node").alias("of"), F.col("id").alias("least"), F.col("stays").isNotNull().alias("stays"))
-    keys = keys.join(least, F.col("node") == F.col("of")).select("id", "node", "n", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
-    keys = materialize(keys.where("not stays or n > 1").select(F.col("id").alias("x_id"), F.col("node").alias("x_node"), "stays"), "dup-out")
+    roots = work.nodes.join(work.classes(), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min_by("digest", F.struct("id", "digest")).alias("stays")).select("stays")
+    keys = work.sketched.where("digest is not null").groupBy("id", "digest").agg(F.count("*").alias("n"))
+    least = work.nodes.join(first, F.col("digest") == F.col("stays"), "left").select(F.col("digest").alias("of"), F.col("id").alias("least"), F.col("stays").isNotNull().alias("stays"))
+    keys = keys.join(least, F.col("digest") == F.col("of")).select("id", "digest", "n", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
+    keys = materialize(keys.where("not stays or n > 1").select(F.col("id").alias("x_id"), F.col("digest").alias("x_digest"), "stays"), "dup-out")
     few = keys.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    named = scan_texts(docs, text_col, docs.columns, [field("node", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())])
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("x_id")) & (F.col(ADDED + "node") == F.col("x_node"))
+    named = scan_texts(docs, text_col, docs.columns, [field("digest", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())])
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("x_id")) & (F.col(ADDED + "digest") == F.col("x_digest"))
     own = [F.col(f"`{c}`") for c in docs.columns]
     kept = named.join(F.broadcast(keys) if few else keys, same, "left_anti").select(*own)
     again = keys.where("stays")
     if again.isEmpty():
         return kept
-    repeated = named.join(F.broadcast(again) if few else again, same, "left_semi").dropDuplicates([id_col, ADDED + "node"]).select(*own)
+    repeated = named.join(F.broadcast(again) if few else again, same, "left_semi").dropDuplicates([id_col, ADDED + "digest"]).select(*own)
     return kept.union(repeated)
