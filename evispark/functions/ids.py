@@ -11,6 +11,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Unicode white space as Python's str.split() sees it, for Java patterns.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -32,7 +33,7 @@ def spaced(x: Column | str) -> Column:
     return strip(F.regexp_replace(_c(x), SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _exact_key(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).split()).casefold())
 
@@ -93,7 +94,7 @@ def collection_id(name: Column | str) -> Column:
     return F.concat(F.lit("collection:"), short_hash(identity_key(name)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def point_id(chunk: pd.Series) -> pd.Series:
     """UUIDv5 of the chunk id: one vector point for each chunk."""
     return chunk.map(lambda c: None if c is None else str(uuid.uuid5(POINTS, c)))
