@@ -9,8 +9,8 @@ is independent of the states. `states` latent states are trained by `rounds` of
 documents: each partition sends expected counts, symbol by symbol, which are summed by key. The scaled forward
 recursion then gives each text's exact likelihood, log10 P = sum of log10 scales + sum of log10 P(token | symbol).
 
-Plan: counts are combined in each task before their shuffle; only the head (bounded by `head`) and the bins are
-broadcast, the full vocabulary never is. The scoring scan resolves head tokens in place and writes each text's
+Plan: the training texts are written once as symbols, two bytes a token, for the rounds to read. Counts are combined
+in each task before their shuffle; only the head (bounded by `head`) and the bins are broadcast, the full vocabulary never is. The scoring scan resolves head tokens in place and writes each text's
 tail tokens with their counts; only these meet the vocabulary in an equi-join, summed by text and token before.
 Documents run through the recursion side by side, longest first, so that a step handles all texts that reach it.
 
@@ -32,17 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, each_text, field, materialize, part_of, scan_texts
+from .common import bounded_batches, each_text, field, give_back, materialize, part_of, scan_texts
 
 HEAD, BINS, STATES, ROUNDS, SEED = 60_000, 1024, 8, 3, 11
 #: The first model: states last, and their emissions differ by chance by up to this share.
 STAY, NOISE = 0.98, 0.9
+#: Expected counts travel as whole numbers of this fraction: their sums are exact in any order.
+PARTS = 1 << 16
 #: Added to counts of tokens and of symbols; pseudo-counts of transitions.
 ADD, SMOOTH, SMOOTH_MOVE = 0.1, 0.1, 1.0
 END = b"\n"  # no word holds it
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct tokens that a counting task holds before it sends them on; tokens that go through the recursion at once.
-FLUSH, PACK = 400_000, 1_000_000
+FLUSH, PACK = 300_000, 1_500_000
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -74,6 +76,20 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     return source.mapInArrow(count, schema).groupBy("token").agg(F.sum("c").alias("c"))
 
 
+class Symbols(dict):
+    """token -> symbol; a token that isn't in the head has its bin's."""
+
+    def __init__(self, head: dict[bytes, int], bins: int):
+        super().__init__(head)
+        self.base, self.bins = len(head), bins
+
+    def __missing__(self, token: bytes) -> int:
+        return self.base + zlib.crc32(token) % self.bins
+
+    def __reduce__(self):
+        return Symbols, (dict(self), self.bins)
+
+
 @dataclass
 class Model:
     head: dict[bytes, int]  # token -> symbol
@@ -87,9 +103,17 @@ class Model:
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (symbols, states)
 
+    def __post_init__(self) -> None:
+        self.emit32 = self.emit.astype(np.float32)
+
+        self.names = Symbols(self.head, self.bins)
+
+    @property
+    def kind(self) -> type:
+        return np.uint16 if len(self.emit) <= 1 << 16 else np.int32
+
     def symbols(self, tokens: list[bytes]) -> np.ndarray:
-        head, base, bins = self.head, len(self.head), self.bins
-        return np.fromiter((head[t] if t in head else base + zlib.crc32(t) % bins for t in tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.names.__getitem__, tokens), self.kind, len(tokens))
 
 
 class Packed:
@@ -101,30 +125,30 @@ class Packed:
         size = size[self.order]
         self.live = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")  # texts with more than t tokens
         self.at = np.concatenate(([0], np.cumsum(self.live)))
-        self.symbols = np.empty(int(self.at[-1]), np.int64)
+        self.symbols = np.empty(int(self.at[-1]), np.int32)
         for k, i in enumerate(self.order.tolist()):
             self.symbols[self.at[: size[k]] + k] = texts[i]
 
 
 def forward(model: Model, pack: Packed, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's log10 likelihood of its symbols; alphas and scales by token if kept."""
-    n, s = len(pack.order), len(model.start)
-    score = np.zeros(n)
-    alphas = np.empty((len(pack.symbols) if keep else 0, s))
-    scales = np.empty(len(pack.symbols))
+    """Each text's log10 likelihood of its symbols; alphas and scales by token if kept (4-byte floats: they are scaled)."""
+    n = len(pack.order)
+    start, move = model.start.astype(np.float32), model.move.astype(np.float32)
+    alphas = np.take(model.emit32, pack.symbols, axis=0)  # emissions first, alphas in their place
+    scales = np.empty(len(pack.symbols), np.float32)
+    one = np.ones(len(start), np.float32)
     alpha = None
-    for t, live in enumerate(pack.live.tolist()):
-        a, b = pack.at[t], pack.at[t] + live
-        emitted = model.emit[pack.symbols[a:b]]
-        alpha = emitted * (model.start if t == 0 else alpha[:live] @ model.move)
-        c = alpha.sum(axis=1)
-        alpha /= c[:, None]
-        scales[a:b] = c
-        if keep:
-            alphas[a:b] = alpha
-    logs = np.log10(scales)
-    for t, live in enumerate(pack.live.tolist()):
-        score[:live] += logs[pack.at[t] : pack.at[t] + live]
+    for a, live in zip(pack.at[:-1].tolist(), pack.live.tolist()):
+        here = alphas[a : a + live]
+        here *= start if alpha is None else alpha[:live] @ move
+        c = scales[a : a + live]
+        np.dot(here, one, out=c)
+        here /= c[:, None]
+        alpha = here
+    logs = np.log10(scales, dtype=np.float64)
+    score = np.zeros(n)
+    for a, live in zip(pack.at[:-1].tolist(), pack.live.tolist()):
+        score[:live] += logs[a : a + live]
     out = np.empty(n)
     out[pack.order] = score
     return out, alphas, scales
@@ -134,31 +158,32 @@ def expected(model: Model, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.nda
     """Baum-Welch expected counts of starts, moves and (symbol, state)."""
     s = len(model.start)
     _, alphas, scales = forward(model, pack, True)
-    gammas = np.empty_like(alphas)
-    starts, moves = np.zeros(s), np.zeros((s, s))
-    beta = np.zeros((0, s))
+    ahead = np.take(model.emit32, pack.symbols, axis=0)  # emission * beta / scale of a token, in place
+    ahead /= scales[:, None]
+    back = np.ascontiguousarray(model.move.T.astype(np.float32))
+    moves, late = np.zeros((s, s)), None
     for t in range(len(pack.live) - 1, -1, -1):
         a, live = pack.at[t], int(pack.live[t])
-        now = np.ones((live, s))
-        if len(beta):
-            nxt = slice(pack.at[t + 1], pack.at[t + 1] + len(beta))
-            ahead = model.emit[pack.symbols[nxt]] * beta / scales[nxt][:, None]
-            now[: len(beta)] = ahead @ model.move.T
-            moves += alphas[a : a + len(beta)].T @ ahead
-        beta = now
-        gammas[a : a + live] = alphas[a : a + live] * beta
+        here, gamma = ahead[a : a + live], alphas[a : a + live]
+        if late is not None:
+            k = len(late)
+            beta = late @ back
+            moves += gamma[:k].T @ late
+            gamma[:k] *= beta
+            here[:k] *= beta
+        late = here
     moves *= model.move
-    if len(pack.live):
-        starts = gammas[: pack.live[0]].sum(axis=0)
-    by = np.stack([np.bincount(pack.symbols, weights=gammas[:, k], minlength=len(model.emit)) for k in range(s)], axis=1)
+    starts = alphas[: pack.live[0]].sum(axis=0, dtype=np.float64) if len(pack.live) else np.zeros(s)
+    by = np.stack([np.bincount(pack.symbols, weights=alphas[:, k], minlength=len(model.emit)) for k in range(s)], axis=1)
     return starts, moves, by
 
 
-def packs(texts: Iterator[list[bytes]], model: Model) -> Iterator[list[np.ndarray]]:
+def packs(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts' symbols in lots of about PACK."""
     held, n = [], 0
-    for tokens in texts:
-        held.append(model.symbols(tokens))
-        n += len(tokens)
+    for symbols in texts:
+        held.append(symbols)
+        n += len(symbols)
         if n >= PACK:
             yield held
             held, n = [], 0
@@ -192,29 +217,35 @@ def first_model(counts: DataFrame, head: int, bins: int, states: int, seed: int)
 def trained(docs: DataFrame, text_col: str, model: Model, rounds: int) -> Model:
     """Baum-Welch over all rows of docs; symbol -1 - k carries row k of the moves, and the last one the starts."""
     spark, states = docs.sparkSession, len(model.start)
-    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = T.StructType([T.StructField("symbol", T.LongType()), *[T.StructField(f"s{k}", T.DoubleType()) for k in range(states)]])
+    names = spark.sparkContext.broadcast(model)
+
+    def encode():
+        return lambda col: [pa.array([names.value.symbols(tokens_of(t)).tobytes() for t in each_text(col)], pa.binary())]
+
+    source = materialize(scan_texts(docs, text_col, [], [field("symbols", "binary")], encode, prefix=""), "lm-symbols")
+    schema = T.StructType([T.StructField("symbol", T.LongType()), *[T.StructField(f"s{k}", T.LongType()) for k in range(states)]])
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value  # noqa: B023
             starts, moves, by = np.zeros(states), np.zeros((states, states)), np.zeros_like(own.emit)
-            for texts in packs((tokens_of(t) for batch in batches for t in each_text(batch.column(0))), own):
+            for texts in packs(np.frombuffer(t, own.kind) for batch in batches for t in batch.column(0).to_pylist()):
                 a, b, c = expected(own, Packed(texts))
                 starts += a
                 moves += b
                 by += c
             used = np.flatnonzero(by.sum(axis=1))
             if len(used):
-                rows = np.concatenate((by[used], moves, starts[None]))
+                rows = np.rint(np.concatenate((by[used], moves, starts[None])) * PARTS).astype(np.int64)
                 symbol = np.concatenate((used, -1 - np.arange(states + 1)))
                 for k in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(symbol[k : k + 10_000]), *[pa.array(np.ascontiguousarray(rows[k : k + 10_000, j])) for j in range(states)]], names=schema.names)
+            give_back()
 
-        summed = source.mapInArrow(count, schema).groupBy("symbol").agg(*[F.sum(F.col(f"s{k}").cast("decimal(38,12)")).cast("double").alias(f"s{k}") for k in range(states)]).toArrow()
+        summed = source.mapInArrow(count, schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).toArrow()
         symbol = summed["symbol"].to_numpy()
-        rows = np.stack([summed[f"s{k}"].to_numpy() for k in range(states)], axis=1) if len(symbol) else np.zeros((0, states))
+        rows = np.stack([summed[f"s{k}"].to_numpy() for k in range(states)], axis=1) / PARTS if len(symbol) else np.zeros((0, states))
         emit, move, start = np.zeros_like(model.emit), np.zeros((states, states)), np.zeros(states)
         emit[symbol[symbol >= 0]] = rows[symbol >= 0]
         for k, row in zip(symbol[symbol < 0].tolist(), rows[symbol < 0]):
