@@ -27,7 +27,7 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_candidate_group(spark: SparkSession, d: str) -> DataFrame:
     out = entity_groups(spark, d)
-    return out.select("entity_id", "entity_type", "key", "name", F.round("confidence", 6).alias("confidence"), F.sha2(F.array_join("chunk_ids", ","), 256).alias("chunks_sha256"), F.size("chunk_ids").alias("n_chunks"), F.array_join("quotes", ",").alias("quotes"))
+    return out.select("entity_id", "entity_type", "key", "name", F.round("confidence", 6).alias("confidence"), F.sha2(F.array_join("chunk_ids", ","), 256).alias("chunks_sha256"), F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("quotes", ",").alias("quotes"))
 
 
 def relationship_candidate_group(spark: SparkSession, d: str) -> DataFrame:

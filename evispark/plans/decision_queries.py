@@ -36,7 +36,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 def plan_table(spark: SparkSession, d: str) -> DataFrame:
     out = decisions.plans(requests(spark, d), decisions.intents(spark), S)
-    return out.select(*[F.col(c).cast("long").alias(c) if c in ("graph_depth", "graph_limit", "vector_top_k") else F.col(c) for c in out.columns])
+    return out.select(*[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) if c in ("graph_depth", "graph_limit", "vector_top_k") else F.col(c) for c in out.columns])
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def sufficiency_gates(spark: SparkSession, d: str) -> DataFrame:
 
 def refinement_bounds(spark: SparkSession, d: str) -> DataFrame:
     out = decisions.refinements(judged(spark, d), S)
-    return out.select("request_id", "next_strategy", *[F.col(c).cast("long").alias(c) for c in ("next_vector_top_k", "next_graph_limit", "next_graph_depth")])
+    return out.select("request_id", "next_strategy", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("next_vector_top_k", "next_graph_limit", "next_graph_depth")])
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def _resolved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_resolution(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d).select("answer_id", F.col("position").cast("long").alias("position"), "marker", "reason", F.col("citation_number").cast("long").alias("citation_number"))
+    return _resolved(spark, d).select("answer_id", F.col("position").cast("long").alias("position"), "marker", "reason", F.coalesce(F.col("citation_number").cast("long"), F.lit(0)).alias("citation_number"))
 
 
 def answer_rewrite(spark: SparkSession, d: str) -> DataFrame:
@@ -254,20 +254,20 @@ def oracle_sql() -> dict[str, str]:
     return {
         "plan_table": f"""WITH {intents}, r AS (SELECT event_id AS request_id, {intent} AS intent, event_id % 5 = 0 AS several, event_id % 7 = 3 AS amb, event_id % 11 = 5 AS mis, CASE WHEN event_id % 3 <> 0 THEN 'entity:' || user_id END AS entity_id, event_id % 2 = 0 AS paper FROM events),
           s AS (SELECT r.*, operation AS op, strategy AS st, reason_code, CASE WHEN strategy IS NULL OR several THEN 'unsupported_graph_operation' WHEN amb THEN 'ambiguous' WHEN mis THEN 'entity_not_found' ELSE 'ok' END AS status FROM r LEFT JOIN t USING (intent))
-          SELECT request_id, intent, status, CASE WHEN status = 'ok' THEN op END AS operation, CASE WHEN status = 'ok' THEN st END AS strategy, reason_code, CASE WHEN status = 'ok' AND op IS NOT NULL THEN entity_id END AS graph_entity_id, CASE WHEN status = 'ok' THEN CASE WHEN op = 'citation_neighborhood' AND entity_id IS NOT NULL THEN 2 ELSE 1 END END AS graph_depth,
-          CASE WHEN status = 'ok' THEN 20 END AS graph_limit, CASE WHEN status = 'ok' THEN 5 END AS vector_top_k, CASE WHEN status = 'ok' AND st IN ('vector', 'hybrid') AND paper THEN entity_id END AS paper_filter FROM s""",
+          SELECT request_id, intent, status, CASE WHEN status = 'ok' THEN op END AS operation, CASE WHEN status = 'ok' THEN st END AS strategy, reason_code, CASE WHEN status = 'ok' AND op IS NOT NULL THEN entity_id END AS graph_entity_id, CASE WHEN status = 'ok' THEN CASE WHEN op = 'citation_neighborhood' AND entity_id IS NOT NULL THEN 2 ELSE 1 END ELSE -1 END AS graph_depth,
+          CASE WHEN status = 'ok' THEN 20 ELSE -1 END AS graph_limit, CASE WHEN status = 'ok' THEN 5 ELSE -1 END AS vector_top_k, CASE WHEN status = 'ok' AND st IN ('vector', 'hybrid') AND paper THEN entity_id END AS paper_filter FROM s""",
         "sufficiency_gates": f"{judged} SELECT request_id, intent, sufficient, coverage, refinement, needs_model FROM j",
         "refinement_bounds": f"""{judged}, n AS (SELECT *, CASE WHEN coalesce(sufficient, false) OR round >= 2 THEN NULL WHEN refinement = 'vector_expansion' AND strategy IN ('vector', 'hybrid') AND {ev('vector_top_k')} > vector_top_k THEN 'vector' WHEN refinement = 'hybrid_expansion' AND strategy = 'hybrid' AND ({ev('vector_top_k')} > vector_top_k OR {ev('graph_limit')} > graph_limit) THEN 'hybrid' WHEN refinement = 'graph_depth_expansion' AND {grow} THEN 'graph' END AS next_strategy, operation = 'citation_neighborhood' AND graph_depth < 2 AS deeper FROM j)
-          SELECT request_id, next_strategy, CASE WHEN next_strategy IN ('vector', 'hybrid') THEN {ev('vector_top_k')} END AS next_vector_top_k, CASE WHEN next_strategy = 'hybrid' OR (next_strategy = 'graph' AND NOT deeper) THEN {ev('graph_limit')} WHEN next_strategy = 'graph' THEN graph_limit END AS next_graph_limit, CASE WHEN next_strategy = 'graph' THEN graph_depth + CASE WHEN deeper THEN 1 ELSE 0 END END AS next_graph_depth FROM n""",
+          SELECT request_id, next_strategy, CASE WHEN next_strategy IN ('vector', 'hybrid') THEN {ev('vector_top_k')} ELSE -1 END AS next_vector_top_k, CASE WHEN next_strategy = 'hybrid' OR (next_strategy = 'graph' AND NOT deeper) THEN {ev('graph_limit')} WHEN next_strategy = 'graph' THEN graph_limit ELSE -1 END AS next_graph_limit, CASE WHEN next_strategy = 'graph' THEN graph_depth + CASE WHEN deeper THEN 1 ELSE 0 END ELSE -1 END AS next_graph_depth FROM n""",
         "marker_scan": f"WITH {answers} SELECT answer_id, position, marker, label FROM s",
-        "marker_resolution": f"WITH {resolved} SELECT answer_id, position, marker, reason, citation_number FROM z",
+        "marker_resolution": f"WITH {resolved} SELECT answer_id, position, marker, reason, coalesce(citation_number, 0) AS citation_number FROM z",
         "grounding_gates": f"WITH {grounded}, h AS (SELECT request_id, {gate} AS gate FROM g) SELECT request_id, gate, CASE {' '.join(f"WHEN gate = '{k}' THEN '{v}'" for k, v in D.ABSTENTIONS.items())} WHEN gate IS NOT NULL THEN '{D.ABSTENTION}' END AS abstention FROM h",
         "confidence_ladder": f"""WITH {grounded}, b AS (SELECT *, intent IS NULL OR (sufficient AND coverage = 'complete' AND n_missing = 0 AND validation_status = 'valid' AND n_citations > 0 AND NOT gap AND CASE WHEN intent = '{D.SEMANTIC}' THEN sem AND ct WHEN intent = '{D.MIXED}' THEN sem AND str AND ct AND (cg OR cp) WHEN intent IN {_in(D.NEEDS_PATH)} THEN str AND cp ELSE str AND (cg OR cp) END) AS strong, coverage <> 'complete' AS lim, validation_status = 'partially_valid' AS part FROM g),
           c AS (SELECT *, list_filter([CASE WHEN round > 1 THEN 'sufficient_after_refinement' END, CASE WHEN part THEN 'partial_citation_validation' END, CASE WHEN gap THEN 'provenance_incomplete' END, CASE WHEN n_missing > 0 THEN 'missing_information' END, CASE WHEN lim OR NOT strong THEN 'limited_evidence_coverage' END], lambda x: x IS NOT NULL) AS rs FROM b)
           SELECT request_id, strong, CASE WHEN lim THEN 'low' WHEN part OR gap OR n_missing > 0 OR NOT strong THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN len(rs) = 0 THEN 'strong_grounded_support' ELSE array_to_string(rs, ',') END AS reasons FROM c""",
         "ranking_metrics": f"""{evaluation}, f AS (SELECT case_id, strategy, vec_id, min(rank) AS first FROM matches GROUP BY ALL), s AS (SELECT case_id, strategy, min(first) AS best, count(*) FILTER (first <= 5) AS found, coalesce(sum(1 / log2(first + 1)) FILTER (first <= 5), 0) AS gain FROM f GROUP BY ALL),
           w AS (SELECT case_id, strategy, count(*) FILTER (rank <= 5) AS within_k FROM items GROUP BY ALL), t AS (SELECT case_id, count(DISTINCT vec_id) AS n FROM targets GROUP BY ALL), j AS (SELECT w.*, coalesce(best, 99) AS best, s.best IS NULL AS no, coalesce(found, 0) AS found, coalesce(gain, 0) AS gain, n, least(5, n, within_k) AS ideal_n FROM w JOIN t USING (case_id) LEFT JOIN s USING (case_id, strategy))
-          SELECT case_id, strategy, CASE WHEN best <= 5 THEN 1 ELSE 0 END AS hit, round(CASE WHEN no THEN 0 ELSE 1 / best END, 9) AS reciprocal_rank, round(found / within_k, 9) AS precision, round(found / n, 9) AS recall, round(gain / list_sum(list_transform(range(1, ideal_n + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg FROM j""",
+          SELECT case_id, strategy, CAST(best <= 5 AS BIGINT) AS hit, round(CASE WHEN no THEN 0 ELSE 1 / best END, 9) AS reciprocal_rank, round(found / within_k, 9) AS precision, round(found / n, 9) AS recall, round(gain / list_sum(list_transform(range(1, ideal_n + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg FROM j""",
         "structural_metrics": f"""{evaluation}, p AS (SELECT case_id, strategy, avg(CASE WHEN rank % 2 = 1 THEN 1.0 ELSE 0 END) AS rate FROM items GROUP BY ALL), x AS (SELECT p.case_id, p.strategy, rate, t.vec_id, (p.case_id, p.strategy, t.vec_id) IN (SELECT (case_id, strategy, vec_id) FROM matches) AS hit FROM p JOIN targets t USING (case_id))
           SELECT case_id, strategy, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (vec_id % 2 = 1), 9) AS entity_recall, NULL::DOUBLE AS relationship_recall, NULL::DOUBLE AS exact_path_match, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
         "strategy_aggregate": f"WITH {results} SELECT category, strategy, count(*) AS cases, count(*) FILTER (applicable) AS applicable_cases, round(coalesce(avg(hit) FILTER (applicable), 0), 9) AS hit, round(coalesce(avg(recall) FILTER (applicable), 0), 9) AS recall, round(coalesce(avg(reciprocal_rank) FILTER (applicable), 0), 9) AS reciprocal_rank, round(avg(latency_ms), 6) AS latency_mean, round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95 FROM r GROUP BY GROUPING SETS ((strategy), (category, strategy))",
@@ -279,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "resume_points": f"WITH j AS (SELECT event_id AS job_id, {status} AS status, {_nth(control.STATUS_CHAIN, 'event_id // 13')} AS failed_stage FROM events) SELECT job_id, status, CASE CASE WHEN status = 'failed' THEN failed_stage ELSE status END {nxt} END AS next_stage FROM j",
         "step_attempts": "SELECT event_id, user_id AS job_id, event_type AS stage, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events",
         "stale_versions": "WITH c AS (SELECT l_orderkey AS k, max(l_linestatus) AS generation FROM lineitem GROUP BY 1) SELECT k AS paper_version_id, generation, o_orderstatus AS stored_generation FROM c LEFT JOIN orders ON o_orderkey = k WHERE o_orderstatus IS DISTINCT FROM generation",
-        "discovery_dedup": "WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS source_id, l_partkey % 10 AS v, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 10 DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first_line FROM lineitem) SELECT source_id, 'v' || v AS version, l_partkey, l_suppkey, first_line FROM r WHERE nth = 1",
+        "discovery_dedup": "WITH r AS (SELECT CAST(l_orderkey AS VARCHAR) AS source_id, l_partkey % 10 AS v, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 10 DESC, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS first_line FROM lineitem) SELECT source_id, 'v' || v AS version, l_partkey, l_suppkey, first_line::BIGINT AS first_line FROM r WHERE nth = 1",
         "date_range_filter": "SELECT o_orderkey, year(o_orderdate) AS published_year FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1996-12-31'",
         "id_normalise": "SELECT page_id, '2401.' || lpad(CAST(page_id AS VARCHAR), 5, '0') AS source_id, CASE WHEN page_id % 2 = 0 THEN 'v' || (page_id % 9 + 1) END AS version, page_id % 4 IN (0, 2) AS trusted, false AS own_url_trusted FROM pages",
     }

@@ -13,7 +13,7 @@ STARTS = {"papers_for_method": "method", "papers_for_dataset": "dataset", "paper
 
 
 def shown(out: DataFrame) -> DataFrame:
-    return out.select("start", "rank", "evidence_id", "evidence_type", F.array_join("entity_ids", ">").alias("entity_path"), F.array_join("relationship_ids", ">").alias("relationship_path"), F.array_join("source_chunk_ids", ",").alias("chunks"), F.round("path_confidence", 6).alias("confidence"), "text", "paper_id")
+    return out.select("start", F.col("rank").cast("long").alias("rank"), "evidence_id", "evidence_type", F.array_join("entity_ids", ">").alias("entity_path"), F.array_join("relationship_ids", ">").alias("relationship_path"), F.array_join("source_chunk_ids", ",").alias("chunks"), F.round("path_confidence", 6).alias("confidence"), "text", "paper_id")
 
 
 def _query(operation: str, depth: int):
@@ -69,7 +69,7 @@ def lookup(spark: SparkSession, d: str) -> DataFrame:
     """Every node's name in upper case finds its node."""
     n = nodes(spark, d)
     names = n.select(F.upper("canonical_name").alias("name"), "entity_type").distinct()
-    return G.lookup_by_name(names, n, LIMIT).select("asked", "asked_type", "entity_id", F.col("place").alias("place"))
+    return G.lookup_by_name(names, n, LIMIT).select("asked", "asked_type", "entity_id", F.col("place").cast("long").alias("place"))
 
 
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:

@@ -19,7 +19,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     """Each line of a document is a page, with a running title and a page number around it."""
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     text = F.concat(F.lit("Running Title "), F.col("doc_id").cast("string"), F.lit("\n"), "line", F.lit("\nPage "), (F.col("i") + 1).cast("string"))
-    return rows.select(F.concat(F.lit("paper-version:doc:"), F.col("doc_id").cast("string"), F.lit(":v1")).alias("paper_version_id"), (F.col("i") + 1).alias("page_number"), text.alias("text"), "line", "i")
+    return rows.select(F.concat(F.lit("paper-version:doc:"), F.col("doc_id").cast("string"), F.lit(":v1")).alias("paper_version_id"), (F.col("i") + 1).cast("long").alias("page_number"), text.alias("text"), "line", "i")
 
 
 def headed(spark: SparkSession, d: str) -> DataFrame:
