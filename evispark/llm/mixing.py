@@ -64,10 +64,11 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 
 def keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int, keep: list[str]) -> DataFrame:
-    """The `keep` columns under the ADDED prefix, then id, source, size and the hash-random key."""
+    """The `keep` columns under the ADDED prefix, then id, source, size and the hash-random key (60 bits)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(ADDED + c) for c in keep])
     rows = sized(rows, [c for c in rows.columns if c != "text"]).withColumnRenamed(ADDED + "size", "size")
-    return rows.withColumn("key", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
+    named = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    return rows.withColumn("key", F.conv(F.substring(named, 1, 15), 16, 10).cast("long"))
 
 
 def cuts(rows: DataFrame, shares: DataFrame, few: bool, bucket_rows: int) -> DataFrame:
@@ -76,7 +77,7 @@ def cuts(rows: DataFrame, shares: DataFrame, few: bool, bucket_rows: int) -> Dat
     shares = shares.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
     side = shares.select(F.col("source").alias("s"), "rest", F.ceil(F.col("n") / bucket_rows).alias("buckets"))
     dealt = rows.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("s")))
-    dealt = dealt.withColumn("bucket", F.floor((F.col("key").cast("double") / F.lit(2.0**64) + 0.5) * F.col("buckets")))
+    dealt = dealt.withColumn("bucket", F.floor(F.col("key").cast("double") / F.lit(2.0**60) * F.col("buckets")))
     sums = dealt.groupBy("s", "rest", "bucket").agg(F.sum("size").alias("sum"))
     sums = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("s", "rest").orderBy("bucket")))
     first = sums.where(F.col("upto") > F.col("rest")).groupBy("s").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("sum")).alias("before")), "bucket").alias("cut"))

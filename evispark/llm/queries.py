@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, hmm, langid, mixing, neardup, quality_gam, quality_rules, secrets, tokencount, urlfilter
 from .common import ADDED, part_of, table
+from .sql import oracle_sql  # noqa: F401  for __spark_entry__
 
 #: A file of public tokenizers; its place is a parameter.
 VOCABULARY = os.environ.get("EVISPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -77,7 +78,3 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
