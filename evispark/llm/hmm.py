@@ -41,6 +41,8 @@ STAY, NOISE = 0.98, 0.9
 PARTS = 1 << 16
 #: Added to counts of tokens and of symbols; pseudo-counts of transitions.
 ADD, SMOOTH, SMOOTH_MOVE = 0.1, 0.1, 1.0
+#: A state's emissions are drawn to the symbols' frequencies by so many tokens, and this share of its own.
+PRIOR_TOKENS, PRIOR_SHARE = 15_000, 0.02
 END = b"\n"  # no word holds it
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct tokens that a counting task holds before it sends them on; tokens that go through the recursion at once.
@@ -254,7 +256,7 @@ def trained(docs: DataFrame, text_col: str, model: Model, rounds: int) -> Model:
             else:
                 start = row
         weights = np.concatenate((model.counts, model.bin_tokens)) + SMOOTH
-        emit = emit + SMOOTH * weights[:, None] / weights.sum() * len(weights)
+        emit = emit + weights[:, None] / weights.sum() * (PRIOR_TOKENS + PRIOR_SHARE * emit.sum(axis=0))
         move, start = move + SMOOTH_MOVE, start + SMOOTH_MOVE
         model = Model(model.head, model.counts, model.bins, model.bin_tokens, model.bin_types, model.total, model.types, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     return model

@@ -71,7 +71,7 @@ def _neighbours() -> dict[str, str]:
 NEAR = _neighbours()
 RANK = {w: math.log10(k + 2) for k, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
-WALK_START, WALK_STEP, REPEAT_START, REPEAT_STEP, PERIODS = math.log10(len(NEAR)) + 0.5, 0.35, 0.7, 0.1, (1, 2, 3, 4)
+WALK_START, WALK_STEP, REPEAT_START, REPEAT_STEP, PERIODS = math.log10(len(NEAR)) + 0.5, 0.35, 0.7, 0.01, (1, 2, 3, 4)
 
 
 def brute(c: str) -> float:
