@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BYTES = 64 << 20
 
@@ -52,6 +53,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int
     """(query_id, chunk_id, score, rank): for every query the k nearest rows; equal scores go by chunk id."""
     spark, parts = vectors.sparkSession, None
     source = vectors.select("chunk_id", "vector").where(F.col("vector").isNotNull())
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double"
     for ids, matrix in blocks_of(queries, query_bytes):
         norms = np.linalg.norm(matrix, axis=1)
@@ -75,7 +77,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int
                 best_score, best_id = score, ident
             width = best_score.shape[1]
             if width:
-                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(width)]), pa.array(best_id.ravel().tolist(), pa.string()), pa.array(best_score.ravel())], names=["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(width)], kind), pa.array(best_id.ravel().tolist(), pa.string()), pa.array(best_score.ravel())], names=["query_id", "chunk_id", "score"])
 
         part = source.mapInArrow(search, schema)
         parts = part if parts is None else parts.unionByName(part)

@@ -23,9 +23,9 @@ def write_json(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def landed_pdfs(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """PDF files with checksum and a verdict: too_large, empty, not_pdf, or ok."""
+    """PDF files with checksum and a verdict: too_large, not_pdf, or ok. Files of no bytes give no row: the scan leaves them out."""
     files = spark.read.format("binaryFile").load(path)
-    verdict = F.when(F.col("length") > most_bytes, "too_large").when(F.col("length") == 0, "empty").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not_pdf").otherwise("ok")
+    verdict = F.when(F.col("length") > most_bytes, "too_large").when(F.substring("content", 1, 5) != F.lit(b"%PDF-"), "not_pdf").otherwise("ok")
     return files.select("path", "length", F.sha2("content", 256).alias("checksum"), verdict.alias("verdict"), "content")
 
 
