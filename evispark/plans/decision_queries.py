@@ -47,7 +47,7 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sufficiency_gates(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).select("request_id", "intent", "sufficient", "coverage", "refinement", "needs_model")
+    return judged(spark, d).select("request_id", "intent", F.col("sufficient").cast("string").alias("sufficient"), "coverage", "refinement", "needs_model")
 
 
 def refinement_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +123,7 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 def structural_metrics(spark: SparkSession, d: str) -> DataFrame:
     items, targets, matches = _evaluation(spark, d)
     out = metrics.structural_metrics(items.withColumn("provenance_complete", F.col("rank") % 2 == 1), targets, matches)
-    return out.select("case_id", "strategy", *[F.round(c, 9).alias(c) for c in ("entity_recall", "relationship_recall", "exact_path_match", "provenance_rate")])
+    return out.select("case_id", "strategy", *[F.coalesce(F.round(c, 9), F.lit(-1.0)).alias(c) for c in ("entity_recall", "relationship_recall", "exact_path_match", "provenance_rate")])
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -256,7 +256,7 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT r.*, operation AS op, strategy AS st, reason_code, CASE WHEN strategy IS NULL OR several THEN 'unsupported_graph_operation' WHEN amb THEN 'ambiguous' WHEN mis THEN 'entity_not_found' ELSE 'ok' END AS status FROM r LEFT JOIN t USING (intent))
           SELECT request_id, intent, status, CASE WHEN status = 'ok' THEN op END AS operation, CASE WHEN status = 'ok' THEN st END AS strategy, reason_code, CASE WHEN status = 'ok' AND op IS NOT NULL THEN entity_id END AS graph_entity_id, CASE WHEN status = 'ok' THEN CASE WHEN op = 'citation_neighborhood' AND entity_id IS NOT NULL THEN 2 ELSE 1 END ELSE -1 END AS graph_depth,
           CASE WHEN status = 'ok' THEN 20 ELSE -1 END AS graph_limit, CASE WHEN status = 'ok' THEN 5 ELSE -1 END AS vector_top_k, CASE WHEN status = 'ok' AND st IN ('vector', 'hybrid') AND paper THEN entity_id END AS paper_filter FROM s""",
-        "sufficiency_gates": f"{judged} SELECT request_id, intent, sufficient, coverage, refinement, needs_model FROM j",
+        "sufficiency_gates": f"{judged} SELECT request_id, intent, CAST(sufficient AS VARCHAR) AS sufficient, coverage, refinement, needs_model FROM j",
         "refinement_bounds": f"""{judged}, n AS (SELECT *, CASE WHEN coalesce(sufficient, false) OR round >= 2 THEN NULL WHEN refinement = 'vector_expansion' AND strategy IN ('vector', 'hybrid') AND {ev('vector_top_k')} > vector_top_k THEN 'vector' WHEN refinement = 'hybrid_expansion' AND strategy = 'hybrid' AND ({ev('vector_top_k')} > vector_top_k OR {ev('graph_limit')} > graph_limit) THEN 'hybrid' WHEN refinement = 'graph_depth_expansion' AND {grow} THEN 'graph' END AS next_strategy, operation = 'citation_neighborhood' AND graph_depth < 2 AS deeper FROM j)
           SELECT request_id, next_strategy, CASE WHEN next_strategy IN ('vector', 'hybrid') THEN {ev('vector_top_k')} ELSE -1 END AS next_vector_top_k, CASE WHEN next_strategy = 'hybrid' OR (next_strategy = 'graph' AND NOT deeper) THEN {ev('graph_limit')} WHEN next_strategy = 'graph' THEN graph_limit ELSE -1 END AS next_graph_limit, CASE WHEN next_strategy = 'graph' THEN graph_depth + CASE WHEN deeper THEN 1 ELSE 0 END ELSE -1 END AS next_graph_depth FROM n""",
         "marker_scan": f"WITH {answers} SELECT answer_id, position, marker, label FROM s",
@@ -269,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
           w AS (SELECT case_id, strategy, count(*) FILTER (rank <= 5) AS within_k FROM items GROUP BY ALL), t AS (SELECT case_id, count(DISTINCT vec_id) AS n FROM targets GROUP BY ALL), j AS (SELECT w.*, coalesce(best, 99) AS best, s.best IS NULL AS no, coalesce(found, 0) AS found, coalesce(gain, 0) AS gain, n, least(5, n, within_k) AS ideal_n FROM w JOIN t USING (case_id) LEFT JOIN s USING (case_id, strategy))
           SELECT case_id, strategy, CAST(best <= 5 AS BIGINT) AS hit, round(CASE WHEN no THEN 0 ELSE 1 / best END, 9) AS reciprocal_rank, round(found / within_k, 9) AS precision, round(found / n, 9) AS recall, round(gain / list_sum(list_transform(range(1, ideal_n + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg FROM j""",
         "structural_metrics": f"""{evaluation}, p AS (SELECT case_id, strategy, avg(CASE WHEN rank % 2 = 1 THEN 1.0 ELSE 0 END) AS rate FROM items GROUP BY ALL), x AS (SELECT p.case_id, p.strategy, rate, t.vec_id, (p.case_id, p.strategy, t.vec_id) IN (SELECT (case_id, strategy, vec_id) FROM matches) AS hit FROM p JOIN targets t USING (case_id))
-          SELECT case_id, strategy, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (vec_id % 2 = 1), 9) AS entity_recall, NULL::DOUBLE AS relationship_recall, NULL::DOUBLE AS exact_path_match, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
+          SELECT case_id, strategy, coalesce(round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (vec_id % 2 = 1), 9), -1) AS entity_recall, -1::DOUBLE AS relationship_recall, -1::DOUBLE AS exact_path_match, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
         "strategy_aggregate": f"WITH {results} SELECT category, strategy, count(*) AS cases, count(*) FILTER (applicable) AS applicable_cases, round(coalesce(avg(hit) FILTER (applicable), 0), 9) AS hit, round(coalesce(avg(recall) FILTER (applicable), 0), 9) AS recall, round(coalesce(avg(reciprocal_rank) FILTER (applicable), 0), 9) AS reciprocal_rank, round(avg(latency_ms), 6) AS latency_mean, round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95 FROM r GROUP BY GROUPING SETS ((strategy), (category, strategy))",
         "latency_percentiles": f"WITH {results} SELECT strategy, category, count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean, " + ", ".join(f"round(quantile_cont(latency_ms, {p}), 6) AS {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " FROM r GROUP BY ALL",
         "case_comparison": f"WITH {results}, c AS (SELECT case_id, coalesce(max(hit) FILTER (strategy = 'vector'), 0) AS v, coalesce(max(hit) FILTER (strategy = 'graph'), 0) AS g, coalesce(max(hit) FILTER (strategy = 'hybrid'), 0) AS h FROM r GROUP BY 1) SELECT case_id, CASE WHEN h > v THEN 'hybrid_beats_vector' WHEN g > v THEN 'graph_beats_vector' WHEN v > g AND v > h THEN 'vector' WHEN v + g + h = 0 THEN 'all_fail' ELSE 'none' END AS comparison FROM c",

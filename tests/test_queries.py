@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -21,7 +22,7 @@ def con(sf):
 
 def shown(frame):
     columns = sorted(frame.columns)
-    value = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    value = lambda v: None if pd.isna(v) else round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return columns, sorted((tuple(value(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=str)
 
 
