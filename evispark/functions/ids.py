@@ -15,8 +15,8 @@ from pyspark.sql.types import StringType
 
 #: Unicode white space as Python's str.split() sees it, for Java patterns.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-#: The namespace of vector point ids.
-POINTS = uuid.NAMESPACE_URL
+# Fixed value: the namespace of vector point ids.
+POINTS = uuid.UUID("6e2f6a3e-6b1e-4b8b-9c1e-3b7b7e9f9a10")
 
 
 def _c(x: Column | str) -> Column:

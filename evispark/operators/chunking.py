@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Settings
-from ..functions.ids import SPACE, chunk_id, fingerprint, strip
+from ..functions.ids import SPACE, chunk_id, strip
+from ..functions.lineage import fingerprint_of
 
 PARAGRAPH, SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
 OVERSIZED = 1.2
-VERSION = "section-aware-1"
+VERSION = "v1"
 
 
 def token_count(text: Column | str) -> Column:
@@ -87,8 +88,8 @@ def packed(text: str, settings: Settings, count: Callable[[str], int] = count_wo
     return done
 
 
-def config_fingerprint(settings: Settings, counter: str = "whitespace", counter_version: str = "1") -> str:
-    return fingerprint({"chunk_size": settings.chunk_size, "overlap": settings.chunk_overlap, "min_tokens": settings.chunk_min_tokens, "tokenizer": counter, "tokenizer_version": counter_version, "version": VERSION})
+def config_fingerprint(settings: Settings, counter: str = "whitespace-v1", counter_version: str | None = None) -> str:
+    return fingerprint_of("chunk_config", chunking_version=VERSION, chunk_size_tokens=settings.chunk_size, chunk_overlap_tokens=settings.chunk_overlap, min_chunk_tokens=settings.chunk_min_tokens, tokenizer_name=counter, tokenizer_version=counter_version)
 
 
 def chunks(sections: DataFrame, settings: Settings, count: Callable[[str], int] = count_words) -> DataFrame:

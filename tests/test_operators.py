@@ -2,6 +2,7 @@
 
 import json
 import random
+import uuid
 from datetime import datetime
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evispark import providers as P
 from evispark.config import BoundError, Settings, bounded
-from evispark.functions import ids
+from evispark.functions import ids, lineage
 from evispark.operators import chunking, control, decisions, evidence, graph_build, graph_paths, metrics, references, text_etl, vectors
 from evispark.sources import artifacts, feed, reports
 from evispark.streaming import ingest
@@ -44,6 +45,14 @@ def test_identity_key_is_exact(spark):
     assert [r[0] for r in rows.select(ids.identity_key("s")).collect()] == [None if s is None else " ".join(unicodedata.normalize("NFKC", s).split()).casefold() for s in odd]
 
 
+def test_generations_agree_on_driver_and_executors(spark):
+    own = lineage.fingerprint_of("vector_generation", chunk_artifact_checksum="ab", embedding_config_fingerprint="cd")
+    assert first(spark, lineage.generation_of("vector_generation", F.lit("ab"), F.lit("cd"))) == own
+    with pytest.raises(ValueError):
+        lineage.fingerprint_of("vector_generation", chunk_artifact_checksum="ab")
+    assert first(spark, ids.point_id(F.lit("chunk:x"))) == str(uuid.uuid5(ids.POINTS, "chunk:x"))
+
+
 def test_fingerprints_keep_separators_apart():
     assert ids.fingerprint({"b": 1, "a": 2}) == ids.fingerprint({"a": 2, "b": 1}) != ids.fingerprint({"a": 2, "b": 1}, compact=False)
     with pytest.raises(ValueError):
