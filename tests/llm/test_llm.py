@@ -424,3 +424,51 @@ def test_materialized_tables_live_in_the_shared_folder(spark):
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
     assert T.LongType() == decontaminate.FIELDS[0].dataType and F is not None
+
+
+# --- the pipeline
+
+
+def test_pipeline_matches_brute_force(spark, sf):
+    """Each stage's effect, made plainly from the one before it."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    duckdb = pytest.importorskip("duckdb")
+    from evispark.llm import sql
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    good = {r[0] for r in con.sql(f"SELECT doc_id FROM ({sql.op2()}) WHERE kept").fetchall()}
+    docs = {r[0]: r[1:] for r in con.sql("SELECT doc_id, text, lang, source, n_chars FROM documents").fetchall() if r[0] in good}
+    folded = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), d[0])) for i, d in docs.items()}
+    sets = {i: Counter(zip(*[w[k:] for k in range(5)])) for i, w in folded.items()}
+    parent = {i: i for i in docs}
+
+    def find(i):
+        return i if parent[i] == i else find(parent[i])
+
+    for n, i in enumerate(sorted(docs)):
+        for j in sorted(docs)[:n]:
+            if len(sets[i].keys() & sets[j].keys()) > 0.5 * max(len(sets[i]), len(sets[j])) and brute_similarity(docs[i][0], docs[j][0]) >= 0.8 - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    docs = {i: d for i, d in docs.items() if find(i) == i}
+    items = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for (t,) in con.sql(f"SELECT text FROM '{sf}/benchmark.parquet'").fetchall()]
+    windows = {tuple(w[k : k + min(13, len(w))]) for w in items for k in range(len(w) - min(13, len(w)) + 1)}
+
+    def contaminated(w):
+        hit = {k + x for size in {len(v) for v in windows} for k in range(len(w) - size + 1) if tuple(w[k : k + size]) in windows for x in range(size)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    docs = {i: d for i, d in docs.items() if not contaminated(folded[i])}
+    docs = {i: (secrets.cut(d[0], [{"kind": k, "start": a, "end": b} for a, k, b in secrets.find(d[0].encode())], "<{kind}>"), *d[1:]) for i, d in docs.items()}
+    con.sql("DROP VIEW documents")
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [(i, *d) for i, d in docs.items()])
+    want = Counter()
+    for i, size, taken in con.sql(f"SELECT doc_id, size, taken FROM ({sql.OP3})").fetchall():
+        for epoch in range(-(-taken // size) if size else 0):
+            n = min(size, taken - epoch * size)
+            text = docs[i][0]
+            want[i, epoch, text if n == size else text[: [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)][n - 1]], *docs[i][1:]] += 1
+    got = Counter((r.doc_id, r.mix_epoch, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == want
