@@ -163,3 +163,26 @@ def chunk_listing(chunks: DataFrame, section_order: DataFrame, *, section_type:
     chunks = chunks if section_type is None else chunks.where(F.col("section_type") == section_type)
     page = chunks.join(section_order.select("section_id", "order"), "section_id").orderBy("order", "chunk_index", "chunk_id").offset(offset).limit(limit)
     return chunks.agg(F.count("*").alias("total")), page
+
+
+def new_versions(asked: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions to insert, conflicts) for asked(paper_id, version, checksum): a stored version with another known checksum conflicts."""
+    have = stored.select("paper_id", "version", F.col("checksum").alias("stored_checksum"))
+    met = asked.join(have, ["paper_id", "version"])
+    differs = F.coalesce(F.col("checksum") != F.col("stored_checksum"), F.lit(False))
+    return asked.join(have, ["paper_id", "version"], "left_anti"), met.where(differs)
+
+
+def stage_results(versions: DataFrame, results: DataFrame) -> DataFrame:
+    """versions with the columns of results(paper_version_id, ...) overwritten where a result is given."""
+    columns = [c for c in results.columns if c != "paper_version_id"]
+    met = versions.join(results.select("paper_version_id", F.struct(*columns).alias("result")), "paper_version_id", "left")
+    return met.select(*[F.when(F.col("result").isNotNull(), F.col(f"result.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in versions.columns])
+
+
+def moved(jobs: DataFrame, target: str, at: datetime) -> DataFrame:
+    """Jobs moved to a status; an illegal move raises. started_at is set once, completed_at at the end."""
+    legal = transition_allowed("status", F.lit(target))
+    status = F.when(legal, F.lit(target)).otherwise(F.raise_error(F.concat(F.lit("illegal move from "), F.col("status"))).cast("string"))
+    ended = F.lit(at) if target == "ready" else F.col("completed_at")
+    return jobs.withColumn("started_at", F.coalesce("started_at", F.lit(at))).withColumn("completed_at", ended).withColumn("status", status)

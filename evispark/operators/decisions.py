@@ -204,3 +204,25 @@ def budgeted(items: DataFrame, most_chars: int, mark: str = "[truncated]", frame
     left = F.lit(most_chars) - F.col("before")
     rows = items.withColumn("before", before).where((F.col("before") < most_chars) & ((F.length("rendered") <= left) | (left > frame + len(mark))))
     return rows.withColumn("truncated", F.length("rendered") > left).withColumn("rendered", F.when(F.col("truncated"), F.concat(F.expr(f"substring(rendered, 1, int({most_chars} - before - {len(mark)}))"), F.lit(mark))).otherwise(F.col("rendered"))).drop("before")
+
+
+def page_range(first: Column, last: Column) -> Column:
+    return F.when(first.isNull(), "").when(last.isNull() | (first == last), F.concat(F.lit("p. "), first.cast("string"))).otherwise(F.concat(F.lit("pp. "), first.cast("string"), F.lit("-"), last.cast("string")))
+
+
+def rendered(items: DataFrame) -> DataFrame:
+    """items(label, evidence_type, text, page_start, page_end, relationship_ids, path_confidence) with the block that a model reads."""
+    head = F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("evidence_type"))
+    pages = page_range(F.col("page_start"), F.col("page_end"))
+    body = F.when(F.col("evidence_type") == "text", F.concat_ws("\n", F.nullif(pages, F.lit("")), F.col("text"))).otherwise(F.concat_ws("\n", F.col("text"), F.concat(F.lit("edges: "), F.array_join("relationship_ids", " -> ")), F.concat(F.lit("confidence: "), F.format_number("path_confidence", 2))))
+    return items.withColumn("rendered", F.concat_ws("\n", head, body))
+
+
+def evidence_summary(items: DataFrame, by: list[str]) -> DataFrame:
+    kind = F.col("evidence_type")
+    return items.groupBy(*by).agg(F.count("*").alias("evidence_count"), F.count_if(kind == "text").alias("text_evidence_count"), F.count_if(kind.isin("graph_relationship", "graph_path")).alias("graph_evidence_count"), F.count_if(kind == "metadata").alias("metadata_evidence_count"))
+
+
+def uncited(context: DataFrame, cited: DataFrame) -> DataFrame:
+    """Labels of an answer's context that no valid marker cites."""
+    return context.join(cited.select("answer_id", "label").distinct(), ["answer_id", "label"], "left_anti")

@@ -96,3 +96,24 @@ def end_to_end_aggregate(results: DataFrame, by: str = "system") -> DataFrame:
 
 def ranked_within(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def planning_accuracy(cases: DataFrame) -> DataFrame:
+    """cases(expected_*, planned_* of intent, strategy, operation and entity_type): the share of each that agrees."""
+    same = lambda n: F.avg(F.col(f"expected_{n}").eqNullSafe(F.col(f"planned_{n}")).cast("double")).alias(f"{n}_accuracy")
+    return cases.agg(*[same(n) for n in ("intent", "strategy", "operation", "entity_type")])
+
+
+def end_to_end_scores(results: DataFrame) -> DataFrame:
+    """results(case_id, system, answer, facts, cited, required_citations, expected_abstention, abstained, expected_disambiguation, disambiguated) with per-case scores.
+
+    A fact counts if the answer holds its text in any case; all facts and all required citations make a case correct.
+    """
+    none = F.array().cast("array<string>")
+    facts = F.coalesce("facts", none)
+    held = F.filter(facts, lambda f: F.contains(F.lower(F.col("answer")), F.lower(f)))
+    missing = F.array_except(F.coalesce("required_citations", none), F.coalesce("cited", none))
+    answerable = ~F.col("expected_abstention") & ~F.col("expected_disambiguation")
+    out = results.withColumn("fact_recall", F.when(F.size(facts) > 0, F.size(held) / F.size(facts))).withColumn("citations_ok", F.size(missing) == 0)
+    correct = F.when(answerable, ~F.col("abstained") & (F.coalesce("fact_recall", F.lit(1.0)) == 1) & F.col("citations_ok")).when(F.col("expected_abstention"), F.col("abstained")).otherwise(F.col("disambiguated"))
+    return out.withColumn("correct", F.coalesce(correct, F.lit(False)))
