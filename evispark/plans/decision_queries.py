@@ -106,7 +106,8 @@ def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     v = vector_queries.vectors(spark, d)
     q = vector_queries.queries_of(spark, d)
     vec = vector_queries.hits(spark, d).select(F.col("query_id").alias("case_id"), F.lit("vector").alias("strategy"), "rank", "chunk_id")
-    near = v.join(q, F.abs(F.col("vec_id") - F.col("query_id")) <= 6).select(F.col("query_id").alias("case_id"), "vec_id", "chunk_id", F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
+    beside = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 6, F.col("query_id") + 6)).alias("vec_id"))
+    near = v.join(beside, "vec_id").select(F.col("query_id").alias("case_id"), "vec_id", "chunk_id", F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
     graph = metrics.ranked_within(near, ["case_id"], [F.col("gap"), F.col("vec_id")]).select("case_id", F.lit("graph").alias("strategy"), "rank", "chunk_id")
     none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
     items = vec.unionByName(graph).withColumn("paper_id", text).withColumn("entity_ids", F.array("chunk_id")).withColumn("relationship_ids", none).withColumn("signature", none)
