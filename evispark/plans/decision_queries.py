@@ -262,6 +262,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT request_id, next_strategy, CASE WHEN next_strategy IN ('vector', 'hybrid') THEN {ev('vector_top_k')} ELSE -1 END AS next_vector_top_k, CASE WHEN next_strategy = 'hybrid' OR (next_strategy = 'graph' AND NOT deeper) THEN {ev('graph_limit')} WHEN next_strategy = 'graph' THEN graph_limit ELSE -1 END AS next_graph_limit, CASE WHEN next_strategy = 'graph' THEN graph_depth + CASE WHEN deeper THEN 1 ELSE 0 END ELSE -1 END AS next_graph_depth FROM n""",
         "marker_scan": f"WITH {answers} SELECT answer_id, position, marker, label FROM s",
         "marker_resolution": f"WITH {resolved} SELECT answer_id, position, marker, reason, coalesce(citation_number, 0) AS citation_number FROM z",
+        "answer_rewrite": f"""WITH {resolved}, n AS (SELECT answer_id, list(CASE WHEN citation_number IS NULL THEN '' ELSE '[' || citation_number || ']' END ORDER BY position) AS nums, count(citation_number) AS good, count(*) - count(citation_number) AS bad FROM z GROUP BY 1)
+          SELECT a.answer_id, trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split_regex(text, '\\[E[^\\]]*\\]'), lambda p, i: p || coalesce(nums[i], '')), ''), '[ \\t]+([,.;:])', '\\1', 'g'), '[\\s\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g')) AS text,
+            CASE WHEN good IS NULL THEN 'no_citations' WHEN good > 0 AND bad > 0 THEN 'partially_valid' WHEN good > 0 THEN 'valid' ELSE 'invalid' END AS validation_status FROM a LEFT JOIN n ON n.answer_id = a.answer_id""",
         "grounding_gates": f"WITH {grounded}, h AS (SELECT request_id, {gate} AS gate FROM g) SELECT request_id, gate, CASE {' '.join(f"WHEN gate = '{k}' THEN '{v}'" for k, v in D.ABSTENTIONS.items())} WHEN gate IS NOT NULL THEN '{D.ABSTENTION}' END AS abstention FROM h",
         "confidence_ladder": f"""WITH {grounded}, b AS (SELECT *, intent IS NULL OR (sufficient AND coverage = 'complete' AND n_missing = 0 AND validation_status = 'valid' AND n_citations > 0 AND NOT gap AND CASE WHEN intent = '{D.SEMANTIC}' THEN sem AND ct WHEN intent = '{D.MIXED}' THEN sem AND str AND ct AND (cg OR cp) WHEN intent IN {_in(D.NEEDS_PATH)} THEN str AND cp ELSE str AND (cg OR cp) END) AS strong, coverage <> 'complete' AS lim, validation_status = 'partially_valid' AS part FROM g),
           c AS (SELECT *, list_filter([CASE WHEN round > 1 THEN 'sufficient_after_refinement' END, CASE WHEN part THEN 'partial_citation_validation' END, CASE WHEN gap THEN 'provenance_incomplete' END, CASE WHEN n_missing > 0 THEN 'missing_information' END, CASE WHEN lim OR NOT strong THEN 'limited_evidence_coverage' END], lambda x: x IS NOT NULL) AS rs FROM b)

@@ -157,6 +157,9 @@ sections AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY part) -
     words = "list_filter(string_split_regex(text, '[\\s\\p{Z}\\x1c-\\x1f]+'), lambda x: x <> '')"
     windows = f"w AS (SELECT doc_id, {words} AS w FROM documents), c AS (SELECT doc_id, unnest(range(0, len(w), 60)) AS i, w FROM w), chunks AS (SELECT doc_id, i // 60 AS chunk_index, array_to_string(w[i + 1:i + 60], ' ') AS text, len(w[i + 1:i + 60]) AS n FROM c)"
     return {
+        "clean_pages": f"""WITH {_PAGES}, r AS (SELECT version, i, regexp_replace(regexp_replace(replace(line, ' ', '  ') || ' ' || chr(9) || chr(13) || chr(10) || chr(10) || ' ' || chr(13) || chr(10) || 'end-' || chr(10) || 'word ', '\\r\\n?', chr(10), 'g'), '([a-z])-\\n([a-z])', '\\1\\2', 'g') AS t FROM p),
+          l AS (SELECT *, string_split(t, chr(10)) AS l FROM r), k AS (SELECT version, i, list_filter(l, lambda x, j: {_STRIP.format('x')} <> '' OR j = 1 OR {_STRIP.format('l[j - 1]')} <> '') AS l FROM l)
+          SELECT version AS paper_version_id, i AS page_number, array_to_string(list_transform(l, lambda x: {_STRIP.format("regexp_replace(x, '[ \\t]+', ' ', 'g')")}), chr(10)) AS text FROM k""",
         "line_keys": f"WITH {_PAGES} SELECT version AS paper_version_id, i AS page_number, {key} AS key FROM p",
         "header_footer_detect": f"WITH {_PAGES}, {found} SELECT version AS paper_version_id, place, key, n FROM found",
         "header_footer_remove": f"""WITH {_PAGES}, {found}, h AS (SELECT version, max(key) FILTER (place = 'header') AS header, max(key) FILTER (place = 'footer') AS footer FROM found GROUP BY 1)
