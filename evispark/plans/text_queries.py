@@ -80,7 +80,7 @@ def sections_of_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def packed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(sections_of_documents(spark, d), SMALL).select("chunk_id", "section_id", "chunk_index", "token_count", "text")
+    return chunking.chunks(sections_of_documents(spark, d), SMALL).select("chunk_id", "section_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"), "text")
 
 
 def chunk_diagnostics(spark: SparkSession, d: str) -> DataFrame:
@@ -172,6 +172,17 @@ sections AS (SELECT *, row_number() OVER (PARTITION BY version ORDER BY part) -
         "token_counts": f"SELECT doc_id, len({words}) AS tokens FROM documents",
         "word_chunks": f"WITH {windows} SELECT doc_id, chunk_index, text, 'chunk:' || {_hash('doc_id', "'s'", 'chunk_index', "'f'")} AS chunk_id FROM chunks",
         "chunk_diagnostics": f"WITH {windows} SELECT doc_id, count(*) AS chunk_count, min(n) AS min_tokens, max(n) AS max_tokens, round(avg(n), 6) AS average_tokens, median(n) AS median_tokens, count(*) FILTER (n < 10) AS small_chunk_count, count(*) FILTER (n > 72) AS oversized_chunk_count FROM chunks GROUP BY doc_id",
+        "packed_chunks": f"""WITH RECURSIVE w AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text, string_split(text, chr(10)) AS ps FROM documents),
+          ps AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM w), ss AS (SELECT doc_id, i, unnest(CASE WHEN len({words.replace("text", "p")}) <= 60 THEN [p] ELSE string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END) AS s, generate_subscripts(CASE WHEN len({words.replace("text", "p")}) <= 60 THEN [p] ELSE string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END, 1) AS j FROM ps),
+          sw AS (SELECT doc_id, i, j, s, {words.replace("text", "s")} AS v FROM ss), us AS (SELECT doc_id, i, j, unnest(CASE WHEN len(v) <= 60 THEN [0] ELSE range(0, len(v), 60) END) AS k, s, v FROM sw WHERE len(v) > 0),
+          units AS (SELECT doc_id, list({{'u': CASE WHEN len(v) <= 60 THEN {_STRIP.format('s')} ELSE array_to_string(v[k + 1:k + 60], ' ') END, 'n': least(len(v) - k, 60)}} ORDER BY i, j, k) AS us FROM us GROUP BY doc_id),
+          pack AS (SELECT doc_id, us, 0 AS k, us[1:0] AS held, CAST([] AS VARCHAR[]) AS done FROM units
+            UNION ALL SELECT doc_id, us, k + 1, list_append(CASE WHEN overflow THEN list_filter(held, lambda x, m: list_sum(list_transform(held[m:], lambda y: y.n)) <= 12) ELSE held END, us[k + 1]), CASE WHEN overflow THEN list_append(done, array_to_string(list_transform(held, lambda y: y.u), ' ')) ELSE done END
+            FROM (SELECT *, len(held) > 0 AND coalesce(list_sum(list_transform(held, lambda y: y.n)), 0) + us[k + 1].n > 60 AS overflow FROM pack WHERE k < len(us))),
+          ends AS (SELECT doc_id, list_append(done, array_to_string(list_transform(held, lambda y: y.u), ' ')) AS c FROM pack WHERE k = len(us)),
+          tails AS (SELECT doc_id, CASE WHEN len(c) > 1 AND len(list_filter(string_split_regex(c[-1], '[\\s\\p{{Z}}\\x1c-\\x1f]+'), lambda x: x <> '')) < 10 THEN list_append(c[:len(c) - 2], c[-2] || chr(10) || chr(10) || c[-1]) ELSE c END AS c FROM ends),
+          all_chunks AS (SELECT w.doc_id, unnest(CASE WHEN len({words.replace("text", "w.text")}) <= 60 THEN [{_STRIP.format('w.text')}] ELSE c END) AS text, generate_subscripts(CASE WHEN len({words.replace("text", "w.text")}) <= 60 THEN [{_STRIP.format('w.text')}] ELSE c END, 1) - 1 AS chunk_index FROM w LEFT JOIN tails ON tails.doc_id = w.doc_id)
+          SELECT 'chunk:' || {_hash("'paper-version:doc:' || doc_id || ':v1'", "'section:' || doc_id", 'chunk_index', f"'{chunking.config_fingerprint(SMALL)}'")} AS chunk_id, 'section:' || doc_id AS section_id, chunk_index, len({words}) AS token_count, text FROM all_chunks WHERE text <> ''""",
         "reference_split": f"""WITH e AS (SELECT doc_id, list_filter(list_transform(CASE WHEN doc_id % 2 = 1 AND len(string_split(text, chr(10))) < 2 THEN ['preface ' || '[1] ' || ({text})[1]] ELSE {text} END, lambda x: {spaced.format('x')}), lambda x: x <> '') AS l FROM documents),
           u AS (SELECT CAST(doc_id AS VARCHAR) AS paper_version_id, unnest(l) AS entry, generate_subscripts(l, 1) - 1 AS position FROM e), i AS (SELECT *, nullif(regexp_replace(regexp_extract(entry, '(?i)(?:arxiv\\s*:\\s*)?(\\d{{4}}\\.\\d{{4,5}}(?:v\\d+)?|[a-z\\-]+(?:\\.[A-Z]{{2}})?/\\d{{7}}(?:v\\d+)?)', 1), '(?i)v\\d+$', ''), '') AS cited FROM u)
           SELECT paper_version_id, position, 'paper:arxiv:' || cited AS target_paper_id, CASE WHEN cited IS NULL THEN entry[1:300] END AS unresolved_text FROM i""",
