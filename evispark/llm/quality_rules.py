@@ -8,7 +8,7 @@ way to the language's merged sketch, and that one to the whole corpus's.
 A document passes if it isn't failed by the fixed base rules and each metric lies within its group's fences,
 q75 + `reach` * max(q75 - q25, slack), and for the mean word length also above q25 - the same.
 
-Plan: one scan of the texts without a shuffle, whose narrow rows are written once; partial aggregation sums bins
+Plan: scans of the texts without a shuffle, of which narrow rows alone are written; partial aggregation sums bins
 before the shuffle, so a hot group moves bins, not rows; thresholds are broadcast while their count is within
 `broadcast_groups`, else joined.
 
@@ -121,17 +121,13 @@ def thresholds(bins: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) ->
     return out.groupBy("g_lang", "g_source").agg(*[one(m, "high") for m in METRICS], *[one(m, "low") for m, (_, low) in METRICS.items() if low])
 
 
-def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """The `keep` columns (language and source among them), then counts, base_failed and kept under the ADDED prefix.
-
-    Narrow `keep` columns are best: these rows are written to the shared folder before the filter.
-    """
-    rows = materialize(measured(docs, list(dict.fromkeys([*keep, lang_col, source_col])), text_col), "quality-rules")
-    return verdicts(rows, keep, lang_col, source_col, min_docs, reach, broadcast_groups)
+def limits_of(rows: DataFrame, lang_col: str, source_col: str, min_docs: int, reach: int) -> DataFrame:
+    """The fences of each group of measured rows."""
+    return materialize(thresholds(sketches(rows, lang_col, source_col), min_docs, reach), "quality-limits")
 
 
-def verdicts(rows: DataFrame, keep: list[str], lang_col: str, source_col: str, min_docs: int, reach: int, broadcast_groups: int) -> DataFrame:
-    limits = materialize(thresholds(sketches(rows, lang_col, source_col), min_docs, reach), "quality-limits")
+def verdicts(rows: DataFrame, limits: DataFrame, keep: list[str], lang_col: str, source_col: str, broadcast_groups: int) -> DataFrame:
+    """Measured rows met with their group's fences: the `keep` columns, counts, base_failed and kept."""
     few = limits.limit(broadcast_groups + 1).count() <= broadcast_groups
     same = F.col(f"`{lang_col}`").eqNullSafe(F.col("g_lang")) & F.col(f"`{source_col}`").eqNullSafe(F.col("g_source"))
     met = rows.join(F.broadcast(limits) if few else limits, same, "left")
@@ -144,6 +140,15 @@ def verdicts(rows: DataFrame, keep: list[str], lang_col: str, source_col: str, m
     return met.select(*[F.col(f"`{c}`") for c in keep], *added, (~F.col(ADDED + "base_failed") & F.coalesce(inside, F.lit(False))).alias(ADDED + "kept"))
 
 
-def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judged(docs, docs.columns, **how).where(F.col(ADDED + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """The `keep` columns, which should be narrow, then counts, base_failed and kept under the ADDED prefix: one scan, whose rows are written."""
+    rows = materialize(measured(docs, list(dict.fromkeys([*keep, lang_col, source_col])), text_col), "quality-rules")
+    return verdicts(rows, limits_of(rows, lang_col, source_col, min_docs, reach), keep, lang_col, source_col, broadcast_groups)
+
+
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """The documents that pass, with their own columns: a second scan measures again, so that no text is written in between."""
+    rows = materialize(measured(docs, [lang_col, source_col], text_col), "quality-rules")
+    limits = limits_of(rows, lang_col, source_col, min_docs, reach)
+    out = verdicts(measured(docs, docs.columns, text_col), limits, docs.columns, lang_col, source_col, broadcast_groups)
+    return out.where(F.col(ADDED + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

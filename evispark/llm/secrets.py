@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ADDED, each_text, field, scan_texts
+from .common import each_text, scan_texts
 
 MIN_COST, MIN_VALUE = 9.0, 8
 KINDS = ("assign", "access", "hex", "guess")

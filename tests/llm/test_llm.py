@@ -472,3 +472,9 @@ def test_pipeline_matches_brute_force(spark, sf):
             want[i, epoch, text if n == size else text[: [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)][n - 1]], *docs[i][1:]] += 1
     got = Counter((r.doc_id, r.mix_epoch, r.text, r.lang, r.source, r.n_chars) for r in corpus_pipeline.run(spark, sf).collect())
     assert got == want
+
+
+def test_text_scans_do_not_shuffle(spark, sf):
+    for name in ("op1_decontaminate", "op8_secrets", "op9_token_counts"):
+        plan = queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "struct<doc_id:bigint,text:string>" in plan
