@@ -3,7 +3,8 @@
 Base spans: `assign` (a credential word, an assignment sign and a value of 6 characters or more), `access` (AKIA and
 capitals or digits, 20 or more), `hex` (24 lower-case hexadecimal digits or more); per kind leftmost matches that
 don't overlap, whole matches as code point spans. The method adds `guess` spans: values after a wider set of
-credential words whose guess cost is at least 10**MIN_COST, where no base span is.
+credential words whose guess cost, taken over the whole value, is at least 10**MIN_COST; where base spans cover a part
+of the value, the other parts are spans.
 
 Guess cost: the least sum, over all segmentations of the value, of the log10 costs of its spans: common words (by
 rank, any case), dates and years, repeats of the last 1 to 4 characters, keyboard walks, and brute force by
@@ -127,11 +128,23 @@ def find(text: bytes) -> list[tuple[int, str, int]]:
         for m in CONTEXT.finditer(body):
             a, b = m.span(1)
             b -= len(m[1]) - len(m[1].rstrip(".!?)]}"))
-            if b - a >= MIN_VALUE and not any(x < b and a < y for x, y in base) and likely(body[a:b]):
-                spans.append((a, "guess", b))
+            if b - a >= MIN_VALUE and (parts := outside(a, b, base)) and likely(body[a:b]):
+                spans += [(x, "guess", y) for x, y in parts]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a stretch that no one of the sorted spans covers."""
+    parts = []
+    for x, y in spans:
+        if x >= b:
+            break
+        if a < x:
+            parts.append((a, x))
+        a = max(a, y)
+    return [*parts, (a, b)] if a < b else parts
+
+
 def likely(value: str) -> bool:
     """Whether a value looks chosen to be hard to guess: it isn't all letters, and its guess cost is high."""
     return not value.isalpha() and guess_cost(value) >= MIN_COST

@@ -327,6 +327,14 @@ def test_secret_spans_match_brute_force():
         assert all(not (a < y and x < b) for a, k, b in spans if k == "guess" for x, j, y in spans if j != "guess")
 
 
+def test_values_that_base_spans_cover_in_part():
+    text = "password: Tr0ub4dor&3$xyz!9 then token=x9K!pq2Zw7#Lm_" + "deadbeef" * 3 + "%Q4 and secret: abcdef123456"
+    got = [(k, text[a:b]) for a, k, b in secrets.find(text.encode())]
+    assert got == [("assign", "password: Tr0ub4dor"), ("guess", "&3$xyz!9"), ("guess", "x9K!pq2Zw7#Lm_"), ("hex", "deadbeef" * 3), ("guess", "%Q4"), ("assign", "secret: abcdef123456")]
+    spans = [{"kind": k, "start": a, "end": b} for a, k, b in secrets.find(text.encode())]
+    assert secrets.cut(text, spans, "<{kind}>") == "<assign><guess> then token=<guess><hex><guess> and <assign>"
+
+
 def test_guess_costs_order_values():
     cost = secrets.guess_cost
     assert cost("password") < cost("password1990") < cost("xk3-Qz81vB")
