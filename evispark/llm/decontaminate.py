@@ -5,7 +5,8 @@ benchmark gives its windows of `n` consecutive words; an item of fewer words, bu
 Window hashes find candidates; every candidate is confirmed by comparing its words.
 
 Plan: while the benchmark's text is within `broadcast_bytes`, its windows are broadcast and the documents are
-scanned once, with no shuffle. A larger benchmark goes through an equi-join on window digests.
+scanned once, with no shuffle. A larger benchmark goes through an equi-join on windows;
+runs of hit words become code point spans in a scan of the texts that have hits.
 
 Defined cases: null and empty texts have no words (0 hits, not contaminated); null item texts have no windows;
 repeated items count once an id; repeated document rows give a row each; a null item_id takes no part; an empty
@@ -14,12 +15,15 @@ benchmark hits nothing; other columns, whatever their names, are ignored or pass
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ADDED, field, materialize, runs, scan_texts, utf8
+from .common import ADDED, SPANS, bounded_batches, each_text, field, materialize, runs, scan_texts, utf8
 
 N, BROADCAST_BYTES, CHUNK = 13, 32 << 20, 2 << 20
 #: One byte to one: word bytes lower-cased, everything else 0.
@@ -29,6 +33,7 @@ _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.ui
 _A, _B, _C, _P = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x100000001B3))
 
 FIELDS = [field("n_words", "long"), field("n_hit", "long"), field("items", "array<string>"), field("spans", "spans")]
+ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -163,7 +168,7 @@ def _kernel(index: WindowIndex):
             items += [sorted(its[d]) if d in its else [] for d in range(b - a)]
             spans += [code_points(part[own[d] : own[d + 1]].tobytes(), sp[d]) if d in sp else [] for d in range(b - a)]
         none = [np.zeros(0, np.int64)]
-        return [pa.array(np.concatenate(n_words or none), pa.int64()), pa.array(np.concatenate(n_hit or none), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+        return [pa.array(np.concatenate(n_words or none), pa.int64()), pa.array(np.concatenate(n_hit or none), pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, ARROW_SPANS)]
 
     return kernel
 
@@ -203,12 +208,32 @@ def scan_joined(docs: DataFrame, items: DataFrame, keep: list[str], *, text_col:
         found = met if found is None else found.unionByName(met)
     empty = F.array().cast("array<string>")
     if found is None:
-        hits = split.select("uid", F.lit(0).cast("long").alias("n_hit"), empty.alias("items")).limit(0)
+        hits = split.select("uid", F.lit(0).cast("long").alias("n_hit"), empty.alias("items"), F.array().cast(SPANS).alias("spans")).limit(0)
     else:
-        spots = found.select("uid", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("p")).distinct().groupBy("uid").agg(F.count("*").alias("n_hit"))
-        hits = spots.join(found.select("uid", "item").distinct().groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items")), "uid")
+        spots = found.select("uid", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("p")).distinct()
+        spots = spots.withColumn("run", F.col("p") - F.row_number().over(Window.partitionBy("uid").orderBy("p")))
+        stretches = spots.groupBy("uid", "run").agg(F.min("p").cast("long").alias("start"), (F.max("p") + 1).cast("long").alias("end"))
+        stretches = stretches.groupBy("uid").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        hits = located(rows.select("uid", "text").join(stretches, "uid"))
+        hits = hits.join(found.select("uid", "item").distinct().groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items")), "uid")
     out = rows.join(split.select("uid", F.size("w").cast("long").alias("n_words")), "uid").join(hits, "uid", "left")
-    return out.select("kept.*", F.col("n_words").alias(ADDED + "n_words"), F.coalesce("n_hit", F.lit(0)).alias(ADDED + "n_hit"), F.coalesce("items", empty).alias(ADDED + "items"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias(ADDED + "spans"))
+    return out.select("kept.*", F.col("n_words").alias(ADDED + "n_words"), F.coalesce("n_hit", F.lit(0)).alias(ADDED + "n_hit"), F.coalesce("items", empty).alias(ADDED + "items"), F.coalesce("spans", F.array().cast(SPANS)).alias(ADDED + "spans"))
+
+
+def located(hits: DataFrame) -> DataFrame:
+    """uid, n_hit, and the spans of hit words as spans of code points."""
+    bounded_batches(hits.sparkSession)
+    source = hits.select("uid", "n_hit", "spans", "text")
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for text, own in zip(each_text(batch.column(3)), batch.column(2).to_pylist()):
+                _, starts, ends, _ = word_bounds(np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64))
+                spans.append(code_points(text, [(int(starts[s["start"]]), int(ends[s["end"] - 1])) for s in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, ARROW_SPANS)], names=["uid", "n_hit", "spans"])
+
+    return source.mapInArrow(locate, T.StructType([T.StructField("uid", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS)]))
 
 
 def contaminated(hit="n_hit", words="n_words", share: int = 20):

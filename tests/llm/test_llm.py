@@ -109,6 +109,18 @@ def test_decontamination_matches_brute_force(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} & {1, 2, 3} == set()
 
 
+def test_spans_do_not_depend_on_the_benchmark_s_size(spark):
+    items = [(1, words(40, 1, 30)), (3, "only THREE words"), (6, "É ß-x")]
+    docs = [(0, "\U0001F600é, " + words(40, 1, 30).upper() + " -- zz Only three, words!"), (1, "x only-three,WORDS y " * 3), (2, None), (3, "é É ß x \U0001F600 É-ß x"), (4, ""), (4, "none")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    key = lambda r: str(tuple(r))
+    few, many = (sorted(decontaminate.scan(d, b, ["doc_id"], broadcast_bytes=n).collect(), key=key) for n in (1 << 20, 0))
+    assert few == many and all(r[4] is not None for r in many)
+    few, many = (sorted(decontaminate.remove_spans(d, b, broadcast_bytes=n).collect(), key=key) for n in (1 << 20, 0))
+    assert few == many and {r.text for r in many if r.doc_id == 0} == {"\U0001F600é,  -- zz !"}
+    assert all(r[4] == [] for r in decontaminate.scan(d, b.limit(0), ["doc_id"], broadcast_bytes=-1).collect())
+
+
 # --- 2: quality rules
 
 
