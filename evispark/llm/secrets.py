@@ -24,6 +24,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,13 +46,14 @@ CONTEXT_NEEDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HEX_OR_SPACE = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 
-#: Frequent password words, most frequent first.
+#: Frequent password words, most frequent first; the words of WORD_FILE come after them.
 WORDS = """password secret token admin welcome login letmein master dragon monkey qwerty shadow sunshine princess
 football baseball michael jordan superman batman trustno iloveyou hello freedom whatever ninja mustang access
 flower hottie loveme starwars passw0rd computer internet service test example changeme default root user guest
 demo sample placeholder private public server system database summer winter spring autumn monday friday january
 february march april june july august september october november december the and for with this that from your
 our have not are was one all you""".split()
+WORD_FILE = Path(__file__).with_name("words.txt")
 #: The rows of the common keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -69,9 +71,14 @@ def _neighbours() -> dict[str, str]:
     return {k: "".join(sorted(v)) for k, v in near.items()}
 
 
+def _ranked() -> dict[str, float]:
+    listed = [w for w in WORD_FILE.read_text("utf-8").split("\n") if w and w[0] != "#"]
+    return {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *listed]))}
+
+
 NEAR = _neighbours()
-RANK = {w: math.log10(k + 2) for k, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+RANK = _ranked()
+LONGEST = max(map(len, RANK))
 WALK_START, WALK_STEP, REPEAT_START, REPEAT_STEP, PERIODS = math.log10(len(NEAR)) + 0.5, 0.35, 0.7, 0.01, (1, 2, 3, 4)
 
 
@@ -146,8 +153,8 @@ def outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int
 
 
 def likely(value: str) -> bool:
-    """Whether a value looks chosen to be hard to guess: it isn't all letters, and its guess cost is high."""
-    return not value.isalpha() and guess_cost(value) >= MIN_COST
+    """Whether a value looks chosen to be hard to guess."""
+    return guess_cost(value) >= MIN_COST
 
 
 SPAN_LIST = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))

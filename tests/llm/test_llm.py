@@ -355,6 +355,13 @@ def test_guess_costs_order_values():
     assert secrets.guess_cost("0123456789" * 20_000) > 0  # linear in the length
 
 
+def test_letters_alone_can_be_a_secret():
+    for context in ("pwd: ", "auth=", "login is ", "pass: ", "credentials: "):
+        assert secrets.find((context + "qWkzTnvBxRpLmJhYdSgc").encode()) == [(len(context), "guess", len(context) + 20)]
+        for word in ("authentication", "incorrect", "unbelievably", "Confidentiality", "management", "misunderstood"):
+            assert secrets.find((context + word).encode()) == []
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "a token = abcdef12345 b", "x"), (2, None, None), (3, "é password:hunter22 " + "deadbeef" * 4, "y")], "doc_id long, text string, spans string")
     assert {r.doc_id: r.text for r in secrets.redact(rows).collect()} == {1: "a <assign> b", 2: None, 3: "é <assign> <hex>"}
