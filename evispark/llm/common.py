@@ -69,6 +69,19 @@ def discard() -> None:
             return
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again; and let the shuffles of what is gone be deleted."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            for spark, path in [x for x in _written if f"/{x[1].rsplit('/', 1)[1]}/" in file]:
+                _written.remove((spark, path))
+                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to what the kernels' memory is planned for; never raise them."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -1,22 +1,24 @@
 """A hidden Markov language model over whole corpora, and its unigram base.
 
 Tokens are the white-space words of the text, A-Z lower-cased, then one end token. Training tokens are counted over
-all training documents. The `head` most frequent tokens, and the end, are symbols of their own; every other token,
-unseen ones too, belongs to one of `bins` symbols by its hash, and within a bin has the probability
-(c + 0.1) / (n + 0.1 * (v + 1)), c its count, n and v the bin's tokens and distinct tokens in training: what
-remains is the share of unseen ones. P(token | state) = P(symbol | state) * P(token | symbol), so the second factor
-is independent of the states. `states` latent states are trained by `rounds` of Baum-Welch over all training
-documents: each partition sends expected counts, symbol by symbol, which are summed by key. The scaled forward
-recursion then gives each text's exact likelihood, log10 P = sum of log10 scales + sum of log10 P(token | symbol).
-
-Plan: the training texts are written once as symbols, two bytes a token, for the rounds to read. Counts are combined
-in each task before their shuffle; only the head (bounded by `head`) and the bins are broadcast, the full vocabulary never is. The scoring scan resolves head tokens in place and writes each text's
-tail tokens with their counts; only these meet the vocabulary in an equi-join, summed by text and token before.
+all training documents, and each has its own emissions; all unseen tokens share one symbol. `states` latent states are
+trained by `rounds` of Baum-Welch over all training documents. With E the expected counts of a round, C(k) their sum
+over a state's tokens, c a token's count (0 of the unseen one), N and V the training tokens and distinct ones, and
+W = N + 0.1 * (V + 1), P(token | k) is proportional to
+E(token, k) + 0.1 * C(k) / N + (c + 0.1) / W * (PRIOR_TOKENS + PRIOR_SHARE * C(k)).
+The scaled forward recursion then gives each text's exact likelihood, log10 P = sum of log10 scales.
+
+Plan: only the `head` most frequent tokens' emissions are broadcast; those of all others are a table. This is a matter
+of speed: results don't depend on `head`. Texts are written as symbols in blocks of about PACK tokens, with each
+block's distinct other tokens. In every round those that several blocks hold meet the table in an equi-join, go to
+their block, and the block sends its expected counts back, which are summed by token; those of one block alone stay
+with it until the last round. Scoring joins all tokens once. Counts of tokens are combined
+in each task before their shuffle.
 Documents run through the recursion side by side, longest first, so that a step handles all texts that reach it.
 
 Defined cases: null and empty texts have one token, the end; a null id is a training document (its crc32 is null);
-repeated rows count and are scored each; no training documents: N and V are 0 and the model is uniform over its
-symbols; other columns are unread.
+repeated rows count and are scored each; no training documents: N and V are 0 and every token has
+probability 1, as in the base; other columns are unread.
 """
 
 from __future__ import annotations
@@ -24,17 +26,18 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, each_text, field, give_back, materialize, part_of, scan_texts
+from .common import bounded_batches, drop, each_text, give_back, materialize, part_of
 
-HEAD, BINS, STATES, ROUNDS, SEED = 60_000, 1024, 8, 3, 11
+HEAD, STATES, ROUNDS, SEED = 60_000, 8, 3, 11
 #: The first model: states last, and their emissions differ by chance by up to this share.
 STAY, NOISE = 0.98, 0.9
 #: Expected counts travel as whole numbers of this fraction: their sums are exact in any order.
@@ -43,18 +46,27 @@ PARTS = 1 << 16
 ADD, SMOOTH, SMOOTH_MOVE = 0.1, 0.1, 1.0
 #: A state's emissions are drawn to the symbols' frequencies by so many tokens, and this share of its own.
 PRIOR_TOKENS, PRIOR_SHARE = 15_000, 0.02
+#: A token's id: its first block, and its number there in so many bits, more than a block and one batch of bytes have tokens.
+LOCAL_BITS = 24
 END = b"\n"  # no word holds it
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct tokens that a counting task holds before it sends them on; tokens that go through the recursion at once.
 FLUSH, PACK = 300_000, 1_500_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*text.translate(LOWER).split(), END]
+def written(df: DataFrame, label: str) -> DataFrame:
+    """materialize(), after which Spark deletes the shuffles that the write alone needed."""
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(CLEANUP, before)
 
 
-def bin_of(token: bytes, bins: int) -> int:
-    return zlib.crc32(token) % bins
+def tokens_of(text: bytes) -> list[bytes]:
+    return [*text.translate(LOWER).split(), END]
 
 
 def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
@@ -96,7 +108,7 @@ class Symbols(dict):
 class Model:
     head: dict[bytes, int]  # token -> symbol
     counts: np.ndarray  # of head symbols
-    bins: int
+    bins: int  # symbols of tokens outside the head: one, of the unseen, here
     bin_tokens: np.ndarray
     bin_types: np.ndarray
     total: int
@@ -104,6 +116,7 @@ class Model:
     start: np.ndarray  # (states,)
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (symbols, states)
+    rates: tuple = ()  # of the emissions of all other tokens
 
     def __post_init__(self) -> None:
         self.emit32 = self.emit.astype(np.float32)
@@ -180,146 +193,291 @@ def expected(model: Model, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.nda
     return starts, moves, by
 
 
-def packs(texts: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Texts' symbols in lots of about PACK."""
-    held, n = [], 0
-    for symbols in texts:
-        held.append(symbols)
-        n += len(symbols)
-        if n >= PACK:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+def first_counts(marks: np.ndarray, seen: np.ndarray, states: int, seed: int) -> np.ndarray:
+    """What the first model takes for expected counts, in PARTS; each token's chance comes from its own hash, its mark."""
+    x = (marks.astype(np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    chance = (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return np.rint((1 - NOISE + 2 * NOISE * chance) * np.asarray(seen)[:, None] / states * PARTS).astype(np.int64)
+
+
+def marks_of(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
+
 
+def rates(totals: np.ndarray, n: int, types: int, prior: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat, share, whole) by state: a token's emission is (expected + flat + (count + SMOOTH) * share) / whole."""
+    if not n:
+        return np.zeros(len(totals)), np.full(len(totals), 1 / SMOOTH), np.ones(len(totals))
+    flat, mass = SMOOTH * totals / n, n + SMOOTH * (types + 1)
+    share = (PRIOR_TOKENS + PRIOR_SHARE * totals) / mass if prior else np.zeros(len(totals))
+    return flat, share, totals + flat * (types + 1) + share * mass
 
-def first_model(counts: DataFrame, head: int, bins: int, states: int, seed: int) -> Model:
-    """Head, bins and totals from the counted vocabulary; emissions near the symbols' frequencies, states apart by chance."""
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(head).collect()
+
+def per_state(states: int, kind: T.DataType, prefix: str) -> list[T.StructField]:
+    return [T.StructField(f"{prefix}{k}", kind) for k in range(states)]
+
+
+def first_model(counts: DataFrame, head: int, states: int) -> Model:
+    """Head, totals, starts and moves from the counted vocabulary; emissions are to come."""
+    words = counts.where(F.col("token") != F.lit(END))
+    top = words.orderBy(F.desc("c"), "token").limit(head).collect()
     ends = counts.where(F.col("token") == F.lit(END)).collect()
     names = {bytes(r.token): k for k, r in enumerate(top)}
     names[END] = len(names)
     seen = np.array([r.c for r in top] + [ends[0].c if ends else 0], np.int64)
-    totals = counts.groupBy(F.pmod(F.crc32("token"), F.lit(bins)).alias("bin")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    bin_tokens, bin_types = np.zeros(bins, np.int64), np.zeros(bins, np.int64)
-    for r in totals:
-        bin_tokens[r.bin], bin_types[r.bin] = r.c, r.v
-    total, types = int(bin_tokens.sum()), int(bin_types.sum())
-    for token, k in names.items():
-        if seen[k]:
-            bin_tokens[bin_of(token, bins)] -= seen[k]
-            bin_types[bin_of(token, bins)] -= 1
-    weights = np.concatenate((seen, bin_tokens)) + SMOOTH
-    rng = np.random.default_rng(seed)
-    emit = weights[:, None] * rng.uniform(1 - NOISE, 1 + NOISE, (len(weights), states))
+    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     move = np.full((states, states), (1 - STAY) / max(1, states - 1)) + np.eye(states) * STAY
-    return Model(names, seen, bins, bin_tokens, bin_types, total, types, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    tail_types = types - int((seen > 0).sum())
+    return Model(names, seen, 1, np.array([total - int(seen.sum())]), np.array([tail_types]), total, types, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), np.zeros((len(names) + 1, states)))
+
+
+def first_table(ids: DataFrame, model: Model, seed: int) -> tuple[Model, DataFrame]:
+    """The model with its first emissions; and those of the other tokens: key, n and counts, and whether blocks share the token."""
+    states, shift = len(model.start), len(model.head) + 1
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *per_state(states, T.LongType(), "s"), T.StructField("shared", T.BooleanType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id_, c, mark, shared = batch.columns
+            made = counted(id_.to_numpy() + shift, c.to_numpy(), first_counts(mark.to_numpy(), c.to_numpy(), states, seed))
+            yield pa.RecordBatch.from_arrays([*made.columns, shared], names=schema.names)
 
+    table = written(ids.select("id", "c", F.crc32("token").alias("mark"), "shared").mapInArrow(draw, schema), "lm-first")
+    own = first_counts(marks_of(list(model.head)), model.counts, states, seed)
+    return with_emissions(model, own / PARTS, (own.sum(axis=0) + sums(table, states)) / PARTS, prior=False), table
 
-def trained(docs: DataFrame, text_col: str, model: Model, rounds: int) -> Model:
-    """Baum-Welch over all rows of docs; symbol -1 - k carries row k of the moves, and the last one the starts."""
-    spark, states = docs.sparkSession, len(model.start)
-    names = spark.sparkContext.broadcast(model)
 
-    def encode():
-        return lambda col: [pa.array([names.value.symbols(tokens_of(t)).tobytes() for t in each_text(col)], pa.binary())]
+def counted(key: np.ndarray, n: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    columns = [np.ascontiguousarray(rows[:, k]) for k in range(rows.shape[1])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, *columns)], names=["key", "n", *[f"s{k}" for k in range(len(columns))]])
 
-    source = materialize(scan_texts(docs, text_col, [], [field("symbols", "binary")], encode, prefix=""), "lm-symbols")
-    schema = T.StructType([T.StructField("symbol", T.LongType()), *[T.StructField(f"s{k}", T.LongType()) for k in range(states)]])
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+
+def sums(table: DataFrame, states: int) -> np.ndarray:
+    row = table.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(states)]).first()
+    return np.array(list(row), np.int64)
+
+
+def with_emissions(model: Model, expected_head: np.ndarray, totals: np.ndarray, prior: bool) -> Model:
+    """The model with new emissions of its head and of the unseen symbol, and the rates of all others."""
+    flat, share, whole = by_state = rates(totals, model.total, model.types, prior)
+    seen = np.concatenate((model.counts, [0]))
+    rows = np.concatenate((expected_head, np.zeros((1, len(totals)))))
+    return replace(model, emit=(rows + flat + (seen[:, None] + SMOOTH) * share) / whole, rates=by_state)
+
+
+def blocks(docs: DataFrame, text_col: str, keep: list[str], model: Model, label: str) -> DataFrame:
+    """A row a text, written: the `keep` columns (k_), its block, its symbols, the block's numbers of its tokens outside the head in their order, and (at, tokens, marks) of those that the block meets first in this row's batch, on the batch's first row."""
+    bounded_batches(docs.sparkSession)
+    names = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(f"`{text_col}`").cast("string").alias("text"))
+    added = [T.StructField("block", T.LongType()), T.StructField("symbols", T.BinaryType()), T.StructField("own", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.BinaryType())), T.StructField("marks", T.BinaryType())]
+    schema = T.StructType([*source.schema.fields[:-1], *added])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block, held = names.value, TaskContext.get().partitionId() << 16, 0
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            if held >= PACK:
+                block, held, known = block + 1, 0, {}
+            at, symbols, numbers = len(known), [], []
+            for text in each_text(batch.column(batch.num_columns - 1)):
+                tokens = tokens_of(text)
+                held += len(tokens)
+                symbols.append(own.symbols(tokens).tobytes())
+                numbers.append(np.array([known.setdefault(t, len(known)) for t in tokens if t not in own.head], np.int32).tobytes())
+            n = len(symbols)
+            new = list(known)[at:]
+            fresh, marks = ([x] + [None] * (n - 1) if n else [] for x in (new, marks_of(new).tobytes()))
+            made = [pa.array(np.full(n, block, np.int64)), pa.array(symbols, pa.binary()), pa.array(numbers, pa.binary()), pa.array(np.full(n, at, np.int32)), pa.array(fresh, pa.list_(pa.binary())), pa.array(marks, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+        give_back()
+
+    return written(source.mapInArrow(encode, schema), label)
+
+
+def each_token(rows: DataFrame) -> DataFrame:
+    each = rows.where("tokens is not null").select("block", "at", F.posexplode("tokens").alias("pos", "token"))
+    return each.select("block", (F.col("at") + F.col("pos")).alias("local"), "token")
+
+
+def identified(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Each token outside the head, written: its id, from its place in its first block, its count, and whether blocks share it."""
+    first = each_token(rows).groupBy("token").agg(F.min(F.shiftleft("block", LOCAL_BITS) + F.col("local")).alias("id"), (F.count("*") > 1).alias("shared"))
+    return written(first.join(counts, "token"), "lm-ids")
+
+
+def numbered(rows: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(block, local, id) of the blocks' tokens among some ids, written."""
+    return written(each_token(rows).join(ids.select("token", "id"), "token").select("block", "local", "id"), label)
+
+
+def gathered(rows: DataFrame, pairs: DataFrame, table: DataFrame, model: Model, states_of: DataFrame | None = None) -> DataFrame:
+    """Each block's texts and what it keeps (local -1), and then its tokens' ids, counts and emissions, in one task."""
+    shift, (flat, share, whole) = len(model.head) + 1, model.rates
+    emits = [((F.col(f"s{k}") / PARTS + F.lit(float(flat[k])) + (F.col("n") + SMOOTH) * F.lit(float(share[k]))) / F.lit(float(whole[k]))).cast("float").alias(f"e{k}") for k in range(len(flat))]
+    tail = pairs.join(table.select((F.col("key") - shift).alias("id"), "n", *emits), "id")
+    out = rows.drop("tokens").withColumn("local", F.lit(-1)).unionByName(tail, allowMissingColumns=True)
+    if states_of is not None:
+        out = out.unionByName(states_of.select(F.col("key").alias("block"), "state", F.lit(-1).alias("local")), allowMissingColumns=True)
+    return out.repartition("block").sortWithinPartitions("block", "local")
+
+
+def each_block(batches: Iterator[pa.RecordBatch], model: Model, seed: int | None = None) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, Model]]:
+    """Rows of texts, texts' symbols, the other tokens' ids and counts, which of them are the block's own, and the model with their emissions.
+
+    Tokens that the join doesn't give are unseen, or, with a seed (in training), the block's own: their counts are
+    what the block has kept, or the first ones.
+    """
+    states, shift = len(model.start), len(model.head) + 1
+    texts: list[pa.RecordBatch] = []
+    tails: list[pa.RecordBatch] = []
+
+    def ready():
+        kept = [x for t in texts if "state" in t.schema.names for x in t.column("state").to_pylist() if x is not None]
+        rows = [t.filter(t.column("symbols").is_valid()) for t in texts]
+        numbers = [np.frombuffer(x, np.int32) for t in rows for x in t.column("own").to_pylist()]
+        size = max((int(x.max()) + 1 for x in numbers if len(x)), default=0)
+        ids, n, own = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.full(size, seed is not None)
+        emit = np.repeat(model.emit32[-1:], size, axis=0)
+        for t in tails:
+            at = t.column("local").to_numpy()
+            ids[at], n[at], own[at] = t.column("id").to_numpy(), t.column("n").to_numpy(), False
+            emit[at] = np.stack([t.column(f"e{k}").to_numpy() for k in range(states)], axis=1)
+        if seed is not None and own.any():
+            block, mine = rows[0].column("block")[0].as_py(), np.flatnonzero(own)
+            ids[mine] = (block << LOCAL_BITS) + mine
+            n[mine] = np.bincount(np.concatenate(numbers), minlength=size)[mine]
+            if kept:
+                known = np.frombuffer(zlib.decompress(kept[0]), np.int64).reshape(-1, states)
+            else:
+                marks = np.zeros(size, np.uint32)
+                for t in rows:
+                    for at, x in zip(t.column("at").to_pylist(), t.column("marks").to_pylist()):
+                        if x:
+                            marks[at : at + len(x) // 4] = np.frombuffer(x, np.uint32)
+                known = first_counts(marks[mine], n[mine], states, seed)
+            flat, share, whole = model.rates
+            emit[mine] = (known / PARTS + flat + (n[mine][:, None] + SMOOTH) * share) / whole
+        symbols = []
+        for x, own_numbers in zip((x for t in rows for x in t.column("symbols").to_pylist()), numbers):
+            row = np.frombuffer(x, model.kind).astype(np.int32)
+            row[row == shift - 1] = shift + own_numbers
+            symbols.append(row)
+        return rows, symbols, ids, n, own, replace(model, emit=np.concatenate((model.emit32, emit)))
+
+    now = None
+    for batch in batches:
+        block, local = batch.column("block").to_numpy(), batch.column("local").to_numpy()
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
+            if a == b:
+                continue
+            if now is not None and block[a] != now:
+                yield ready()
+                texts, tails = [], []
+            now, k = block[a], a + int((local[a:b] < 0).sum())
+            if k > a:
+                texts.append(batch.slice(a, k - a))
+            if b > k:
+                tails.append(batch.slice(k, b - k))
+    if texts:
+        yield ready()
+
+
+def trained(rows: DataFrame, model: Model, ids: DataFrame, table: DataFrame, rounds: int, seed: int) -> tuple[Model, DataFrame]:
+    """Baum-Welch over all rows; key -1 - k carries row k of the moves, and the last ones the starts and the sums of blocks' own tokens."""
+    if not rounds:
+        return model, table
+    spark, states, shift = rows.sparkSession, len(model.start), len(model.head) + 1
+    pairs = numbered(rows, ids.where("shared"), "lm-pairs")
+    first, kept, old = table.where("shared"), None, [table]
+    schema = T.StructType([*table.schema.fields[:-1], T.StructField("state", T.BinaryType())])
+    table = first.drop("shared")
+    for at in range(rounds):
+        shared, last = spark.sparkContext.broadcast(model), at == rounds - 1
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value  # noqa: B023
-            starts, moves, by = np.zeros(states), np.zeros((states, states)), np.zeros_like(own.emit)
-            for texts in packs(np.frombuffer(t, own.kind) for batch in batches for t in batch.column(0).to_pylist()):
-                a, b, c = expected(own, Packed(texts))
+            model, last_round = shared.value, last  # noqa: B023
+            starts, moves, by, times = np.zeros(states), np.zeros((states, states)), np.zeros((shift, states)), np.zeros(shift, np.int64)
+            rest = np.zeros(states, np.int64)
+
+            def sent(key: np.ndarray, n: np.ndarray, made: np.ndarray, state: bytes | None = None) -> Iterator[pa.RecordBatch]:
+                for k in range(0, len(key), 10_000):
+                    part = counted(key[k : k + 10_000], n[k : k + 10_000], made[k : k + 10_000])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([state] * part.num_rows, pa.binary())], names=schema.names)
+
+            for texts, symbols, ids, _, own, local in each_block(batches, model, seed):
+                pack = Packed(symbols)
+                a, b, c = expected(local, pack)
+                here = np.bincount(pack.symbols, minlength=len(c))
                 starts += a
                 moves += b
-                by += c
-            used = np.flatnonzero(by.sum(axis=1))
+                by += c[:shift]
+                times += here[:shift]
+                tail = np.rint(c[shift:] * PARTS).astype(np.int64)
+                joined = np.full(len(own), True) if last_round else ~own
+                yield from sent(ids[joined] + shift, here[shift:][joined], tail[joined])
+                if not last_round and own.any():
+                    rest += tail[own].sum(axis=0)
+                    yield from sent(texts[0].column("block").to_numpy()[:1], np.full(1, -1), np.zeros((1, states), np.int64), zlib.compress(tail[own].tobytes(), 1))
+            used = np.flatnonzero(times)
             if len(used):
-                rows = np.rint(np.concatenate((by[used], moves, starts[None])) * PARTS).astype(np.int64)
-                symbol = np.concatenate((used, -1 - np.arange(states + 1)))
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(symbol[k : k + 10_000]), *[pa.array(np.ascontiguousarray(rows[k : k + 10_000, j])) for j in range(states)]], names=schema.names)
+                made = np.concatenate((np.rint(np.concatenate((by[used], moves, starts[None])) * PARTS).astype(np.int64), rest[None]))
+                yield from sent(np.concatenate((used, -1 - np.arange(states + 2))), np.concatenate((times[used], np.zeros(states + 2, np.int64))), made)
             give_back()
 
-        summed = source.mapInArrow(count, schema).groupBy("symbol").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]).toArrow()
-        symbol = summed["symbol"].to_numpy()
-        rows = np.stack([summed[f"s{k}"].to_numpy() for k in range(states)], axis=1) / PARTS if len(symbol) else np.zeros((0, states))
-        emit, move, start = np.zeros_like(model.emit), np.zeros((states, states)), np.zeros(states)
-        emit[symbol[symbol >= 0]] = rows[symbol >= 0]
-        for k, row in zip(symbol[symbol < 0].tolist(), rows[symbol < 0]):
-            if -1 - k < states:
-                move[-1 - k] = row
-            else:
-                start = row
-        weights = np.concatenate((model.counts, model.bin_tokens)) + SMOOTH
-        emit = emit + weights[:, None] / weights.sum() * (PRIOR_TOKENS + PRIOR_SHARE * emit.sum(axis=0))
-        move, start = move + SMOOTH_MOVE, start + SMOOTH_MOVE
-        model = Model(model.head, model.counts, model.bins, model.bin_tokens, model.bin_types, model.total, model.types, start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
-    return model
-
-
-SCORED = [field(n, k) for n, k in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"), ("tail", "array<binary>"), ("tail_n", "array<int>"))]
-
-
-def _scoring_kernel(model: Model):
-    logs = np.log10(model.counts + ADD)
-    norm = np.log10(model.total + ADD * (model.types + 1))
-
-    def kernel(col: pa.Array) -> list[pa.Array]:
-        out = {f.name: [] for f in SCORED}
-        texts = []
-
-        def flush() -> None:
-            if texts:
-                out["score"].extend(forward(model, Packed(texts), False)[0].tolist())
-                texts.clear()
-
-        held = 0
-        for text in each_text(col):
-            tokens = tokens_of(text)
-            symbols = model.symbols(tokens)
-            texts.append(symbols)
-            in_head = symbols < len(model.head)
-            own = symbols[in_head]
-            out["n_tokens"].append(len(tokens))
-            out["n_known"].append(int((model.counts[own] > 0).sum()))
-            out["base"].append(float(logs[own].sum() - norm * len(tokens)))
-            tail = Counter([t for t in tokens if t not in model.head]) if len(own) < len(tokens) else {}
-            out["tail"].append(list(tail))
-            out["tail_n"].append(list(tail.values()))
-            held += len(tokens)
-            if held >= PACK:
-                flush()
-                held = 0
-        flush()
-        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "tail": pa.list_(pa.binary()), "tail_n": pa.list_(pa.int32())}
-        return [pa.array(out[f.name], kinds[f.name]) for f in SCORED]
-
-    return kernel
-
-
-def scored(docs: DataFrame, training: DataFrame, keep: list[str], *, text_col: str = "text", head: int = HEAD, bins: int = BINS, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+        raw = written(gathered(rows, pairs, table, model, kept).mapInArrow(count, schema), "lm-parts")
+        summed = written(raw.where("state is null").groupBy("key").agg(*[F.sum(c).alias(c) for c in table.columns[1:]]), "lm-expected")
+        table, kept = summed.where(F.col("key") >= shift), raw.where("state is not null").select("key", "state")
+        drop(*old)
+        old = [raw, summed]
+        few = summed.where(F.col("key") < shift).toArrow()
+        key = few["key"].to_numpy()
+        found = np.stack([few[f"s{k}"].to_numpy() for k in range(states)], axis=1) / PARTS if len(key) else np.zeros((0, states))
+        emit, by_key = np.zeros((shift - 1, states)), np.zeros((states + 2, states))
+        emit[key[key >= 0]] = found[key >= 0]
+        by_key[-1 - key[key < 0]] = found[key < 0]
+        move, start = by_key[:states] + SMOOTH_MOVE, by_key[states] + SMOOTH_MOVE
+        totals = emit.sum(axis=0) + by_key[states + 1] + sums(table, states) / PARTS
+        model = with_emissions(replace(model, start=start / start.sum(), move=move / move.sum(axis=1, keepdims=True)), emit, totals, prior=True)
+    drop(raw, pairs)
+    return model, table
+
+
+def scored(docs: DataFrame, training: DataFrame, keep: list[str], *, text_col: str = "text", head: int = HEAD, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """The `keep` columns (k_ before their names), then n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
-    counts = materialize(count_tokens(training, text_col), "lm-counts")
-    model = trained(training, text_col, first_model(counts, head, bins, states, seed), rounds)
-    shared = spark.sparkContext.broadcast(model)
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(f"`{text_col}`").alias("text"))
-    kept = [f"k_{c}" for c in keep]
-    rows = scan_texts(renamed, "text", kept, SCORED, lambda: _scoring_kernel(shared.value), prefix="")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    tail = rows.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("row", F.col("x.tail").alias("token"), F.col("x.tail_n").alias("n"))
-    names = spark.createDataFrame([(b, int(c), int(v)) for b, (c, v) in enumerate(zip(model.bin_tokens, model.bin_types))], "bin int, bin_c long, bin_v long")
-    met = tail.join(counts, "token", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"), F.pmod(F.crc32("token"), F.lit(bins)).cast("int").alias("bin"))
-    met = met.join(F.broadcast(names), "bin")  # `bins` rows
-    in_tail = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("t_known"), F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("t_base"), F.sum(F.col("n") * (F.log10(F.col("c") + ADD) - F.log10(F.col("bin_c") + ADD * (F.col("bin_v") + 1)))).alias("t_score"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = rows.drop("tail", "tail_n").join(in_tail, "row", "left")
-    return out.select(*kept, "n_tokens", (F.col("n_known") + zero("t_known")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("t_base")).alias("base_score"), (F.col("score") + zero("t_score")).alias("score"))
+    counts = written(count_tokens(training, text_col), "lm-counts")
+    model = first_model(counts, head, states)
+    learnt = blocks(training, text_col, [], model, "lm-symbols")
+    ids = identified(learnt, counts)
+    model, table = first_table(ids, model, seed)
+    drop(counts)
+    model, table = trained(learnt, model, ids, table, rounds, seed)
+    drop(learnt)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = blocks(docs, text_col, keep, model, "lm-rows")
+    pairs = numbered(rows, ids, "lm-row-pairs")
+    kept = [f for f in rows.schema.fields if f.name.startswith("k_")]
+    added = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
+    schema = T.StructType([*kept, *added])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        norm = np.log10(own.total + ADD * (own.types + 1))
+        for texts, symbols, _, n, _, local in each_block(batches, own):
+            seen = np.concatenate((own.counts, [0], n))
+            logs = np.log10(seen + ADD) - norm
+            made = [np.array([len(x) for x in symbols], np.int64), np.array([(seen[x] > 0).sum() for x in symbols], np.int64), np.array([logs[x].sum() for x in symbols]), forward(local, Packed(symbols), False)[0]]
+            at = 0
+            for t in texts:
+                yield pa.RecordBatch.from_arrays([*[t.column(f.name) for f in kept], *[pa.array(x[at : at + t.num_rows]) for x in made]], names=schema.names)
+                at += t.num_rows
+        give_back()
+
+    out = gathered(rows, pairs, table, model).mapInArrow(score, schema)
+    return out.select(*[f"`{f.name}`" for f in kept], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 10, remainder: int = 0):

@@ -443,6 +443,15 @@ def test_small_head_scores_like_a_large_one(spark, sf):
     assert all(a[k][0] == pytest.approx(b[k][0]) and a[k][1] == b[k][1] for k in b)
 
 
+def test_states_do_not_depend_on_the_head(spark, sf):
+    """Every training token has emissions of its own, in the head or not."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    training = docs.where(~hmm.held_out())
+    parted = training.repartition(4)  # tokens of one block and of several
+    a, b, none = ({r.k_doc_id: r.score for r in hmm.scored(docs, t, ["doc_id"], head=h, rounds=n).collect()} for t, h, n in ((parted, 20, 3), (training, 60_000, 3), (training, 20, 0)))
+    assert len(a) == len(b) and all(a[k] == pytest.approx(b[k], rel=1e-4) for k in b) and a != none
+
+
 def test_materialized_tables_live_in_the_shared_folder(spark):
     out = materialize(spark.range(5), "test")
     assert out.count() == 5 and spark.conf.get("spark.checkpoint.dir") in out.inputFiles()[0]
