@@ -392,9 +392,12 @@ def test_incremental_ingestion(spark, tmp_path):
 
 
 def test_structured_output():
-    assert P.single_object(P.without_fence('```json\n{"a": "}"}\n```')) == '{"a": "}"}'
-    assert P.single_object('Here it is: {"a": {"b": "\\""}} done') == '{"a": {"b": "\\""}}'
-    for bad in ("none", '{"a": 1} {"b": 2}', '{"a": 1', "x" * 200 + '{"a": 1}'):
+    assert P.single_object(P.without_fence('```json\n{"a": "}"}\n```')) == {"a": "}"}
+    assert P.single_object(P.without_fence('```\n{"a": [1, {}]}\n```')) == {"a": [1, {}]}
+    assert P.without_fence('```python\n{"a": 1}\n```').startswith("```python")  # a fence of another language is text
+    assert P.single_object('Here it is: {"a": {"b": "\\""}} done') == {"a": {"b": '"'}}
+    assert P.single_object("x" * 160 + '{"a": 1}') == {"a": 1}
+    for bad in ("none", '{"a": 1} {"b": 2}', '{"a": 1', "x" * 161 + '{"a": 1}', '[1] {"a": 1}', '{"a": 1} [2]'):
         with pytest.raises(P.OutputError):
             P.single_object(bad)
     model = P.ScriptedModel({"q": '{"x": 1}'}, fail_on=1)
