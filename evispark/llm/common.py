@@ -21,6 +21,8 @@ _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Column prefix of what an operator adds to rows that it passes through.
 ADDED = "__added_"
+#: Column prefix of passed-through columns while an operator works.
+OWN = "__own_"
 TEXT = "__scan_text"
 
 
@@ -109,6 +111,17 @@ def runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named by their place, so that no helper column can clash with them, and the new name of each."""
+    names = {c: f"{OWN}{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str], *more) -> DataFrame:
+    """The columns of apart() under their own names again."""
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()], *more)
+
+
 def each_text(col: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each row."""
     data, offsets = utf8(col)

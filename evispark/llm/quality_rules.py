@@ -2,18 +2,21 @@
 
 The sketch is a log-linear histogram: an integer value falls in a bin by its bit length and its next BITS bits, so
 a quantile is within 1/2**BITS of the value, sketches merge by adding counts, and every figure is exact integer
-arithmetic that any run repeats. Sketches of (language, source) groups with fewer than `min_docs` documents give
-way to the language's merged sketch, and that one to the whole corpus's.
+arithmetic that any run repeats. Every (language, source) group has fences of its own: its sketch counts whole, and the
+language's merged sketch is added with the weight of `prior` documents, which in turn holds the corpus's with that
+weight. A small group leans on its language, a large one hardly, and no count of documents switches anything.
 
 A document passes if it isn't failed by the fixed base rules and each metric lies within its group's fences,
-q75 + `reach` * max(q75 - q25, slack), and for the mean word length also above q25 - the same.
+tail + `reach` * max(tail - q50, slack), and for the mean word length also above the same on the other side; METRICS
+names each metric's tail quantile and slack.
 
 Plan: scans of the texts without a shuffle, of which narrow rows alone are written; partial aggregation sums bins
 before the shuffle, so a hot group moves bins, not rows; thresholds are broadcast while their count is within
 `broadcast_groups`, else joined.
 
 Defined cases: null, empty and blank texts have no words and fail the base rules; null languages and sources are
-groups of their own; repeated rows count each time; an empty table gives an empty result; other columns are unread.
+groups of their own; repeated rows count each time; texts of any length are measured whole; a value on a fence is inside;
+an empty table gives an empty result; other columns, whatever their names, are unread or passed through.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ADDED, each_text, field, materialize, scan_texts
+from .common import ADDED, apart, each_text, field, materialize, restored, scan_texts
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_DOCS, REACH, BITS, BROADCAST_GROUPS = 200, 3, 5, 50_000
-#: metric: (slack of its fence, whether it has a lower fence)
-METRICS = {"word_len_x100": (100, True), "symbols_x10k": (300, False), "dup_lines_x10k": (1500, False), "repeats_x10k": (1000, False)}
+REACH, PRIOR, BITS, BROADCAST_GROUPS = 3, 100, 7, 50_000
+#: Sketches are merged in these parts of a document.
+PARTS = 1000
+#: metric: (percent of its upper tail quantile, of its lower one or None, slack)
+METRICS = {"word_len_x100": (90, 10, 8), "symbols_x10k": (90, None, 100), "dup_lines_x10k": (98, None, 100), "repeats_x10k": (98, None, 100)}
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 NOT_POINTS = SPACE + bytes(range(0x80, 0xC0))
@@ -91,64 +96,82 @@ def sketches(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """Counts by language, source, metric and bin over the documents that pass the base rules."""
     metrics = metric_columns()
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in metrics.items()])).alias("m")
-    return rows.where(~F.col(ADDED + "base_failed")).select(F.col(f"`{lang}`").alias("g_lang"), F.col(f"`{source}`").alias("g_source"), each).selectExpr("g_lang", "g_source", "m.metric", f"{bin_of('m.value')} AS bin").groupBy("g_lang", "g_source", "metric", "bin").agg(F.count("*").alias("n"))
+    return rows.where(~F.col(ADDED + "base_failed")).select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), each).selectExpr("g_lang", "g_source", "m.metric", f"{bin_of('m.value')} AS bin").groupBy("g_lang", "g_source", "metric", "bin").agg(F.count("*").alias("n"))
 
 
-def quantiles(bins: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:
-    """Quantiles of merged sketches: bins are bounded in number, so a group's prefix sums stay small."""
-    merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+def blended(own: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str], prior: int) -> DataFrame:
+    """Sketches in parts of a document, each with its parent's added at the weight of `prior` documents."""
+    total = F.sum("n").over(Window.partitionBy(*parent_keys, "metric"))
+    weight = F.expr(f"cast(cast({prior * PARTS} AS decimal(18,0)) * n div total AS bigint)")
+    lent = parent.withColumn("total", total).select(*[F.col(k).alias(f"p_{k}") for k in parent_keys], F.col("metric").alias("p_metric"), "bin", weight.alias("n")).where("n > 0")
+    same = F.col("metric") == F.col("p_metric")
+    for k in parent_keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    return own.unionByName(own.select(*keys, "metric").distinct().join(lent, same).select(*keys, "metric", "bin", "n")).groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+
+
+def group_sketches(bins: DataFrame, prior: int) -> DataFrame:
+    """(g_lang, g_source, metric, bin, n): what a group's quantiles are taken of."""
+    by = lambda *keys: bins.groupBy(*keys, "metric", "bin").agg((F.sum("n") * PARTS).alias("n"))
+    languages = blended(by("g_lang"), ["g_lang"], by(), [], prior)
+    return blended(by("g_lang", "g_source"), ["g_lang", "g_source"], languages, ["g_lang"], prior)
+
+
+def quantiles(bins: DataFrame, keys: list[str], percents: list[int]) -> DataFrame:
+    """Quantiles of sketches: bins are bounded in number, so a group's prefix sums stay small."""
     by = Window.partitionBy(*keys, "metric")
-    run = merged.select(*keys, "metric", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("total"))
+    run = bins.select(*keys, "metric", "bin", F.sum("n").over(by.orderBy("bin")).alias("upto"), F.sum("n").over(by).alias("total"))
     at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bin")))
-    out = run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *[at(p).alias(f"b_{n}") for n, p in qs.items()])
-    return out.selectExpr(*[f"`{k}`" for k in keys], "metric", "total", *[f"{bin_value(f'b_{n}')} AS {n}" for n in qs])
-
-
-def thresholds(bins: DataFrame, min_docs: int = MIN_DOCS, reach: int = REACH) -> DataFrame:
-    """One row for each (language, source): each metric's fences, from the finest sketch with enough documents."""
-    qs = {"q25": 25, "q75": 75}
-    fine = quantiles(bins, ["g_lang", "g_source"], qs)
-    mid = quantiles(bins, ["g_lang"], qs).select(F.col("g_lang").alias("l_lang"), F.col("metric").alias("l_metric"), *[F.col(c).alias(f"l_{c}") for c in ("total", "q25", "q75")])
-    top = quantiles(bins, [], qs).select(F.col("metric").alias("t_metric"), *[F.col(c).alias(f"t_{c}") for c in ("q25", "q75")])
-    out = fine.join(mid, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric"))).join(top, F.col("metric") == F.col("t_metric"))
-    pick = lambda q: F.when(F.col("total") >= min_docs, F.col(q)).when(F.col("l_total") >= min_docs, F.col(f"l_{q}")).otherwise(F.col(f"t_{q}"))
-    out = out.select("g_lang", "g_source", "metric", pick("q25").alias("q25"), pick("q75").alias("q75"))
-    slack = F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)])[F.col("metric")]
-    width = reach * F.greatest(F.col("q75") - F.col("q25"), slack)
-    lower = F.col("metric").isin([m for m, (_, low) in METRICS.items() if low])
-    out = out.select("g_lang", "g_source", "metric", (F.col("q75") + width).cast("long").alias("high"), F.when(lower, F.col("q25") - width).cast("long").alias("low"))
-    one = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
-    return out.groupBy("g_lang", "g_source").agg(*[one(m, "high") for m in METRICS], *[one(m, "low") for m, (_, low) in METRICS.items() if low])
-
-
-def limits_of(rows: DataFrame, lang_col: str, source_col: str, min_docs: int, reach: int) -> DataFrame:
+    out = run.groupBy(*keys, "metric").agg(*[at(p).alias(f"b_{p}") for p in percents])
+    return out.selectExpr(*keys, "metric", *[f"{bin_value(f'b_{p}')} AS q_{p}" for p in percents])
+
+
+def thresholds(bins: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
+    """One row for each (language, source): each metric's fences, and by_spread_, whether the group's spread sets the upper one."""
+    percents = sorted({50} | {p for high, low, _ in METRICS.values() for p in (high, low) if p is not None})
+    found = quantiles(group_sketches(bins, prior), ["g_lang", "g_source"], percents)
+    fences = []
+    for m, (high, low, slack) in METRICS.items():
+        own = lambda c, m=m: F.max(F.when(F.col("metric") == m, c))
+        spread = F.col(f"q_{high}") - F.col("q_50")
+        fences += [own((F.col(f"q_{high}") + reach * F.greatest(spread, F.lit(slack))).cast("long")).alias(f"high_{m}"), own(spread > slack).alias(f"by_spread_{m}")]
+        if low is not None:
+            fences.append(own((F.col(f"q_{low}") - reach * F.greatest(F.col("q_50") - F.col(f"q_{low}"), F.lit(slack))).cast("long")).alias(f"low_{m}"))
+    return found.groupBy("g_lang", "g_source").agg(*fences)
+
+
+def limits_of(rows: DataFrame, lang: str, source: str, prior: int, reach: int) -> DataFrame:
     """The fences of each group of measured rows."""
-    return materialize(thresholds(sketches(rows, lang_col, source_col), min_docs, reach), "quality-limits")
+    return materialize(thresholds(sketches(rows, lang, source), prior, reach), "quality-limits")
 
 
-def verdicts(rows: DataFrame, limits: DataFrame, keep: list[str], lang_col: str, source_col: str, broadcast_groups: int) -> DataFrame:
+def verdicts(rows: DataFrame, limits: DataFrame, keep: list[str], lang: str, source: str, broadcast_groups: int) -> DataFrame:
     """Measured rows met with their group's fences: the `keep` columns, counts, base_failed and kept."""
     few = limits.limit(broadcast_groups + 1).count() <= broadcast_groups
-    same = F.col(f"`{lang_col}`").eqNullSafe(F.col("g_lang")) & F.col(f"`{source_col}`").eqNullSafe(F.col("g_source"))
-    met = rows.join(F.broadcast(limits) if few else limits, same, "left")
+    met = rows.join(F.broadcast(limits) if few else limits, F.col(lang).eqNullSafe(F.col("g_lang")) & F.col(source).eqNullSafe(F.col("g_source")), "left")
     inside = F.lit(True)
     for m, c in metric_columns().items():
         inside = inside & (c <= F.col(f"high_{m}"))
-        if METRICS[m][1]:
+        if METRICS[m][1] is not None:
             inside = inside & (c >= F.col(f"low_{m}"))
     added = [f"{ADDED}{f.name}" for f in FIELDS] + [ADDED + "base_failed"]
-    return met.select(*[F.col(f"`{c}`") for c in keep], *added, (~F.col(ADDED + "base_failed") & F.coalesce(inside, F.lit(False))).alias(ADDED + "kept"))
+    return met.select(*keep, *added, (~F.col(ADDED + "base_failed") & F.coalesce(inside, F.lit(False))).alias(ADDED + "kept"))
 
 
-def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: int = PRIOR, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The `keep` columns, which should be narrow, then counts, base_failed and kept under the ADDED prefix: one scan, whose rows are written."""
-    rows = materialize(measured(docs, list(dict.fromkeys([*keep, lang_col, source_col])), text_col), "quality-rules")
-    return verdicts(rows, limits_of(rows, lang_col, source_col, min_docs, reach), keep, lang_col, source_col, broadcast_groups)
+    own, names = apart(docs)
+    narrow = [names[c] for c in dict.fromkeys([*keep, lang_col, source_col])]
+    rows = materialize(measured(own, narrow, names[text_col]), "quality-rules")
+    limits = limits_of(rows, names[lang_col], names[source_col], prior, reach)
+    out = verdicts(rows, limits, [names[c] for c in keep], names[lang_col], names[source_col], broadcast_groups)
+    return restored(out, {c: names[c] for c in keep}, *[c for c in out.columns if c.startswith(ADDED)])
 
 
-def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+def keep_good(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", prior: int = PRIOR, reach: int = REACH, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The documents that pass, with their own columns: a second scan measures again, so that no text is written in between."""
-    rows = materialize(measured(docs, [lang_col, source_col], text_col), "quality-rules")
-    limits = limits_of(rows, lang_col, source_col, min_docs, reach)
-    out = verdicts(measured(docs, docs.columns, text_col), limits, docs.columns, lang_col, source_col, broadcast_groups)
-    return out.where(F.col(ADDED + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, names = apart(docs)
+    lang, source, text = names[lang_col], names[source_col], names[text_col]
+    limits = limits_of(materialize(measured(own, [lang, source], text), "quality-rules"), lang, source, prior, reach)
+    out = verdicts(measured(own, own.columns, text), limits, own.columns, lang, source, broadcast_groups)
+    return restored(out.where(F.col(ADDED + "kept")), names)

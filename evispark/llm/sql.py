@@ -21,14 +21,17 @@ FROM d LEFT JOIN spots s ON s.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id =
 
 
 def op2() -> str:
-    bits, reach = quality_rules.BITS, quality_rules.REACH
+    bits, reach, prior, parts = quality_rules.BITS, quality_rules.REACH, quality_rules.PRIOR, quality_rules.PARTS
     metrics = {"word_len_x100": "100 * word_chars // greatest(n_words, 1)", "symbols_x10k": "10000 * n_symbols // greatest(word_chars, 1)", "dup_lines_x10k": "10000 * n_dup_lines // greatest(n_lines, 1)", "repeats_x10k": "10000 * n_repeat_words // greatest(n_words, 1)"}
     each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS v FROM base WHERE NOT base_failed" for m, e in metrics.items())
-    quantile = lambda keys: f"SELECT {keys} metric, max(total) AS total, min(bin) FILTER (upto * 100 >= total * 25) AS b25, min(bin) FILTER (upto * 100 >= total * 75) AS b75 FROM (SELECT {keys} metric, bin, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys} metric) AS total FROM (SELECT {keys} metric, bin, sum(n) AS n FROM bins GROUP BY ALL)) GROUP BY ALL"
+    whole = lambda keys: f"SELECT {keys} metric, bin, {parts} * sum(n)::BIGINT AS n FROM bins GROUP BY ALL"
+    lent = lambda table, keys: f"SELECT {keys} metric, bin, ({prior * parts}::HUGEINT * n // sum(n) OVER (PARTITION BY {keys} metric)) AS n FROM {table}"
+    at = lambda p: f"min(bin) FILTER (upto * 100 >= total * {p})"
     value = lambda b: f"CASE WHEN {b} < {2 << bits} THEN {b} ELSE ({b} - ((({b} >> {bits}) - 1) << {bits})) << (({b} >> {bits}) - 1) END"
-    slack = " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in quality_rules.METRICS.items())
-    low = ", ".join(f"'{m}'" for m, (_, x) in quality_rules.METRICS.items() if x)
-    inside = " AND ".join(f"({e}) <= (max_{m})" + (f" AND ({e}) >= (min_{m})" if quality_rules.METRICS[m][1] else "") for m, e in metrics.items())
+    percents = sorted({50} | {p for high, low, _ in quality_rules.METRICS.values() for p in (high, low) if p is not None})
+    highs = " ".join(f"WHEN '{m}' THEN q_{h} + {reach} * greatest(q_{h} - q_50, {s})" for m, (h, _, s) in quality_rules.METRICS.items())
+    lows = " ".join(f"WHEN '{m}' THEN q_{x} - {reach} * greatest(q_50 - q_{x}, {s})" for m, (_, x, s) in quality_rules.METRICS.items() if x is not None)
+    inside = " AND ".join(f"({e}) <= max_{m}" + (f" AND ({e}) >= min_{m}" if quality_rules.METRICS[m][1] is not None else "") for m, e in metrics.items())
     pivot = ", ".join(f"max(high) FILTER (metric = '{m}') AS max_{m}, max(low) FILTER (metric = '{m}') AS min_{m}" for m in metrics)
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_SPACED} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 t AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2))),
@@ -36,11 +39,14 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 counts AS (SELECT d.doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep ON rep.doc_id = d.doc_id),
 base AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts),
 vals AS ({each}), bins AS (SELECT lang, source, metric, CASE WHEN v < {2 << bits} THEN v ELSE ((length(bin(v)) - {bits + 1}) << {bits}) + (v >> (length(bin(v)) - {bits + 1})) END AS bin, count(*) AS n FROM vals GROUP BY ALL),
-fine AS ({quantile('lang, source,')}), mid AS ({quantile('lang,')}), top AS ({quantile('')}),
-picked AS (SELECT f.lang, f.source, f.metric, CASE WHEN f.total >= {quality_rules.MIN_DOCS} THEN f.b25 WHEN m.total >= {quality_rules.MIN_DOCS} THEN m.b25 ELSE t.b25 END AS b25, CASE WHEN f.total >= {quality_rules.MIN_DOCS} THEN f.b75 WHEN m.total >= {quality_rules.MIN_DOCS} THEN m.b75 ELSE t.b75 END AS b75
-  FROM fine f JOIN mid m ON m.lang IS NOT DISTINCT FROM f.lang AND m.metric = f.metric JOIN top t ON t.metric = f.metric),
-q AS (SELECT lang, source, metric, {value('b25')} AS q25, {value('b75')} AS q75 FROM picked),
-fences AS (SELECT lang, source, metric, q75 + {reach} * greatest(q75 - q25, CASE metric {slack} END) AS high, CASE WHEN metric IN ({low}) THEN q25 - {reach} * greatest(q75 - q25, CASE metric {slack} END) END AS low FROM q),
+lent_all AS ({lent(f"({whole('')})", '')}),
+languages AS (SELECT lang, metric, bin, sum(n) AS n FROM ({whole('lang,')} UNION ALL SELECT lang, metric, bin, n FROM (SELECT DISTINCT lang, metric FROM bins) JOIN lent_all USING (metric)) GROUP BY ALL),
+lent_lang AS ({lent('languages', 'lang,')}),
+groups AS (SELECT lang, source, metric, bin, sum(n) AS n FROM ({whole('lang, source,')} UNION ALL SELECT g.lang, g.source, g.metric, p.bin, p.n FROM (SELECT DISTINCT lang, source, metric FROM bins) g JOIN lent_lang p ON p.lang IS NOT DISTINCT FROM g.lang AND p.metric = g.metric) GROUP BY ALL),
+run AS (SELECT lang, source, metric, bin, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM groups),
+b AS (SELECT lang, source, metric, {', '.join(f'{at(p)} AS b_{p}' for p in percents)} FROM run GROUP BY ALL),
+q AS (SELECT lang, source, metric, {', '.join(f"{value(f'b_{p}')} AS q_{p}" for p in percents)} FROM b),
+fences AS (SELECT lang, source, metric, CASE metric {highs} END AS high, CASE metric {lows} END AS low FROM q),
 limits AS (SELECT lang, source, {pivot} FROM fences GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({inside}, false) AS kept FROM base b LEFT JOIN limits l ON l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source"""
 

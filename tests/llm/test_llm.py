@@ -152,6 +152,16 @@ def test_quality_thresholds_adapt(spark):
     assert not out[1000] and not out[1001] and all(out[i] for i in range(600))
 
 
+def test_small_groups_lean_on_their_language(spark):
+    """Every group has fences of its own, between its own quantiles and its language's by its size."""
+    rows = [(i, " ".join("x" * 4 + str(10 + (i * j) % 89) for j in range(60)), "en", "big") for i in range(400)]
+    for name, n in (("few", 5), ("some", 60), ("many", 4000)):
+        rows += [(0, " ".join("y" * 9 + str(10 + (i * j) % 89) for j in range(60)), "fr" if name == "few" else "en", name) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fences = {r.g_source: r.low_word_len_x100 for r in quality_rules.thresholds(quality_rules.sketches(quality_rules.measured(docs, ["lang", "source"]), "lang", "source")).collect()}
+    assert len(fences) == 4 and fences["many"] > fences["some"] and fences["few"] < 1000 < fences["many"]
+
+
 def test_bins_bound_the_error(spark):
     values = [(v,) for v in [0, 1, 31, 32, 63, 64, 65, 1000, 4095, 4096, 10**6, 10**12]]
     for v, b, low in spark.createDataFrame(values, "v long").selectExpr("v", f"{quality_rules.bin_of('v')} AS b").selectExpr("v", "b", f"{quality_rules.bin_value('b')} AS low").collect():
