@@ -104,9 +104,28 @@ def test_decontamination_matches_brute_force(spark):
     for how in ({}, {"broadcast_bytes": 0}):
         got = {r.doc_id: (r[1], r[2], r[3]) for r in decontaminate.scan(d, b, ["doc_id"], **how).collect()}
         assert got == {i: brute_hits(t, items) for i, t in docs}
-    text = {r.doc_id: r.text for r in decontaminate.remove_spans(d, b).collect()}
-    assert text[2] == "x  y" and text[4] is None and text[5] == "é ß x É"  # only A-Z is lower-cased
-    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} & {1, 2, 3} == set()
+        text = {r.doc_id: r.text for r in decontaminate.remove_spans(d, b, **how).collect()}
+        assert text[2] == "x  y" and text[4] is None and text[5] == "é ß x É"  # only A-Z is lower-cased
+        share = {i: brute_hits(t, items)[:2] for i, t in docs}
+        assert {r.doc_id for r in decontaminate.drop_contaminated(d, b, **how).collect()} == {i for i, (n, hit) in share.items() if not hit or 20 * hit < n}
+
+
+def test_hot_one_word_item(spark):
+    """A window that all documents hold, under many ids, and two long words that share a hash."""
+    same = [f"abcdefgh{'x' * 9}{c}{'x' * 9}12345678" for c in "pq"]
+    items = [(f"i{k:03}", "the") for k in range(300)] + [("p", same[0]), ("q", same[1]), ("q", same[1])]
+    docs = [(i, "the " * (i % 7) + f"word{i} " + (same[i % 2] if i % 5 == 0 else "")) for i in range(400)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    few, many = (sorted(map(str, decontaminate.scan(d, b, ["doc_id"], broadcast_bytes=n).collect())) for n in (1 << 30, 0))
+    assert few == many
+    got = {r[0]: r for r in decontaminate.scan(d, b, ["doc_id"], broadcast_bytes=0).collect()}
+    assert all(len(got[i][3]) == (300 if i % 7 else 0) + (i % 5 == 0) and got[i][2] == i % 7 + (i % 5 == 0) for i, _ in docs)
+
+
+def test_index_stays_within_its_estimate(spark):
+    for items in ([(str(i), words(200, i, 50_000)) for i in range(300)], [(str(i), f"w{i}") for i in range(4000)], [("a", "x")], [("a", words(5, 1)), ("b", None)]):
+        index = decontaminate.WindowIndex(items, 13)
+        assert index.nbytes <= decontaminate.index_bytes(spark.createDataFrame(items, "item string, text string")) + (14 << 12)
 
 
 def test_spans_do_not_depend_on_the_benchmark_s_size(spark):
