@@ -1,57 +1,58 @@
 """A hidden Markov language model over whole corpora, and its unigram base.
 
 Tokens are the white-space words of the text, A-Z lower-cased, then one end token. Training tokens are counted over
-all training documents, and each has its own emissions; all unseen tokens share one symbol. `states` latent states are
+all training documents, and each has its own emissions; all unseen tokens share theirs. `states` latent states are
 trained by `rounds` of Baum-Welch over all training documents. With E the expected counts of a round, C(k) their sum
-over a state's tokens, c a token's count (0 of the unseen one), N and V the training tokens and distinct ones, and
+over a state's tokens, c a token's count (0 of unseen ones), N and V the training tokens and distinct ones, and
 W = N + 0.1 * (V + 1), P(token | k) is proportional to
 E(token, k) + 0.1 * C(k) / N + (c + 0.1) / W * (PRIOR_TOKENS + PRIOR_SHARE * C(k)).
-The scaled forward recursion then gives each text's exact likelihood, log10 P = sum of log10 scales.
-
-Plan: only the `head` most frequent tokens' emissions are broadcast; those of all others are a table. This is a matter
-of speed: results don't depend on `head`. Texts are written as symbols in blocks of about PACK tokens, with each
-block's distinct other tokens. In every round those that several blocks hold meet the table in an equi-join, go to
-their block, and the block sends its expected counts back, which are summed by token; those of one block alone stay
-with it until the last round. Scoring joins all tokens once. Counts of tokens are combined
-in each task before their shuffle.
+The scaled forward recursion then gives each text's exact likelihood, log10 P = sum of log10 scales. Probabilities are
+scaled 4-byte floats, logarithms are summed in 8 bytes: a score is within 1e-6 of its size of a recursion in 8-byte floats.
+
+Plan: the texts are written once as blocks of about BLOCK_TOKENS tokens, each with a dictionary of its own; trained and
+scored texts share blocks. Tokens that several blocks hold are dealt into shards of about SHARD_PAIRS (block, token)
+pairs. In every round a block sends a shard the expected counts of the tokens that both have, as one packed row, the
+shard adds them up as whole numbers and sends each block its tokens' sums, and the block goes on from there. Tokens of
+one block alone, most of all distinct ones, never leave it. What is gathered grows with the input and stays spread:
+the driver sees the sums of starts, moves and states only, and nothing but those is broadcast.
 Documents run through the recursion side by side, longest first, so that a step handles all texts that reach it.
 
-Defined cases: null and empty texts have one token, the end; a null id is a training document (its crc32 is null);
-repeated rows count and are scored each; no training documents: N and V are 0 and every token has
-probability 1, as in the base; other columns are unread.
+Defined cases: null and empty texts have one token, the end; a null in `learns` counts as false; texts of any length go
+through the recursion whole, at some hundred bytes a token; repeated rows count and are scored each; no training
+documents: N and V are 0 and every token has probability 1, as in the base; an empty table gives an empty result; other
+columns, whatever their names, are unread.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, drop, each_text, give_back, materialize, part_of
+from .common import bounded_batches, drop, each_text, field, give_back, materialize, part_of
 
-HEAD, STATES, ROUNDS, SEED = 60_000, 8, 3, 11
+STATES, ROUNDS, SEED = 8, 3, 11
 #: The first model: states last, and their emissions differ by chance by up to this share.
 STAY, NOISE = 0.98, 0.9
 #: Expected counts travel as whole numbers of this fraction: their sums are exact in any order.
 PARTS = 1 << 16
 #: Added to counts of tokens and of symbols; pseudo-counts of transitions.
 ADD, SMOOTH, SMOOTH_MOVE = 0.1, 0.1, 1.0
-#: A state's emissions are drawn to the symbols' frequencies by so many tokens, and this share of its own.
+#: A state's emissions are drawn to the tokens' frequencies by so many tokens, and this share of its own.
 PRIOR_TOKENS, PRIOR_SHARE = 15_000, 0.02
-#: A token's id: its first block, and its number there in so many bits, more than a block and one batch of bytes have tokens.
-LOCAL_BITS = 24
 END = b"\n"  # no word holds it
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Distinct tokens that a counting task holds before it sends them on; tokens that go through the recursion at once.
-FLUSH, PACK = 300_000, 1_500_000
+#: Tokens that share a dictionary; that go through the recursion at once; (block, token) pairs of a shard.
+BLOCK_TOKENS, PACK, SHARD_PAIRS = 3_000_000, 1_000_000, 400_000
+#: A token's place: its block and its number there, in so many bits.
+LOCAL_BITS = 28
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -69,66 +70,25 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.translate(LOWER).split(), END]
 
 
-def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
-    """(token, c) over all texts: tasks combine first, then token by token."""
-    bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
-        for batch in batches:
-            for text in each_text(batch.column(0)):
-                seen.update(tokens_of(text))
-                if len(seen) > FLUSH:
-                    yield send()
-                    seen.clear()
-        if seen:
-            yield send()
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes: size of an item, number of items, then the planes."""
+    size = 4 if not x.size or (x.max() < 1 << 31 and x.min() >= -(1 << 31)) else 8
+    planes = np.ascontiguousarray(x.ravel().astype(f"<i{size}").view(np.uint8).reshape(-1, size).T)
+    return np.array([size, x.size], "<i8").tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    schema = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("c", T.LongType())])
-    return source.mapInArrow(count, schema).groupBy("token").agg(F.sum("c").alias("c"))
 
+def unpacked(data: bytes) -> np.ndarray:
+    size, n = np.frombuffer(data, "<i8", 2).tolist()
+    planes = np.frombuffer(pa.decompress(data[16:], decompressed_size=size * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<i{size}").ravel()
 
-class Symbols(dict):
-    """token -> symbol; a token that isn't in the head has its bin's."""
 
-    def __init__(self, head: dict[bytes, int], bins: int):
-        super().__init__(head)
-        self.base, self.bins = len(head), bins
+class Numbers(dict):
+    """token -> its number in order of appearance."""
 
     def __missing__(self, token: bytes) -> int:
-        return self.base + zlib.crc32(token) % self.bins
-
-    def __reduce__(self):
-        return Symbols, (dict(self), self.bins)
-
-
-@dataclass
-class Model:
-    head: dict[bytes, int]  # token -> symbol
-    counts: np.ndarray  # of head symbols
-    bins: int  # symbols of tokens outside the head: one, of the unseen, here
-    bin_tokens: np.ndarray
-    bin_types: np.ndarray
-    total: int
-    types: int
-    start: np.ndarray  # (states,)
-    move: np.ndarray  # (states, states)
-    emit: np.ndarray  # (symbols, states)
-    rates: tuple = ()  # of the emissions of all other tokens
-
-    def __post_init__(self) -> None:
-        self.emit32 = self.emit.astype(np.float32)
-
-        self.names = Symbols(self.head, self.bins)
-
-    @property
-    def kind(self) -> type:
-        return np.uint16 if len(self.emit) <= 1 << 16 else np.int32
-
-    def symbols(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.names.__getitem__, tokens), self.kind, len(tokens))
+        self[token] = out = len(self)
+        return out
 
 
 class Packed:
@@ -145,13 +105,28 @@ class Packed:
             self.symbols[self.at[: size[k]] + k] = texts[i]
 
 
-def forward(model: Model, pack: Packed, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's log10 likelihood of its symbols; alphas and scales by token if kept (4-byte floats: they are scaled)."""
-    n = len(pack.order)
-    start, move = model.start.astype(np.float32), model.move.astype(np.float32)
-    alphas = np.take(model.emit32, pack.symbols, axis=0)  # emissions first, alphas in their place
-    scales = np.empty(len(pack.symbols), np.float32)
-    one = np.ones(len(start), np.float32)
+@dataclass
+class Model:
+    """What all blocks need: the chain, the totals of the corpus, and how expected counts become emissions."""
+
+    total: int
+    types: int
+    start: np.ndarray  # (states,)
+    move: np.ndarray  # (states, states)
+    rates: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def emissions(self, expected: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        flat, share, whole = self.rates
+        return ((expected / PARTS + flat + (counts[:, None] + SMOOTH) * share) / whole).astype(np.float32)
+
+
+def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's log10 likelihood of its symbols; alphas and scales by token."""
+    n, kind = len(pack.order), emit.dtype
+    start, move = start.astype(kind), move.astype(kind)
+    alphas = np.take(emit, pack.symbols, axis=0)  # emissions first, alphas in their place
+    scales = np.empty(len(pack.symbols), kind)
+    one = np.ones(len(start), kind)
     alpha = None
     for a, live in zip(pack.at[:-1].tolist(), pack.live.tolist()):
         here = alphas[a : a + live]
@@ -169,13 +144,13 @@ def forward(model: Model, pack: Packed, keep: bool) -> tuple[np.ndarray, np.ndar
     return out, alphas, scales
 
 
-def expected(model: Model, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expected(start: np.ndarray, move: np.ndarray, emit: np.ndarray, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch expected counts of starts, moves and (symbol, state)."""
-    s = len(model.start)
-    _, alphas, scales = forward(model, pack, True)
-    ahead = np.take(model.emit32, pack.symbols, axis=0)  # emission * beta / scale of a token, in place
+    s = len(start)
+    _, alphas, scales = forward(start, move, emit, pack)
+    ahead = np.take(emit, pack.symbols, axis=0)  # emission * beta / scale of a token, in place
     ahead /= scales[:, None]
-    back = np.ascontiguousarray(model.move.T.astype(np.float32))
+    back = np.ascontiguousarray(move.T.astype(emit.dtype))
     moves, late = np.zeros((s, s)), None
     for t in range(len(pack.live) - 1, -1, -1):
         a, live = pack.at[t], int(pack.live[t])
@@ -187,23 +162,19 @@ def expected(model: Model, pack: Packed) -> tuple[np.ndarray, np.ndarray, np.nda
             gamma[:k] *= beta
             here[:k] *= beta
         late = here
-    moves *= model.move
+    moves *= move
     starts = alphas[: pack.live[0]].sum(axis=0, dtype=np.float64) if len(pack.live) else np.zeros(s)
-    by = np.stack([np.bincount(pack.symbols, weights=alphas[:, k], minlength=len(model.emit)) for k in range(s)], axis=1)
+    by = np.stack([np.bincount(pack.symbols, weights=alphas[:, k], minlength=len(emit)) for k in range(s)], axis=1)
     return starts, moves, by
 
 
-def first_counts(marks: np.ndarray, seen: np.ndarray, states: int, seed: int) -> np.ndarray:
-    """What the first model takes for expected counts, in PARTS; each token's chance comes from its own hash, its mark."""
+def first_weights(marks: np.ndarray, states: int, seed: int) -> np.ndarray:
+    """What one occurrence of a token counts in the first model, in PARTS; a token's chance comes from its own hash, its mark."""
     x = (marks.astype(np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     chance = (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    return np.rint((1 - NOISE + 2 * NOISE * chance) * np.asarray(seen)[:, None] / states * PARTS).astype(np.int64)
-
-
-def marks_of(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
+    return np.rint((1 - NOISE + 2 * NOISE * chance) / states * PARTS).astype(np.int64)
 
 
 def rates(totals: np.ndarray, n: int, types: int, prior: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,270 +186,207 @@ def rates(totals: np.ndarray, n: int, types: int, prior: bool) -> tuple[np.ndarr
     return flat, share, totals + flat * (types + 1) + share * mass
 
 
-def per_state(states: int, kind: T.DataType, prefix: str) -> list[T.StructField]:
-    return [T.StructField(f"{prefix}{k}", kind) for k in range(states)]
-
-
-def first_model(counts: DataFrame, head: int, states: int) -> Model:
-    """Head, totals, starts and moves from the counted vocabulary; emissions are to come."""
-    words = counts.where(F.col("token") != F.lit(END))
-    top = words.orderBy(F.desc("c"), "token").limit(head).collect()
-    ends = counts.where(F.col("token") == F.lit(END)).collect()
-    names = {bytes(r.token): k for k, r in enumerate(top)}
-    names[END] = len(names)
-    seen = np.array([r.c for r in top] + [ends[0].c if ends else 0], np.int64)
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    move = np.full((states, states), (1 - STAY) / max(1, states - 1)) + np.eye(states) * STAY
-    tail_types = types - int((seen > 0).sum())
-    return Model(names, seen, 1, np.array([total - int(seen.sum())]), np.array([tail_types]), total, types, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), np.zeros((len(names) + 1, states)))
-
-
-def first_table(ids: DataFrame, model: Model, seed: int) -> tuple[Model, DataFrame]:
-    """The model with its first emissions; and those of the other tokens: key, n and counts, and whether blocks share the token."""
-    states, shift = len(model.start), len(model.head) + 1
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), *per_state(states, T.LongType(), "s"), T.StructField("shared", T.BooleanType())])
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            id_, c, mark, shared = batch.columns
-            made = counted(id_.to_numpy() + shift, c.to_numpy(), first_counts(mark.to_numpy(), c.to_numpy(), states, seed))
-            yield pa.RecordBatch.from_arrays([*made.columns, shared], names=schema.names)
-
-    table = written(ids.select("id", "c", F.crc32("token").alias("mark"), "shared").mapInArrow(draw, schema), "lm-first")
-    own = first_counts(marks_of(list(model.head)), model.counts, states, seed)
-    return with_emissions(model, own / PARTS, (own.sum(axis=0) + sums(table, states)) / PARTS, prior=False), table
-
-
-def counted(key: np.ndarray, n: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    columns = [np.ascontiguousarray(rows[:, k]) for k in range(rows.shape[1])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, n, *columns)], names=["key", "n", *[f"s{k}" for k in range(len(columns))]])
-
-
-def sums(table: DataFrame, states: int) -> np.ndarray:
-    row = table.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in range(states)]).first()
-    return np.array(list(row), np.int64)
-
-
-def with_emissions(model: Model, expected_head: np.ndarray, totals: np.ndarray, prior: bool) -> Model:
-    """The model with new emissions of its head and of the unseen symbol, and the rates of all others."""
-    flat, share, whole = by_state = rates(totals, model.total, model.types, prior)
-    seen = np.concatenate((model.counts, [0]))
-    rows = np.concatenate((expected_head, np.zeros((1, len(totals)))))
-    return replace(model, emit=(rows + flat + (seen[:, None] + SMOOTH) * share) / whole, rates=by_state)
-
-
-def blocks(docs: DataFrame, text_col: str, keep: list[str], model: Model, label: str) -> DataFrame:
-    """A row a text, written: the `keep` columns (k_), its block, its symbols, the block's numbers of its tokens outside the head in their order, and (at, tokens, marks) of those that the block meets first in this row's batch, on the batch's first row."""
+def blocks(docs: DataFrame, learns: Column, text_col: str, keep: list[str], states: int, seed: int) -> DataFrame:
+    """Written, for each text: the `keep` columns (k_), its block, whether it is learnt from, and its tokens' numbers; and for each block a row with its tokens, their marks and uses in learnt texts, and the first model's sums."""
     bounded_batches(docs.sparkSession)
-    names = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col(f"`{text_col}`").cast("string").alias("text"))
-    added = [T.StructField("block", T.LongType()), T.StructField("symbols", T.BinaryType()), T.StructField("own", T.BinaryType()), T.StructField("at", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.BinaryType())), T.StructField("marks", T.BinaryType())]
-    schema = T.StructType([*source.schema.fields[:-1], *added])
+    source = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.coalesce(learns, F.lit(False)).alias("learns"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kept = source.schema.fields[:-2]
+    own = [field("block", "long"), field("learns", "boolean"), field("symbols", "binary"), field("tokens", "array<binary>"), field("uses", "array<int>"), field("marks", "binary"), field("first", "array<long>")]
+    schema = T.StructType([*kept, *own])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block, held = names.value, TaskContext.get().partitionId() << 16, 0
-        known: dict[bytes, int] = {}
+        arrow, block = None, TaskContext.get().partitionId() << 16
+        known, uses, held = Numbers(), np.zeros(0, np.int64), 0
+
+        def dictionary() -> pa.RecordBatch:
+            tokens = list(known)
+            marks = np.fromiter(map(zlib.crc32, tokens), np.uint32, len(tokens))
+            first = (first_weights(marks, states, seed) * uses[:, None]).sum(axis=0)
+            values = [pa.array([v], t) for v, t in ((block, pa.int64()), (None, pa.bool_()), (None, pa.binary()), (tokens, pa.list_(pa.binary())), (uses, pa.list_(pa.int32())), (marks.tobytes(), pa.binary()), (first, pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in arrow], *values], names=schema.names)
+
         for batch in batches:
-            if held >= PACK:
-                block, held, known = block + 1, 0, {}
-            at, symbols, numbers = len(known), [], []
-            for text in each_text(batch.column(batch.num_columns - 1)):
-                tokens = tokens_of(text)
-                held += len(tokens)
-                symbols.append(own.symbols(tokens).tobytes())
-                numbers.append(np.array([known.setdefault(t, len(known)) for t in tokens if t not in own.head], np.int32).tobytes())
-            n = len(symbols)
-            new = list(known)[at:]
-            fresh, marks = ([x] + [None] * (n - 1) if n else [] for x in (new, marks_of(new).tobytes()))
-            made = [pa.array(np.full(n, block, np.int64)), pa.array(symbols, pa.binary()), pa.array(numbers, pa.binary()), pa.array(np.full(n, at, np.int32)), pa.array(fresh, pa.list_(pa.binary())), pa.array(marks, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+            arrow = [c.type for c in batch.columns[:-2]]
+            if held >= BLOCK_TOKENS:
+                yield dictionary()
+                block, known, uses, held = block + 1, Numbers(), np.zeros(0, np.int64), 0
+            symbols = [np.fromiter(map(known.__getitem__, tokens_of(t)), np.int32) for t in each_text(batch.column(batch.num_columns - 1))]
+            learnt = batch.column(batch.num_columns - 2)
+            held += sum(map(len, symbols))
+            uses = np.concatenate((uses, np.zeros(len(known) - len(uses), np.int64)))
+            if mine := [s for s, x in zip(symbols, learnt.to_pylist()) if x]:
+                uses += np.bincount(np.concatenate(mine), minlength=len(known))
+            n = batch.num_rows
+            made = [pa.array(np.full(n, block, np.int64)), learnt, pa.array([packed(s) for s in symbols], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *made, *[pa.nulls(n, t) for t in (pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()))]], names=schema.names)
+        if known:
+            yield dictionary()
         give_back()
 
-    return written(source.mapInArrow(encode, schema), label)
-
-
-def each_token(rows: DataFrame) -> DataFrame:
-    each = rows.where("tokens is not null").select("block", "at", F.posexplode("tokens").alias("pos", "token"))
-    return each.select("block", (F.col("at") + F.col("pos")).alias("local"), "token")
-
-
-def identified(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each token outside the head, written: its id, from its place in its first block, its count, and whether blocks share it."""
-    first = each_token(rows).groupBy("token").agg(F.min(F.shiftleft("block", LOCAL_BITS) + F.col("local")).alias("id"), (F.count("*") > 1).alias("shared"))
-    return written(first.join(counts, "token"), "lm-ids")
-
-
-def numbered(rows: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    """(block, local, id) of the blocks' tokens among some ids, written."""
-    return written(each_token(rows).join(ids.select("token", "id"), "token").select("block", "local", "id"), label)
-
-
-def gathered(rows: DataFrame, pairs: DataFrame, table: DataFrame, model: Model, states_of: DataFrame | None = None) -> DataFrame:
-    """Each block's texts and what it keeps (local -1), and then its tokens' ids, counts and emissions, in one task."""
-    shift, (flat, share, whole) = len(model.head) + 1, model.rates
-    emits = [((F.col(f"s{k}") / PARTS + F.lit(float(flat[k])) + (F.col("n") + SMOOTH) * F.lit(float(share[k]))) / F.lit(float(whole[k]))).cast("float").alias(f"e{k}") for k in range(len(flat))]
-    tail = pairs.join(table.select((F.col("key") - shift).alias("id"), "n", *emits), "id")
-    out = rows.drop("tokens").withColumn("local", F.lit(-1)).unionByName(tail, allowMissingColumns=True)
-    if states_of is not None:
-        out = out.unionByName(states_of.select(F.col("key").alias("block"), "state", F.lit(-1).alias("local")), allowMissingColumns=True)
-    return out.repartition("block").sortWithinPartitions("block", "local")
-
-
-def each_block(batches: Iterator[pa.RecordBatch], model: Model, seed: int | None = None) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, Model]]:
-    """Rows of texts, texts' symbols, the other tokens' ids and counts, which of them are the block's own, and the model with their emissions.
-
-    Tokens that the join doesn't give are unseen, or, with a seed (in training), the block's own: their counts are
-    what the block has kept, or the first ones.
-    """
-    states, shift = len(model.start), len(model.head) + 1
-    texts: list[pa.RecordBatch] = []
-    tails: list[pa.RecordBatch] = []
-
-    def ready():
-        kept = [x for t in texts if "state" in t.schema.names for x in t.column("state").to_pylist() if x is not None]
-        rows = [t.filter(t.column("symbols").is_valid()) for t in texts]
-        numbers = [np.frombuffer(x, np.int32) for t in rows for x in t.column("own").to_pylist()]
-        size = max((int(x.max()) + 1 for x in numbers if len(x)), default=0)
-        ids, n, own = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.full(size, seed is not None)
-        emit = np.repeat(model.emit32[-1:], size, axis=0)
-        for t in tails:
-            at = t.column("local").to_numpy()
-            ids[at], n[at], own[at] = t.column("id").to_numpy(), t.column("n").to_numpy(), False
-            emit[at] = np.stack([t.column(f"e{k}").to_numpy() for k in range(states)], axis=1)
-        if seed is not None and own.any():
-            block, mine = rows[0].column("block")[0].as_py(), np.flatnonzero(own)
-            ids[mine] = (block << LOCAL_BITS) + mine
-            n[mine] = np.bincount(np.concatenate(numbers), minlength=size)[mine]
-            if kept:
-                known = np.frombuffer(zlib.decompress(kept[0]), np.int64).reshape(-1, states)
-            else:
-                marks = np.zeros(size, np.uint32)
-                for t in rows:
-                    for at, x in zip(t.column("at").to_pylist(), t.column("marks").to_pylist()):
-                        if x:
-                            marks[at : at + len(x) // 4] = np.frombuffer(x, np.uint32)
-                known = first_counts(marks[mine], n[mine], states, seed)
-            flat, share, whole = model.rates
-            emit[mine] = (known / PARTS + flat + (n[mine][:, None] + SMOOTH) * share) / whole
-        symbols = []
-        for x, own_numbers in zip((x for t in rows for x in t.column("symbols").to_pylist()), numbers):
-            row = np.frombuffer(x, model.kind).astype(np.int32)
-            row[row == shift - 1] = shift + own_numbers
-            symbols.append(row)
-        return rows, symbols, ids, n, own, replace(model, emit=np.concatenate((model.emit32, emit)))
-
-    now = None
-    for batch in batches:
-        block, local = batch.column("block").to_numpy(), batch.column("local").to_numpy()
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)]):
-            if a == b:
-                continue
-            if now is not None and block[a] != now:
-                yield ready()
-                texts, tails = [], []
-            now, k = block[a], a + int((local[a:b] < 0).sum())
-            if k > a:
-                texts.append(batch.slice(a, k - a))
-            if b > k:
-                tails.append(batch.slice(k, b - k))
-    if texts:
-        yield ready()
-
-
-def trained(rows: DataFrame, model: Model, ids: DataFrame, table: DataFrame, rounds: int, seed: int) -> tuple[Model, DataFrame]:
-    """Baum-Welch over all rows; key -1 - k carries row k of the moves, and the last ones the starts and the sums of blocks' own tokens."""
-    if not rounds:
-        return model, table
-    spark, states, shift = rows.sparkSession, len(model.start), len(model.head) + 1
-    pairs = numbered(rows, ids.where("shared"), "lm-pairs")
-    first, kept, old = table.where("shared"), None, [table]
-    schema = T.StructType([*table.schema.fields[:-1], T.StructField("state", T.BinaryType())])
-    table = first.drop("shared")
-    for at in range(rounds):
-        shared, last = spark.sparkContext.broadcast(model), at == rounds - 1
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, last_round = shared.value, last  # noqa: B023
-            starts, moves, by, times = np.zeros(states), np.zeros((states, states)), np.zeros((shift, states)), np.zeros(shift, np.int64)
-            rest = np.zeros(states, np.int64)
-
-            def sent(key: np.ndarray, n: np.ndarray, made: np.ndarray, state: bytes | None = None) -> Iterator[pa.RecordBatch]:
-                for k in range(0, len(key), 10_000):
-                    part = counted(key[k : k + 10_000], n[k : k + 10_000], made[k : k + 10_000])
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([state] * part.num_rows, pa.binary())], names=schema.names)
-
-            for texts, symbols, ids, _, own, local in each_block(batches, model, seed):
-                pack = Packed(symbols)
-                a, b, c = expected(local, pack)
-                here = np.bincount(pack.symbols, minlength=len(c))
-                starts += a
-                moves += b
-                by += c[:shift]
-                times += here[:shift]
-                tail = np.rint(c[shift:] * PARTS).astype(np.int64)
-                joined = np.full(len(own), True) if last_round else ~own
-                yield from sent(ids[joined] + shift, here[shift:][joined], tail[joined])
-                if not last_round and own.any():
-                    rest += tail[own].sum(axis=0)
-                    yield from sent(texts[0].column("block").to_numpy()[:1], np.full(1, -1), np.zeros((1, states), np.int64), zlib.compress(tail[own].tobytes(), 1))
-            used = np.flatnonzero(times)
-            if len(used):
-                made = np.concatenate((np.rint(np.concatenate((by[used], moves, starts[None])) * PARTS).astype(np.int64), rest[None]))
-                yield from sent(np.concatenate((used, -1 - np.arange(states + 2))), np.concatenate((times[used], np.zeros(states + 2, np.int64))), made)
+    return written(source.mapInArrow(encode, schema), "lm-blocks")
+
+
+def shared_tokens(texts: DataFrame) -> DataFrame:
+    """(block, local, uses, id, c) of the tokens that several blocks hold, written: id is a token's first place, c its count."""
+    each = texts.where("tokens is not null").select("block", F.posexplode(F.arrays_zip("tokens", "uses")).alias("local", "t"))
+    each = each.select("block", "local", F.col("t.tokens").alias("token"), F.col("t.uses").alias("uses"))
+    by = Window.partitionBy("token")
+    place = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
+    met = each.withColumn("id", F.min(place).over(by)).withColumn("c", F.sum("uses").over(by)).withColumn("n", F.count("*").over(by))
+    return written(met.where("n > 1").select("block", "local", "uses", "id", "c"), "lm-shared")
+
+
+def linked(shared: DataFrame, pairs: int, shard_pairs: int) -> DataFrame:
+    """For each shard and block that have tokens in common, written: their numbers in the block (locals) and in the shard (places), their counts, and the shard's size."""
+    shards = 1 + pairs // shard_pairs
+    dealt = shared.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "block", "local", "id", "c")
+
+    def link(table: pa.Table) -> pa.Table:
+        block, local, id_, c = (table[x].to_numpy() for x in ("block", "local", "id", "c"))
+        own, place = np.unique(id_, return_inverse=True)
+        order = np.lexsort((local, block))
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        parts = np.split(order, cuts)
+        n = len(parts)
+        columns = [pa.array(np.full(n, table["shard"][0].as_py(), np.int64)), pa.array([int(block[p[0]]) for p in parts], pa.int64()), *[pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (local, place, c)], pa.array(np.full(n, len(own), np.int64))]
+        return pa.Table.from_arrays(columns, names=["shard", "block", "locals", "places", "counts", "size"])
+
+    return written(dealt.groupBy("shard").applyInArrow(link, "shard long, block long, locals binary, places binary, counts binary, size long"), "lm-links")
+
+
+def summed(links: DataFrame, parts: DataFrame, states: int) -> DataFrame:
+    """(block, shard, sums): each block's tokens with the sums that all blocks' parts give."""
+    rows = links.select("shard", "block", "places", "size").unionByName(parts.where("shard is not null").select("shard", "block", "part"), allowMissingColumns=True)
+
+    def add(table: pa.Table) -> pa.Table:
+        sent = table.filter(table["part"].is_valid())
+        part = dict(zip(sent["block"].to_pylist(), sent["part"].to_pylist()))
+        mine = table.filter(table["places"].is_valid())
+        places = {b: unpacked(x) for b, x in zip(mine["block"].to_pylist(), mine["places"].to_pylist())}
+        total = np.zeros((mine["size"][0].as_py(), states), np.int64)
+        for b, x in part.items():
+            total[places[b]] += unpacked(x).reshape(-1, states)
+        shard = table["shard"][0].as_py()
+        return pa.Table.from_arrays([pa.array(list(places), pa.int64()), pa.array([shard] * len(places), pa.int64()), pa.array([packed(total[x]) for x in places.values()], pa.binary())], names=["block", "shard", "sums"])
+
+    return rows.groupBy("shard").applyInArrow(add, "block long, shard long, sums binary")
+
+
+def gathered(texts: DataFrame, links: DataFrame, parts: DataFrame | None, states: int):
+    """All that a block needs, grouped by block: its texts and dictionary; what it shares; and, after a round, sums and its own tokens' counts."""
+    out = texts.drop("tokens", "first") if parts is None else texts.drop("tokens", "first", "marks")
+    out = out.unionByName(links.select("block", "shard", "locals", "counts"), allowMissingColumns=True)
+    if parts is not None:
+        out = out.unionByName(summed(links, parts, states), allowMissingColumns=True).unionByName(parts.where("state is not null").select("block", "state"), allowMissingColumns=True)
+    return out.groupBy("block")
+
+
+class Block:
+    """One block's texts, counts and emissions."""
+
+    def __init__(self, table: pa.Table, model: Model, seed: int):
+        states, has = len(model.start), set(table.schema.names)
+        valid = lambda c: table.filter(table[c].is_valid())
+        self.texts = valid("symbols")
+        words = valid("uses")
+        uses = words["uses"].combine_chunks().values.to_numpy().astype(np.int64)
+        self.counts, alone = uses.copy(), np.full(len(uses), True)
+        self.links = []
+        for shard, at, c in zip(*[valid("locals")[x].to_pylist() for x in ("shard", "locals", "counts")]):
+            at = unpacked(at)
+            self.counts[at], alone[at] = unpacked(c), False
+            self.links.append((shard, at))
+        self.own = np.flatnonzero(alone & (uses > 0))
+        if "sums" in has:
+            counts = np.zeros((len(uses), states), np.int64)
+            sums = valid("sums")
+            given = dict(zip(sums["shard"].to_pylist(), sums["sums"].to_pylist()))
+            for shard, at in self.links:
+                counts[at] = unpacked(given[shard]).reshape(-1, states)
+            for x in valid("state")["state"].to_pylist():
+                counts[self.own] = unpacked(x).reshape(-1, states)
+        else:
+            counts = first_weights(np.frombuffer(words["marks"][0].as_py(), np.uint32), states, seed) * self.counts[:, None]
+        self.emit = model.emissions(counts, self.counts)
+
+    def packs(self, texts: pa.Table) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """Ranges of the texts of about PACK tokens, with their symbols."""
+        held, size, at = [], 0, 0
+        column = texts["symbols"]
+        for k in range(len(column)):
+            held.append(unpacked(column[k].as_py()))
+            size += len(held[-1])
+            if size >= PACK:
+                yield at, k + 1, held
+                held, size, at = [], 0, k + 1
+        if held:
+            yield at, len(column), held
+
+
+def trained(texts: DataFrame, links: DataFrame, model: Model, rounds: int, seed: int) -> tuple[Model, DataFrame | None]:
+    """The model after so many rounds, and the blocks' parts of the last one."""
+    spark, states, parts = texts.sparkSession, len(model.start), None
+    for _ in range(rounds):
+        given = spark.sparkContext.broadcast(model)
+
+        def count(table: pa.Table) -> pa.Table:
+            model = given.value  # noqa: B023
+            block, here = table["block"][0].as_py(), Block(table, model, seed)
+            starts, moves, by = np.zeros(states), np.zeros((states, states)), np.zeros((len(here.emit), states))
+            for _, _, symbols in here.packs(here.texts.filter(here.texts["learns"])):
+                a, b, c = expected(model.start, model.move, here.emit, Packed(symbols))
+                starts, moves, by = starts + a, moves + b, by + c
+            found = np.rint(by * PARTS).astype(np.int64)
+            sums = np.concatenate((np.rint(np.vstack((starts, moves)) * PARTS).astype(np.int64).ravel(), found.sum(axis=0)))
+            n = len(here.links)
+            columns = [pa.array([*[s for s, _ in here.links], None], pa.int64()), pa.array([block] * (n + 1), pa.int64()), pa.array([*[packed(found[at]) for _, at in here.links], None], pa.binary()), pa.array([*[None] * n, packed(found[here.own])], pa.binary()), pa.array([*[None] * n, sums], pa.list_(pa.int64()))]
             give_back()
-
-        raw = written(gathered(rows, pairs, table, model, kept).mapInArrow(count, schema), "lm-parts")
-        summed = written(raw.where("state is null").groupBy("key").agg(*[F.sum(c).alias(c) for c in table.columns[1:]]), "lm-expected")
-        table, kept = summed.where(F.col("key") >= shift), raw.where("state is not null").select("key", "state")
-        drop(*old)
-        old = [raw, summed]
-        few = summed.where(F.col("key") < shift).toArrow()
-        key = few["key"].to_numpy()
-        found = np.stack([few[f"s{k}"].to_numpy() for k in range(states)], axis=1) / PARTS if len(key) else np.zeros((0, states))
-        emit, by_key = np.zeros((shift - 1, states)), np.zeros((states + 2, states))
-        emit[key[key >= 0]] = found[key >= 0]
-        by_key[-1 - key[key < 0]] = found[key < 0]
-        move, start = by_key[:states] + SMOOTH_MOVE, by_key[states] + SMOOTH_MOVE
-        totals = emit.sum(axis=0) + by_key[states + 1] + sums(table, states) / PARTS
-        model = with_emissions(replace(model, start=start / start.sum(), move=move / move.sum(axis=1, keepdims=True)), emit, totals, prior=True)
-    drop(raw, pairs)
-    return model, table
-
-
-def scored(docs: DataFrame, training: DataFrame, keep: list[str], *, text_col: str = "text", head: int = HEAD, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """The `keep` columns (k_ before their names), then n_tokens, n_known, train_tokens, base_score and score."""
-    counts = written(count_tokens(training, text_col), "lm-counts")
-    model = first_model(counts, head, states)
-    learnt = blocks(training, text_col, [], model, "lm-symbols")
-    ids = identified(learnt, counts)
-    model, table = first_table(ids, model, seed)
-    drop(counts)
-    model, table = trained(learnt, model, ids, table, rounds, seed)
-    drop(learnt)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = blocks(docs, text_col, keep, model, "lm-rows")
-    pairs = numbered(rows, ids, "lm-row-pairs")
-    kept = [f for f in rows.schema.fields if f.name.startswith("k_")]
-    added = [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known")] + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
-    schema = T.StructType([*kept, *added])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        norm = np.log10(own.total + ADD * (own.types + 1))
-        for texts, symbols, _, n, _, local in each_block(batches, own):
-            seen = np.concatenate((own.counts, [0], n))
-            logs = np.log10(seen + ADD) - norm
-            made = [np.array([len(x) for x in symbols], np.int64), np.array([(seen[x] > 0).sum() for x in symbols], np.int64), np.array([logs[x].sum() for x in symbols]), forward(local, Packed(symbols), False)[0]]
-            at = 0
-            for t in texts:
-                yield pa.RecordBatch.from_arrays([*[t.column(f.name) for f in kept], *[pa.array(x[at : at + t.num_rows]) for x in made]], names=schema.names)
-                at += t.num_rows
+            return pa.Table.from_arrays(columns, names=["shard", "block", "part", "state", "sums"])
+
+        made = written(gathered(texts, links, parts, states).applyInArrow(count, "shard long, block long, part binary, state binary, sums array<long>"), "lm-parts")
+        if parts is not None:
+            drop(parts)
+        parts = made
+        few = np.array(parts.where("sums is not null").select(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(states * (states + 2))]).first(), object)
+        found = np.array([x or 0 for x in few], float).reshape(states + 2, states) / PARTS
+        start, move = found[0] + SMOOTH_MOVE, found[1:-1] + SMOOTH_MOVE
+        model = Model(model.total, model.types, start / start.sum(), move / move.sum(axis=1, keepdims=True), rates(found[-1], model.total, model.types, True))
+    return model, parts
+
+
+def scored(docs: DataFrame, learns: Column, keep: list[str], *, text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, seed: int = SEED, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
+    """The `keep` columns (k_ before their names), then n_tokens, n_known, train_tokens, base_score and score of all rows; learnt from those that `learns` names."""
+    texts = blocks(docs, learns, text_col, keep, states, seed)
+    shared = shared_tokens(texts)
+    own = texts.where("uses is not null").select(F.expr("aggregate(uses, 0L, (s, x) -> s + x)").alias("n"), F.expr("size(filter(uses, x -> x > 0))").alias("types"), "first")
+    at = own.agg(F.sum("n"), F.sum("types"), *[F.sum(F.col("first")[k]) for k in range(states)]).first()
+    total, first = at[0] or 0, np.array([x or 0 for x in at[2:]], float)
+    place = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
+    pairs, twice = shared.agg(F.count("*"), F.coalesce(F.count_if(F.col("uses") > 0) - F.count_if((place == F.col("id")) & (F.col("c") > 0)), F.lit(0))).first()
+    types = (at[1] or 0) - twice
+    links = linked(shared, pairs, shard_pairs)
+    drop(shared)
+    move = np.full((states, states), (1 - STAY) / max(1, states - 1)) + np.eye(states) * STAY
+    model = Model(total, types, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), rates(first / PARTS, total, types, False))
+    model, parts = trained(texts, links, model, rounds, seed)
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in texts.schema.fields if f.name.startswith("k_")]
+    schema = T.StructType([*kept, *[field(n, "long") for n in ("n_tokens", "n_known")], *[field(n, "double") for n in ("base_score", "score")]])
+
+    def score(table: pa.Table) -> pa.Table:
+        model = given.value
+        here = Block(table, model, seed)
+        logs = np.log10(here.counts + ADD) - np.log10(model.total + ADD * (model.types + 1))
+        made = np.zeros((4, len(here.texts)))
+        for a, b, symbols in here.packs(here.texts):
+            made[:3, a:b] = np.array([(len(x), (here.counts[x] > 0).sum(), logs[x].sum()) for x in symbols]).T
+            made[3, a:b] = forward(model.start, model.move, here.emit, Packed(symbols))[0]
         give_back()
+        return pa.Table.from_arrays([*[here.texts[f.name].combine_chunks() for f in kept], *[pa.array(x.astype(np.int64)) for x in made[:2]], *[pa.array(x) for x in made[2:]]], names=schema.names)
 
-    out = gathered(rows, pairs, table, model).mapInArrow(score, schema)
-    return out.select(*[f"`{f.name}`" for f in kept], "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = gathered(texts, links, parts, states).applyInArrow(score, schema)
+    return out.select(*[f"`{f.name}`" for f in kept], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def held_out(id_col: str = "doc_id", modulus: int = 10, remainder: int = 0):
+def held_out(id_col: str = "doc_id", modulus: int = 10, remainder: int = 0) -> Column:
     return F.coalesce(part_of(id_col, modulus) == remainder, F.lit(False))

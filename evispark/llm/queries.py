@@ -68,7 +68,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = hmm.scored(docs, docs.where(~hmm.held_out()), ["doc_id"]).withColumnRenamed("k_doc_id", "doc_id")
+    out = hmm.scored(docs, ~hmm.held_out(), ["doc_id"]).withColumnRenamed("k_doc_id", "doc_id")
     return out.select("doc_id", hmm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

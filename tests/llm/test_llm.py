@@ -424,21 +424,22 @@ def test_token_cache_is_bounded():
 # --- 10: language model
 
 
-def tiny_model(states=3, symbols=5, seed=0):
+def tiny_model(states=3, symbols=5, seed=0, kind=np.float32):
     rng = np.random.default_rng(seed)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-    return hmm.Model({b"a": 0, b"b": 1, hmm.END: 2}, np.array([5, 3, 2]), 2, np.array([1, 1]), np.array([1, 1]), 12, 5, norm(rng.uniform(0.1, 1, states), 0), norm(rng.uniform(0.1, 1, (states, states)), 1), norm(rng.uniform(0.1, 1, (symbols, states)), 0))
+    return norm(rng.uniform(0.1, 1, states), 0), norm(rng.uniform(0.1, 1, (states, states)), 1), norm(rng.uniform(0.1, 1, (symbols, states)), 0).astype(kind)
 
 
 def test_forward_and_expected_counts_match_enumeration():
     import itertools
 
     model, texts = tiny_model(), [np.array([0, 1, 4, 2]), np.array([3, 2]), np.array([2])]
-    scores, _, _ = hmm.forward(model, hmm.Packed(texts), False)
-    starts, moves, by = hmm.expected(model, hmm.Packed(texts))
+    start, move, emit = model
+    scores, _, _ = hmm.forward(*model, hmm.Packed(texts))
+    starts, moves, by = hmm.expected(*model, hmm.Packed(texts))
     s0, m0, b0 = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
     for text, score in zip(texts, scores):
-        paths = {p: model.start[p[0]] * model.emit[text[0], p[0]] * math.prod(model.move[p[t - 1], p[t]] * model.emit[text[t], p[t]] for t in range(1, len(text))) for p in itertools.product(range(3), repeat=len(text))}
+        paths = {p: start[p[0]] * emit[text[0], p[0]] * math.prod(move[p[t - 1], p[t]] * emit[text[t], p[t]] for t in range(1, len(text))) for p in itertools.product(range(3), repeat=len(text))}
         total = sum(paths.values())
         assert score == pytest.approx(math.log10(total), abs=1e-5)
         for p, v in paths.items():
@@ -465,20 +466,52 @@ def test_base_scores_match_brute_force(spark, sf):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)  # states tell more than frequencies
 
 
-def test_small_head_scores_like_a_large_one(spark, sf):
-    """The tail's join gives the same base as the head's table."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    a, b = ({r.k_doc_id: (r.base_score, r.n_known) for r in hmm.scored(docs, docs, ["doc_id"], head=h, rounds=0).collect()} for h in (20, 60_000))
-    assert all(a[k][0] == pytest.approx(b[k][0]) and a[k][1] == b[k][1] for k in b)
-
-
-def test_states_do_not_depend_on_the_head(spark, sf):
-    """Every training token has emissions of its own, in the head or not."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    training = docs.where(~hmm.held_out())
-    parted = training.repartition(4)  # tokens of one block and of several
-    a, b, none = ({r.k_doc_id: r.score for r in hmm.scored(docs, t, ["doc_id"], head=h, rounds=n).collect()} for t, h, n in ((parted, 20, 3), (training, 60_000, 3), (training, 20, 0)))
-    assert len(a) == len(b) and all(a[k] == pytest.approx(b[k], rel=1e-4) for k in b) and a != none
+def test_four_byte_recursion_is_near_an_eight_byte_one():
+    """On texts of up to 40,000 words over rare and frequent tokens."""
+    rng = np.random.default_rng(1)
+    texts = [np.minimum(rng.zipf(1.2, n) - 1, 49_999).astype(np.int32) for n in (40_000, 20_000, 300, 7, 1)]
+    start, move, emit = tiny_model(8, 50_000, 2, np.float64)
+    emit = emit / np.arange(1, 50_001)[:, None] ** 1.2
+    exact = hmm.forward(start, move, emit, hmm.Packed(texts))[0]
+    short = hmm.forward(start, move, emit.astype(np.float32), hmm.Packed(texts))[0]
+    assert np.abs(short / exact - 1).max() < 1e-6
+
+
+def test_packed_numbers_come_back():
+    for x in (np.zeros(0, np.int64), np.array([0, 1, -5, 2**31 - 1]), np.array([2**40, -(2**40), 3]), np.arange(100_000)):
+        assert (hmm.unpacked(hmm.packed(x)) == x).all()
+
+
+def plain_model(rows, learns, states=8, rounds=3, seed=hmm.SEED):
+    """The whole model in one process, over dense arrays."""
+    texts = [hmm.tokens_of((t or "").encode()) for t in rows]
+    names = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    symbols = [np.array([names[w] for w in t]) for t in texts]
+    learnt = [s for s, x in zip(symbols, learns) if x]
+    c = np.bincount(np.concatenate(learnt), minlength=len(names))
+    n, v = int(c.sum()), int((c > 0).sum())
+    e = hmm.first_weights(np.array([zlib.crc32(w) for w in names], np.uint32), states, seed) * c[:, None] / hmm.PARTS
+    start, move = np.full(states, 1 / states), np.full((states, states), (1 - hmm.STAY) / (states - 1)) + np.eye(states) * hmm.STAY
+    move /= move.sum(axis=1, keepdims=True)
+    for k in range(rounds + 1):
+        flat, share, whole = hmm.rates(e.sum(axis=0), n, v, k > 0)
+        emit = (e + flat + (c[:, None] + 0.1) * share) / whole
+        unseen = (flat + 0.1 * share) / whole
+        assert emit[c > 0].sum(axis=0) + unseen == pytest.approx(1)  # a distribution of every state
+        if k == rounds:
+            return hmm.forward(start, move, emit, hmm.Packed(symbols))[0]
+        s0, m0, e = hmm.expected(start, move, emit, hmm.Packed(learnt))
+        start, move = (s0 + 1) / (s0 + 1).sum(), (m0 + 1) / (m0 + 1).sum(axis=1, keepdims=True)
+
+
+def test_scores_match_a_model_in_one_process(spark, sf):
+    """However texts are dealt into blocks and tokens into shards."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 4000")
+    rows = docs.select("doc_id", "text", (~hmm.held_out()).alias("learns")).collect()
+    want = dict(zip([r.doc_id for r in rows], plain_model([r.text for r in rows], [r.learns for r in rows])))
+    for given, shard_pairs in ((docs, 400_000), (docs.repartition(5), 700)):
+        got = {r.k_doc_id: r.score for r in hmm.scored(given, ~hmm.held_out(), ["doc_id"], shard_pairs=shard_pairs).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-4) for k in want)
 
 
 def test_materialized_tables_live_in_the_shared_folder(spark):
