@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import decontaminate, mixing, neardup, quality_rules, secrets
+from evispark.llm import decontaminate, mixing, neardup, quality_rules, queries, secrets
 from evispark.llm.common import shared_dir, table
 
 
@@ -27,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: secrets are replaced by marks; every document stays."""
-    return secrets.redact(docs)
+    return secrets.redact(docs, queries.frequent_words())
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
