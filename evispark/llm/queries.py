@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,14 @@ from . import decontaminate, hmm, langid, mixing, neardup, quality_gam, quality_
 from .common import ADDED, part_of, table
 from .sql import oracle_sql  # noqa: F401  for __spark_entry__
 
-#: A file of public tokenizers; its place is a parameter.
+#: Files of public tokenizers; their places are parameters.
 VOCABULARY = os.environ.get("EVISPARK_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+WORD_VOCABULARY = os.environ.get("EVISPARK_WORD_VOCABULARY", "/opt/tokenizers/word_bpe_49k.json")
+
+
+@cache
+def frequent_words() -> list[str]:
+    return secrets.ranked_words(WORD_VOCABULARY, VOCABULARY)
 
 
 def added(*names: str) -> list:
@@ -43,7 +50,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col(ADDED + "spans")
     base = F.sha2(secrets.listed(spans, ("assign", "access", "hex")).cast("binary"), 256)
     counts = [secrets.count_of(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
+    return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"], frequent_words()).select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,34 +6,39 @@ don't overlap, whole matches as code point spans. The method adds `guess` spans:
 credential words whose guess cost, taken over the whole value, is at least 10**MIN_COST; where base spans cover a part
 of the value, the other parts are spans.
 
-Guess cost: the least sum, over all segmentations of the value, of the log10 costs of its spans: common words (by
-rank, any case), dates and years, repeats of the last 1 to 4 characters, keyboard walks, and brute force by
+Guess cost: the least sum, over all segmentations of the value, of the log10 costs of its spans: words of a ranked list
+(any case, and with digits or signs for letters), dates and years, repeats of the last 1 to 4 characters, keyboard walks, and brute force by
 character class. Repeats and walks cost a start and a little a character, so one pass with a state for each of
 them finds the least segmentation in time linear in the value's length.
 
-Plan: one scan of the texts, no shuffle. Byte searches for the few literals that any match needs come first; only
+The ranked list is a parameter: ranked_words() makes one from vocabulary files, whose paths are parameters too. The
+cost alone decides: a value's length or kind of characters rules nothing out.
+
+Plan: one scan of the texts, no shuffle; the list is broadcast (its size is checked). Byte searches for the few literals that any match needs come first; only
 texts that have one go through the patterns.
 
-Defined cases: null counts as empty; empty texts have no spans; repeated rows get a row each; other columns are
-unread. redact() passes all columns through.
+Defined cases: null counts as empty; empty texts have no spans; texts and values of any length are searched whole;
+spans of equal start are listed by kind; repeated rows get a row each; an empty table gives an empty result; other
+columns, whatever their names, are unread. redact() passes all columns through.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import each_text, scan_texts
+from .common import ADDED, apart, each_text, restored, scan_texts
 
-MIN_COST, MIN_VALUE = 9.0, 8
+MIN_COST, MAX_WORDS = 9.0, 2_000_000
+#: Values whose costs a task remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 4096, 64
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,14 +51,13 @@ CONTEXT_NEEDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HEX_OR_SPACE = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 
-#: Frequent password words, most frequent first; the words of WORD_FILE come after them.
+#: Frequent password words, most frequent first; they come before the words of a ranked list.
 WORDS = """password secret token admin welcome login letmein master dragon monkey qwerty shadow sunshine princess
 football baseball michael jordan superman batman trustno iloveyou hello freedom whatever ninja mustang access
 flower hottie loveme starwars passw0rd computer internet service test example changeme default root user guest
 demo sample placeholder private public server system database summer winter spring autumn monday friday january
 february march april june july august september october november december the and for with this that from your
 our have not are was one all you""".split()
-WORD_FILE = Path(__file__).with_name("words.txt")
 #: The rows of the common keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -71,51 +75,74 @@ def _neighbours() -> dict[str, str]:
     return {k: "".join(sorted(v)) for k, v in near.items()}
 
 
-def _ranked() -> dict[str, float]:
-    listed = [w for w in WORD_FILE.read_text("utf-8").split("\n") if w and w[0] != "#"]
-    return {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *listed]))}
-
-
 NEAR = _neighbours()
-RANK = _ranked()
-LONGEST = max(map(len, RANK))
 WALK_START, WALK_STEP, REPEAT_START, REPEAT_STEP, PERIODS = math.log10(len(NEAR)) + 0.5, 0.35, 0.7, 0.01, (1, 2, 3, 4)
 
 
+def ranked_words(word_bpe: str, piece_bpe: str) -> list[str]:
+    """Frequent words, most frequent first: the whole words of three letters or more of two vocabularies (a JSON file of merged words, a SentencePiece file), by turns."""
+    import sentencepiece
+
+    with open(word_bpe, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    ended = [w.removesuffix("</w>") for w in sorted(vocabulary, key=vocabulary.get) if w.endswith("</w>")]
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_bpe)
+    begun = [p[1:].lower() for p in map(model.id_to_piece, range(model.get_piece_size())) if p.startswith("\u2581")]
+    lists = [[w for w in words if len(w) > 2 and w.isalpha()] for words in (ended, begun)]
+    turns = [w for k in range(max(map(len, lists))) for words in lists for w in words[k : k + 1]]
+    return list(dict.fromkeys(turns))
+
+
 def brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 1000)
 
 
-@lru_cache(maxsize=4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
-    n, lower = len(value), value.lower().translate(SHIFTED)
-    plain = value.lower().translate(LEET)
-    plain = plain if len(plain) == n else value
-    lower = lower if len(lower) == n else value
-    free = [math.inf] * (n + 1)  # cheapest cost of value[:i], any last span
-    free[0] = 0.0
-    walk, copy = math.inf, [math.inf] * len(PERIODS)
-    for i in range(n):
-        start = free[i]
-        for size in range(3, min(LONGEST, n - i) + 1):
-            for cased, extra in ((value[i : i + size].lower(), 0.0), (plain[i : i + size], 0.5)):
-                if (rank := RANK.get(cased)) is not None:
-                    cost = start + rank + extra + (0.3 if not value[i : i + size].islower() else 0.0)
-                    free[i + size] = min(free[i + size], cost)
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            free[m.end()] = min(free[m.end()], start + (2.1 if m.end() - i == 4 else 4.6))
-        if i and lower[i] in NEAR.get(lower[i - 1], ""):
-            walk = min(walk, (free[i - 1] if i else math.inf) + WALK_START) + WALK_STEP
-        else:
-            walk = math.inf
-        for k, p in enumerate(PERIODS):
-            copy[k] = min(copy[k], start + REPEAT_START) + REPEAT_STEP if i >= p and value[i] == value[i - p] else math.inf
-        free[i + 1] = min(free[i + 1], start + brute(value[i]), walk, *copy)
-    return free[n]
-
-
-def find(text: bytes) -> list[tuple[int, str, int]]:
+class Guesses:
+    """Guess costs over one ranked list of words."""
+
+    def __init__(self, words: list[str]):
+        self.rank = {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+        self.longest = max(map(len, self.rank))
+        self.known: dict[str, float] = {}
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses of the cheapest segmentation."""
+        if (cost := self.known.get(value)) is None:
+            cost = self.cheapest(value)
+            if len(value) <= REMEMBERED_LENGTH:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[value] = cost
+        return cost
+
+    def cheapest(self, value: str) -> float:
+        n, lower = len(value), value.lower().translate(SHIFTED)
+        plain = value.lower().translate(LEET)
+        plain = plain if len(plain) == n else value
+        lower = lower if len(lower) == n else value
+        free = [math.inf] * (n + 1)  # cheapest cost of value[:i], any last span
+        free[0] = 0.0
+        walk, copy = math.inf, [math.inf] * len(PERIODS)
+        for i in range(n):
+            start = free[i]
+            for size in range(3, min(self.longest, n - i) + 1):
+                for cased, extra in ((value[i : i + size].lower(), 0.0), (plain[i : i + size], 0.5)):
+                    if (rank := self.rank.get(cased)) is not None:
+                        cost = start + rank + extra + (0.3 if not value[i : i + size].islower() else 0.0)
+                        free[i + size] = min(free[i + size], cost)
+            if value[i].isdigit() and (m := DATE.match(value, i)):
+                free[m.end()] = min(free[m.end()], start + (2.1 if m.end() - i == 4 else 4.6))
+            if i and lower[i] in NEAR.get(lower[i - 1], ""):
+                walk = min(walk, free[i - 1] + WALK_START) + WALK_STEP
+            else:
+                walk = math.inf
+            for k, p in enumerate(PERIODS):
+                copy[k] = min(copy[k], start + REPEAT_START) + REPEAT_STEP if i >= p and value[i] == value[i - p] else math.inf
+            free[i + 1] = min(free[i + 1], start + brute(value[i]), walk, *copy)
+        return free[n]
+
+
+def find(text: bytes, guesses: Guesses) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans in code points, by start and then kind."""
     small, spans = text.translate(LOWER), []
     assign = any(x in small for x in ASSIGN_NEEDS)
@@ -135,7 +162,7 @@ def find(text: bytes) -> list[tuple[int, str, int]]:
         for m in CONTEXT.finditer(body):
             a, b = m.span(1)
             b -= len(m[1]) - len(m[1].rstrip(".!?)]}"))
-            if b - a >= MIN_VALUE and (parts := outside(a, b, base)) and likely(body[a:b]):
+            if (parts := outside(a, b, base)) and guesses.cost(body[a:b]) >= MIN_COST:
                 spans += [(x, "guess", y) for x, y in parts]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
@@ -152,22 +179,21 @@ def outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int
     return [*parts, (a, b)] if a < b else parts
 
 
-def likely(value: str) -> bool:
-    """Whether a value looks chosen to be hard to guess."""
-    return guess_cost(value) >= MIN_COST
-
-
 SPAN_LIST = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _kernel(col: pa.Array) -> list[pa.Array]:
-    return [pa.array([[{"kind": k, "start": a, "end": b} for a, k, b in find(t)] for t in each_text(col)], ARROW_SPANS)]
+def scan(docs: DataFrame, keep: list[str], words: list[str], text_col: str = "text") -> DataFrame:
+    """The `keep` columns and the list of spans (kind, start, end) under the ADDED prefix; words: a ranked list."""
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"a list of {len(words)} words is more than the {MAX_WORDS} that are broadcast")
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    def make():
+        guesses = Guesses(shared.value)
+        return lambda col: [pa.array([[{"kind": k, "start": a, "end": b} for a, k, b in find(t, guesses)] for t in each_text(col)], ARROW_SPANS)]
 
-def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The `keep` columns and the list of spans (kind, start, end) under the ADDED prefix."""
-    return scan_texts(docs, text_col, keep, [T.StructField("spans", SPAN_LIST)], lambda: _kernel)
+    return scan_texts(docs, text_col, keep, [T.StructField("spans", SPAN_LIST)], make)
 
 
 def listed(spans, kinds: tuple[str, ...] = KINDS):
@@ -190,16 +216,16 @@ def cut(text: str, spans: list[dict], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, *, text_col: str = "text", mark: str = "<{kind}>") -> DataFrame:
+def redact(docs: DataFrame, words: list[str], *, text_col: str = "text", mark: str = "<{kind}>") -> DataFrame:
     """All documents, with every span of their texts replaced by its mark; null texts stay null."""
-    seen = scan(docs, docs.columns, text_col)
-    schema = docs.select(*[F.col(f"`{c}`") for c in docs.columns]).schema
+    own, names = apart(docs)
+    seen, text = scan(own, own.columns, words, names[text_col]), names[text_col]
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, last = batch.schema.get_field_index(text_col), batch.num_columns - 1
+            at, last = batch.schema.get_field_index(text), batch.num_columns - 1
             texts = [t if t is None or not s else cut(t, s, mark) for t, s in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist())]
             cols = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(last)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:last])
 
-    return seen.mapInArrow(replace, schema)
+    return restored(seen.mapInArrow(replace, seen.drop(ADDED + "spans").schema), names)

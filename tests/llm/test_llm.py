@@ -9,9 +9,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 from evispark.llm import decontaminate, hmm, langid, mixing, neardup, quality_gam, quality_rules, queries, secrets, tokencount, urlfilter
 from evispark.llm.common import ADDED, materialize
 
@@ -349,6 +346,67 @@ def test_url_rules_match_brute_force(spark):
 # --- 8: secrets
 
 
+GUESSES = secrets.Guesses(queries.frequent_words())
+
+
+def brute_cost(value, rank):
+    """The cheapest segmentation, over all spans of the value and all that a span can be."""
+    near = {(a, b) for r, row in enumerate(secrets.ROWS) for c, a in enumerate(row) for dr, dc in ((0, 1), (0, -1), (1, 0), (1, -1), (-1, 0), (-1, 1)) if 0 <= r + dr < 4 and 0 <= c + dc < len(secrets.ROWS[r + dr]) for b in secrets.ROWS[r + dr][c + dc]}
+    keys = value.lower().translate(secrets.SHIFTED)
+    plain = value.lower().translate(secrets.LEET)
+
+    def span(s, e):
+        own, costs = value[s:e], []
+        if e - s == 1:
+            costs.append(math.log10(10 if own.isdigit() else 26 if own.isascii() and own.isalpha() else 33 if own.isascii() else 1000))
+        for word, extra in ((own.lower(), 0), (plain[s:e], 0.5)):
+            if e - s > 2 and word in rank:
+                costs.append(rank[word] + extra + (0 if own.islower() else 0.3))
+        if (m := secrets.DATE.match(value, s)) and m.end() == e and own[0].isdigit():
+            costs.append(2.1 if e - s == 4 else 4.6)
+        if e - s > 1 and all((keys[i - 1], keys[i]) in near for i in range(s + 1, e)):
+            costs.append(secrets.WALK_START + secrets.WALK_STEP * (e - s - 1))
+        for p in (1, 2, 3, 4):
+            if s >= p and all(value[i] == value[i - p] for i in range(s, e)):
+                costs.append(secrets.REPEAT_START + secrets.REPEAT_STEP * (e - s))
+        return min(costs, default=math.inf)
+
+    best = [0.0]
+    for e in range(1, len(value) + 1):
+        best.append(min(best[s] + span(s, e) for s in range(e)))
+    return best[-1]
+
+
+def test_guess_costs_match_all_segmentations():
+    bits = ["password", "Summer", "p4ssw0rd", "the", "qwert", "zxcvb", "1990", "1999-12-31", "31.12.99", "aaaa", "abab", "x", "K", "9", "!", "é", "日", "lkjh", "111", "İ"]
+    rng = random.Random(8)
+    for _ in range(400):
+        value = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 6)))[:26]
+        if len(value.lower()) == len(value):
+            assert GUESSES.cost(value) == pytest.approx(brute_cost(value, GUESSES.rank)), value
+
+
+def test_cost_alone_decides():
+    """Short values and letters alone are secrets if they are dear, and nothing else is."""
+    for value in ("x9K!p2Z", "kqzvxwpfjhgtybnmrlkd", "aB3$é日"):
+        assert GUESSES.cost(value) >= secrets.MIN_COST and secrets.find(("pwd is " + value).encode(), GUESSES) == [(7, "guess", 7 + len(value))]
+    for value in ("qwertyuiop1990", "passwordpassword", "x9K", "1234567890"):
+        assert GUESSES.cost(value) < secrets.MIN_COST and secrets.find(("pwd is " + value).encode(), GUESSES) == []
+
+
+def test_secrets_query_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op8_secrets(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = brute_base(texts[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for _, k, _ in base) for x in ("assign", "access", "hex")]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for a, k, b in base} <= set(r.spans.split(",")) | {""}
+    assert all(sum(getattr(r, n) for r in rows) for n in ("n_assign", "n_hex"))  # no access keys there
+
+
 def brute_base(text):
     text, out = text or "", []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -363,37 +421,37 @@ def test_secret_spans_match_brute_force():
     rng = random.Random(5)
     for _ in range(3000):
         t = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
-        spans = secrets.find(t.encode())
+        spans = secrets.find(t.encode(), GUESSES)
         assert [s for s in spans if s[1] != "guess"] == brute_base(t)
         assert all(not (a < y and x < b) for a, k, b in spans if k == "guess" for x, j, y in spans if j != "guess")
 
 
 def test_values_that_base_spans_cover_in_part():
     text = "password: Tr0ub4dor&3$xyz!9 then token=x9K!pq2Zw7#Lm_" + "deadbeef" * 3 + "%Q4 and secret: abcdef123456"
-    got = [(k, text[a:b]) for a, k, b in secrets.find(text.encode())]
+    got = [(k, text[a:b]) for a, k, b in secrets.find(text.encode(), GUESSES)]
     assert got == [("assign", "password: Tr0ub4dor"), ("guess", "&3$xyz!9"), ("guess", "x9K!pq2Zw7#Lm_"), ("hex", "deadbeef" * 3), ("guess", "%Q4"), ("assign", "secret: abcdef123456")]
-    spans = [{"kind": k, "start": a, "end": b} for a, k, b in secrets.find(text.encode())]
+    spans = [{"kind": k, "start": a, "end": b} for a, k, b in secrets.find(text.encode(), GUESSES)]
     assert secrets.cut(text, spans, "<{kind}>") == "<assign><guess> then token=<guess><hex><guess> and <assign>"
 
 
 def test_guess_costs_order_values():
-    cost = secrets.guess_cost
+    cost = GUESSES.cost
     assert cost("password") < cost("password1990") < cost("xk3-Qz81vB")
     assert cost("a" * 500) < cost("kT9wq2LmZx") and cost("qwertyuiop") < cost("qpwoeiruty") and cost("abcabcabcabc") < cost("abcdhijkopqr")
-    assert [k for _, k, _ in secrets.find(b"the pwd is x9K!pq2Zw7 and pwd: monkey123")] == ["guess"]
-    assert secrets.guess_cost("0123456789" * 20_000) > 0  # linear in the length
+    assert [k for _, k, _ in secrets.find(b"the pwd is x9K!pq2Zw7 and pwd: monkey123", GUESSES)] == ["guess"]
+    assert cost("0123456789" * 20_000) > 0 and len(GUESSES.known) < 100 and all(len(v) <= 64 for v in GUESSES.known)  # linear in the length
 
 
 def test_letters_alone_can_be_a_secret():
     for context in ("pwd: ", "auth=", "login is ", "pass: ", "credentials: "):
-        assert secrets.find((context + "qWkzTnvBxRpLmJhYdSgc").encode()) == [(len(context), "guess", len(context) + 20)]
+        assert secrets.find((context + "qWkzTnvBxRpLmJhYdSgc").encode(), GUESSES) == [(len(context), "guess", len(context) + 20)]
         for word in ("authentication", "incorrect", "unbelievably", "Confidentiality", "management", "misunderstood"):
-            assert secrets.find((context + word).encode()) == []
+            assert secrets.find((context + word).encode(), GUESSES) == []
 
 
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, "a token = abcdef12345 b", "x"), (2, None, None), (3, "é password:hunter22 " + "deadbeef" * 4, "y")], "doc_id long, text string, spans string")
-    assert {r.doc_id: r.text for r in secrets.redact(rows).collect()} == {1: "a <assign> b", 2: None, 3: "é <assign> <hex>"}
+    assert {r.doc_id: r.text for r in secrets.redact(rows, queries.frequent_words()).collect()} == {1: "a <assign> b", 2: None, 3: "é <assign> <hex>"}
 
 
 # --- 9: tokens
@@ -412,7 +470,75 @@ def test_token_counts_match_a_unigram_tokenizer():
         assert counts.unknown == low - 10
         for _ in range(1500):
             w = "".join(rng.choice(letters + "xyz") for _ in range(rng.randrange(1, 14)))
-            assert counts[w][0] == len(model.encode("▁" + w).ids), w
+            assert counts.of_text(w)[1] == len(model.encode("▁" + w).ids), w
+
+
+def sentencepiece_file(pieces, kind):
+    """A SentencePiece file, written field by field: pieces (piece, score, type), trainer (kind), normaliser (identity)."""
+    import struct
+
+    number = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+    message = lambda f, body: bytes([f << 3 | 2]) + number(len(body)) + body
+    out = b"".join(message(1, message(1, p.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + bytes([3 << 3, t])) for p, s, t in pieces)
+    return out + message(2, bytes([3 << 3, kind])) + message(3, message(1, b"identity"))
+
+
+def test_scores_come_from_a_unigram_file(tmp_path):
+    """Counts equal those of the file's own library; a file of merges gets a Zipf law."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    rng = random.Random(4)
+    letters = "abcdeéß"
+    plain = ["▁", *letters[:5], *sorted({rng.choice(["▁", ""]) + "".join(rng.choice(letters) for _ in range(rng.randrange(2, 5))) for _ in range(120)})]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), *[(p, -rng.uniform(1, 9), 1) for p in plain]]
+    path = tmp_path / "unigram.model"
+    path.write_bytes(sentencepiece_file(pieces, 1))
+    vocabulary = tokencount.pieces_of(str(path))
+    assert [p for p, _ in vocabulary] == plain and all(s == pytest.approx(x[1], rel=1e-6) for (_, s), x in zip(vocabulary, pieces[2:]))
+    model, counts = sentencepiece.SentencePieceProcessor(model_file=str(path)), tokencount.Counts(vocabulary)
+    for _ in range(1500):
+        w = "".join(rng.choice(letters + "xy") for _ in range(rng.randrange(1, 14)))
+        assert counts.of_text(w)[1] == len(model.encode(w)), w
+    path.write_bytes(sentencepiece_file([pieces[0], *[(p, -float(k), 1) for k, p in enumerate(plain)]], 2))
+    zipf = tokencount.pieces_of(str(path))
+    assert sum(math.exp(s) for _, s in zipf) == pytest.approx(1) and zipf[0][1] - zipf[1][1] == pytest.approx(math.log(2))
+
+
+def plain_counts(text, known, unknown):
+    """Viterbi over whole texts, all starts of all ends."""
+    tokens = unknowns = 0
+    for w in text.split():
+        w = "▁" + w
+        best = [(0.0, 0, 0, False)]
+        for end in range(1, len(w) + 1):
+            ways = []
+            for start in range(max(0, end - 40), end):
+                s, t, u, last = best[start]
+                if w[start:end] in known:
+                    ways.append((s + known[w[start:end]], t + 1, u, False))
+            if w[end - 1] not in known:
+                s, t, u, last = best[end - 1]
+                ways.append((s + unknown, t + (not last), u + (not last), True))
+            best.append(max(ways, key=lambda x: x[0]))
+        tokens, unknowns = tokens + best[-1][1], unknowns + best[-1][2]
+    return len(text.split()), tokens, unknowns
+
+
+def test_token_query_matches_brute_force(spark, sf, folder):
+    known = dict(tokencount.pieces_of(queries.VOCABULARY))
+    unknown = min(known.values()) - 10
+    for root in (sf, str(folder / "odd")):
+        texts = Counter((r.doc_id, *plain_counts(r.text or "", known, unknown)) for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text").collect() if len(r.text or "") < 60_000)
+        got = Counter(tuple(r) for r in queries.op9_token_counts(spark, root).collect())
+        assert not texts - got
+
+
+def test_long_words_take_little_memory():
+    import tracemalloc
+
+    counts, word = tokencount.Counts([("▁", -1.0), ("a", -2.0), ("ab", -2.5)]), "ab" * 500_000
+    tracemalloc.start()
+    assert counts.of_text(word) == (1, 500_001, 0) and not counts
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
 
 
 def test_token_cache_is_bounded():
@@ -519,12 +645,34 @@ def test_materialized_tables_live_in_the_shared_folder(spark):
     assert out.count() == 5 and spark.conf.get("spark.checkpoint.dir") in out.inputFiles()[0]
 
 
-def test_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
-    assert T.LongType() == decontaminate.FIELDS[0].dataType and F is not None
+# --- the pipeline
 
 
-# --- the pipeline
+def brute_redaction(text):
+    """Characters marked one by one: the base spans, then what is left of dear values after wider credential words."""
+    kind = [None] * len(text)
+    spans = brute_base(text)
+    context = r"(?<![A-Za-z])(?i:password|passwd|passphrase|pass|pwd|secret|token|api[ _-]?key|private[ _-]?key|credentials?|auth|login)[\"']?[ ]*(?:[:=]|\bis\b)[ ]*[\"']?([^\s\"'<>,;]+)"
+    dear = []
+    for m in re.finditer(context, text, re.ASCII):
+        value = m[1].rstrip(".!?)]}")
+        if brute_cost(value, GUESSES.rank) >= secrets.MIN_COST:
+            dear.append((m.start(1), m.start(1) + len(value)))
+    for a, k, b in sorted(spans, key=lambda s: (s[0], secrets.KINDS.index(s[1]))):
+        label = kind[a] or (k, a)  # an overlapping span goes on with the mark of the one before it
+        kind[a:b] = [x or label for x in kind[a:b]]
+    base = [bool(k) for k in kind]
+    for a, b in dear:
+        for i in range(a, b):
+            if not base[i]:
+                kind[i] = ("guess", i) if i == a or base[i - 1] else kind[i - 1]
+    out = []
+    for i, c in enumerate(text):
+        if not kind[i]:
+            out.append(c)
+        elif i == 0 or kind[i - 1] != kind[i]:
+            out.append(f"<{kind[i][0]}>")
+    return "".join(out)
 
 
 def test_pipeline_matches_brute_force(spark, sf):
@@ -558,7 +706,7 @@ def test_pipeline_matches_brute_force(spark, sf):
         return bool(hit) and 20 * len(hit) >= len(w)
 
     docs = {i: d for i, d in docs.items() if not contaminated(folded[i])}
-    docs = {i: (secrets.cut(d[0], [{"kind": k, "start": a, "end": b} for a, k, b in secrets.find(d[0].encode())], "<{kind}>"), *d[1:]) for i, d in docs.items()}
+    docs = {i: (brute_redaction(d[0]), *d[1:]) for i, d in docs.items()}
     con.sql("DROP VIEW documents")
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [(i, *d) for i, d in docs.items()])
