@@ -6,14 +6,15 @@ starts with the rule's. Of several, the longest host and path together wins, the
 
 Plan (DataFrame functions only): every distinct (host, path) is expanded once into expressions, one for each
 dot-suffix of the host and each length that rules' paths have; these meet the rules on the first 8 hex digits of
-SHA-256, and full digests confirm. Verdicts join back to the rows on (host, path), so a hot URL is judged once;
-Spark broadcasts the rules or splits skewed partitions by their sizes. Path lengths that rules have are collected:
+SHA-256, and full digests confirm. Verdicts join back to the rows on (host, path) and a salt of SALTS values, so a hot
+URL is judged once and its rows, as those without a host, stay spread; verdicts are few, as rules must fit them. Path lengths that rules have are collected:
 there are at most MAX_PATH of them, as longer rule paths fall in one class that is expanded from the rule side's
 lengths by a join on the host alone.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and gets the default verdict; an empty
 host fits no rule; repeated rows get a row each; rules with a null host, path or action are ignored, equal rules
-count once; no rules leave every verdict at the default; other columns are unread.
+count once; no rules leave every verdict at the default; URLs of any length are judged whole; an empty table gives an
+empty result; other columns, whatever their names, are unread or passed through.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ADDED = "__added_"
+from .common import ADDED, apart, restored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_PATH = 256
+MAX_PATH, SALTS, BROADCAST_KEYS = 256, 32, 200_000
 #: The rules of the registered query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -68,17 +70,42 @@ def matches(keys: DataFrame, rules: DataFrame) -> DataFrame:
     return found.union(each.join(far, each["suffix"] == far["r_host"]).where("startswith(path, r_path)").select("host", "path", "r_host", "r_path", "r_action"))
 
 
-def judged(pages: DataFrame, rules: DataFrame, keep: list[str], *, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The `keep` columns, then host, path, rule (host and path, or null) and verdict under the ADDED prefix."""
+def placed(pages: DataFrame, url_col: str) -> DataFrame:
+    """pages with host and path under the ADDED prefix."""
     host, path = split_url(F.col(f"`{url_col}`").cast("string"))
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias(ADDED + "host"), path.alias(ADDED + "path"))
-    keys = rows.select(F.col(ADDED + "host").alias("host"), F.col(ADDED + "path").alias("path")).distinct()
+    return pages.withColumns({ADDED + "host": host, ADDED + "path": path})
+
+
+def best_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(b_host, b_path, rule, action) of the distinct placed URLs that a rule fits."""
+    keys = rows.select(F.col(ADDED + "host").alias("host"), F.col(ADDED + "path").alias("path")).where("host <> ''").distinct()
     order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_action"))
-    best = matches(keys, ready_rules(rules)).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_action").alias("action")), order).alias("best"))
-    out = rows.join(best, (F.col(ADDED + "host") == F.col("host")) & (F.col(ADDED + "path") == F.col("path")), "left")
-    return out.select(*[F.col(f"`{c}`") for c in keep], ADDED + "host", ADDED + "path", F.col("best.rule").alias(ADDED + "rule"), F.coalesce("best.action", F.lit(default)).alias(ADDED + "verdict"))
+    best = matches(keys, ready_rules(rules)).groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_action").alias("action")), order).alias("best"))
+    return best.select("b_host", "b_path", "best.rule", "best.action")
 
 
-def allowed(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """The pages that aren't blocked, with their own columns."""
-    return judged(pages, rules, pages.columns, url_col=url_col, default=default).where(F.col(ADDED + "verdict") != "block").select(*[F.col(f"`{c}`") for c in pages.columns])
+def met(rows: DataFrame, best: DataFrame, how: str) -> DataFrame:
+    """Placed rows joined to rows of best_rules() on URL and salt."""
+    salted = rows.withColumn(ADDED + "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = best.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, (F.col(ADDED + "host") == F.col("b_host")) & (F.col(ADDED + "path") == F.col("b_path")) & (F.col(ADDED + "salt") == F.col("b_salt")), how)
+
+
+def judged(pages: DataFrame, rules: DataFrame, keep: list[str], *, url_col: str = "url", default: str = "allow") -> DataFrame:
+    """The `keep` columns, then host, path, rule (host and path, or null) and verdict under the ADDED prefix."""
+    own, names = apart(pages.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, url_col])]))
+    rows = placed(own, names[url_col])
+    out = met(rows, best_rules(rows, rules), "left")
+    return restored(out, {c: names[c] for c in keep}, ADDED + "host", ADDED + "path", F.col("rule").alias(ADDED + "rule"), F.coalesce("action", F.lit(default)).alias(ADDED + "verdict"))
+
+
+def allowed(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The pages that aren't blocked, with their own columns; they stay in place while the URLs that decide are few enough to broadcast."""
+    own, names = apart(pages)
+    rows = placed(own, names[url_col])
+    decisive = best_rules(rows, rules).where((F.col("action") == "block") != F.lit(default == "block"))
+    how = "left_semi" if default == "block" else "left_anti"
+    if decisive.limit(broadcast_keys + 1).count() > broadcast_keys:
+        return restored(met(rows, decisive, how), names)
+    same = (F.col(ADDED + "host") == F.col("b_host")) & (F.col(ADDED + "path") == F.col("b_path"))
+    return restored(rows.join(F.broadcast(decisive), same, how), names)
