@@ -14,12 +14,14 @@ Plan: one scan of whole texts makes a 16-byte digest of the words and a signatur
 sequences collapse by partial aggregation, so thousands of copies count as one node from there on. In each band
 bucket of two nodes or more, all are compared to the bucket's least node (a star, not all pairs); links are
 joined into components by alternating large-star and small-star contractions. In buckets whose nodes are still in
-several components, nodes outside the bucket's main component are then compared to all nodes of other components,
-which signatures screen first: no link between bucket mates can be lost to the star. Only texts of candidates move.
+several components, nodes outside the bucket's main component are then compared to all nodes of other components, in
+pairs of blocks that are dealt over tasks by bucket and block: first by signatures alone, then by the texts of the nodes
+that came near another. No link between bucket mates can be lost to the star. Only texts of candidates move.
 
 Defined cases: null texts and texts without words are classes of their own, by row; repeated rows get a row each;
-null ids are allowed (a class's id is its least non-null id); an empty table gives an empty result; other columns
-are unread, and near_duplicate_free() passes them through.
+null ids are allowed (a class's id is its least non-null id); texts of any length are compared whole; of ties, a pair at
+the threshold is linked; an empty table gives an empty result; other columns, whatever their names, are unread, and
+near_duplicate_free() passes them through.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ADDED, each_text, field, give_back, materialize, runs, scan_texts, utf8
+from .common import ADDED, apart, each_text, field, give_back, materialize, restored, runs, scan_texts, utf8
 from .decontaminate import SPACED, window_hashes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, REGISTERS = 5, 0.8, 24, 5, 160
 #: Pairs are screened out if their signatures agree in less than threshold - SCREEN deviations of such an estimate.
-SCREEN = 3.3
-CHUNK, BROADCAST_NODES, BLOCK = 1 << 20, 400_000, 64
+SCREEN = 5
+#: Nodes of a block of signatures, and of one with texts.
+WIDE, BLOCK = 512, 64
+CHUNK, BROADCAST_NODES = 1 << 20, 400_000
 #: Sums of fractions carry rounding.
 ROUNDING = 1e-9
 _G, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -229,48 +233,67 @@ class Duplicates:
         mains = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
         return materialize(rows.join(mains, "bucket"), "dup-mixed")
 
+    def block_pairs(self, rows: DataFrame, width: int, cell: list[str]) -> DataFrame:
+        """(bucket, band, main, outside, mates): a bucket's nodes in blocks of about `width`, each block's mates with each block's nodes outside the main component.
+
+        Copies of outside blocks go to the task of the (bucket, block) whose mates they meet, so a large bucket is spread.
+        """
+        cells = F.struct(*cell)
+        dealt = rows.withColumn("blocks", F.ceil(F.col("n") / width)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        mates = dealt.groupBy("bucket", "band", "main", "block").agg(F.collect_list(cells).alias("mates"))
+        outside = dealt.where("comp <> main").groupBy("bucket", "block", "blocks").agg(F.collect_list(cells).alias("outside"))
+        outside = outside.select("bucket", "outside", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        return outside.join(mates, ["bucket", "block"]).select("bucket", "band", "main", "outside", "mates")
+
     def across(self, mixed_rows: DataFrame) -> DataFrame:
         """The links between bucket mates in different components, of which one is outside the bucket's main component.
 
-        A bucket's nodes are dealt into blocks of about BLOCK; blocks of outside nodes meet all the bucket's blocks.
-        Whole blocks of signatures are screened at once and what is left is compared by text, so rows made are links.
-        A pair is looked at in the first band only that both share.
+        A first pass over signatures finds the nodes that come near any other; the second compares the texts of these
+        alone, so rows made are nodes and links, never all pairs. A pair is looked at in the first band only that both share.
         """
-        texts = self.texts_of(mixed_rows.select("node"))
-        rows = mixed_rows.join(self.nodes.select("node", "sig"), "node").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        cell = F.struct("node", "comp", "sig", "text")
-        mates = rows.groupBy("bucket", "band", "block").agg(F.collect_list(cell).alias("mates"), F.first("main").alias("main"))
-        outside = rows.where("comp <> main").groupBy("bucket", "block").agg(F.collect_list(cell).alias("outside"))
-        met = outside.select("bucket", "outside").join(mates.select("bucket", "band", "main", "mates"), "bucket").select("band", "main", "outside", "mates")
+        rows = mixed_rows.join(self.nodes.select("node", "sig"), "node")
         registers, width, least, size, threshold = self.registers, self.rows, self.floor(), self.size, self.threshold
 
         class Block:
             def __init__(self, cells: pa.Array):
                 self.node, self.comp = (cells.field(c).to_numpy() for c in ("node", "comp"))
                 self.sig = np.frombuffer(b"".join(cells.field("sig").to_pylist()), np.uint16).reshape(len(cells), registers)
-                self.text, self.known = cells.field("text"), {}
+                self.text, self.known = cells.field("text") if cells.type.get_field_index("text") >= 0 else None, {}
 
             def profile(self, i: int) -> tuple[np.ndarray, np.ndarray]:
                 if i not in self.known:
                     self.known[i] = profile(self.text[i].as_py().encode(), size)
                 return self.known[i]
 
+        def near_pairs(batch: pa.RecordBatch, k: int) -> Iterator[tuple[Block, int, Block, int]]:
+            band, main = batch.column("band")[k].as_py(), batch.column("main")[k].as_py()
+            x, y = Block(batch.column("outside")[k].values), Block(batch.column("mates")[k].values)
+            for i in range(len(x.node)):
+                same = y.sig == x.sig[i]
+                near = np.flatnonzero((same.sum(axis=1) >= least) & (y.comp != x.comp[i]))
+                if band and len(near):
+                    near = near[~same[near, : band * width].reshape(len(near), band, width).all(axis=2).any(axis=1)]
+                yield from ((x, i, y, j) for j in near.tolist() if y.comp[j] == main or x.node[i] < y.node[j])
+
+        def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    found = list({int(n) for x, i, y, j in near_pairs(batch, k) for n in (x.node[i], y.node[j])})
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("bucket")[k].as_py()] * len(found), pa.int64()), pa.array(found, pa.int64())], names=["bucket", "node"])
+            give_back()
+
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    band, main = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                    x, y = Block(batch.column(2)[k].values), Block(batch.column(3)[k].values)
-                    found = []
-                    for i in range(len(x.node)):
-                        same = y.sig == x.sig[i]
-                        near = np.flatnonzero((same.sum(axis=1) >= least) & (y.comp != x.comp[i]))
-                        if band and len(near):
-                            near = near[~same[near, : band * width].reshape(len(near), band, width).all(axis=2).any(axis=1)]
-                        found += [(x.node[i], y.node[j]) for j in near.tolist() if (y.comp[j] == main or x.node[i] < y.node[j]) and similarity(x.profile(i), y.profile(j)) >= threshold - ROUNDING]
+                    found = [(int(x.node[i]), int(y.node[j])) for x, i, y, j in near_pairs(batch, k) if similarity(x.profile(i), y.profile(j)) >= threshold - ROUNDING]
                     yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
             give_back()
 
-        return materialize(met.mapInArrow(compare, "a long, b long"), "dup-across")
+        near = materialize(self.block_pairs(rows, WIDE, ["node", "comp", "sig"]).mapInArrow(screen, "bucket long, node long").distinct(), "dup-near")
+        texts = self.texts_of(near.select("node"))
+        left = near.join(near.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+        rows = rows.drop("n").join(left, ["bucket", "node"]).join(texts, "node")
+        return materialize(self.block_pairs(rows, BLOCK, ["node", "comp", "sig", "text"]).mapInArrow(compare, "a long, b long"), "dup-across")
 
     def classes(self) -> DataFrame:
         """(node, root) of the nodes that have links."""
@@ -324,6 +347,8 @@ def near_duplicate_free(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     The rows to leave out are broadcast while they are within BROADCAST_NODES, so that texts stay in place.
     """
     opts = {"size": SHINGLE, "threshold": THRESHOLD, "bands": BANDS, "rows": ROWS} | how
+    docs, names = apart(docs)
+    id_col, text_col = names[id_col], names[text_col]
     work = Duplicates(docs, id_col, text_col, *[opts[k] for k in ("size", "threshold", "bands", "rows")])
     roots = work.nodes.join(work.classes(), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min_by("digest", F.struct("id", "digest")).alias("stays")).select("stays")
@@ -334,10 +359,9 @@ def near_duplicate_free(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     few = keys.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     named = scan_texts(docs, text_col, docs.columns, [field("digest", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())])
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("x_id")) & (F.col(ADDED + "digest") == F.col("x_digest"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    kept = named.join(F.broadcast(keys) if few else keys, same, "left_anti").select(*own)
+    kept = restored(named.join(F.broadcast(keys) if few else keys, same, "left_anti"), names)
     again = keys.where("stays")
     if again.isEmpty():
         return kept
-    repeated = named.join(F.broadcast(again) if few else again, same, "left_semi").dropDuplicates([id_col, ADDED + "digest"]).select(*own)
-    return kept.union(repeated)
+    repeated = named.join(F.broadcast(again) if few else again, same, "left_semi").dropDuplicates([id_col, ADDED + "digest"])
+    return kept.union(restored(repeated, names))
