@@ -3,18 +3,22 @@
 Features: the 1-, 2- and 3-grams of the lower-cased text, in which every ASCII character that is no letter counts as
 a space, hashed into 2**BITS places. A feature's weight is its share of the text's n-grams, times ln((1 + D) / (1 +
 df)) + 1 over all D training texts, times SCALE. Training is follow-the-regularised-leader (per-coordinate rates,
-elastic net) over the training rows of a bounded sample (`sample_rows`, least hashed ids), `epochs` times; what the
-sample has of the calibration fold fits one temperature by log loss instead.
+elastic net) over the training rows of a bounded sample, `epochs` times; what the sample has of the calibration fold fits
+one temperature by log loss instead. The languages are those of all training rows, and each gives the sample its rows of
+least hashed ids, `sample_rows` shared out evenly, so that a rare language is learnt beside a hot one. Of more than
+`max_languages` the most frequent are learnt, as weights are held for each.
 
 Because weights are linear in the counts, a text's logits are sums over its positions of a table's rows, so
 prediction never builds sparse vectors. Document frequencies cover all training texts.
 
 Plan: one scan counts document frequencies (2**BITS numbers a task), one takes the sample's sparse rows to the
-driver (bounded), one predicts; no text is shuffled. The table, 2**BITS by languages, is broadcast.
+driver (bounded), one predicts; no text is shuffled. Each language's share of the sample is cut in every task before its
+shuffle. The table, 2**BITS by languages, is broadcast.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; no training rows: all texts are `und`;
-a null id is in no fold that trains; repeated rows get a row each; empty tables give empty results; other columns
-are unread.
+a null id is in no fold that trains; texts of any length are read whole, though a task holds a text's positions at once;
+equal scores go to the first language in code point order; a language of the calibration fold alone is trained on that;
+repeated rows get a row each; empty tables give empty results; other columns, whatever their names, are unread.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, each_text, field, part_of, scan_texts
 
 BITS, ORDERS, SCALE, SAMPLE_ROWS, EPOCHS = 16, (1, 2, 3), 30.0, 4000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
+MAX_LANGUAGES = 256
 UNKNOWN, CHUNK = "und", 1 << 20
 SIZE = 1 << BITS
 LETTER = re.compile(r"[^\W\d_]")
@@ -141,23 +146,26 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS) -> Model | None:
+def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """From rows(id, text, lang, calibrates): all of them count for the document frequencies, a bounded sample for the weights."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, total = document_frequencies(rows.select("text"))
     if not total:
         return None
-    key = F.xxhash64(F.col("id").cast("string"))
-    last = rows.select(key.alias("key")).orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]
+    languages = sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
+    key, quota = F.xxhash64(F.col("id").cast("string")), max(1, sample_rows // len(languages))
+    named = rows.select("lang", key.alias("key")).where(F.col("lang").isin(languages))
+    first = named.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= quota)
+    last = {r.lang: r.key for r in first.groupBy("lang").agg(F.max("key").alias("key")).collect()}
+    limit = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])[F.col("lang")]
     fields = [field("f", "array<int>"), field("n", "array<int>"), field("total", "long")]
 
     def kernel(col: pa.Array) -> list[pa.Array]:
         made = [sparse(t.decode()) for t in each_text(col)]
         return [pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.int32())), pa.array([m[2] for m in made], pa.int64())]
 
-    taken = scan_texts(rows.where(key <= last).select("text", "lang", "calibrates", key.alias("key")), "text", ["lang", "calibrates", "key"], fields, lambda: kernel, prefix="")
+    taken = scan_texts(rows.where(key <= limit).select("text", "lang", "calibrates", key.alias("key")), "text", ["lang", "calibrates", "key"], fields, lambda: kernel, prefix="")
     taken = taken.orderBy("key", "total", "lang").limit(sample_rows).toArrow()
-    languages = sorted(set(taken["lang"].to_pylist()))
     idf = np.log((1 + total) / (1 + df)) + 1
     fit, check = [], []
     for k in range(taken.num_rows):
@@ -165,7 +173,9 @@ def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCH
         x = taken["n"][k].values.to_numpy() / max(1, taken["total"][k].as_py()) * idf[f] * SCALE
         row = (np.append(f, SIZE), np.append(x, 1.0), languages.index(taken["lang"][k].as_py()))
         (check if taken["calibrates"][k].as_py() else fit).append(row)
-    w = follow_the_leader(fit or check, len(languages), epochs)
+    seen = {y for _, _, y in fit}
+    fit += [row for row in check if row[2] not in seen]
+    w = follow_the_leader(fit, len(languages), epochs)
     logits = np.array([x @ w[f] for f, x, _ in check]).reshape(-1, len(languages))
     heat = temperature_of(logits, np.array([y for _, _, y in check], int))
     return Model(languages, (w[:-1] * (idf * SCALE)[:, None]).astype(np.float32), w[-1], heat)
