@@ -9,9 +9,11 @@ The model is fitted on a bounded sample (`sample_rows`, least hashed ids) of the
 language, source and id are never inputs. Plan: the sample's ids are broadcast (bounded) to a scan that takes their
 features to the driver; another scan scores all texts. Nothing is shuffled but the labels' ids.
 
-Defined cases: null texts count as empty, and empty texts are scored like others; null labels are ignored; labels of
-one class, or none, give a constant score; repeated rows get a row each; empty tables give empty results; other
-columns are unread.
+Defined cases: null texts count as empty, and empty texts are scored like others; texts of any length are measured whole;
+null labels are ignored, equal labels of an id count once, different ones each; labels of one class, or none, give a
+constant score; a value on a bin's edge is in the upper bin, and of equal gains the first cut wins in a feature, the last
+leaf among leaves; repeated rows get a row each; empty tables give empty results; other columns, whatever their names,
+are unread.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, field, part_of, scan_texts
+from .common import each_text, field, scan_texts
 from .quality_rules import measure
 
 BINS, COARSE, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, RIDGE, LEAST_ROWS = 32, 8, 120, 6, 60, 0.1, 5.0, 20
@@ -158,7 +160,7 @@ def fitted(x: np.ndarray, y: np.ndarray) -> Model:
 def trained(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """From labels that the caller has restricted to training rows."""
     key = F.xxhash64(F.col(f"`{id_col}`").cast("string"))
-    ids = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("double").alias("y"), key.alias("key")).orderBy("key", "label_id", "y").limit(sample_rows)
+    ids = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("label_id"), F.col(f"`{label_col}`").cast("double").alias("y"), key.alias("key")).distinct().orderBy("key", "label_id", "y").limit(sample_rows)
     met = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), F.col("id") == F.col("label_id"))  # at most sample_rows rows
     rows = scan_texts(met, "text", ["key", "label_id", "y"], [field("x", "array<double>")], lambda: _feature_kernel, prefix="")
     rows = rows.orderBy("key", "label_id", "y", "x").limit(sample_rows).toArrow()
@@ -175,7 +177,3 @@ def scored(docs: DataFrame, model: Model, keep: list[str], *, text_col: str = "t
         return [pa.array(shared.value.score(x), pa.float64())]
 
     return scan_texts(docs, text_col, keep, [field("score", "double")], lambda: kernel)
-
-
-def fold(id_col: str = "doc_id", modulus: int = 3):
-    return part_of(id_col, modulus)
