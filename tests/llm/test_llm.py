@@ -9,6 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from evispark.llm import decontaminate, hmm, langid, mixing, neardup, quality_gam, quality_rules, queries, secrets, tokencount, urlfilter
 from evispark.llm.common import ADDED, materialize
 
@@ -215,6 +218,35 @@ def test_mix_with_many_sources_ranks_by_ranges(spark):
     assert few == many
 
 
+# --- names that clash, odd rows: every function from documents to documents
+
+
+CLASHING = ["g_lang", "g_source", "metric", "bin", "high_word_len_x100", "x_id", "x_digest", "stays", "digest", "sig", "node", "root", "host", "path", "rule", "action", "verdict", "b_host", "short", "mix_epoch", "epoch", "key", "size", "id", "s", "c", "at", "taken", "target", "epochs", "uid", "kept", "items", "spans", "n_words", "text_b", "__scan_text", "a b", "x`y", "dot.ted"]
+
+
+@pytest.mark.parametrize("name", ["keep_good", "near_duplicate_free", "drop", "drop_joined", "remove", "remove_joined", "redact", "mix", "allowed", "allowed_joined"])
+def test_columns_of_any_name_pass(spark, name):
+    """Long, tied, repeated, null and empty rows with every helper's name as a column: what stays, stays whole."""
+    rows = [(r[0], r[1], r[2], r[3], f"http://example.com/{'en/' if k % 2 else ''}{k}", *[f"{c}{k}" for c in CLASHING]) for k, r in enumerate(ODD)]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("text", "lang", "source", "url", *CLASHING)]])
+    docs = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([(1, words(13, 1)), (2, "日本語")], "item_id long, text string")
+    rules = urlfilter.default_rules(spark)
+    run = {
+        "keep_good": quality_rules.keep_good, "near_duplicate_free": neardup.near_duplicate_free, "drop": lambda d: decontaminate.drop_contaminated(d, bench), "drop_joined": lambda d: decontaminate.drop_contaminated(d, bench, broadcast_bytes=0),
+        "remove": lambda d: decontaminate.remove_spans(d, bench), "remove_joined": lambda d: decontaminate.remove_spans(d, bench, broadcast_bytes=0), "redact": lambda d: secrets.redact(d, []), "mix": mixing.mix,
+        "allowed": lambda d: urlfilter.allowed(d, rules), "allowed_joined": lambda d: urlfilter.allowed(d, rules, broadcast_keys=0),
+    }[name]
+    out = run(docs)
+    assert out.columns == docs.columns + (["mix_epoch_2"] if name == "mix" else [])
+    known = {tuple(x for k, x in enumerate(r) if k != 1) for r in rows}
+    got = out.collect()
+    assert got and {tuple(x for k, x in enumerate(r[: len(schema)]) if k != 1) for r in got} <= known
+    if name.startswith("allowed"):
+        assert {r.url for r in got} == {r[4] for r in rows if "/en/" not in r[4]}
+    assert run(docs.limit(0)).collect() == []
+
+
 # --- 4: near-duplicates
 
 
@@ -257,6 +289,62 @@ def test_near_duplicates_match_brute_force(spark):
     assert kept == {i for i in got if got[i] == i}
 
 
+def test_near_duplicates_match_brute_force_on_a_table(spark):
+    """All links of similarity 0.8 or more of sf0.01, found through shared shingles: each pair that brute force links is in one class."""
+    root = "/root/testdata/sf0.01"
+    texts = {r.doc_id: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    weighted = {i: {s: 1 + math.log(n) for s, n in Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))).items()} for i, w in texts.items() if w}
+    holders, parent = {}, {i: i for i in texts}
+    for i, s in weighted.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    shared = Counter((i, j) for own in holders.values() for n, j in enumerate(own) for i in own[:n])
+    for (i, j), n in shared.items():
+        x, y = weighted[i], weighted[j]
+        if n >= 0.3 * max(len(x), len(y)):
+            both = x.keys() & y.keys()
+            every = [(x.get(s, 0), y.get(s, 0)) for s in x.keys() | y.keys()]
+            ratios = {r: sum(max(p, r * q) for p, q in every) for r in {x[s] / y[s] for s in both}}
+            if sum(x[s] / ratios[x[s] / y[s]] for s in both) >= 0.8 - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r.doc_id: r.class_id for r in queries.op4_near_duplicates(spark, root).collect()}
+    assert got == {i: find(i) for i in texts} and len(set(got.values())) < len(got)
+
+
+def test_bucket_with_several_components(spark):
+    """Texts that share buckets with their neighbours' templates, in more components than one block holds."""
+    rng = random.Random(12)
+    base = words(120, 1, 9000).split()
+    texts = []
+    for family in range(16):
+        own = base[:]
+        for k in rng.sample(range(120), 6):
+            own[k] = f"f{family}x{k}"
+        for copy in range(5):
+            one = own[:]
+            one[rng.randrange(120)] = f"c{family}y{copy}"
+            texts.append(" ".join(one))
+    want = list(range(len(texts)))
+
+    def find(i):
+        return i if want[i] == i else find(want[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if brute_similarity(texts[i], texts[j]) >= 0.8 - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                want[b] = a
+    got = {r.id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = words(300, 1, 5000), words(300, 1, 5000).split()
     b[40:60] = [f"z{i}" for i in range(20)]
@@ -299,6 +387,141 @@ def test_scores_are_sums_over_positions():
         assert total == len(every) and dict(zip(f.tolist(), n.tolist())) == Counter(every.tolist())
 
 
+def plain_grams(text):
+    """Hashed 1-, 2- and 3-grams, one by one."""
+    c = [ord(x) if ord(x) > 127 or x.isalpha() else 32 for x in text.lower()]
+    out = []
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i : i + n]:
+                h = (h * 0x01000193 % 2**32) ^ (x * 0x9E3779B1 % 2**32)
+            out.append(((h + n * 0x1FEB352D) * 0x846CA68B % 2**32) >> (32 - langid.BITS))
+    return Counter(out)
+
+
+def plain_language_id(train, calibration, texts):
+    """TF-IDF, follow-the-regularised-leader with elastic net and temperature, coordinate by coordinate."""
+    grams = {t: plain_grams(t) for t in {t for t, _ in train + calibration} | set(texts)}
+    df = Counter(f for t, _ in train + calibration for f in grams[t])
+    total = len(train) + len(calibration)
+    langs = sorted({y for _, y in train + calibration})
+
+    def vector(t):
+        size = max(1, sum(grams[t].values()))
+        return {"bias": 1.0} | {f: n / size * (math.log((1 + total) / (1 + df[f])) + 1) * langid.SCALE for f, n in grams[t].items()}
+
+    z, n = Counter(), Counter()
+
+    def weight(f, y):
+        v = z[f, y]
+        return 0.0 if abs(v) <= langid.L1 else -(v - math.copysign(langid.L1, v)) / ((langid.BETA + math.sqrt(n[f, y])) / langid.ALPHA + langid.L2)
+
+    def shares(x, heat=1.0):
+        logits = [sum(v * weight(f, y) for f, v in x.items()) / heat for y in langs]
+        e = [math.exp(v - max(logits)) for v in logits]
+        return [v / sum(e) for v in e]
+
+    for _ in range(langid.EPOCHS):
+        for t, lang in train:
+            x = vector(t)
+            p = shares(x)
+            step = []
+            for y, q in zip(langs, p):
+                for f, v in x.items():
+                    step.append((f, y, v * (q - (y == lang)), weight(f, y)))
+            for f, y, g, w in step:
+                z[f, y] += g - (math.sqrt(n[f, y] + g * g) - math.sqrt(n[f, y])) / langid.ALPHA * w
+                n[f, y] += g * g
+    heats = [math.exp(math.log(0.05) + k / 199 * (math.log(20) - math.log(0.05))) for k in range(200)]
+    vectors = [(vector(t), langs.index(y)) for t, y in calibration]
+    heat = min(heats, key=lambda h: -sum(math.log(max(shares(x, h)[y], 1e-12)) for x, y in vectors)) if calibration else 1.0
+    return {t: max(zip(shares(vector(t), heat), langs), key=lambda x: x[0])[::-1] for t in texts}
+
+
+def test_language_id_matches_plain_training(spark):
+    """The same predictions and scores as training coordinate by coordinate, on all training rows in the sample's order."""
+    rng = random.Random(6)
+    letters = {"de": "aeinrstßü", "en": "aeiotnhsw", "fr": "aéeisruqç"}
+    rows = [(i, " ".join("".join(rng.choice(letters[y]) for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(3, 9))), y) for i in range(60) for y in [rng.choice(sorted(letters))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i, _, _ in rows}
+    order = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("k")).collect()}
+    ranked = sorted((r for r in rows if part[r[0]] != 2), key=lambda r: order[r[0]])
+    want = plain_language_id([(t, y) for i, t, y in ranked if part[i] != 3], [(t, y) for i, t, y in ranked if part[i] == 3], [t for _, t, _ in rows])
+    got = {r.text: (r[1], r[2]) for r in langid.predicted(docs, langid.trained(langid.training_rows(docs)), ["text"]).collect()}
+    assert all(got[t][0] == want[t][0] and got[t][1] == pytest.approx(want[t][1], abs=1e-3) for t in want)
+
+
+def test_rare_languages_are_learnt(spark):
+    """One language with nearly all rows leaves the others their share of the sample; the most frequent are kept."""
+    rows = [(i, f"the house and the tree {i}", "en") for i in range(3000)] + [(5000 + i, f"das Haus über Straße {i}", "de") for i in range(6)] + [(6000, "çà", "zz")]
+    docs = langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(langid.trained(docs, sample_rows=60).languages) >= {"de", "en"} and langid.trained(docs, max_languages=1).languages == ["en"]
+    got = langid.predicted(spark.createDataFrame([("das Haus über Straße",), ("the house",)], "text string"), langid.trained(docs, sample_rows=60), ["text"]).collect()
+    assert {r.text: r[1] for r in got} == {"das Haus über Straße": "de", "the house": "en"}
+
+
+def plain_gam(x, y):
+    """Cyclic boosting row by row: the same trees from plain sums over rows."""
+    G = quality_gam
+    share = min(max(sum(y) / len(y), 1e-3), 1 - 1e-3)
+    bias, width = math.log(share / (1 - share)), len(x[0])
+    edges = [sorted(set(np.quantile([r[k] for r in x], np.linspace(0, 1, G.BINS + 1)[1:-1]).tolist())) for k in range(width)]
+    bins = [[sum(v >= e for e in edges[k]) for k, v in enumerate(r)] for r in x]
+    total = [bias] * len(y)
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+
+    def gain(rows, g, h):
+        return sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + G.RIDGE)
+
+    def best_cut(rows, key, g, h, places):
+        found = (0.0, None)
+        for c in places:
+            left, right = [i for i in rows if key[i] < c], [i for i in rows if key[i] >= c]
+            if min(len(left), len(right)) >= G.LEAST_ROWS:
+                v = gain(left, g, h) + gain(right, g, h) - gain(rows, g, h)
+                if v > found[0] + 1e-12:
+                    found = (v, c)
+        return found if found[0] > 1e-9 else (0.0, None)
+
+    for _ in range(G.ROUNDS):
+        for k in range(width):
+            p = [logistic(v) for v in total]
+            g, h = [a - b for a, b in zip(y, p)], [b * (1 - b) for b in p]
+            key = [b[k] for b in bins]
+            leaves = [list(range(len(y)))]
+            while len(leaves) < 4:
+                cuts = [(best_cut(rows, key, g, h, range(1, len(edges[k]) + 1)), n) for n, rows in enumerate(leaves) if rows]
+                (v, c), n = max(cuts, key=lambda z: (z[0][0], z[0][1] or 0, z[1]))
+                if c is None:
+                    break
+                rows = leaves.pop(n)
+                leaves += [[i for i in rows if key[i] < c], [i for i in rows if key[i] >= c]]
+            for rows in leaves:
+                step = G.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + G.RIDGE)
+                for i in rows:
+                    total[i] += step
+    return [logistic(v) for v in total]
+
+
+def test_gam_matches_plain_boosting(monkeypatch):
+    """Lookup tables score as trees that were grown row by row; pairs aside, which the interaction test covers."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(160, 3))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(scale=0.4, size=160) > 0.4).astype(float)
+    monkeypatch.setattr(quality_gam, "PAIRS", 0)
+    monkeypatch.setattr(quality_gam, "ROUNDS", 12)
+    assert quality_gam.fitted(x, y).score(x) == pytest.approx(plain_gam(x.tolist(), y.tolist()), abs=1e-9)
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, words(60 + i, i) if i % 2 else "| # $ " * (20 + i)) for i in range(60)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(60)]
+    a, b = (quality_gam.scored(docs, quality_gam.trained(docs, spark.createDataFrame(rows, "doc_id long, quality int")), ["doc_id"]).collect() for rows in (labels, labels * 50))
+    assert sorted(a) == sorted(b) and all((r[1] >= 0.5) == (r[0] % 2 == 1) for r in a)
+
+
 def test_quality_gam_on_held_out_rows(spark, sf):
     out = queries.op6_quality_score(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.quality == r.predicted for r in out) / len(out) > 0.93
