@@ -59,26 +59,38 @@ def materialize(df: DataFrame, label: str, tasks: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard() -> None:
     """Delete every table that materialize() wrote in this process."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended
             return
 
 
+def result_of(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make()'s rows, written; the tables that it wrote on the way are deleted then."""
+    mark = len(_written)
+    out = materialize(make(), label)
+    for spark, path in _written[mark:-1]:
+        _delete(spark, path)
+    _written[mark:] = _written[-1:]
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing will read again; and let the shuffles of what is gone be deleted."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            for spark, path in [x for x in _written if f"/{x[1].rsplit('/', 1)[1]}/" in file]:
-                _written.remove((spark, path))
-                where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            for entry in [x for x in _written if f"/{x[1].rsplit('/', 1)[1]}/" in file]:
+                _written.remove(entry)
+                _delete(*entry)
     gc.collect()
     if tables:
         tables[0].sparkSession.sparkContext._jvm.System.gc()

@@ -868,9 +868,41 @@ def test_materialized_tables_live_in_the_shared_folder(spark):
     assert out.count() == 5 and spark.conf.get("spark.checkpoint.dir") in out.inputFiles()[0]
 
 
+def test_results_leave_nothing_behind(spark, tmp_path):
+    from evispark.llm import common
+
+    first = materialize(spark.range(3), "kept")
+    before = list(common._written)
+    out = common.result_of(lambda: materialize(spark.range(9), "between").where("id > 3"), "result")
+    assert out.count() == 5 and first.count() == 3 and len(common._written) == len(before) + 1
+    common.drop(out)
+    assert common._written == before
+
+
 # --- the pipeline
 
 
+def test_pipeline_frees_its_stages(spark, folder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from evispark.llm import common
+
+    before = len(common._written)
+    out = corpus_pipeline.run(spark, str(folder / "odd"))
+    assert len(common._written) == before + 1 and out.columns == spark.read.parquet(str(folder / "odd/documents.parquet")).columns + ["mix_epoch"]
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_clashing_columns(spark, folder, stage):
+    """Each stage on a table of odd rows with its helpers' names as columns; all but the last return the table's columns."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(*r, *[f"{c}{k}" for c in CLASHING]) for k, r in enumerate(ODD)]
+    schema = T.StructType([*spark.createDataFrame([], DOCS).schema.fields, *[T.StructField(c, T.StringType()) for c in CLASHING if c != "n_words" and c != "kept"]])
+    keep = [k for k, c in enumerate([f.name for f in spark.createDataFrame([], DOCS).schema.fields] + CLASHING) if k < len(ODD[0]) or c in schema.names[len(ODD[0]):]]
+    docs = spark.createDataFrame([tuple(r[k] for k in keep) for r in rows], schema)
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, str(folder / "odd"))
+    assert out.columns[: len(docs.columns)] == docs.columns and 0 < out.count() and (stage == 4 or out.columns == docs.columns)
+
+
 def brute_redaction(text):
     """Characters marked one by one: the base spans, then what is left of dear values after wider credential words."""
     kind = [None] * len(text)
