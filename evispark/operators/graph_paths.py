@@ -5,9 +5,11 @@ of (relationship_id, relationship_type, confidence, source_chunk_id, supporting_
 direction. Each request's paths are cut at `limit` in the shape's own order first and ranked afterwards, so the
 limit and the output follow different orders.
 
-Scale: requests meet edges in equi-joins on ids; the cut is a row_number filter, which Spark pushes below the shuffle
-as a group limit. Where the order starts with the hub, a hub's members are cut to limit + 1 before they meet the
-requests: no request can use more of them, and a hub with a third of all edges doesn't multiply.
+Scale: edges carry their end nodes (with_ends() adds them where a table lacks them), so that types are filters and
+names need no join. Requests meet edges in equi-joins on ids; the cut is a row_number filter, which Spark pushes below
+the shuffle as a group limit. Where the order starts with the hub, a hub's members are cut to limit + 1 before they meet
+the requests, and where it starts with the end, each middle paper's ends are cut to the limit: no request can use more of
+them, and a hub with a third of all edges doesn't multiply.
 """
 
 from __future__ import annotations
@@ -36,95 +38,96 @@ OPERATIONS = {
 }
 
 
+# The edge by which a shape's middle paper meets the start.
+THROUGH = {"citing": "cites", "through_paper": "evaluated_on"}
+
+
 def _edge(prefix: str) -> Column:
-    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in ("relationship_id", "relationship_type", "confidence", "source_chunk_id", "supporting_chunk_ids")])
+    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in OWN])
+
+
+OWN = ("relationship_id", "relationship_type", "confidence", "source_chunk_id", "supporting_chunk_ids")
+
+
+def end_node(entity_id: Column | str = "entity_id") -> Column:
+    """A row of nodes as an edge's end; papers show their title or source id."""
+    title, source = F.col("properties")["title"], F.col("properties")["source_id"]
+    name = F.when(F.col("entity_type") == "paper", F.coalesce(F.nullif(title, F.lit("")), F.nullif(source, F.lit("")), "canonical_name")).otherwise(F.col("canonical_name"))
+    return F.struct(F.col("entity_id"), "entity_type", name.alias("name"), "canonical_name")
 
 
-def _edges(edges: DataFrame, prefix: str, kind: str) -> DataFrame:
-    """Edges of one type with prefixed columns."""
-    own = ("relationship_id", "relationship_type", "confidence", "source_chunk_id", "supporting_chunk_ids")
-    return edges.where(F.col("relationship_type") == kind).select(F.col("source_entity_id").alias(f"{prefix}_src"), F.col("target_entity_id").alias(f"{prefix}_dst"), *[F.col(c).alias(f"{prefix}_{c}") for c in own])
+def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with source_node and target_node; edges whose ends are no nodes go."""
+    for side in ("source", "target"):
+        if f"{side}_node" not in edges.columns:
+            edges = edges.join(nodes.select(F.col("entity_id").alias(f"{side}_entity_id"), end_node().alias(f"{side}_node")), f"{side}_entity_id")
+    return edges
+
+
+def _edges(edges: DataFrame, nodes: DataFrame, prefix: str, kind: str) -> DataFrame:
+    """Edges of one type with prefixed columns: src, dst, source and target nodes, and their own."""
+    typed = with_ends(edges.where(F.col("relationship_type") == kind), nodes)
+    return typed.select(F.col("source_entity_id").alias(f"{prefix}_src"), F.col("target_entity_id").alias(f"{prefix}_dst"), F.col("source_node").alias(f"{prefix}_src_node"), F.col("target_node").alias(f"{prefix}_dst_node"), *[F.col(c).alias(f"{prefix}_{c}") for c in OWN])
 
 
 def _cut(df: DataFrame, by: list[str], order: list[Column], limit: int, place: str = "place") -> DataFrame:
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= limit)
 
 
-def _labelled(ids: DataFrame, nodes: DataFrame, column: str, kind: str) -> DataFrame:
-    """Rows whose entity in `column` has the type `kind`."""
-    known = nodes.where(F.col("entity_type") == kind).select(F.col("entity_id").alias(column))
-    return ids.join(known, column, "left_semi")
+def _of(end: str, kind: str) -> Column:
+    """Whether an edge's end has a type."""
+    return F.col(f"{end}_node.entity_type") == kind
 
 
-def _named(paths: DataFrame, nodes: DataFrame, columns: list[str], rels: list[str]) -> DataFrame:
-    """Paths of ids as arrays of nodes and edges; papers show their title or source id."""
-    title, source = F.col("properties")["title"], F.col("properties")["source_id"]
-    name = F.when(F.col("entity_type") == "paper", F.coalesce(F.nullif(title, F.lit("")), F.nullif(source, F.lit("")), "canonical_name")).otherwise(F.col("canonical_name"))
-    shown = nodes.select("entity_id", "entity_type", name.alias("name"))
-    for k, c in enumerate(columns):
-        paths = paths.join(shown.select(F.col("entity_id").alias(c), F.struct(F.col("entity_id"), F.col("entity_type"), F.col("name")).alias(f"node_{k}")), c)
-    return paths.select("start", "place", F.array(*[f"node_{k}" for k in range(len(columns))]).alias("nodes"), F.array(*[_edge(r) for r in rels]).alias("rels"))
+def _shown(found: DataFrame, ends: list[str], rels: list[str]) -> DataFrame:
+    """Paths with the nodes at these ends of their edges, in order."""
+    node = lambda end: F.struct(*[F.col(f"{end}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "name")])
+    return found.select("start", "place", F.array(*[node(e) for e in ends]).alias("nodes"), F.array(*[_edge(r) for r in rels]).alias("rels"))
 
 
 def direct(requests: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str, end_type: str, incoming: bool, limit: int) -> DataFrame:
-    """One edge from (or, incoming, to) the start; by confidence descending, then end id."""
-    e = _edges(edges, "r", kind)
+    """One edge from (or, incoming, to) the start; by confidence descending, then end id. The edge's stored direction stays."""
     start, end = ("r_dst", "r_src") if incoming else ("r_src", "r_dst")
-    found = _labelled(e, nodes, end, end_type).join(requests, F.col("start") == F.col(start))
-    found = _cut(found, ["start"], [F.desc("r_confidence"), F.col(end)], limit)
-    # the stored direction stays: an incoming path reads end -> start in its edge, start -> end in its nodes
-    return _named(found.withColumn("n_0", F.col("start")).withColumn("n_1", F.col(end)), nodes, ["n_0", "n_1"], ["r"])
+    found = _edges(edges, nodes, "r", kind).where(_of(end, end_type)).join(requests, F.col("start") == F.col(start))
+    return _shown(_cut(found, ["start"], [F.desc("r_confidence"), F.col(end)], limit), [start, end], ["r"])
 
 
 def shared(requests: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str, mid_type: str, limit: int) -> DataFrame:
     """start -> x <- other by one type, other not the start; by x, then other."""
-    e = _labelled(_labelled(_edges(edges, "r", kind), nodes, "r_dst", mid_type), nodes, "r_src", "paper")
-    mine = e.join(requests, F.col("start") == F.col("r_src"))
-    members = _edges(edges, "s", kind)
-    members = _cut(_labelled(members, nodes, "s_src", "paper"), ["s_dst"], [F.col("s_src")], limit + 1, "nth").drop("nth")
+    mine = _edges(edges, nodes, "r", kind).where(_of("r_dst", mid_type) & _of("r_src", "paper")).join(requests, F.col("start") == F.col("r_src"))
+    members = _cut(_edges(edges, nodes, "s", kind).where(_of("s_src", "paper")), ["s_dst"], [F.col("s_src")], limit + 1, "nth").drop("nth")
     found = mine.join(members, F.col("r_dst") == F.col("s_dst")).where("s_src <> start")
-    found = _cut(found, ["start"], [F.col("r_dst"), F.col("s_src")], limit)
-    return _named(found.withColumn("n_0", F.col("start")).withColumn("n_1", F.col("r_dst")).withColumn("n_2", F.col("s_src")), nodes, ["n_0", "n_1", "n_2"], ["r", "s"])
-
-
-def citing(requests: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str, end_type: str, limit: int) -> DataFrame:
-    """start <- cites - citing paper -> end; by end id, then citing id."""
-    first = _labelled(_edges(edges, "r", "cites"), nodes, "r_src", "paper").join(requests, F.col("start") == F.col("r_dst"))
-    second = _labelled(_edges(edges, "s", kind), nodes, "s_dst", end_type)
-    found = _cut(first.join(second, F.col("r_src") == F.col("s_src")), ["start"], [F.col("s_dst"), F.col("r_src")], limit)
-    return _named(found.withColumn("n_0", F.col("start")).withColumn("n_1", F.col("r_src")).withColumn("n_2", F.col("s_dst")), nodes, ["n_0", "n_1", "n_2"], ["r", "s"])
+    return _shown(_cut(found, ["start"], [F.col("r_dst"), F.col("s_src")], limit), ["r_src", "r_dst", "s_src"], ["r", "s"])
 
 
-def through_paper(requests: DataFrame, nodes: DataFrame, edges: DataFrame, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
+def through(requests: DataFrame, nodes: DataFrame, edges: DataFrame, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
     """start <- paper -> end; by end id, then paper id."""
-    first = _labelled(_edges(edges, "r", first_kind), nodes, "r_src", "paper").join(requests, F.col("start") == F.col("r_dst"))
-    second = _labelled(_edges(edges, "s", second_kind), nodes, "s_dst", end_type)
+    first = _edges(edges, nodes, "r", first_kind).where(_of("r_src", "paper")).join(requests, F.col("start") == F.col("r_dst"))
+    second = _cut(_edges(edges, nodes, "s", second_kind).where(_of("s_dst", end_type)), ["s_src"], [F.col("s_dst")], limit, "nth").drop("nth")
     found = _cut(first.join(second, F.col("r_src") == F.col("s_src")), ["start"], [F.col("s_dst"), F.col("r_src")], limit)
-    return _named(found.withColumn("n_0", F.col("start")).withColumn("n_1", F.col("r_src")).withColumn("n_2", F.col("s_dst")), nodes, ["n_0", "n_1", "n_2"], ["r", "s"])
+    return _shown(found, ["r_dst", "r_src", "s_dst"], ["r", "s"])
 
 
 def citations(requests: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, limit: int) -> DataFrame:
     """Citation neighbourhood: at depth 1 outgoing, then incoming edges; at depth 2 two-edge chains alone, the same way.
 
     Each branch has its own order and limit; the branches stand one after the other and are cut at the limit again.
+    A chain's edges differ, which takes one of a hub's members at most.
     """
     if depth not in (1, 2):
         raise ValueError("the citation neighbourhood has depth 1 or 2")
     branches = []
     for branch, incoming in enumerate((False, True)):
         start, other = ("dst", "src") if incoming else ("src", "dst")
-        first = _edges(edges, "r", "cites").join(requests, F.col("start") == F.col(f"r_{start}"))
+        first = _edges(edges, nodes, "r", "cites").where(_of(f"r_{other}", "paper")).join(requests, F.col("start") == F.col(f"r_{start}"))
         if depth == 1:
-            found = _labelled(first, nodes, f"r_{other}", "paper").withColumn("n_0", F.col("start")).withColumn("n_1", F.col(f"r_{other}"))
-            columns, rels, order = ["n_0", "n_1"], ["r"], [F.col("n_1")]
+            found, ends, rels, order = first, [f"r_{start}", f"r_{other}"], ["r"], [F.col(f"r_{other}")]
         else:
-            second = _edges(edges, "s", "cites")
+            second = _edges(edges, nodes, "s", "cites").where(_of(f"s_{other}", "paper"))
+            second = _cut(second, [f"s_{start}"], [F.col(f"s_{other}")], limit + 1, "nth").drop("nth")
             found = first.join(second, (F.col(f"r_{other}") == F.col(f"s_{start}")) & (F.col("r_relationship_id") != F.col("s_relationship_id")))
-            found = _labelled(_labelled(found, nodes, f"r_{other}", "paper"), nodes, f"s_{other}", "paper")
-            found = found.withColumn("n_0", F.col("start")).withColumn("n_1", F.col(f"r_{other}")).withColumn("n_2", F.col(f"s_{other}"))
-            columns, rels, order = ["n_0", "n_1", "n_2"], ["r", "s"], [F.col("n_1"), F.col("n_2")]
-        found = _named(_cut(found, ["start"], order, limit), nodes, columns, rels)
-        branches.append(found.withColumn("branch", F.lit(branch)))
+            ends, rels, order = [f"r_{start}", f"r_{other}", f"s_{other}"], ["r", "s"], [F.col(f"r_{other}"), F.col(f"s_{other}")]
+        branches.append(_shown(_cut(found, ["start"], order, limit), ends, rels).withColumn("branch", F.lit(branch)))
     both = branches[0].unionByName(branches[1]).withColumnRenamed("place", "within")
     return _cut(both, ["start"], [F.col("branch"), F.col("within")], limit).select("start", "place", "nodes", "rels")
 
@@ -136,10 +139,8 @@ def paths(operation: str, requests: DataFrame, nodes: DataFrame, edges: DataFram
         return direct(requests, nodes, edges, kind, end, shape == "incoming", limit)
     if shape == "shared":
         return shared(requests, nodes, edges, kind, end, limit)
-    if shape == "citing":
-        return citing(requests, nodes, edges, kind, end, limit)
-    if shape == "through_paper":
-        return through_paper(requests, nodes, edges, "evaluated_on", kind, end, limit)
+    if shape in THROUGH:
+        return through(requests, nodes, edges, THROUGH[shape], kind, end, limit)
     return citations(requests, nodes, edges, depth, limit)
 
 
@@ -175,14 +176,14 @@ def resolution(names: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def neighbourhood(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Outgoing edges of each start and their targets."""
-    out = edges.join(requests, F.col("source_entity_id") == F.col("start"))
-    return out.join(nodes.select(F.col("entity_id").alias("target_entity_id"), F.col("entity_type").alias("target_type"), F.col("canonical_name").alias("target_name")), "target_entity_id")
+    out = with_ends(edges, nodes).join(requests, F.col("source_entity_id") == F.col("start"))
+    return out.withColumn("target_type", F.col("target_node.entity_type")).withColumn("target_name", F.col("target_node.canonical_name"))
 
 
 def context(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Outgoing, then incoming edges of each start with the neighbour; a self-loop comes twice."""
     parts = []
-    for direction, mine, other in (("outgoing", "source_entity_id", "target_entity_id"), ("incoming", "target_entity_id", "source_entity_id")):
-        met = edges.join(requests, F.col(mine) == F.col("start")).select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", F.col(other).alias("entity_id"))
-        parts.append(met.join(nodes.select("entity_id", "entity_type", "canonical_name"), "entity_id"))
+    for direction, mine, other in (("outgoing", "source", "target"), ("incoming", "target", "source")):
+        met = with_ends(edges, nodes).join(requests, F.col(f"{mine}_entity_id") == F.col("start"))
+        parts.append(met.select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", *[F.col(f"{other}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "canonical_name")]))
     return parts[0].unionByName(parts[1])

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import entity_id, relationship_id
+from ..operators.graph_paths import with_ends
+from ..storage import once
+
+SOURCES = ("orders", "lineitem", "customer", "supplier", "part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +20,21 @@ def paper_of(key):
     return F.concat(F.lit("paper:tpch:"), key.cast("string"))
 
 
+def _inputs(d: str) -> list[str]:
+    return [f"{d}/{name}.parquet" for name in SOURCES]
+
+
 def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's nodes, written once and laid out by type."""
+    return once(spark, "graph-nodes", _inputs(d), lambda: made_nodes(spark, d), ["entity_type"])
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's edges with their end nodes, written once and laid out by type."""
+    return once(spark, "graph-edges", _inputs(d), lambda: with_ends(made_edges(spark, d), nodes(spark, d)), ["relationship_type"])
+
+
+def made_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Papers are orders, authors customers, methods suppliers, datasets parts, tasks order priorities."""
     empty = F.create_map().cast("map<string,string>")
     none = F.array().cast("array<string>")
@@ -48,7 +66,7 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def made_edges(spark: SparkSession, d: str) -> DataFrame:
     """One edge for each (source, type, target): greatest confidence, sorted chunks."""
     out = raw_edges(spark, d).groupBy("source_entity_id", "relationship_type", "target_entity_id").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("chunk")).alias("supporting_chunk_ids"), F.max("provenance_type").alias("provenance_type"))
     return out.withColumn("source_chunk_id", F.get("supporting_chunk_ids", F.lit(0))).withColumn("relationship_id", relationship_id("source_entity_id", "relationship_type", "target_entity_id"))
