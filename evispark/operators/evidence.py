@@ -15,14 +15,18 @@ def text_evidence_id(chunk: Column | str, generation: Column | str, store: str =
 
 
 def text_evidence(hits: DataFrame, *, on_invalid: str = "raise") -> DataFrame:
-    """Vector hits (chunk_id, vector_generation_fingerprint, score, ...) as evidence; similarities outside [0, 1] raise, or are dropped."""
+    """Vector hits (chunk_id, vector_generation_fingerprint, score, ...) as evidence; similarities outside [0, 1] raise, or (on_invalid="mark") stay as rows without evidence that `valid` marks."""
     # a cosine of equal vectors may pass 1 by rounding
     near = F.when(F.col("score").between(-ROUNDING, 1 + ROUNDING), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).otherwise(F.col("score"))
     hits = hits.withColumn("score", near)
     fits = F.col("score").isNull() | F.col("score").between(0, 1)
-    hits = hits.where(fits) if on_invalid == "drop" else hits.withColumn("score", F.when(fits, F.col("score")).otherwise(F.raise_error(F.lit("similarity outside [0, 1]")).cast("double")))
-    kind = F.when(F.col("score").isNotNull(), "vector_similarity")
-    return hits.withColumn("evidence_id", text_evidence_id("chunk_id", "vector_generation_fingerprint")).withColumn("evidence_type", F.lit("text")).withColumn("score_kind", kind)
+    made = text_evidence_id("chunk_id", "vector_generation_fingerprint")
+    if on_invalid == "mark":
+        hits, made = hits.withColumn("valid", fits), F.when(fits, made)
+    else:
+        hits = hits.withColumn("score", F.when(fits, F.col("score")).otherwise(F.raise_error(F.lit("similarity outside [0, 1]")).cast("double")))
+    kind = F.when(F.col("score").isNotNull() & fits, "vector_similarity")
+    return hits.withColumn("evidence_id", made).withColumn("evidence_type", F.lit("text")).withColumn("score_kind", kind)
 
 
 def graph_provenance(rels: Column | str) -> dict[str, Column]:

@@ -86,13 +86,13 @@ def line_key(line: Column | str) -> Column:
 def header_footer_lines(pages: DataFrame) -> DataFrame:
     """(paper_version_id, place, key): first (header) and last (footer) lines that recur on enough pages."""
     full = F.filter(lines_of(F.col("text")), lambda l: ~is_blank(l))
-    each = pages.select("paper_version_id", full.alias("full"))
-    counts = each.groupBy("paper_version_id").agg(F.count("*").alias("pages"))
-    some = each.where(F.size("full") > 0)
-    both = some.select("paper_version_id", F.lit("header").alias("place"), line_key(F.element_at("full", 1)).alias("key")).unionByName(some.select("paper_version_id", F.lit("footer").alias("place"), line_key(F.element_at("full", -1)).alias("key")))
-    seen = both.where("key <> ''").groupBy("paper_version_id", "place", "key").agg(F.count("*").alias("n"))
+    mark = lambda place, key: F.struct(F.lit(place).alias("place"), key.alias("key"))
+    marks = F.array(mark("page", F.lit("page")), mark("header", line_key(F.get("full", F.lit(0)))), mark("footer", line_key(F.try_element_at("full", F.lit(-1)))))
+    each = pages.select("paper_version_id", full.alias("full")).select("paper_version_id", F.explode(marks).alias("m")).select("paper_version_id", "m.place", "m.key")
+    seen = each.where("key <> ''").groupBy("paper_version_id", "place", "key").agg(F.count("*").alias("n"))
+    count = F.max(F.when(F.col("place") == "page", F.col("n"))).over(Window.partitionBy("paper_version_id"))
     least = F.greatest(F.lit(HEADER_PAGES), F.bround(F.col("pages") * HEADER_SHARE))
-    return seen.join(counts, "paper_version_id").where((F.col("pages") >= HEADER_PAGES) & (F.col("n") >= least)).select("paper_version_id", "place", "key", "n")
+    return seen.withColumn("pages", count).where((F.col("place") != "page") & (F.col("pages") >= HEADER_PAGES) & (F.col("n") >= least)).select("paper_version_id", "place", "key", "n")
 
 
 def without_headers_footers(pages: DataFrame) -> DataFrame:
@@ -141,10 +141,10 @@ def sections(pages: DataFrame) -> DataFrame:
 
 def warnings(pages: DataFrame, found: DataFrame) -> DataFrame:
     """(paper_version_id, warnings): sorted parse warnings of each document."""
-    own = pages.groupBy("paper_version_id").agg(F.bool_or(is_blank(F.col("text"))).alias("blank"), F.avg(F.length("text")).alias("chars"))
+    any_heading = F.exists(lines_of(F.col("text")), lambda l: heading(l).isNotNull())
+    own = pages.groupBy("paper_version_id").agg(F.bool_or(is_blank(F.col("text"))).alias("blank"), F.avg(F.length("text")).alias("chars"), F.bool_or(any_heading).alias("any_heading"))
     kinds = found.groupBy("paper_version_id").agg(F.bool_or(F.col("title").isNotNull()).alias("headed"), F.bool_or(F.col("section_type") == "abstract").alias("abstract"), F.bool_or(F.col("section_type") == "references").alias("references"))
-    heads = pages.select("paper_version_id", F.exists(lines_of(F.col("text")), lambda l: heading(l).isNotNull()).alias("h")).groupBy("paper_version_id").agg(F.bool_or("h").alias("any_heading"))
-    met = own.join(kinds, "paper_version_id", "left").join(heads, "paper_version_id")
+    met = own.join(kinds, "paper_version_id", "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     flags = F.array(
         F.when(F.col("blank"), "empty_page_detected"),

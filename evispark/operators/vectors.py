@@ -1,8 +1,9 @@
 """Vector retrieval: filtered cosine top-k, one or many queries, lookups, counts and stale deletes.
 
-A single query is JVM-side arithmetic with a take-ordered plan. Many queries are one scan: blocks of query vectors are
-broadcast while their bytes are within a bound (else further scans follow, a block each), each Arrow batch is one
-matrix product, each task keeps its best k for each query, and a group-limited window joins the tasks' bests.
+A single query is JVM-side arithmetic with a take-ordered plan. Many queries are one scan: a block of query vectors within
+a byte bound is broadcast, each Arrow batch is met slice by slice in matrix products of a bounded number of scores, each
+task keeps its best k for each query, and a group-limited window joins the tasks' bests. Queries beyond one block come
+block by block, each one's results written before the next is broadcast, so neither plan nor broadcasts grow with them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-QUERY_BYTES = 64 << 20
+from ..storage import new_path
+
+#: Bytes of a block of query vectors; scores that a task holds at once.
+QUERY_BYTES, CELLS = 16 << 20, 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,42 +53,63 @@ def blocks_of(queries: DataFrame, most_bytes: int) -> Iterator[tuple[list, np.nd
         yield ids, np.stack(rows)
 
 
+def nearer(score: np.ndarray, ident: np.ndarray, new: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of each query's known and new scores, ties by name."""
+    known, score = score.shape[1], np.concatenate((score, new), axis=1)
+    if score.shape[1] > k:
+        edge = np.partition(score, -k, axis=1)[:, -k]
+        name = lambda r, j: ident[r, j] if j < known else names[j - known]
+        order = np.array([sorted(np.flatnonzero(s >= e).tolist(), key=lambda j, r=r, s=s: (-s[j], name(r, j)))[:k] for r, (s, e) in enumerate(zip(score, edge))])
+    else:
+        order = np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    old = order < known
+    kept = np.take_along_axis(ident, np.where(old, order, 0), 1) if known else np.empty(order.shape, object)
+    return np.take_along_axis(score, order, 1), np.where(old, kept, names[np.where(old, 0, order - known)])
+
+
+def searched(source: DataFrame, ids: list, matrix: np.ndarray, k: int, kind: pa.DataType, schema: str) -> DataFrame:
+    """Each task's best k of source(chunk_id, vector) for one block of queries."""
+    norms = np.linalg.norm(matrix, axis=1)
+    shared = source.sparkSession.sparkContext.broadcast((ids, matrix / np.where(norms == 0, 1, norms)[:, None]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        best_score, best_id = np.zeros((len(names), 0)), np.zeros((len(names), 0), object)
+        rows = max(1, CELLS // len(names))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                size = np.linalg.norm(v, axis=1)
+                score = q @ (v / np.where(size == 0, 1, size)[:, None]).T
+                best_score, best_id = nearer(best_score, best_id, score, np.array(part.column(0).to_pylist(), object), k)
+        width = best_score.shape[1]
+        for at in range(0, len(names) if width else 0, 10_000):
+            own = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array([n for n in names[own] for _ in range(width)], kind), pa.array(best_id[own].ravel().tolist(), pa.string()), pa.array(best_score[own].ravel())], names=["query_id", "chunk_id", "score"])
+
+    return source.mapInArrow(search, schema)
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, score, rank): for every query the k nearest rows; equal scores go by chunk id."""
-    spark, parts = vectors.sparkSession, None
+    spark, path = vectors.sparkSession, None
     source = vectors.select("chunk_id", "vector").where(F.col("vector").isNotNull())
     kind = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double"
-    for ids, matrix in blocks_of(queries, query_bytes):
-        norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.where(norms == 0, 1, norms)[:, None]))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            best_score, best_id = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), object)
-            for batch in batches:
-                chunk = np.array(batch.column(0).to_pylist(), object)
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64) if len(chunk) else np.zeros((0, q.shape[1]))
-                size = np.linalg.norm(v, axis=1)
-                score = q @ (v / np.where(size == 0, 1, size)[:, None]).T
-                score = np.concatenate((best_score, score), axis=1)
-                ident = np.concatenate((best_id, np.broadcast_to(chunk, (len(names), len(chunk)))), axis=1)
-                if score.shape[1] > k:
-                    edge = np.partition(score, -k, axis=1)[:, -k]
-                    keep = [np.flatnonzero(s >= e) for s, e in zip(score, edge)]  # ties stay until the ids decide
-                    order = [sorted(x.tolist(), key=lambda j, s=s, i=i: (-s[j], i[j]))[:k] for x, s, i in zip(keep, score, ident)]
-                    score, ident = np.take_along_axis(score, np.array(order), 1), np.take_along_axis(ident, np.array(order), 1)
-                best_score, best_id = score, ident
-            width = best_score.shape[1]
-            if width:
-                yield pa.RecordBatch.from_arrays([pa.array([n for n in names for _ in range(width)], kind), pa.array(best_id.ravel().tolist(), pa.string()), pa.array(best_score.ravel())], names=["query_id", "chunk_id", "score"])
-
-        part = source.mapInArrow(search, schema)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return spark.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = blocks_of(queries, query_bytes)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return spark.createDataFrame([], schema + ", rank int")
+    while block is not None:
+        out = searched(source, *block, k, kind, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if following is None and path is None:
+            return out
+        path = path or new_path(spark, "vector-hits")
+        out.write.mode("append").parquet(path)
+        block, following = following, next(blocks, None)
+    return spark.read.schema(schema + ", rank int").parquet(path)
 
 
 def lookup(vectors: DataFrame, ids: DataFrame) -> DataFrame:

@@ -101,17 +101,28 @@ def confidence_ladder(spark: SparkSession, d: str) -> DataFrame:
     return decisions.confidence(_grounded(spark, d)).select("request_id", "strong", "confidence", F.array_join("reasons", ",").alias("reasons"))
 
 
+TARGETS = ["chunk", "entity", "relationship", "path", "paper"]
+
+
 def _evaluation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cases are query vectors; the strategies vector and graph return hits and label mates; targets are the query's label mates."""
+    """Cases are query vectors; the strategies vector and graph return hits and the nearest numbers.
+
+    Targets are the label mates beside the query, of a kind by their number: a vector is a chunk and an entity, two share
+    a relationship, both make a path, and every 20th is of one paper.
+    """
     v = vector_queries.vectors(spark, d)
     q = vector_queries.queries_of(spark, d)
-    vec = vector_queries.hits(spark, d).select(F.col("query_id").alias("case_id"), F.lit("vector").alias("strategy"), "rank", "chunk_id")
-    beside = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 6, F.col("query_id") + 6)).alias("vec_id"))
-    near = v.join(beside, "vec_id").select(F.col("query_id").alias("case_id"), "vec_id", "chunk_id", F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
-    graph = metrics.ranked_within(near, ["case_id"], [F.col("gap"), F.col("vec_id")]).select("case_id", F.lit("graph").alias("strategy"), "rank", "chunk_id")
-    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
-    items = vec.unionByName(graph).withColumn("paper_id", text).withColumn("entity_ids", F.array("chunk_id")).withColumn("relationship_ids", none).withColumn("signature", none)
-    targets = v.join(q, F.col("label") == F.col("query_label")).select(F.col("query_id").alias("case_id"), F.when(F.col("vec_id") % 2 == 0, "chunk").otherwise("entity").alias("target_type"), F.col("chunk_id").alias("target_id"), none.alias("signature"))
+    number = F.substring_index("chunk_id", ":", -1).cast("long")
+    vec = vector_queries.hits(spark, d).select(F.col("query_id").alias("case_id"), F.lit("vector").alias("strategy"), "rank", "chunk_id", number.alias("vec_id"))
+    near = v.join(q.select("query_id", F.explode(F.sequence(F.col("query_id") - 6, F.col("query_id") + 6)).alias("vec_id")), "vec_id").select(F.col("query_id").alias("case_id"), "vec_id", "chunk_id", F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
+    graph = metrics.ranked_within(near, ["case_id"], [F.col("gap"), F.col("vec_id")]).select("case_id", F.lit("graph").alias("strategy"), "rank", "chunk_id", "vec_id")
+    paper = F.concat(F.lit("paper:vec:"), (F.col("vec_id") % 20).cast("string"))
+    relationship = F.concat(F.lit("relationship:vec:"), F.floor(F.col("vec_id") / 2).cast("string"))
+    signature = metrics.path_signature(F.array("chunk_id", paper), F.array(relationship))
+    items = vec.unionByName(graph).withColumn("paper_id", paper).withColumn("entity_ids", F.array("chunk_id")).withColumn("relationship_ids", F.array(relationship)).withColumn("signature", signature).drop("vec_id")
+    kind = nth(TARGETS, F.col("vec_id"))
+    name = F.when(kind.isin("chunk", "entity"), F.col("chunk_id")).when(kind == "relationship", relationship).when(kind == "path", F.concat(F.lit("path:"), F.col("chunk_id"))).otherwise(paper)
+    targets = vector_queries.beside(spark, d, v).select(F.col("query_id").alias("case_id"), kind.alias("target_type"), name.alias("target_id"), F.when(kind == "path", signature).alias("signature"))
     return items, targets, metrics.target_matches(items, targets)
 
 
@@ -247,11 +258,13 @@ def oracle_sql() -> dict[str, str]:
     status = _nth(chain, "event_id")
     steps = " OR ".join(f"(previous = '{a}' AND status = '{b}')" for a, b in zip(control.STATUS_CHAIN, control.STATUS_CHAIN[1:]))
     nxt = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in control.NEXT_STAGE.items() if v)
-    from .vector_queries import _HITS
+    from .vector_queries import _HITS, REACH
 
-    evaluation = f"""WITH {_HITS}, near AS (SELECT query_id AS case_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS rank FROM v JOIN q ON abs(vec_id - query_id) <= 6),
-      items AS (SELECT query_id AS case_id, 'vector' AS strategy, rank, vec_id FROM hits UNION ALL SELECT case_id, 'graph', rank, vec_id FROM near), targets AS (SELECT query_id AS case_id, vec_id FROM v JOIN q ON label = query_label),
-      matches AS (SELECT i.case_id, i.strategy, i.rank, i.vec_id FROM items i JOIN targets t ON t.case_id = i.case_id AND t.vec_id = i.vec_id)"""
+    evaluation = f"""WITH {_HITS}, near AS (SELECT query_id AS case_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS rank FROM v JOIN (SELECT query_id, unnest(range(query_id - 6, query_id + 7)) AS asked FROM q) ON asked = vec_id),
+      items AS (SELECT query_id AS case_id, 'vector' AS strategy, rank, vec_id FROM hits UNION ALL SELECT case_id, 'graph', rank, vec_id FROM near),
+      mates AS (SELECT query_id AS case_id, vec_id AS t, {_nth(TARGETS, 'vec_id')} AS kind FROM v JOIN (SELECT query_id, query_label, unnest(range(query_id - {REACH}, query_id + {REACH} + 1)) AS asked FROM q) ON asked = vec_id AND label = query_label),
+      targets AS (SELECT case_id, kind, t, CASE kind WHEN 'relationship' THEN 'r' || t // 2 WHEN 'paper' THEN 'p' || t % 20 WHEN 'path' THEN 'w' || t ELSE 'c' || t END AS target_id FROM mates),
+      matches AS (SELECT i.case_id, i.strategy, i.rank, t.target_id FROM items i JOIN targets t ON t.case_id = i.case_id AND CASE kind WHEN 'relationship' THEN i.vec_id // 2 = t // 2 WHEN 'paper' THEN i.vec_id % 20 = t % 20 ELSE i.vec_id = t END)"""
     return {
         "plan_table": f"""WITH {intents}, r AS (SELECT event_id AS request_id, {intent} AS intent, event_id % 5 = 0 AS several, event_id % 7 = 3 AS amb, event_id % 11 = 5 AS mis, CASE WHEN event_id % 3 <> 0 THEN 'entity:' || user_id END AS entity_id, event_id % 2 = 0 AS paper FROM events),
           s AS (SELECT r.*, operation AS op, strategy AS st, reason_code, CASE WHEN strategy IS NULL OR several THEN 'unsupported_graph_operation' WHEN amb THEN 'ambiguous' WHEN mis THEN 'entity_not_found' ELSE 'ok' END AS status FROM r LEFT JOIN t USING (intent))
@@ -269,11 +282,11 @@ def oracle_sql() -> dict[str, str]:
         "confidence_ladder": f"""WITH {grounded}, b AS (SELECT *, intent IS NULL OR (sufficient AND coverage = 'complete' AND n_missing = 0 AND validation_status = 'valid' AND n_citations > 0 AND NOT gap AND CASE WHEN intent = '{D.SEMANTIC}' THEN sem AND ct WHEN intent = '{D.MIXED}' THEN sem AND str AND ct AND (cg OR cp) WHEN intent IN {_in(D.NEEDS_PATH)} THEN str AND cp ELSE str AND (cg OR cp) END) AS strong, coverage <> 'complete' AS lim, validation_status = 'partially_valid' AS part FROM g),
           c AS (SELECT *, list_filter([CASE WHEN round > 1 THEN 'sufficient_after_refinement' END, CASE WHEN part THEN 'partial_citation_validation' END, CASE WHEN gap THEN 'provenance_incomplete' END, CASE WHEN n_missing > 0 THEN 'missing_information' END, CASE WHEN lim OR NOT strong THEN 'limited_evidence_coverage' END], lambda x: x IS NOT NULL) AS rs FROM b)
           SELECT request_id, strong, CASE WHEN lim THEN 'low' WHEN part OR gap OR n_missing > 0 OR NOT strong THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN len(rs) = 0 THEN 'strong_grounded_support' ELSE array_to_string(rs, ',') END AS reasons FROM c""",
-        "ranking_metrics": f"""{evaluation}, f AS (SELECT case_id, strategy, vec_id, min(rank) AS first FROM matches GROUP BY ALL), s AS (SELECT case_id, strategy, min(first) AS best, count(*) FILTER (first <= 5) AS found, coalesce(sum(1 / log2(first + 1)) FILTER (first <= 5), 0) AS gain FROM f GROUP BY ALL),
-          w AS (SELECT case_id, strategy, count(*) FILTER (rank <= 5) AS within_k FROM items GROUP BY ALL), t AS (SELECT case_id, count(DISTINCT vec_id) AS n FROM targets GROUP BY ALL), j AS (SELECT w.*, coalesce(best, 99) AS best, s.best IS NULL AS no, coalesce(found, 0) AS found, coalesce(gain, 0) AS gain, n, least(5, n, within_k) AS ideal_n FROM w JOIN t USING (case_id) LEFT JOIN s USING (case_id, strategy))
+        "ranking_metrics": f"""{evaluation}, f AS (SELECT case_id, strategy, target_id, min(rank) AS first FROM matches GROUP BY ALL), s AS (SELECT case_id, strategy, min(first) AS best, count(*) FILTER (first <= 5) AS found, coalesce(list_sum(list_transform(list(DISTINCT first) FILTER (first <= 5), lambda r: 1 / log2(r + 1))), 0) AS gain FROM f GROUP BY ALL),
+          w AS (SELECT case_id, strategy, count(*) FILTER (rank <= 5) AS within_k FROM items GROUP BY ALL), t AS (SELECT case_id, count(DISTINCT target_id) AS n FROM targets GROUP BY ALL), j AS (SELECT w.*, coalesce(best, 99) AS best, s.best IS NULL AS no, coalesce(found, 0) AS found, coalesce(gain, 0) AS gain, n, least(5, n, within_k) AS ideal_n FROM w JOIN t USING (case_id) LEFT JOIN s USING (case_id, strategy))
           SELECT case_id, strategy, CAST(best <= 5 AS BIGINT) AS hit, round(CASE WHEN no THEN 0 ELSE 1 / best END, 9) AS reciprocal_rank, round(found / within_k, 9) AS precision, round(found / n, 9) AS recall, round(gain / list_sum(list_transform(range(1, ideal_n + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg FROM j""",
-        "structural_metrics": f"""{evaluation}, p AS (SELECT case_id, strategy, avg(CASE WHEN rank % 2 = 1 THEN 1.0 ELSE 0 END) AS rate FROM items GROUP BY ALL), x AS (SELECT p.case_id, p.strategy, rate, t.vec_id, (p.case_id, p.strategy, t.vec_id) IN (SELECT (case_id, strategy, vec_id) FROM matches) AS hit FROM p JOIN targets t USING (case_id))
-          SELECT case_id, strategy, coalesce(round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (vec_id % 2 = 1), 9), -1) AS entity_recall, -1::DOUBLE AS relationship_recall, -1::DOUBLE AS exact_path_match, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
+        "structural_metrics": f"""{evaluation}, p AS (SELECT case_id, strategy, avg(CASE WHEN rank % 2 = 1 THEN 1.0 ELSE 0 END) AS rate FROM items GROUP BY ALL), x AS (SELECT p.case_id, p.strategy, rate, t.kind, (p.case_id, p.strategy, t.target_id) IN (SELECT (case_id, strategy, target_id) FROM matches) AS hit FROM p LEFT JOIN (SELECT DISTINCT case_id, kind, target_id FROM targets) t ON t.case_id = p.case_id)
+          SELECT case_id, strategy, {', '.join(f"coalesce(round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (kind = '{k}'), 9), -1) AS {n}" for k, n in (('entity', 'entity_recall'), ('relationship', 'relationship_recall'), ('path', 'exact_path_match')))}, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
         "strategy_aggregate": f"WITH {results} SELECT category, strategy, count(*) AS cases, count(*) FILTER (applicable) AS applicable_cases, round(coalesce(avg(hit) FILTER (applicable), 0), 9) AS hit, round(coalesce(avg(recall) FILTER (applicable), 0), 9) AS recall, round(coalesce(avg(reciprocal_rank) FILTER (applicable), 0), 9) AS reciprocal_rank, round(avg(latency_ms), 6) AS latency_mean, round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95 FROM r GROUP BY GROUPING SETS ((strategy), (category, strategy))",
         "latency_percentiles": f"WITH {results} SELECT strategy, category, count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean, " + ", ".join(f"round(quantile_cont(latency_ms, {p}), 6) AS {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " FROM r GROUP BY ALL",
         "case_comparison": f"WITH {results}, c AS (SELECT case_id, coalesce(max(hit) FILTER (strategy = 'vector'), 0) AS v, coalesce(max(hit) FILTER (strategy = 'graph'), 0) AS g, coalesce(max(hit) FILTER (strategy = 'hybrid'), 0) AS h FROM r GROUP BY 1) SELECT case_id, CASE WHEN h > v THEN 'hybrid_beats_vector' WHEN g > v THEN 'graph_beats_vector' WHEN v > g AND v > h THEN 'vector' WHEN v + g + h = 0 THEN 'all_fail' ELSE 'none' END AS comparison FROM c",

@@ -11,7 +11,7 @@ from ..operators import graph_paths as G
 from ..operators import vectors as V
 from .projections import GRAPH_SQL, edges, nodes, requests, table
 
-K = 10
+K, REACH = 10, 60
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -61,18 +61,22 @@ def stale_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def text_evidence(spark: SparkSession, d: str) -> DataFrame:
     met = hits(spark, d).join(vectors(spark, d).select("chunk_id", "vector_generation_fingerprint"), "chunk_id")
-    out = E.text_evidence(met, on_invalid="drop")
-    return out.select("query_id", "evidence_id", "chunk_id", F.round("score", 6).alias("score"), "score_kind")
+    out = E.text_evidence(met, on_invalid="mark")
+    return out.select("query_id", "evidence_id", "chunk_id", F.round("score", 6).alias("score"), "score_kind", "valid")
+
+
+def beside(spark: SparkSession, d: str, v: DataFrame) -> DataFrame:
+    """Rows of v with the queries of their label whose number is within REACH: candidates are named, so the join is on equal numbers."""
+    asked = queries_of(spark, d).select("query_id", "query_label", F.explode(F.sequence(F.col("query_id") - REACH, F.col("query_id") + REACH)).alias("vec_id"))
+    return v.join(asked, "vec_id").where("label = query_label")
 
 
 def branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vector hits; as graph items the 10 nearest numbers of the query's label, each supported by its own chunk and the next one's."""
+    """Vector hits; as graph items the 10 nearest numbers of the query's label within REACH, each supported by its own chunk and the next one's."""
     v = vectors(spark, d)
     name = lambda c: E.text_evidence_id(F.concat(F.lit("chunk:vec:"), c.cast("string")), F.lit("g"))
     vec = hits(spark, d).withColumn("evidence_id", name(F.substring_index("chunk_id", ":", -1))).select("query_id", "evidence_id", F.col("rank").alias("pos"))
-    near = v.join(queries_of(spark, d), F.col("label") == F.col("query_label")).select("query_id", "vec_id", F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
-
-
+    near = beside(spark, d, v).select("query_id", "vec_id", F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
     near = near.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "vec_id"))).where(F.col("pos") <= K)
     even = F.col("vec_id") % 2 == 0
     graph = near.select("query_id", F.when(even, name(F.col("vec_id"))).otherwise(evidence_id(F.lit("graph_path"), F.col("vec_id").cast("string"))).alias("evidence_id"), "pos", F.array(name(F.col("vec_id")), name(F.col("vec_id") + 1)).alias("supporting_text_evidence_ids"))
@@ -144,7 +148,7 @@ q AS (SELECT vec_id AS query_id, embedding AS query, label AS query_label FROM e
 hits AS (SELECT query_id, chunk_id, vec_id, generation, list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], query::DOUBLE[]) DESC, chunk_id) AS rank FROM v, q QUALIFY rank <= 10)"""
 _BRANCHES = f"""WITH {_HITS},
 vec AS (SELECT query_id, {_ID.format('vec_id')} AS id, rank AS pos FROM hits),
-near AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS pos FROM v JOIN q ON label = query_label QUALIFY pos <= 10),
+near AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(vec_id - query_id), vec_id) AS pos FROM v JOIN (SELECT query_id, query_label, unnest(range(query_id - {REACH}, query_id + {REACH} + 1)) AS asked FROM q) ON asked = vec_id AND label = query_label QUALIFY pos <= 10),
 graph AS (SELECT query_id, CASE WHEN vec_id % 2 = 0 THEN {_ID.format('vec_id')} ELSE 'evidence:' || substr(sha256('graph_path|' || vec_id), 1, 16) END AS id, pos, {_ID.format('vec_id')} AS s0, {_ID.format('(vec_id + 1)')} AS s1 FROM near),
 support AS (SELECT query_id, s0 AS id, pos * 10 AS pos FROM graph UNION ALL SELECT query_id, s1, pos * 10 + 1 FROM graph),
 rows AS (SELECT query_id, id, 'vector' AS branch, pos AS rank FROM vec UNION ALL SELECT query_id, id, 'graph', pos FROM graph UNION ALL SELECT query_id, id, 'graph_support', NULL FROM support),
@@ -167,7 +171,7 @@ graph AS (SELECT * EXCLUDE each, list_filter(each, lambda x, i: list_position(ea
         "chunk_lookup": f"WITH {_HITS} SELECT chunk_id, version AS paper_version_id, generation AS vector_generation_fingerprint FROM v WHERE vec_id IN (SELECT user_id FROM events)",
         "generation_count": f"WITH {_HITS} SELECT version AS paper_version_id, generation AS vector_generation_fingerprint, count(*) AS points FROM v GROUP BY ALL",
         "stale_delete": f"WITH {_HITS} SELECT chunk_id, version AS paper_version_id, generation AS vector_generation_fingerprint FROM v WHERE vec_id % 20 % 2 = 1 OR generation = 'current'",
-        "text_evidence": f"WITH {_HITS} SELECT query_id, 'evidence:' || substr(sha256('text|qdrant|' || chunk_id || '|' || generation), 1, 16) AS evidence_id, chunk_id, round(score, 6) AS score, 'vector_similarity' AS score_kind FROM hits WHERE score BETWEEN -1e-9 AND 1 + 1e-9",
+        "text_evidence": f"WITH {_HITS}, h AS (SELECT *, score BETWEEN -1e-9 AND 1 + 1e-9 AS valid FROM hits) SELECT query_id, CASE WHEN valid THEN 'evidence:' || substr(sha256('text|qdrant|' || chunk_id || '|' || generation), 1, 16) END AS evidence_id, chunk_id, round(CASE WHEN valid THEN greatest(0, least(1, score)) ELSE score END, 6) AS score, CASE WHEN valid THEN 'vector_similarity' END AS score_kind, valid FROM h",
         "graph_evidence": f"{shared} SELECT query_id, evidence_id, operation, array_to_string(chunks, ',') AS chunks, provenance_type, round(score, 6) AS score FROM graph",
         "provenance_bridge": f"""{shared}, store AS (SELECT DISTINCT 'chunk:tpch:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS chunk FROM lineitem WHERE l_returnflag <> 'N'),
           wanted AS (SELECT query_id, evidence_id, unnest(chunks[:5]) AS c, generate_subscripts(chunks[:5], 1) AS i FROM graph),

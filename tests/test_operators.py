@@ -231,7 +231,8 @@ def test_rrf_is_symmetric_in_scores(spark, a, b):
 
 def test_text_evidence_bounds(spark):
     hits = spark.createDataFrame([("c1", "g", 0.5), ("c2", "g", -0.2), ("c3", "g", 1.0 + 1e-12)], "chunk_id string, vector_generation_fingerprint string, score double")
-    assert {r.chunk_id for r in evidence.text_evidence(hits, on_invalid="drop").collect()} == {"c1", "c3"}
+    marked = {r.chunk_id: r for r in evidence.text_evidence(hits, on_invalid="mark").collect()}
+    assert {c for c, r in marked.items() if r.valid} == {"c1", "c3"} and all((r.evidence_id is None) == (not r.valid) for r in marked.values())
     with pytest.raises(Exception, match="outside"):
         evidence.text_evidence(hits).collect()
 
