@@ -198,24 +198,41 @@ def selected_context(pool: DataFrame, most: int = 10) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("answer_id").orderBy("at"))).where(F.col("place") <= most).select("answer_id", "evidence_id", "place")
 
 
-def budgeted(items: DataFrame, most_chars: int, mark: str = "[truncated]", frame: int = 64) -> DataFrame:
-    """items(answer_id, place, rendered): what fits a budget of characters; the first that doesn't is cut with a mark if its frame fits, and ends the context."""
-    before = F.sum(F.length("rendered")).over(Window.partitionBy("answer_id").orderBy("place")) - F.length("rendered")
-    left = F.lit(most_chars) - F.col("before")
-    rows = items.withColumn("before", before).where((F.col("before") < most_chars) & ((F.length("rendered") <= left) | (left > frame + len(mark))))
-    return rows.withColumn("truncated", F.length("rendered") > left).withColumn("rendered", F.when(F.col("truncated"), F.concat(F.expr(f"substring(rendered, 1, int({most_chars} - before - {len(mark)}))"), F.lit(mark))).otherwise(F.col("rendered"))).drop("before")
+# Fixed value: what ends a text that was cut.
+TRUNCATED = "\n[truncated]"
 
 
 def page_range(first: Column, last: Column) -> Column:
-    return F.when(first.isNull(), "").when(last.isNull() | (first == last), F.concat(F.lit("p. "), first.cast("string"))).otherwise(F.concat(F.lit("pp. "), first.cast("string"), F.lit("-"), last.cast("string")))
+    """"3", "3-5", or null without a page."""
+    return F.when(last.isNull() | (first == last), first.cast("string")).when(first.isNull(), F.concat(F.lit("None-"), last.cast("string"))).otherwise(F.concat(first.cast("string"), F.lit("-"), last.cast("string")))
 
 
 def rendered(items: DataFrame) -> DataFrame:
-    """items(label, evidence_type, text, page_start, page_end, relationship_ids, path_confidence) with the block that a model reads."""
-    head = F.concat(F.lit("["), F.col("label"), F.lit("] "), F.col("evidence_type"))
-    pages = page_range(F.col("page_start"), F.col("page_end"))
-    body = F.when(F.col("evidence_type") == "text", F.concat_ws("\n", F.nullif(pages, F.lit("")), F.col("text"))).otherwise(F.concat_ws("\n", F.col("text"), F.concat(F.lit("edges: "), F.array_join("relationship_ids", " -> ")), F.concat(F.lit("confidence: "), F.format_number("path_confidence", 2))))
-    return items.withColumn("rendered", F.concat_ws("\n", head, body))
+    """items(label, evidence_type, evidence_id, paper_id, paper_version_id, section_type, page_start, page_end, provenance_complete, warnings, text, entity_ids, relationship_ids, supporting_text_evidence_ids) with `head` and `body`, what a model reads of them; missing values read None."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    whole = F.initcap(F.col("provenance_complete").cast("string"))
+    few = F.transform(F.slice("warnings", 1, 3), lambda w: F.concat(F.lit("'"), w, F.lit("'")))
+    head = F.concat_ws("\n", F.concat(F.lit('<EVIDENCE id="'), F.col("label"), F.lit('" type="'), F.upper("evidence_type"), F.lit('">')), *[F.concat(F.lit(f"{name}: "), shown(value)) for name, value in (("stable_evidence_id", F.col("evidence_id")), ("paper_id", F.col("paper_id")), ("paper_version_id", F.col("paper_version_id")), ("section", F.col("section_type")), ("pages", page_range(F.col("page_start"), F.col("page_end"))), ("provenance_complete", whole))], F.concat(F.lit("provenance_warnings: ["), F.array_join(few, ", "), F.lit("]")), F.lit("Content:\n"))
+    support = F.concat(F.lit("supporting_text_evidence_ids: "), F.array_join("supporting_text_evidence_ids", ", "))
+    relation = F.concat_ws("\n", F.lit("Graph relationship:"), F.concat(F.lit("entities: "), F.array_join("entity_ids", " -> ")), F.concat(F.lit("relationships: "), F.array_join("relationship_ids", ", ")), support)
+    path = F.concat_ws("\n", F.lit("Graph path:"), F.concat(F.lit("nodes: "), F.array_join("entity_ids", " -> ")), F.concat(F.lit("relationships: "), F.array_join("relationship_ids", " -> ")), support)
+    kind = F.col("evidence_type")
+    body = F.when(kind == "graph_relationship", relation).when(kind == "graph_path", path).otherwise(F.coalesce("text", F.lit("")))
+    return items.withColumn("head", head).withColumn("body", body)
+
+
+def budgeted(items: DataFrame, most_chars: int, foot: str = "\n</EVIDENCE>") -> DataFrame:
+    """items(answer_id, place, head, body): rendered blocks within a budget of characters.
+
+    The first block that doesn't fit has its body cut with a mark if its frame fits, and ends the context.
+    """
+    frame, size = F.length("head") + len(foot), F.length("head") + F.length("body") + len(foot)
+    before = F.coalesce(F.sum(size).over(Window.partitionBy("answer_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = items.withColumn("left", F.lit(most_chars) - before).where((F.col("left") > 0) & (F.col("left") > frame))
+    room = F.col("left") - F.length("head") - len(foot)
+    cut = F.length("body") > room
+    body = F.when(cut, F.concat(F.substring("body", F.lit(1), F.greatest(F.lit(0), room - len(TRUNCATED)).cast("int")), F.lit(TRUNCATED))).otherwise(F.col("body"))
+    return rows.withColumn("truncated", cut).withColumn("rendered", F.concat("head", body, F.lit(foot))).drop("left")
 
 
 def evidence_summary(items: DataFrame, by: list[str]) -> DataFrame:

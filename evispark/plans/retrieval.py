@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BoundError, Settings, bounded
@@ -48,6 +48,12 @@ class Result:
         return [(f"E{n}", first[e]) for n, e in enumerate(order, 1)]
 
 
+def _text_item(r: Row) -> dict[str, Any]:
+    """A text evidence row as an item; what the vector table doesn't hold is None."""
+    own = r.asDict()
+    return {"evidence_id": r.evidence_id, "evidence_type": "text", "chunk_id": r.chunk_id, "paper_id": r.paper_id, "text": r.text, "score": r.score, "score_kind": r.score_kind, "entity_ids": [], "relationship_ids": [], "source_chunk_ids": [r.chunk_id], "support": [], "warnings": [], "provenance_complete": True, **{c: own.get(c) for c in ("paper_version_id", "section_type", "page_start", "page_end")}}
+
+
 class Retriever:
     def __init__(self, store: Store, provider: EmbeddingProvider, settings: Settings | None = None):
         self.store, self.provider, self.settings = store, provider, settings or Settings()
@@ -76,8 +82,7 @@ class Retriever:
             raise BoundError("a query must not be blank")
         k = bounded("top_k", top_k, s.vector_top_k, s.vector_top_k_max)
         hits = V.top_k(self.store.vectors, self.provider.embed_query(query), k, filters)
-        rows = E.text_evidence(hits).orderBy(F.desc("score"), "chunk_id").collect()
-        return [{"evidence_id": r.evidence_id, "evidence_type": "text", "chunk_id": r.chunk_id, "paper_id": r.paper_id, "text": r.text, "score": r.score, "entity_ids": [], "relationship_ids": [], "source_chunk_ids": [r.chunk_id], "support": [], "warnings": [], "provenance_complete": True} for r in rows]
+        return [_text_item(r) for r in E.text_evidence(hits).orderBy(F.desc("score"), "chunk_id").collect()]
 
     def graph_search(self, operation: str, *, entity_id: str | None = None, canonical_name: str | None = None, entity_type: str | None = None, depth: int | None = None, limit: int | None = None) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
         """Graph evidence in rank order, and the text evidence that supports it."""
@@ -89,18 +94,19 @@ class Retriever:
         start = self.resolve(entity_id, canonical_name, entity_type)
         requests = self.spark.createDataFrame([(start,)], "start string")
         found = G.evidence(operation, G.paths(operation, requests, self.store.nodes, self.store.edges, depth=depth, limit=limit))
-        kinds = self.store.edges.select("relationship_id", "provenance_type")
+        version = F.col("paper_version_id") if "paper_version_id" in self.store.edges.columns else F.lit(None).cast("string")
+        kinds = self.store.edges.select("relationship_id", "provenance_type", version.alias("paper_version_id"))
         rels = found.select("evidence_id", F.posexplode("rels").alias("at", "r")).select("evidence_id", "at", "r.*").join(kinds, "relationship_id")
-        rels = rels.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("at", "source_chunk_id", "supporting_chunk_ids", "provenance_type"))).alias("own"))
+        rels = rels.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("at", "source_chunk_id", "supporting_chunk_ids", "provenance_type"))).alias("own"), F.min_by("paper_version_id", F.when(F.col("paper_version_id").isNotNull(), F.col("at"))).alias("paper_version_id"))
         made = E.graph_provenance("own")
         rows = found.drop("source_chunk_ids").join(rels, "evidence_id").withColumn("source_chunk_ids", made["source_chunk_ids"]).withColumn("provenance_type", made["provenance_type"]).withColumn("query_id", F.col("start"))
         chunks = self.store.vectors.select("chunk_id", "vector_generation_fingerprint")
         rows = E.bridge(rows, chunks, s.supporting_chunks).orderBy("rank").collect()
-        graph = [{"evidence_id": r.evidence_id, "evidence_type": r.evidence_type, "chunk_id": r.chunk_id, "paper_id": r.paper_id, "text": r.text, "score": r.path_confidence, "entity_ids": r.entity_ids, "relationship_ids": r.relationship_ids, "source_chunk_ids": r.source_chunk_ids, "support": r.supporting_text_evidence_ids, "warnings": r.warnings, "provenance_complete": r.provenance_complete} for r in rows]
+        graph = [{"evidence_id": r.evidence_id, "evidence_type": r.evidence_type, "chunk_id": r.chunk_id, "paper_id": r.paper_id, "paper_version_id": r.paper_version_id, "section_type": None, "page_start": None, "page_end": None, "text": r.text, "score": r.path_confidence, "score_kind": "path_confidence", "entity_ids": r.entity_ids, "relationship_ids": r.relationship_ids, "source_chunk_ids": r.source_chunk_ids, "support": r.supporting_text_evidence_ids, "warnings": r.warnings, "provenance_complete": r.provenance_complete} for r in rows]
         wanted = [c for g in graph for c in g["source_chunk_ids"][: s.supporting_chunks]]
         ids = self.spark.createDataFrame([(c,) for c in dict.fromkeys(wanted)], "chunk_id string")
         by_id = {r.evidence_id: r for r in E.text_evidence(V.lookup(self.store.vectors, ids).withColumn("score", F.lit(None).cast("double"))).collect()}
-        support = [{"evidence_id": i, "evidence_type": "text", "chunk_id": by_id[i].chunk_id, "paper_id": by_id[i].paper_id, "text": by_id[i].text, "score": None, "entity_ids": [], "relationship_ids": [], "source_chunk_ids": [by_id[i].chunk_id], "support": [], "warnings": [], "provenance_complete": True} for g in graph for i in g["support"]]
+        support = [_text_item(by_id[i]) for g in graph for i in g["support"]]
         return graph, support
 
     def retrieve(self, query: str, strategy: str, *, vector_top_k: int | None = None, filters: dict[str, str] | None = None, graph_request: dict[str, Any] | None = None, top_k: int | None = None) -> Result:

@@ -311,9 +311,20 @@ def test_context_selection_puts_support_next(spark):
 
 
 def test_budget_cuts_once(spark):
-    rows = spark.createDataFrame([(1, 1, "a" * 100), (1, 2, "b" * 200), (1, 3, "c" * 10)], "answer_id int, place int, rendered string")
-    out = decisions.budgeted(rows, 250).orderBy("place").collect()
-    assert [(len(r.rendered), r.truncated) for r in out] == [(100, False), (150, True)]
+    foot = len("\n</EVIDENCE>")
+    rows = [(1, 1, "h" * 10, "a" * 100), (1, 2, "h" * 10, "b" * 200), (1, 3, "h" * 10, "c" * 10), (2, 1, "h" * 30, "x")]
+    out = decisions.budgeted(spark.createDataFrame(rows, "answer_id int, place int, head string, body string"), 250).orderBy("answer_id", "place").collect()
+    assert [(r.answer_id, r.place, len(r.rendered), r.truncated) for r in out] == [(1, 1, 110 + foot, False), (1, 2, 250 - 110 - foot, True), (2, 1, 31 + foot, False)]
+    assert out[1].rendered.endswith("b\n[truncated]\n</EVIDENCE>")
+    assert decisions.budgeted(spark.createDataFrame(rows[:1], "answer_id int, place int, head string, body string"), 10 + foot).collect() == []
+
+
+def test_rendered_blocks(spark):
+    schema = "label string, evidence_type string, evidence_id string, paper_id string, paper_version_id string, section_type string, page_start int, page_end int, provenance_complete boolean, warnings array<string>, text string, entity_ids array<string>, relationship_ids array<string>, supporting_text_evidence_ids array<string>"
+    rows = [("E1", "text", "ev1", "p", "pv", "methods", 3, 5, True, [], "some text", [], [], []), ("E2", "graph_path", "ev2", "p", None, None, None, None, False, ["w1", "w2", "w3", "w4"], "said", ["a", "b", "c"], ["r", "s"], ["t1", "t2"])]
+    out = {r.label: r.head + r.body for r in decisions.rendered(spark.createDataFrame(rows, schema)).collect()}
+    assert out["E1"] == '<EVIDENCE id="E1" type="TEXT">\nstable_evidence_id: ev1\npaper_id: p\npaper_version_id: pv\nsection: methods\npages: 3-5\nprovenance_complete: True\nprovenance_warnings: []\nContent:\nsome text'
+    assert out["E2"] == "<EVIDENCE id=\"E2\" type=\"GRAPH_PATH\">\nstable_evidence_id: ev2\npaper_id: p\npaper_version_id: None\nsection: None\npages: None\nprovenance_complete: False\nprovenance_warnings: ['w1', 'w2', 'w3']\nContent:\nGraph path:\nnodes: a -> b -> c\nrelationships: r -> s\nsupporting_text_evidence_ids: t1, t2"
 
 
 # --- control plane, sources

@@ -1,6 +1,7 @@
 """The ten-case retrieval benchmark and the answer workflow over its controlled corpus."""
 
 import json
+from dataclasses import replace
 
 import pytest
 
@@ -9,6 +10,7 @@ from evispark.plans.retrieval import EntityAmbiguous, EntityNotFound, Retriever,
 from evispark.plans.workflow import Workflow
 from evispark.providers import CallableModel
 
+# The controlled corpus and its ten cases.
 CHUNKS = {"a-method": ("a", [1.0, 0.01, 0, 0]), "a-limit": ("a", [0.02, 1.0, 0, 0]), "a-dataset": ("a", [0.90, 0.02, 1.0, 0]), "a-task": ("a", [0.70, 0.03, 1.0, 0]), "b-dataset": ("b", [0.50, 0.04, 1.0, 0]), "b-cite": ("b", [0.30, 0.05, 1.0, 0]), "c-method": ("c", [0.10, 0.06, 1.0, 0]), "b-method": ("b", [0.01, 0.07, 1.0, 0])}
 PAPER = {k: f"paper:arxiv:eval-{k}" for k in "abc"}
 OTHER = {"entity:dataset:eval-shared": ("dataset", "EvalSet"), "entity:method:eval-graphrag": ("method", "GraphRAG"), "entity:task:eval-reconstruction": ("task", "Reconstruction"), "entity:method:eval-baseline": ("method", "Baseline")}
@@ -124,10 +126,60 @@ def test_workflow_abstains(retriever):
     assert broken.reasons == ["planning_failed"] and broken.confidence == "insufficient_evidence"
 
 
+def test_workflow_keeps_the_first_evidence_if_the_refinement_fails(retriever, monkeypatch):
+    """A store that fails in the second round ends the run; a fault of the program is no store error."""
+    flow = Workflow(retriever, scripted("semantic_explanation", sufficient=False))
+    calls, real = [], retriever.vector_search
+
+    def failing(error):
+        def search(*a, **k):
+            calls.append(1)
+            if len(calls) > 1:
+                raise error
+            return real(*a, **k)
+
+        calls.clear()
+        return search
+
+    monkeypatch.setattr(retriever, "vector_search", failing(ConnectionError("down")))
+    out = flow.run("graph reconstruction?")
+    assert (out.status, out.internal_status, out.reasons) == ("abstained", "REFINEMENT_FAILED", ["refinement_failed"]) and len(out.items) == 5
+    assert [(r.number, r.strategy, r.evidence) for r in out.trace.rounds] == [(1, "vector", 5)] and out.trace.errors == [("refine", "ConnectionError: down")]
+    assert [(s.node, s.status) for s in out.trace.steps] == [("plan", "ok"), ("retrieve", "ok"), ("assess", "insufficient"), ("refine", "error")]
+    monkeypatch.setattr(retriever, "vector_search", failing(AttributeError("a fault")))
+    with pytest.raises(AttributeError):
+        flow.run("graph reconstruction?")
+    monkeypatch.setattr(retriever, "vector_search", lambda *a, **k: (_ for _ in ()).throw(TimeoutError("slow")))
+    assert flow.run("graph reconstruction?").reasons == ["retrieval_failed"]
+
+
+def test_workflow_context_is_rendered_within_its_budget(retriever):
+    seen = []
+
+    def model(system, prompt):
+        seen.append((system, prompt))
+        return scripted("semantic_explanation", cites="[E2] [E1]").generate(system, prompt)
+
+    out = Workflow(retriever, CallableModel(model)).run("graph reconstruction?")
+    assert out.context.count("<EVIDENCE id=") == 5 and seen[-1][1].endswith(out.context) and "text of a-method\n</EVIDENCE>" in out.context
+    assert [c["label"] for c in out.citations] == ["E2", "E1"] and out.uncited == ["E3", "E4", "E5"] and not out.context_truncated
+    critic = json.loads(next(p for s, p in seen if s.startswith("judge")))
+    assert critic["diagnostics"] == {"evidence_count": 5, "text_evidence_count": 5, "graph_evidence_count": 0} and critic["evidence"][0]["pool_id"] == "E1"
+    small = Retriever(retriever.store, retriever.provider, replace(retriever.settings, answer_chars=740))
+    cut = Workflow(small, scripted("semantic_explanation")).run("graph reconstruction?")
+    assert cut.context_truncated and len(cut.context) <= 760 and cut.context.endswith("[truncated]\n</EVIDENCE>")
+
+
+def test_analysis_outside_the_vocabularies_fails(retriever):
+    for said in ({"intent": "guess"}, {"intent": "paper_datasets", "entities": [{"name": "x", "type": "robot"}]}, {"intent": "paper_datasets", "entities": [{"name": " ", "type": "paper"}]}, {"entities": []}):
+        assert Workflow(retriever, CallableModel(lambda s, p, said=said: json.dumps(said))).run("q?").reasons == ["planning_failed"]
+
+
 def test_workflow_refines_once(retriever):
     model = scripted("semantic_explanation", sufficient=False)
     out = Workflow(retriever, model).run("graph reconstruction?")
     assert out.rounds == 2 and out.internal_status == "INSUFFICIENT_EVIDENCE" and len(out.items) == 8
+    assert [(r.evidence, r.new, r.refinement) for r in out.trace.rounds] == [(5, 5, None), (8, 3, "vector_expansion")]
     found = Workflow(retriever, scripted("mixed_semantic_structural", [PAPER_A], "[E1] [E2]")).run("graph reconstruction?", generate=False)
     assert found.status == "retrieved" and {"text", "graph_relationship"} <= {i["evidence_type"] for i in found.items}
     assert fingerprint({"a": 1}) == fingerprint({"a": 1})
