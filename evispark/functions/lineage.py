@@ -26,6 +26,22 @@ def fingerprint_of(kind: str, **values) -> str:
     return fingerprint(values)
 
 
+# The settings that a benchmark run is named by, beside its dataset's checksum and its cut-offs.
+RUN_FIELDS = ["embedding_model", "embedding_provider", "embedding_normalize", "canonicalization_version", "extraction_version", "rrf_k", "vector_top_k", "graph_limit", "hybrid_top_k"]
+
+
+def dataset_checksum(dataset) -> str:
+    """SHA-256 of a benchmark's canonical JSON."""
+    return fingerprint(dataset)
+
+
+def run_fingerprint(checksum: str, k_values: list[int], **settings) -> str:
+    """Exactly RUN_FIELDS must be given."""
+    if set(settings) != set(RUN_FIELDS):
+        raise ValueError(f"a run needs {', '.join(RUN_FIELDS)}")
+    return fingerprint({"benchmark_checksum": checksum, "k_values": k_values, **settings})
+
+
 def generation_of(kind: str, checksum: Column, config: Column) -> Column:
     """A generation fingerprint as a column, from string columns in the order of its fields."""
     names = FIELDS[kind]

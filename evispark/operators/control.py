@@ -165,6 +165,40 @@ def chunk_listing(chunks: DataFrame, section_order: DataFrame, *, section_type:
     return chunks.agg(F.count("*").alias("total")), page
 
 
+def document_listing(sections: DataFrame, include_text: bool = False) -> DataFrame:
+    """A document's sections in order; their texts only if asked for."""
+    text = F.col("text") if include_text else F.lit(None).cast("string")
+    return sections.select("paper_version_id", "section_id", "section_type", "title", "order", "page_start", "page_end", text.alias("text"))
+
+
+def ready_versions(versions: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Versions that any job has brought to its end."""
+    return versions.join(jobs.where(F.col("status") == "ready"), "paper_version_id", "left_semi")
+
+
+def step_listing(steps: DataFrame) -> DataFrame:
+    """steps(job_id, step_id, ...) with their place in their job, by step id."""
+    return steps.withColumn("place", F.row_number().over(Window.partitionBy("job_id").orderBy("step_id")))
+
+
+def by_key(rows: DataFrame, **key) -> DataFrame:
+    """The rows of a key, whose parts are equalities that reach the scan."""
+    for column, value in key.items():
+        rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def replaced_jobs(jobs: DataFrame, stale: DataFrame, status: str, job_id: Column) -> DataFrame:
+    """jobs(job_id, paper_version_id, status, failed_stage, failure_reason, retry_count): active jobs of the versions in stale(paper_version_id, reason) fail, and each gets a new one that goes on from `status`."""
+    met = jobs.join(stale.select("paper_version_id", F.substring("reason", 1, REASON_MOST).alias("why")).dropDuplicates(["paper_version_id"]), "paper_version_id", "left")
+    hit = F.col("why").isNotNull() & ~F.col("status").isin(TERMINAL)
+    own = ["job_id", "paper_version_id", "status", "failed_stage", "failure_reason", "retry_count"]
+    old = met.select("job_id", "paper_version_id", F.when(hit, "failed").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("status")).otherwise(F.col("failed_stage")).alias("failed_stage"), F.when(hit, F.col("why")).otherwise(F.col("failure_reason")).alias("failure_reason"), (F.col("retry_count") + hit.cast("int")).alias("retry_count"))
+    none = F.lit(None).cast("string")
+    fresh = met.where(hit).select(job_id.alias("job_id"), "paper_version_id", F.lit(status).alias("status"), none.alias("failed_stage"), none.alias("failure_reason"), F.lit(0).alias("retry_count"))
+    return old.select(*own).unionByName(fresh.select(*own))
+
+
 def new_versions(asked: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(versions to insert, conflicts) for asked(paper_id, version, checksum): a stored version with another known checksum conflicts."""
     have = stored.select("paper_id", "version", F.col("checksum").alias("stored_checksum"))

@@ -29,6 +29,11 @@ def text_evidence(hits: DataFrame, *, on_invalid: str = "raise") -> DataFrame:
     return hits.withColumn("evidence_id", made).withColumn("evidence_type", F.lit("text")).withColumn("score_kind", kind)
 
 
+def chunk_evidence(chunks: DataFrame) -> DataFrame:
+    """Chunks that were looked up by id as evidence: the ids that hits have, and no score."""
+    return text_evidence(chunks.withColumn("score", F.lit(None).cast("double"))).withColumn("exact_lookup", F.lit(True))
+
+
 def graph_provenance(rels: Column | str) -> dict[str, Column]:
     """From rels, an array of edges in path order: chunk ids (primary first, then sorted supporting ones), provenance type, first version and generation."""
     rels = F.col(rels) if isinstance(rels, str) else rels

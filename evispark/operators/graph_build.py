@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import entity_id, identity_key, relationship_id, spaced
+from ..functions.ids import entity_id, identity_key, relationship_id, spaced, strip
 from ..schemas import ENTITY_TYPES, ONTOLOGY, RELATIONSHIPS
 
 ALIASES_MOST, QUOTES_MOST = 20, 5
@@ -156,6 +156,23 @@ def verify_generation(written: DataFrame, expected: DataFrame) -> None:
         raise ValueError("the written edges are not the expected ones")
 
 
+def schema_violations(nodes: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, violation): what a graph store's constraints would refuse: unknown types, missing ids, an id twice in a type."""
+    kind = F.when(~F.coalesce(F.col("entity_type").isin(ENTITY_TYPES), F.lit(False)), "unknown_type").when(F.coalesce(strip("entity_id"), F.lit("")) == "", "missing_id").when(F.col("n") > 1, "repeated_id")
+    return nodes.groupBy("entity_type", "entity_id").agg(F.count("*").alias("n")).withColumn("violation", kind).where("violation is not null").select("entity_type", "entity_id", "violation")
+
+
+def edge_rows(edges: DataFrame) -> DataFrame:
+    """edges as a graph store holds them: authorship comes from metadata, all else from chunks."""
+    kind = F.when(F.col("relationship_type") == "authored_by", "metadata").otherwise("chunk")
+    return edges.withColumn("provenance_type", kind).withColumn("supporting_chunk_ids", F.coalesce("supporting_chunk_ids", F.array().cast("array<string>")))
+
+
+def citation_edges(resolved: DataFrame) -> DataFrame:
+    """resolved(paper_id, target_paper_id, ...): one edge row of confidence 1 for each resolved reference; duplicates stay."""
+    return resolved.where("target_paper_id is not null").select(F.col("paper_id").alias("source_entity_id"), F.lit("cites").alias("relationship_type"), F.col("target_paper_id").alias("target_entity_id"), F.lit(1.0).alias("confidence"), relationship_id("paper_id", F.lit("cites"), "target_paper_id").alias("relationship_id"))
+
+
 def author_facts(papers: DataFrame) -> DataFrame:
     """papers(paper_id, authors): one authored_by edge for each author key, first surface form, confidence 1, no chunk."""
     each = papers.select("paper_id", F.posexplode("authors").alias("pos", "name")).withColumn("key", identity_key("name")).where("key <> ''")

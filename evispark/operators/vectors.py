@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.ids import strip
 from ..storage import new_path
 
 #: Bytes of a block of query vectors; scores that a task holds at once.
@@ -134,6 +135,12 @@ def delete_stale(vectors: DataFrame, current: DataFrame) -> DataFrame:
     return met.where(F.coalesce(F.col("vector_generation_fingerprint") == F.col("now"), F.col("now").isNull())).drop("now")
 
 
+def payloads(chunks: DataFrame, papers: DataFrame) -> DataFrame:
+    """chunks met with what their papers add to a vector's payload: title, source, ids, categories and year."""
+    own = papers.select("paper_id", F.col("title").alias("paper_title"), "source", "source_id", "categories", F.year("published_at").alias("published_year"))
+    return chunks.join(own, "paper_id")
+
+
 def check_compatible(dimension: int, metric: str, wanted_dimension: int, wanted_metric: str = "cosine") -> None:
     """A collection with another dimension or metric is an error, never made anew."""
     if dimension != wanted_dimension or metric != wanted_metric:
@@ -142,5 +149,5 @@ def check_compatible(dimension: int, metric: str, wanted_dimension: int, wanted_
 
 def check_chunks(chunks: DataFrame, expected: int) -> DataFrame:
     """One row of precheck counts: rows, duplicate ids, blank texts, and whether all are as they must be."""
-    out = chunks.agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct("chunk_id")).alias("duplicates"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"))
+    out = chunks.agg(F.count("*").alias("rows"), (F.count("*") - F.count_distinct("chunk_id")).alias("duplicates"), F.count_if(F.coalesce(strip("text"), F.lit("")) == "").alias("blank"))
     return out.withColumn("ok", (F.col("rows") == expected) & (F.col("rows") > 0) & (F.col("duplicates") == 0) & (F.col("blank") == 0))

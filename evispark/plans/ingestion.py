@@ -6,6 +6,8 @@ those whose generation differs, and running again changes nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,33 @@ def verified(table: DataFrame, chunks: DataFrame) -> None:
         raise ValueError("points and chunks differ in number")
 
 
+def reuse_or_run(inputs: DataFrame, stored: DataFrame, now: DataFrame, make: Callable[[DataFrame], DataFrame], generation: str) -> tuple[DataFrame, DataFrame]:
+    """A stage's table after a run, and the versions that had work to do.
+
+    now(paper_version_id, generation) names what each version's output must be made of and how; stored rows of that
+    generation (in the column `generation` names) are reused, versions without any run through make(), and rows of other
+    generations, or of versions that are gone, are left out. Running again changes nothing.
+    """
+    current = now.select("paper_version_id", F.col("generation").alias(generation))
+    kept = stored.join(current, ["paper_version_id", generation], "left_semi")
+    todo = current.join(stored.select("paper_version_id", generation).distinct(), ["paper_version_id", generation], "left_anti")
+    fresh = make(inputs.join(todo, "paper_version_id", "left_semi")).join(todo, "paper_version_id")
+    return kept.unionByName(fresh.select(*stored.columns)), todo.select("paper_version_id")
+
+
+def parse_stage(pages: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections of pages, reused while a version's pages are the same."""
+    now = artifact_checksums(pages, ["page_number", "text"]).withColumnRenamed("checksum", "generation")
+    return reuse_or_run(pages, stored, now, parse, "parsed_checksum")
+
+
+def chunk_stage(sections: DataFrame, stored: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Chunks of sections, reused while a version's sections and the chunking are the same."""
+    sums = artifact_checksums(sections, ["section_id", "title", "text"])
+    now = sums.select("paper_version_id", F.sha2(F.concat_ws("|", "checksum", F.lit(chunking.config_fingerprint(settings))), 256).alias("generation"))
+    return reuse_or_run(sections, stored, now, lambda rows: chunk(rows, settings), "chunk_generation")
+
+
 def work_left(jobs: DataFrame) -> DataFrame:
     """Active jobs by the stage that they run next."""
     return control.resume_points(control.active_jobs(jobs)).groupBy("next_stage").agg(F.count("*").alias("jobs"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import build_queries, decision_queries, graph_queries, text_queries, vector_queries
+from . import answer_queries, build_queries, decision_queries, graph_queries, record_queries, text_queries, vector_queries
 
-MODULES = [graph_queries, build_queries, vector_queries, text_queries, decision_queries]
+MODULES = [graph_queries, build_queries, vector_queries, text_queries, decision_queries, record_queries, answer_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -45,6 +45,27 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of the shared folder."""
+    where, files = _place(spark, path)
+    out = files.create(where, True)
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> None:
+    """Move a file in one step; a file in its place is replaced."""
+    jvm = spark.sparkContext._jvm
+    a, _ = _place(spark, source)
+    b, files = _place(spark, target)
+    files.mkdirs(b.getParent())
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(files.makeQualified(a), files.makeQualified(b), how)
+
+
 def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
     """Bytes and time of change of a file or folder."""
     where, files = _place(spark, path)
