@@ -33,7 +33,7 @@ def status_of(error: BaseException) -> int:
 
 def _probe(table: DataFrame) -> str:
     try:
-        table.limit(1).count()
+        table.take(1)
         return "connected"
     except PySparkException:
         return "unreachable"
