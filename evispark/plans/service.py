@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ STATUS = [
     (FileNotFoundError, 404),
     (ConnectionError, 503),
     (PySparkException, 503),
+    (Py4JError, 503),
     (ValueError, 422),
 ]
 FAULT = 500
@@ -35,7 +37,7 @@ def _probe(table: DataFrame) -> str:
     try:
         table.take(1)
         return "connected"
-    except PySparkException:
+    except (PySparkException, Py4JError):
         return "unreachable"
 
 
