@@ -86,7 +86,7 @@ def _entity(kind: str, name: str) -> str:
 
 
 _PART = "p_name || ' ' || p_partkey"
-NODES_SQL = f"""nodes AS (
+NODES_SQL = f"""nodes AS MATERIALIZED (
   SELECT 'paper:tpch:' || o_orderkey AS id, 'paper' AS kind, 'Order ' || o_orderkey AS name, CAST(o_orderkey AS VARCHAR) AS shown FROM orders
   UNION ALL SELECT {_entity('author', 'c_name')}, 'author', c_name, c_name FROM customer
   UNION ALL SELECT {_entity('method', 's_name')}, 'method', s_name, s_name FROM supplier
@@ -98,6 +98,6 @@ EDGES_SQL = f"""raw_edges AS (
   UNION ALL SELECT 'paper:tpch:' || l_orderkey, 'evaluated_on', {_entity('dataset', _PART)}, round(1 - l_discount, 2), 'chunk:tpch:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey, 'chunk' FROM lineitem JOIN part ON p_partkey = l_partkey
   UNION ALL SELECT 'paper:tpch:' || o_orderkey, 'addresses', {_entity('task', 'o_orderpriority')}, 1.0, 'chunk:tpch:' || o_orderkey, 'chunk' FROM orders
   UNION ALL SELECT 'paper:tpch:' || o_orderkey, 'cites', 'paper:tpch:' || prev, 1.0, 'chunk:tpch:' || o_orderkey, 'chunk' FROM (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders) WHERE prev IS NOT NULL),
-edges AS (SELECT *, chunks[1] AS chunk, 'relationship:' || {_hash('src', 'type', 'dst')} AS rid FROM (
+edges AS MATERIALIZED (SELECT *, chunks[1] AS chunk, 'relationship:' || {_hash('src', 'type', 'dst')} AS rid FROM (
   SELECT src, type, dst, max(conf) AS conf, list_sort(list(DISTINCT chunk) FILTER (chunk IS NOT NULL)) AS chunks, max(prov) AS prov FROM raw_edges GROUP BY ALL))"""
 GRAPH_SQL = f"WITH {NODES_SQL},\n{EDGES_SQL}"

@@ -160,9 +160,9 @@ def oracle_sql() -> dict[str, str]:
     first = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
     score = f"round(list_cosine_similarity(embedding::DOUBLE[], {first}::DOUBLE[]), 6)"
     shared = f"""{GRAPH_SQL},
-raw AS (SELECT s.id AS start, 'shared_datasets' AS operation, 'graph_path' AS kind, s.id AS n1, m.id AS n2, x.id AS n3, e.rid AS r1, f.rid AS r2, row_number() OVER (PARTITION BY s.id ORDER BY m.id, x.id) AS place FROM nodes s JOIN edges e ON e.src = s.id JOIN nodes m ON m.id = e.dst JOIN edges f ON f.dst = m.id JOIN nodes x ON x.id = f.src WHERE s.kind = 'paper' AND e.type = 'evaluated_on' AND f.type = 'evaluated_on' AND x.id <> s.id QUALIFY place <= 5
+raw AS MATERIALIZED (SELECT s.id AS start, 'shared_datasets' AS operation, 'graph_path' AS kind, s.id AS n1, m.id AS n2, x.id AS n3, e.rid AS r1, f.rid AS r2, row_number() OVER (PARTITION BY s.id ORDER BY m.id, x.id) AS place FROM nodes s JOIN edges e ON e.src = s.id JOIN nodes m ON m.id = e.dst JOIN edges f ON f.dst = m.id JOIN nodes x ON x.id = f.src WHERE s.kind = 'paper' AND e.type = 'evaluated_on' AND f.type = 'evaluated_on' AND x.id <> s.id QUALIFY place <= 5
   UNION ALL SELECT s.id, 'paper_authors', 'graph_relationship', s.id, m.id, NULL, e.rid, NULL, 1 FROM nodes s JOIN edges e ON e.src = s.id JOIN nodes m ON m.id = e.dst WHERE s.kind = 'paper' AND e.type = 'authored_by'),
-shared AS (SELECT start AS query_id, operation, 'evidence:' || substr(sha256(concat_ws('|', kind, operation, n1, n2, n3, r1, r2)), 1, 16) AS evidence_id, list_concat(coalesce(e.chunks, []), coalesce(f.chunks, [])) AS each, CASE WHEN operation = 'paper_authors' THEN 'metadata' ELSE 'chunk' END AS provenance_type, least(e.conf, coalesce(f.conf, e.conf)) AS score FROM raw JOIN edges e ON e.rid = r1 LEFT JOIN edges f ON f.rid = r2),
+shared AS MATERIALIZED (SELECT start AS query_id, operation, 'evidence:' || substr(sha256(concat_ws('|', kind, operation, n1, n2, n3, r1, r2)), 1, 16) AS evidence_id, list_concat(coalesce(e.chunks, []), coalesce(f.chunks, [])) AS each, CASE WHEN operation = 'paper_authors' THEN 'metadata' ELSE 'chunk' END AS provenance_type, least(e.conf, coalesce(f.conf, e.conf)) AS score FROM raw JOIN edges e ON e.rid = r1 LEFT JOIN edges f ON f.rid = r2),
 graph AS (SELECT * EXCLUDE each, list_filter(each, lambda x, i: list_position(each, x) = i) AS chunks FROM shared)"""
     return {
         "vector_topk": f"SELECT 'chunk:vec:' || vec_id AS chunk_id, {score} AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {first}::DOUBLE[]) DESC, chunk_id LIMIT 10",
