@@ -46,16 +46,33 @@ def validated_relationships(raw: DataFrame) -> DataFrame:
 
 
 def group_entities(candidates: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """candidates(entity_type, name, confidence, chunk_id, quote, pos) by type and identity key: first name, greatest confidence, sorted chunks, first quotes."""
+    """candidates(entity_type, name, confidence, chunk_id, quote, pos) by type and identity key: first name, greatest confidence, number of chunks, first quotes.
+
+    Chunks stay rows, of entity_supports(): an entity that a third of all chunks name is no row that holds them.
+    """
     rows = candidates.withColumn("key", identity_key("name", ascii_only))
     by = ["entity_type", "key"]
-    groups = rows.groupBy(*by).agg(F.min_by("name", "pos").alias("name"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"), F.min("pos").alias("pos"))
+    groups = rows.groupBy(*by).agg(F.min_by("name", "pos").alias("name"), F.max("confidence").alias("confidence"), F.count_distinct("chunk_id").alias("n_chunks"), F.min("pos").alias("pos"))
     nth = F.row_number().over(Window.partitionBy(*by).orderBy("pos", "quote"))
     quotes = rows.where("quote is not null").withColumn("nth", nth).where(F.col("nth") <= QUOTES_MOST).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "quote"))), lambda q: q["quote"]).alias("quotes"))
     out = groups.join(quotes, by, "left").withColumn("quotes", F.coalesce("quotes", F.array().cast("array<string>")))
     return out.withColumn("entity_id", entity_id("entity_type", "key", True))
 
 
+def entity_supports(candidates: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(entity_type, key, chunk_id): each chunk that names an entity, once."""
+    return candidates.select("entity_type", identity_key("name", ascii_only).alias("key"), "chunk_id").where("chunk_id is not null").distinct()
+
+
+def with_supports(groups: DataFrame, supports: DataFrame, most: int | None = None) -> DataFrame:
+    """groups with `chunk_ids`, sorted: what an artifact or a page shows; `most` cuts each list before it is collected."""
+    by = ["entity_type", "key"]
+    if most is not None:
+        supports = supports.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("chunk_id"))).where(F.col("nth") <= most)
+    lists = supports.groupBy(*by).agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    return groups.join(lists, by, "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+
+
 def group_relationships(candidates: DataFrame, entities: DataFrame, ascii_only: bool = False) -> DataFrame:
     """candidates(paper_id, relationship_type, target_type, target_name, confidence, chunk_id) by paper, type and target; `implicit` marks targets without an entity candidate."""
     rows = candidates.withColumn("target_key", identity_key("target_name", ascii_only))

@@ -27,7 +27,20 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_candidate_group(spark: SparkSession, d: str) -> DataFrame:
     out = entity_groups(spark, d)
-    return out.select("entity_id", "entity_type", "key", "name", F.round("confidence", 6).alias("confidence"), F.sha2(F.array_join("chunk_ids", ","), 256).alias("chunks_sha256"), F.size("chunk_ids").cast("long").alias("n_chunks"), F.array_join("quotes", ",").alias("quotes"))
+    return out.select("entity_id", "entity_type", "key", "name", F.round("confidence", 6).alias("confidence"), "n_chunks", F.array_join("quotes", ",").alias("quotes"))
+
+
+def entity_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of every entity as rows."""
+    out = B.entity_supports(lines(spark, d).withColumn("entity_type", F.lit("dataset")), True)
+    return out.select("key", "chunk_id")
+
+
+def entity_first_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The first three chunks of every entity, as a page shows them."""
+    rows = lines(spark, d).withColumn("entity_type", F.lit("dataset"))
+    out = B.with_supports(B.group_entities(rows, True), B.entity_supports(rows, True), 3)
+    return out.select("key", F.array_join("chunk_ids", ",").alias("chunks"), "n_chunks")
 
 
 def relationship_candidate_group(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +127,7 @@ def generation_swap(spark: SparkSession, d: str) -> DataFrame:
     return B.swap_generation(rows, current).select("relationship_id", "paper_version_id", F.col("graph_index_generation_fingerprint").alias("generation"))
 
 
-NAMES = ["entity_candidate_group", "relationship_candidate_group", "ontology_validation", "alias_resolution", "edge_remap_dedup", "citation_targets", "node_upsert", "edge_upsert", "generation_swap"]
+NAMES = ["entity_candidate_group", "entity_chunks", "entity_first_chunks", "relationship_candidate_group", "ontology_validation", "alias_resolution", "edge_remap_dedup", "citation_targets", "node_upsert", "edge_upsert", "generation_swap"]
 
 
 def queries() -> dict:
@@ -128,9 +141,11 @@ def oracle_sql() -> dict[str, str]:
     resolved = f"parts AS (SELECT {_entity('dataset', _PART)} AS old_id, {_PART} AS old_name, CASE WHEN p_size <= 25 THEN p_brand ELSE {_PART} END AS new_name, p_partkey AS pos FROM part), resolved AS (SELECT *, {_entity('dataset', 'new_name')} AS new_id FROM parts)"
     edge = f"{GRAPH_SQL}, e AS (SELECT src, type, dst, rid, round(conf, 6) AS confidence FROM edges)"
     return {
-        "entity_candidate_group": f"""WITH {_CANDIDATES}, g AS (SELECT lower(name) AS key, arg_min(name, pos) AS name, max(conf) AS conf, list_sort(list(DISTINCT chunk)) AS chunks FROM lines GROUP BY 1),
+        "entity_candidate_group": f"""WITH {_CANDIDATES}, g AS (SELECT lower(name) AS key, arg_min(name, pos) AS name, max(conf) AS conf, count(DISTINCT chunk) AS n_chunks FROM lines GROUP BY 1),
           q AS (SELECT lower(name) AS key, quote, row_number() OVER (PARTITION BY lower(name) ORDER BY pos, quote) AS nth FROM lines WHERE quote IS NOT NULL QUALIFY nth <= 5), qs AS (SELECT key, string_agg(quote, ',' ORDER BY nth) AS quotes FROM q GROUP BY key)
-          SELECT {_entity('dataset', 'key')} AS entity_id, 'dataset' AS entity_type, key, name, round(conf, 6) AS confidence, sha256(array_to_string(chunks, ',')) AS chunks_sha256, len(chunks) AS n_chunks, coalesce(quotes, '') AS quotes FROM g LEFT JOIN qs USING (key)""",
+          SELECT {_entity('dataset', 'key')} AS entity_id, 'dataset' AS entity_type, key, name, round(conf, 6) AS confidence, n_chunks, coalesce(quotes, '') AS quotes FROM g LEFT JOIN qs USING (key)""",
+        "entity_chunks": f"WITH {_CANDIDATES} SELECT DISTINCT lower(name) AS key, chunk AS chunk_id FROM lines",
+        "entity_first_chunks": f"WITH {_CANDIDATES} SELECT lower(name) AS key, array_to_string(list_sort(list(DISTINCT chunk))[1:3], ',') AS chunks, count(DISTINCT chunk) AS n_chunks FROM lines GROUP BY 1",
         "relationship_candidate_group": f"""WITH {_CANDIDATES}, r AS (SELECT 'paper:tpch:' || l_orderkey AS paper_id, lower(CASE WHEN l_returnflag = 'R' THEN p_brand ELSE name END) AS target_key, conf, chunk FROM lines),
           g AS (SELECT paper_id, target_key, max(conf) AS conf, min(chunk) AS source_chunk_id, array_to_string(list_sort(list(DISTINCT chunk)), ',') AS chunks FROM r GROUP BY 1, 2), t AS (SELECT *, {_entity('dataset', 'target_key')} AS target_entity_id FROM g)
           SELECT 'relationship:' || {_hash('paper_id', "'evaluated_on'", 'target_entity_id')} AS relationship_id, paper_id, target_entity_id, target_key, round(conf, 6) AS confidence, source_chunk_id, chunks, target_key NOT IN (SELECT lower(name) FROM lines) AS implicit FROM t""",

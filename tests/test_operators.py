@@ -181,7 +181,9 @@ def test_path_evidence(spark, corpus_g):
 def test_resolver_merges_no_other_names(spark):
     rows = [("method", "GraphRAG", 0), ("method", " graphrag", 1), ("dataset", "GraphRAG", 2), ("dataset", "MIMIC", 3), ("dataset", "MIMIC-IV", 4)]
     c = spark.createDataFrame([(k, n, 0.5 + i / 10, f"c{i}", None, i) for k, n, i in rows], "entity_type string, name string, confidence double, chunk_id string, quote string, pos int")
-    out = {(r.entity_type, r.key): (r.name, r.chunk_ids) for r in graph_build.group_entities(c).collect()}
+    groups, supports = graph_build.group_entities(c), graph_build.entity_supports(c)
+    out = {(r.entity_type, r.key): (r.name, r.chunk_ids) for r in graph_build.with_supports(groups, supports).collect()}
+    assert all(len(r.chunk_ids) == min(1, r.n_chunks) for r in graph_build.with_supports(groups, supports, 1).collect())
     assert len(out) == 4 and out["method", "graphrag"] == ("GraphRAG", ["c0", "c1"])
 
 
