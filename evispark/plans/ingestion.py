@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.ids import section_id
 from ..functions.lineage import generation_of
-from ..operators import chunking, control, text_etl, vectors
-from ..providers import EmbeddingProvider, embedded, embedding_fingerprint
+from ..operators import chunking, control, graph_build, text_etl, vectors
+from ..providers import EmbeddingProvider, StructuredModel, embedded, embedding_fingerprint, extracted
 
 
 def parse(pages: DataFrame) -> DataFrame:
@@ -93,6 +93,31 @@ def chunk_stage(sections: DataFrame, stored: DataFrame, settings: Settings) -> t
     return reuse_or_run(sections, stored, now, lambda rows: chunk(rows, settings), "chunk_generation")
 
 
+def extract_stage(chunks: DataFrame, stored: DataFrame, model: StructuredModel, config: str, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the sections that are asked for knowledge, reused while a version's chunks and the extraction's configuration are the same."""
+    asked = graph_build.extractable(chunks)
+    now = artifact_checksums(asked, ["chunk_id", "text"]).select("paper_version_id", generation_of("extraction_generation", F.col("checksum"), F.lit(config)).alias("generation"))
+    return reuse_or_run(asked, stored, now, lambda rows: extracted(rows, model, retries), "extraction_generation_fingerprint")
+
+
+def graph_of(candidates: DataFrame) -> DataFrame:
+    """Candidates as edges from their papers: checked against the ontology, grouped by paper, type and target."""
+    entities = candidates.where((F.col("kind") == "entity") & graph_build.entity_rejection().isNull())
+    known = graph_build.entity_supports(entities.withColumn("entity_type", F.lower("entity_type"))).select("entity_type", "key").distinct()
+    sound = graph_build.validated_relationships(candidates.where("kind = 'relationship'")).where("reject_reason is null")
+    rows = sound.withColumn("relationship_type", F.lower("relationship_type")).withColumn("target_type", F.lower("target_type"))
+    versions = candidates.select("paper_id", "paper_version_id").distinct()
+    edges = graph_build.group_relationships(rows, known).join(versions, "paper_id")
+    return graph_build.edge_rows(edges.select("relationship_id", F.col("paper_id").alias("source_entity_id"), "relationship_type", "target_entity_id", "confidence", "source_chunk_id", "supporting_chunk_ids", "paper_version_id"))
+
+
+def graph_stage(candidates: DataFrame, stored: DataFrame, config: str) -> tuple[DataFrame, DataFrame]:
+    """Edges of candidates, reused while a version's candidates and the canonicalisation are the same."""
+    own = ["chunk_id", "pos", "kind", "entity_type", "name", "relationship_type", "target_type", "target_name", "usage", "confidence"]
+    now = artifact_checksums(candidates, own).select("paper_version_id", generation_of("graph_index_generation", F.col("checksum"), F.lit(config)).alias("generation"))
+    return reuse_or_run(candidates, stored, now, graph_of, "graph_index_generation_fingerprint")
+
+
 def work_left(jobs: DataFrame) -> DataFrame:
     """Active jobs by the stage that they run next."""
     return control.resume_points(control.active_jobs(jobs)).groupBy("next_stage").agg(F.count("*").alias("jobs"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -92,8 +93,22 @@ def landed_pdfs(spark: SparkSession, path: str, most_bytes: int = PDF_BYTES) ->
     return files.select("path", "length", F.sha2("content", 256).alias("checksum"), verdict.alias("verdict"), "content")
 
 
-def pages_of(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """files(path, content) as (path, page_number, text) by an injected extractor; an error becomes a row with its message."""
+def pdf_pages(content: bytes) -> list[str]:
+    """The text of each page in the file's own order, by the PDF library that is installed."""
+    import pymupdf
+
+    with pymupdf.open(stream=content, filetype="pdf") as document:
+        if document.is_encrypted:
+            raise ValueError("the file is encrypted")
+        return [page.get_text("text") for page in document]
+
+
+def pages_of(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """files(path, content) as (path, page_number, text) by an extractor, pdf_pages() if none is given; an error becomes a row with its message."""
+    if extract is None:
+        if importlib.util.find_spec("pymupdf") is None:
+            raise RuntimeError("there is no PDF library here: install pymupdf, or give an extractor")
+        extract = pdf_pages
     schema = "path string, page_number int, text string, error string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Fetching over a local server, finalised files, staged reuse, run fingerprints and error statuses."""
 
 import hashlib
+import importlib.util
+import json
 import shutil
 import threading
 from datetime import datetime
@@ -16,7 +18,7 @@ from evispark.functions import lineage
 from evispark.operators import control
 from evispark.plans import ingestion, service
 from evispark.plans.retrieval import EntityAmbiguous, EntityNotFound, Store
-from evispark.providers import OutputError
+from evispark.providers import CANDIDATES, OutputError, ScriptedModel
 from evispark.sources import artifacts, feed
 
 PDF = b"%PDF-1.7 " + b"x" * 200_000
@@ -112,6 +114,32 @@ def test_stages_reuse_what_is_current(spark):
     assert ingestion.chunk_stage(first, chunks, Settings(chunk_size=30, chunk_overlap=5, chunk_min_tokens=5))[1].count() == 3  # another chunking
 
 
+def test_extraction_and_graph_stages(spark):
+    """Chunks to candidates to edges, by a model that is asked again only for versions whose chunks changed."""
+    said = {"entities": [{"entity_type": "Dataset", "name": "EvalSet", "confidence": 0.9}], "relationships": [{"relationship_type": "evaluated_on", "source_type": "paper", "source_name": "x", "target_type": "dataset", "target_name": " evalset", "usage": "used_by_this_paper", "confidence": 0.8}, {"relationship_type": "likes", "source_type": "paper", "source_name": "x", "target_type": "dataset", "target_name": "y", "confidence": 0.8}]}
+    model = ScriptedModel({"good": "```json\n" + json.dumps(said) + "\n```", "bad": "no object"})
+    chunk = "paper_id string, paper_version_id string, chunk_id string, section_type string, text string"
+    chunks = spark.createDataFrame([("p1", "v1", "c1", "results", "good one"), ("p1", "v1", "c2", "references", "good two"), ("p2", "v2", "c3", "abstract", "a bad one"), ("p2", "v2", "c4", "other", "good")], chunk)
+    none = spark.createDataFrame([], CANDIDATES + ", extraction_generation_fingerprint string")
+    found, todo = ingestion.extract_stage(chunks, none, model, "config", 0)
+    found = spark.createDataFrame(found.collect(), found.schema)
+    assert sorted((r.chunk_id, r.kind) for r in found.collect()) == [("c1", "entity"), ("c1", "relationship"), ("c1", "relationship"), ("c3", "error"), ("c4", "entity"), ("c4", "relationship"), ("c4", "relationship")]
+    assert todo.count() == 2 and ingestion.extract_stage(chunks, found, model, "config", 0)[1].isEmpty() and ingestion.extract_stage(chunks, found, model, "another", 0)[1].count() == 2
+    edges = ingestion.graph_of(found).withColumn("graph_index_generation_fingerprint", F.lit("")).limit(0)
+    made, todo = ingestion.graph_stage(found, edges, "rules")
+    made = spark.createDataFrame(made.collect(), made.schema)
+    assert sorted((r.source_entity_id, r.relationship_type, r.source_chunk_id, r.provenance_type) for r in made.collect()) == [("p1", "evaluated_on", "c1", "chunk"), ("p2", "evaluated_on", "c4", "chunk")]
+    assert len({r.target_entity_id for r in made.collect()}) == 1 and ingestion.graph_stage(found, made, "rules")[1].isEmpty()
+
+
+def test_page_extraction_needs_a_library(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    if importlib.util.find_spec("pymupdf") is None:
+        with pytest.raises(RuntimeError, match="no PDF library"):
+            artifacts.pages_of(files)
+    assert [(r.page_number, r.text) for r in artifacts.pages_of(files, lambda content: ["one", ""]).collect()] == [(1, "one"), (2, "")]
+
+
 def test_stale_jobs_are_replaced(spark):
     jobs = spark.createDataFrame([("a", "v1", "chunked", None, None, 0), ("b", "v2", "ready", None, None, 1), ("c", "v3", "parsed", None, None, 2)], "job_id string, paper_version_id string, status string, failed_stage string, failure_reason string, retry_count int")
     stale = spark.createDataFrame([("v1", "gone"), ("v1", "gone"), ("v2", "gone")], "paper_version_id string, reason string")
