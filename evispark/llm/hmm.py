@@ -83,6 +83,10 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<i{size}").ravel()
 
 
+def length_of(data: bytes) -> int:
+    return int.from_bytes(data[8:16], "little")
+
+
 class Numbers(dict):
     """token -> its number in order of appearance."""
 
@@ -170,11 +174,13 @@ def expected(start: np.ndarray, move: np.ndarray, emit: np.ndarray, pack: Packed
 
 def first_weights(marks: np.ndarray, states: int, seed: int) -> np.ndarray:
     """What one occurrence of a token counts in the first model, in PARTS; a token's chance comes from its own hash, its mark."""
-    x = (marks.astype(np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    words = -(-states // 8)  # a byte of the hash for each state
+    x = (marks.astype(np.uint64)[:, None] * np.uint64(words) + np.arange(words, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    chance = (x >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    return np.rint((1 - NOISE + 2 * NOISE * chance) / states * PARTS).astype(np.int64)
+    x ^= x >> np.uint64(31)
+    weight = np.rint((1 - NOISE + 2 * NOISE * (np.arange(256) + 0.5) / 256) / states * PARTS).astype(np.int64)
+    return weight[np.ascontiguousarray(x).astype("<u8", copy=False).view(np.uint8)[:, :states]]
 
 
 def rates(totals: np.ndarray, n: int, types: int, prior: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -309,18 +315,14 @@ class Block:
             counts = first_weights(np.frombuffer(words["marks"][0].as_py(), np.uint32), states, seed) * self.counts[:, None]
         self.emit = model.emissions(counts, self.counts)
 
-    def packs(self, texts: pa.Table) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-        """Ranges of the texts of about PACK tokens, with their symbols."""
-        held, size, at = [], 0, 0
-        column = texts["symbols"]
-        for k in range(len(column)):
-            held.append(unpacked(column[k].as_py()))
-            size += len(held[-1])
-            if size >= PACK:
-                yield at, k + 1, held
-                held, size, at = [], 0, k + 1
-        if held:
-            yield at, len(column), held
+    def packs(self, texts: pa.Table) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Places of texts of about PACK tokens together, with their symbols; texts of like lengths go together, as steps last as long as the longest."""
+        column = texts["symbols"].to_pylist()
+        size = np.array([length_of(x) for x in column], np.int64)
+        order = np.argsort(-size, kind="stable")
+        part = np.cumsum(size[order]) // PACK
+        for own in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []:
+            yield own, [unpacked(column[k]) for k in own.tolist()]
 
 
 def trained(texts: DataFrame, links: DataFrame, model: Model, rounds: int, seed: int) -> tuple[Model, DataFrame | None]:
@@ -333,7 +335,7 @@ def trained(texts: DataFrame, links: DataFrame, model: Model, rounds: int, seed:
             model = given.value  # noqa: B023
             block, here = table["block"][0].as_py(), Block(table, model, seed)
             starts, moves, by = np.zeros(states), np.zeros((states, states)), np.zeros((len(here.emit), states))
-            for _, _, symbols in here.packs(here.texts.filter(here.texts["learns"])):
+            for _, symbols in here.packs(here.texts.filter(here.texts["learns"])):
                 a, b, c = expected(model.start, model.move, here.emit, Packed(symbols))
                 starts, moves, by = starts + a, moves + b, by + c
             found = np.rint(by * PARTS).astype(np.int64)
@@ -378,9 +380,9 @@ def scored(docs: DataFrame, learns: Column, keep: list[str], *, text_col: str =
         here = Block(table, model, seed)
         logs = np.log10(here.counts + ADD) - np.log10(model.total + ADD * (model.types + 1))
         made = np.zeros((4, len(here.texts)))
-        for a, b, symbols in here.packs(here.texts):
-            made[:3, a:b] = np.array([(len(x), (here.counts[x] > 0).sum(), logs[x].sum()) for x in symbols]).T
-            made[3, a:b] = forward(model.start, model.move, here.emit, Packed(symbols))[0]
+        for own, symbols in here.packs(here.texts):
+            made[:3, own] = np.array([(len(x), (here.counts[x] > 0).sum(), logs[x].sum()) for x in symbols]).T
+            made[3, own] = forward(model.start, model.move, here.emit, Packed(symbols))[0]
         give_back()
         return pa.Table.from_arrays([*[here.texts[f.name].combine_chunks() for f in kept], *[pa.array(x.astype(np.int64)) for x in made[:2]], *[pa.array(x) for x in made[2:]]], names=schema.names)
 
