@@ -42,7 +42,7 @@ STATES, ROUNDS, SEED = 8, 3, 11
 #: The first model: states last, and their emissions differ by chance by up to this share.
 STAY, NOISE = 0.98, 0.9
 #: Expected counts travel as whole numbers of this fraction: their sums are exact in any order.
-PARTS = 1 << 16
+PARTS = 1 << 12
 #: Added to counts of tokens and of symbols; pseudo-counts of transitions.
 ADD, SMOOTH, SMOOTH_MOVE = 0.1, 0.1, 1.0
 #: A state's emissions are drawn to the tokens' frequencies by so many tokens, and this share of its own.
@@ -242,9 +242,8 @@ def shared_tokens(texts: DataFrame) -> DataFrame:
     return written(met.where("n > 1").select("block", "local", "uses", "id", "c"), "lm-shared")
 
 
-def linked(shared: DataFrame, pairs: int, shard_pairs: int) -> DataFrame:
+def linked(shared: DataFrame, shards: int) -> DataFrame:
     """For each shard and block that have tokens in common, written: their numbers in the block (locals) and in the shard (places), their counts, and the shard's size."""
-    shards = 1 + pairs // shard_pairs
     dealt = shared.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "block", "local", "id", "c")
 
     def link(table: pa.Table) -> pa.Table:
@@ -257,10 +256,10 @@ def linked(shared: DataFrame, pairs: int, shard_pairs: int) -> DataFrame:
         columns = [pa.array(np.full(n, table["shard"][0].as_py(), np.int64)), pa.array([int(block[p[0]]) for p in parts], pa.int64()), *[pa.array([packed(x[p]) for p in parts], pa.binary()) for x in (local, place, c)], pa.array(np.full(n, len(own), np.int64))]
         return pa.Table.from_arrays(columns, names=["shard", "block", "locals", "places", "counts", "size"])
 
-    return written(dealt.groupBy("shard").applyInArrow(link, "shard long, block long, locals binary, places binary, counts binary, size long"), "lm-links")
+    return written(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(link, "shard long, block long, locals binary, places binary, counts binary, size long"), "lm-links")
 
 
-def summed(links: DataFrame, parts: DataFrame, states: int) -> DataFrame:
+def summed(links: DataFrame, parts: DataFrame, states: int, shards: int) -> DataFrame:
     """(block, shard, sums): each block's tokens with the sums that all blocks' parts give."""
     rows = links.select("shard", "block", "places", "size").unionByName(parts.where("shard is not null").select("shard", "block", "part"), allowMissingColumns=True)
 
@@ -275,16 +274,16 @@ def summed(links: DataFrame, parts: DataFrame, states: int) -> DataFrame:
         shard = table["shard"][0].as_py()
         return pa.Table.from_arrays([pa.array(list(places), pa.int64()), pa.array([shard] * len(places), pa.int64()), pa.array([packed(total[x]) for x in places.values()], pa.binary())], names=["block", "shard", "sums"])
 
-    return rows.groupBy("shard").applyInArrow(add, "block long, shard long, sums binary")
+    return rows.repartition(shards, "shard").groupBy("shard").applyInArrow(add, "block long, shard long, sums binary")
 
 
-def gathered(texts: DataFrame, links: DataFrame, parts: DataFrame | None, states: int):
-    """All that a block needs, grouped by block: its texts and dictionary; what it shares; and, after a round, sums and its own tokens' counts."""
+def gathered(texts: DataFrame, links: DataFrame, parts: DataFrame | None, states: int, tasks: tuple[int, int]):
+    """All that a block needs, grouped by block, in as many tasks as there are blocks (and shards): its texts and dictionary; what it shares; and, after a round, sums and its own tokens' counts."""
     out = texts.drop("tokens", "first") if parts is None else texts.drop("tokens", "first", "marks")
     out = out.unionByName(links.select("block", "shard", "locals", "counts"), allowMissingColumns=True)
     if parts is not None:
-        out = out.unionByName(summed(links, parts, states), allowMissingColumns=True).unionByName(parts.where("state is not null").select("block", "state"), allowMissingColumns=True)
-    return out.groupBy("block")
+        out = out.unionByName(summed(links, parts, states, tasks[1]), allowMissingColumns=True).unionByName(parts.where("state is not null").select("block", "state"), allowMissingColumns=True)
+    return out.repartition(tasks[0], "block").groupBy("block")
 
 
 class Block:
@@ -325,7 +324,7 @@ class Block:
             yield own, [unpacked(column[k]) for k in own.tolist()]
 
 
-def trained(texts: DataFrame, links: DataFrame, model: Model, rounds: int, seed: int) -> tuple[Model, DataFrame | None]:
+def trained(texts: DataFrame, links: DataFrame, model: Model, rounds: int, seed: int, tasks: tuple[int, int]) -> tuple[Model, DataFrame | None]:
     """The model after so many rounds, and the blocks' parts of the last one."""
     spark, states, parts = texts.sparkSession, len(model.start), None
     for _ in range(rounds):
@@ -345,7 +344,7 @@ def trained(texts: DataFrame, links: DataFrame, model: Model, rounds: int, seed:
             give_back()
             return pa.Table.from_arrays(columns, names=["shard", "block", "part", "state", "sums"])
 
-        made = written(gathered(texts, links, parts, states).applyInArrow(count, "shard long, block long, part binary, state binary, sums array<long>"), "lm-parts")
+        made = written(gathered(texts, links, parts, states, tasks).applyInArrow(count, "shard long, block long, part binary, state binary, sums array<long>"), "lm-parts")
         if parts is not None:
             drop(parts)
         parts = made
@@ -361,16 +360,17 @@ def scored(docs: DataFrame, learns: Column, keep: list[str], *, text_col: str =
     texts = blocks(docs, learns, text_col, keep, states, seed)
     shared = shared_tokens(texts)
     own = texts.where("uses is not null").select(F.expr("aggregate(uses, 0L, (s, x) -> s + x)").alias("n"), F.expr("size(filter(uses, x -> x > 0))").alias("types"), "first")
-    at = own.agg(F.sum("n"), F.sum("types"), *[F.sum(F.col("first")[k]) for k in range(states)]).first()
-    total, first = at[0] or 0, np.array([x or 0 for x in at[2:]], float)
+    at = own.agg(F.sum("n"), F.sum("types"), F.count("*"), *[F.sum(F.col("first")[k]) for k in range(states)]).first()
+    total, first = at[0] or 0, np.array([x or 0 for x in at[3:]], float)
     place = F.shiftleft("block", LOCAL_BITS).bitwiseOR(F.col("local").cast("long"))
     pairs, twice = shared.agg(F.count("*"), F.coalesce(F.count_if(F.col("uses") > 0) - F.count_if((place == F.col("id")) & (F.col("c") > 0)), F.lit(0))).first()
     types = (at[1] or 0) - twice
-    links = linked(shared, pairs, shard_pairs)
+    tasks = max(1, at[2]), 1 + pairs // shard_pairs
+    links = linked(shared, tasks[1])
     drop(shared)
     move = np.full((states, states), (1 - STAY) / max(1, states - 1)) + np.eye(states) * STAY
     model = Model(total, types, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), rates(first / PARTS, total, types, False))
-    model, parts = trained(texts, links, model, rounds, seed)
+    model, parts = trained(texts, links, model, rounds, seed, tasks)
     given = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in texts.schema.fields if f.name.startswith("k_")]
     schema = T.StructType([*kept, *[field(n, "long") for n in ("n_tokens", "n_known")], *[field(n, "double") for n in ("base_score", "score")]])
@@ -386,7 +386,7 @@ def scored(docs: DataFrame, learns: Column, keep: list[str], *, text_col: str =
         give_back()
         return pa.Table.from_arrays([*[here.texts[f.name].combine_chunks() for f in kept], *[pa.array(x.astype(np.int64)) for x in made[:2]], *[pa.array(x) for x in made[2:]]], names=schema.names)
 
-    out = gathered(texts, links, parts, states).applyInArrow(score, schema)
+    out = gathered(texts, links, parts, states, tasks).applyInArrow(score, schema)
     return out.select(*[f"`{f.name}`" for f in kept], "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
