@@ -5,7 +5,7 @@ a space, hashed into 2**BITS places. A feature's weight is its share of the text
 df)) + 1 over all D training texts, times SCALE. Training is follow-the-regularised-leader (per-coordinate rates,
 elastic net) over the training rows of a bounded sample, `epochs` times; what the sample has of the calibration fold fits
 one temperature by log loss instead. The languages are those of all training rows, and each gives the sample its rows of
-least hashed ids, `sample_rows` shared out evenly, so that a rare language is learnt beside a hot one. Of more than
+least hashed ids (of the SPARE quotas' share of the hashes), `sample_rows` shared out evenly, so that a rare language is learnt beside a hot one. Of more than
 `max_languages` the most frequent are learnt, as weights are held for each.
 
 Because weights are linear in the counts, a text's logits are sums over its positions of a table's rows, so
@@ -29,14 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, each_text, field, part_of, scan_texts
 
 BITS, ORDERS, SCALE, SAMPLE_ROWS, EPOCHS = 16, (1, 2, 3), 30.0, 4000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
-MAX_LANGUAGES = 256
+MAX_LANGUAGES, SPARE = 256, 4
 UNKNOWN, CHUNK = "und", 1 << 20
 SIZE = 1 << BITS
 LETTER = re.compile(r"[^\W\d_]")
@@ -146,18 +146,26 @@ def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def by_language(values: dict[str, int]) -> Column:
+    """Each row's language's value; null for other languages."""
+    return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])[F.col("lang")]
+
+
 def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """From rows(id, text, lang, calibrates): all of them count for the document frequencies, a bounded sample for the weights."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, total = document_frequencies(rows.select("text"))
     if not total:
         return None
-    languages = sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect())
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    languages = sorted(counts)
     key, quota = F.xxhash64(F.col("id").cast("string")), max(1, sample_rows // len(languages))
-    named = rows.select("lang", key.alias("key")).where(F.col("lang").isin(languages))
+    # keys are spread evenly: what is far above the quota's place goes before the shuffle, so a hot language's task gets few rows
+    far = {lang: min((1 << 63) - 1, round((1 << 64) * min(1.0, SPARE * quota / n)) - (1 << 63)) for lang, n in counts.items()}
+    named = rows.select("lang", key.alias("key")).where(F.col("key") <= by_language(far))
     first = named.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= quota)
     last = {r.lang: r.key for r in first.groupBy("lang").agg(F.max("key").alias("key")).collect()}
-    limit = F.create_map(*[F.lit(x) for pair in sorted(last.items()) for x in pair])[F.col("lang")]
+    limit = by_language(last)
     fields = [field("f", "array<int>"), field("n", "array<int>"), field("total", "long")]
 
     def kernel(col: pa.Array) -> list[pa.Array]:
