@@ -72,7 +72,7 @@ def chunk_page(spark: SparkSession, d: str) -> DataFrame:
     rows = documents(spark, d).distinct()
     chunks = rows.select(F.regexp_replace("section_id", "section", "chunk").alias("chunk_id"), "section_id", "section_type", F.lit(0).alias("chunk_index"))
     total, page = control.chunk_listing(chunks, rows.select("section_id", "order"), section_type="r", **PAGE)
-    return page.select("chunk_id", "order").crossJoin(F.broadcast(total))  # one row
+    return page.select("chunk_id", "order", F.lit(total.first()["total"]).alias("total"))
 
 
 # --- jobs
