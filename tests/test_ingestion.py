@@ -68,8 +68,6 @@ def test_end_to_end_scores(spark):
     assert tuple(acc) == (1.0, 0.0, 1.0, 1.0)
 
 
-def test_rendering(spark):
-    items = spark.createDataFrame([("E1", "text", "body", 2, 3, [], None), ("E2", "graph_path", "Graph path: a -> b.", None, None, ["r1", "r2"], 0.9)], "label string, evidence_type string, text string, page_start int, page_end int, relationship_ids array<string>, path_confidence double")
-    out = {r.label: r.rendered for r in decisions.rendered(items).collect()}
-    assert out == {"E1": "[E1] text\npp. 2-3\nbody", "E2": "[E2] graph_path\nGraph path: a -> b.\nedges: r1 -> r2\nconfidence: 0.90"}
-    assert decisions.evidence_summary(items.withColumn("q", F.lit(1)), ["q"]).first().graph_evidence_count == 1
+def test_evidence_is_counted_by_kind(spark):
+    items = spark.createDataFrame([(1, "text"), (1, "graph_path"), (1, "graph_relationship"), (1, "metadata"), (2, "text")], "q int, evidence_type string")
+    assert sorted(map(tuple, decisions.evidence_summary(items, ["q"]).collect())) == [(1, 4, 1, 2, 1), (2, 1, 1, 0, 0)]
