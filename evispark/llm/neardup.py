@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ADDED, apart, each_text, field, give_back, materialize, restored, runs, scan_texts, utf8
+from .common import ADDED, apart, drop, each_text, field, give_back, materialize, restored, runs, scan_texts, utf8
 from .decontaminate import SPACED, window_hashes, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS, REGISTERS = 5, 0.8, 24, 5, 160
@@ -43,6 +43,8 @@ SCREEN = 5
 #: Nodes of a block of signatures, and of one with texts.
 WIDE, BLOCK = 512, 64
 CHUNK, BROADCAST_NODES = 1 << 20, 400_000
+#: A node with more copies than this, and than this share of all rows, is met by broadcast.
+HOT_COPIES, HOT_NODES = 500, 10_000
 #: Sums of fractions carry rounding.
 ROUNDING = 1e-9
 _G, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -168,6 +170,16 @@ class Duplicates:
         self.sketched = materialize(scan_texts(self.docs, "text", ["id"], fields, lambda: _sketch_kernel(size, registers), prefix=""), "dup-sketches")
         nodes = self.sketched.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
         self.nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
+        self.hot = max(HOT_COPIES, self.sketched.count() // HOT_NODES)
+
+    def met(self, rows: DataFrame, named: DataFrame) -> DataFrame:
+        """rows(digest, ...) with the columns of named(digest, ...), a row for each node. The few digests with many copies are broadcast, at most HOT_NODES of them, so that their rows stay spread."""
+        many = self.nodes.where(F.col("copies") > self.hot).select("digest")
+        if many.isEmpty():
+            return rows.join(named, "digest")
+        many = F.broadcast(many)
+        hot, cold = named.join(many, "digest", "left_semi"), named.join(many, "digest", "left_anti")
+        return rows.join(F.broadcast(hot), "digest").unionByName(rows.join(many, "digest", "left_anti").join(cold, "digest"))
 
     def members(self) -> DataFrame:
         """(band, bucket, node, center, n) of the buckets that hold n nodes, two or more; each band has an order of its own, whose least node is the center."""
@@ -206,7 +218,9 @@ class Duplicates:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
             give_back()
 
-        return materialize(both.mapInArrow(compare, "a long, b long, sim double").where(F.col("sim") >= self.threshold - ROUNDING).select("a", "b"), "dup-links")
+        links = materialize(both.mapInArrow(compare, "a long, b long, sim double").where(F.col("sim") >= self.threshold - ROUNDING).select("a", "b"), "dup-links")
+        drop(pairs, texts)
+        return links
 
     def floor(self) -> int:
         """Equal registers below which a pair is screened out."""
@@ -231,7 +245,9 @@ class Duplicates:
         rows = materialize(members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "center"), "dup-rows")
         sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
         mains = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
-        return materialize(rows.join(mains, "bucket"), "dup-mixed")
+        mixed_rows = materialize(rows.join(mains, "bucket"), "dup-mixed")
+        drop(members, rows)
+        return mixed_rows
 
     def block_pairs(self, rows: DataFrame, width: int, cell: list[str]) -> DataFrame:
         """(bucket, band, main, outside, mates): a bucket's nodes in blocks of about `width`, each block's mates with each block's nodes outside the main component.
@@ -293,7 +309,9 @@ class Duplicates:
         texts = self.texts_of(near.select("node"))
         left = near.join(near.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
         rows = rows.drop("n").join(left, ["bucket", "node"]).join(texts, "node")
-        return materialize(self.block_pairs(rows, BLOCK, ["node", "comp", "sig", "text"]).mapInArrow(compare, "a long, b long"), "dup-across")
+        links = materialize(self.block_pairs(rows, BLOCK, ["node", "comp", "sig", "text"]).mapInArrow(compare, "a long, b long"), "dup-across")
+        drop(mixed_rows, near, texts)
+        return links
 
     def classes(self) -> DataFrame:
         """(node, root) of the nodes that have links."""
@@ -310,7 +328,8 @@ class Duplicates:
         named = materialize(named.join(totals, "root").select("digest", "class_id", "class_rows", "class_texts"), "dup-named")
         one = F.lit(1).cast("long")
         alone = self.sketched.where("digest is null").select("id", F.col("id").alias("class_id"), one.alias("class_rows"), F.lit(0).cast("long").alias("class_texts"))
-        return self.sketched.where("digest is not null").select("id", "digest").join(named, "digest").select("id", "class_id", "class_rows", "class_texts").union(alone)
+        rows = self.sketched.where("digest is not null").select("id", "digest")
+        return self.met(rows, named).select("id", "class_id", "class_rows", "class_texts").union(alone)
 
 
 def components(links: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
@@ -353,8 +372,8 @@ def near_duplicate_free(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     roots = work.nodes.join(work.classes(), "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min_by("digest", F.struct("id", "digest")).alias("stays")).select("stays")
     keys = work.sketched.where("digest is not null").groupBy("id", "digest").agg(F.count("*").alias("n"))
-    least = work.nodes.join(first, F.col("digest") == F.col("stays"), "left").select(F.col("digest").alias("of"), F.col("id").alias("least"), F.col("stays").isNotNull().alias("stays"))
-    keys = keys.join(least, F.col("digest") == F.col("of")).select("id", "digest", "n", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
+    least = work.nodes.join(first, F.col("digest") == F.col("stays"), "left").select("digest", F.col("id").alias("least"), F.col("stays").isNotNull().alias("stays"))
+    keys = work.met(keys, least).select("id", "digest", "n", (F.col("stays") & F.col("id").eqNullSafe(F.col("least"))).alias("stays"))
     keys = materialize(keys.where("not stays or n > 1").select(F.col("id").alias("x_id"), F.col("digest").alias("x_digest"), "stays"), "dup-out")
     few = keys.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     named = scan_texts(docs, text_col, docs.columns, [field("digest", "binary")], lambda: lambda col: [pa.array([digest(t) for t in each_text(col)], pa.binary())])
