@@ -6,8 +6,9 @@ starts with the rule's. Of several, the longest host and path together wins, the
 
 Plan (DataFrame functions only): every distinct (host, path) is expanded once into expressions, one for each
 dot-suffix of the host and each length that rules' paths have; these meet the rules on the first 8 hex digits of
-SHA-256, and full digests confirm. Verdicts join back to the rows on (host, path) and a salt of SALTS values, so a hot
-URL is judged once and its rows, as those without a host, stay spread; verdicts are few, as rules must fit them. Path lengths that rules have are collected:
+SHA-256, and full digests confirm. Verdicts, written once, join back to the rows on (host, path), so a hot URL is judged
+once; the verdicts of the HOT_URLS URLs of most rows are broadcast, and rows without a host join nothing, so that no task
+gets a hot URL's rows. Path lengths that rules have are collected:
 there are at most MAX_PATH of them, as longer rule paths fall in one class that is expanded from the rule side's
 lengths by a join on the host alone.
 
@@ -22,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ADDED, apart, restored
+from .common import ADDED, apart, materialize, restored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_PATH, SALTS, BROADCAST_KEYS = 256, 32, 200_000
+MAX_PATH, BROADCAST_KEYS = 256, 200_000
+#: URLs whose verdicts are broadcast, and the rows that one has at least.
+HOT_URLS, HOT_ROWS = 10_000, 500
 #: The rules of the registered query.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -77,25 +80,28 @@ def placed(pages: DataFrame, url_col: str) -> DataFrame:
 
 
 def best_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """(b_host, b_path, rule, action) of the distinct placed URLs that a rule fits."""
-    keys = rows.select(F.col(ADDED + "host").alias("host"), F.col(ADDED + "path").alias("path")).where("host <> ''").distinct()
+    """(b_host, b_path, n, rule, action) of the distinct placed URLs, n rows each; rule and action are null where no rule fits."""
+    urls = rows.select(F.col(ADDED + "host").alias("host"), F.col(ADDED + "path").alias("path")).where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_action"))
-    best = matches(keys, ready_rules(rules)).groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_action").alias("action")), order).alias("best"))
-    return best.select("b_host", "b_path", "best.rule", "best.action")
+    best = matches(urls.select("host", "path"), ready_rules(rules)).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_action").alias("action")), order).alias("best"))
+    out = urls.join(best, ["host", "path"], "left")
+    return materialize(out.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "n", "best.rule", "best.action"), "url-verdicts")
 
 
-def met(rows: DataFrame, best: DataFrame, how: str) -> DataFrame:
-    """Placed rows joined to rows of best_rules() on URL and salt."""
-    salted = rows.withColumn(ADDED + "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    copies = best.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, (F.col(ADDED + "host") == F.col("b_host")) & (F.col(ADDED + "path") == F.col("b_path")) & (F.col(ADDED + "salt") == F.col("b_salt")), how)
+def met(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Placed rows with the rule and action of their URL: by broadcast for hot URLs, by a join for all others."""
+    same = (F.col(ADDED + "host") == F.col("b_host")) & (F.col(ADDED + "path") == F.col("b_path"))
+    hot = F.broadcast(best.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "b_host", "b_path").limit(HOT_URLS))
+    quick = rows.join(hot, same, "left").where((F.col(ADDED + "host") == "") | F.col("b_host").isNotNull())
+    rest = rows.where(F.col(ADDED + "host") != "").join(hot, same, "left_anti").join(best, same)
+    return quick.unionByName(rest)
 
 
 def judged(pages: DataFrame, rules: DataFrame, keep: list[str], *, url_col: str = "url", default: str = "allow") -> DataFrame:
     """The `keep` columns, then host, path, rule (host and path, or null) and verdict under the ADDED prefix."""
     own, names = apart(pages.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, url_col])]))
     rows = placed(own, names[url_col])
-    out = met(rows, best_rules(rows, rules), "left")
+    out = met(rows, best_rules(rows, rules))
     return restored(out, {c: names[c] for c in keep}, ADDED + "host", ADDED + "path", F.col("rule").alias(ADDED + "rule"), F.coalesce("action", F.lit(default)).alias(ADDED + "verdict"))
 
 
@@ -103,9 +109,9 @@ def allowed(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", default
     """The pages that aren't blocked, with their own columns; they stay in place while the URLs that decide are few enough to broadcast."""
     own, names = apart(pages)
     rows = placed(own, names[url_col])
-    decisive = best_rules(rows, rules).where((F.col("action") == "block") != F.lit(default == "block"))
-    how = "left_semi" if default == "block" else "left_anti"
+    best = best_rules(rows, rules)
+    decisive = best.where((F.col("action") == "block") != F.lit(default == "block"))
     if decisive.limit(broadcast_keys + 1).count() > broadcast_keys:
-        return restored(met(rows, decisive, how), names)
+        return restored(met(rows, best).where(F.coalesce("action", F.lit(default)) != "block"), names)
     same = (F.col(ADDED + "host") == F.col("b_host")) & (F.col(ADDED + "path") == F.col("b_path"))
-    return restored(rows.join(F.broadcast(decisive), same, how), names)
+    return restored(rows.join(F.broadcast(decisive), same, "left_semi" if default == "block" else "left_anti"), names)
