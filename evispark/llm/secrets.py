@@ -27,14 +27,14 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ADDED, apart, each_text, restored, scan_texts
+from .common import ADDED, apart, each_text, field, restored, scan_texts
 
 MIN_COST, MAX_WORDS = 9.0, 2_000_000
 #: Values whose costs a task remembers, and the longest of them.
@@ -183,11 +183,15 @@ SPAN_LIST = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.S
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan(docs: DataFrame, keep: list[str], words: list[str], text_col: str = "text") -> DataFrame:
-    """The `keep` columns and the list of spans (kind, start, end) under the ADDED prefix; words: a ranked list."""
+def shared_words(docs: DataFrame, words: list[str]) -> Broadcast:
     if len(words) > MAX_WORDS:
         raise ValueError(f"a list of {len(words)} words is more than the {MAX_WORDS} that are broadcast")
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    return docs.sparkSession.sparkContext.broadcast(words)
+
+
+def scan(docs: DataFrame, keep: list[str], words: list[str], text_col: str = "text") -> DataFrame:
+    """The `keep` columns and the list of spans (kind, start, end) under the ADDED prefix; words: a ranked list."""
+    shared = shared_words(docs, words)
 
     def make():
         guesses = Guesses(shared.value)
@@ -217,15 +221,23 @@ def cut(text: str, spans: list[dict], mark: str) -> str:
 
 
 def redact(docs: DataFrame, words: list[str], *, text_col: str = "text", mark: str = "<{kind}>") -> DataFrame:
-    """All documents, with every span of their texts replaced by its mark; null texts stay null."""
+    """All documents, with every span of their texts replaced by its mark; null texts stay null. One scan finds and replaces."""
     own, names = apart(docs)
-    seen, text = scan(own, own.columns, words, names[text_col]), names[text_col]
+    text, shared = names[text_col], shared_words(docs, words)
+
+    def make():
+        guesses = Guesses(shared.value)
+
+        def kernel(col: pa.Array) -> list[pa.Array]:
+            found = {k: spans for k, t in enumerate(each_text(col)) if (spans := find(t, guesses))}
+            if not found:
+                return [col.cast(pa.string())]
+            texts = col.to_pylist()
+            for k, spans in found.items():
+                texts[k] = cut(texts[k], [{"kind": kind, "start": a, "end": b} for a, kind, b in spans], mark)
+            return [pa.array(texts, pa.string())]
 
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, last = batch.schema.get_field_index(text), batch.num_columns - 1
-            texts = [t if t is None or not s else cut(t, s, mark) for t, s in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist())]
-            cols = [pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(last)]
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:last])
+        return kernel
 
-    return restored(seen.mapInArrow(replace, seen.drop(ADDED + "spans").schema), names)
+    seen = scan_texts(own, text, [c for c in own.columns if c != text], [field("text", "string")], make)
+    return restored(seen, names | {text_col: ADDED + "text"})
