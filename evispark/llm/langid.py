@@ -5,7 +5,8 @@ a space, hashed into 2**BITS places. A feature's weight is its share of the text
 df)) + 1 over all D training texts, times SCALE. Training is follow-the-regularised-leader (per-coordinate rates,
 elastic net) over the training rows of a bounded sample, `epochs` times; what the sample has of the calibration fold fits
 one temperature by log loss instead. The languages are those of all training rows, and each gives the sample its rows of
-least hashed ids (of the SPARE quotas' share of the hashes), `sample_rows` shared out evenly, so that a rare language is learnt beside a hot one. Of more than
+least hashed ids (of the SPARE quotas' share of the hashes), half of `sample_rows` shared out evenly and
+half by rows, so that a rare language is learnt beside a hot one. Of more than
 `max_languages` the most frequent are learnt, as weights are held for each.
 
 Because weights are linear in the counts, a text's logits are sums over its positions of a table's rows, so
@@ -159,11 +160,13 @@ def trained(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCH
         return None
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(counts)
-    key, quota = F.xxhash64(F.col("id").cast("string")), max(1, sample_rows // len(languages))
+    # half of the sample is dealt evenly, half by the languages' rows
+    quota = {lang: max(1, int(sample_rows / 2 * (1 / len(counts) + n / sum(counts.values())))) for lang, n in counts.items()}
+    key = F.xxhash64(F.col("id").cast("string"))
     # keys are spread evenly: what is far above the quota's place goes before the shuffle, so a hot language's task gets few rows
-    far = {lang: min((1 << 63) - 1, round((1 << 64) * min(1.0, SPARE * quota / n)) - (1 << 63)) for lang, n in counts.items()}
+    far = {lang: min((1 << 63) - 1, round((1 << 64) * min(1.0, SPARE * quota[lang] / n)) - (1 << 63)) for lang, n in counts.items()}
     named = rows.select("lang", key.alias("key")).where(F.col("key") <= by_language(far))
-    first = named.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= quota)
+    first = named.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= by_language(quota))
     last = {r.lang: r.key for r in first.groupBy("lang").agg(F.max("key").alias("key")).collect()}
     limit = by_language(last)
     fields = [field("f", "array<int>"), field("n", "array<int>"), field("total", "long")]
