@@ -84,13 +84,13 @@ def levels_of(nodes: np.ndarray, upto: int) -> Iterator[np.ndarray]:
         yield nodes
 
 
-def whole_block(base: int):
+def whole_block(base: int, bits: int):
     """All levels of one block of level `base`."""
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         grp, block = (k.as_py() for k in key)
         size = rows.column("size")[0].as_py()
-        upto = min(BITS, depth_of(size))
+        upto = min(bits, depth_of(size))
         nodes = digests(rows.column("node"))[np.argsort(rows.column("pos").to_numpy())]
         made = [nodes, *levels_of(nodes, upto)]
         of = lambda make: np.concatenate([make(k, len(x)) for k, x in enumerate(made)])
@@ -99,10 +99,10 @@ def whole_block(base: int):
         return pa.table({
             "grp": pa.array([grp], pa.string()).take(pa.array(np.zeros(total, np.int64))),
             "block": np.full(total, block),
-            "pos": of(lambda k, n: (block << (BITS - k)) + np.arange(n)),
+            "pos": of(lambda k, n: (block << (bits - k)) + np.arange(n)),
             "node": pa.array([bytes(x) for level in made for x in level], pa.binary()),
-            "size": pa.array(np.full(total, -(-size // (1 << BITS))), mask=~top),
-            "done": pa.array(np.full(total, size <= 1 << BITS), mask=~top),
+            "size": pa.array(np.full(total, -(-size // (1 << bits))), mask=~top),
+            "done": pa.array(np.full(total, size <= 1 << bits), mask=~top),
             "level": of(lambda k, n: np.full(n, base + k)).astype(np.int32),
         })
 
@@ -142,20 +142,20 @@ def built(leaves: DataFrame) -> Forest:
     passes, nodes = [], leaves.select("grp", "pos", "node", "size")
     while True:
         blocks = nodes.withColumn("block", F.shiftright("pos", BITS)).groupBy("grp", "block")
-        passes.append(stored(blocks.applyInArrow(whole_block(BITS * len(passes)), NODES)))
+        passes.append(stored(blocks.applyInArrow(whole_block(BITS * len(passes), BITS), NODES)))
         more = Forest(leaves, passes).tops(len(passes) - 1, False)
         if more.isEmpty():
             return Forest(leaves, passes)
         nodes = more.select("grp", F.col("block").alias("pos"), "node", "size")
 
 
-def block_paths(base: int, schema: pa.Schema):
+def block_paths(base: int, bits: int, schema: pa.Schema):
     """Targets of a block with the block's nodes: each target's path through the block, then the block's own."""
 
     def extract(key: tuple, targets: pa.Table, nodes: pa.Table) -> pa.Table:
         level, pos, node = nodes.column("level").to_numpy(), nodes.column("pos").to_numpy(), nodes.column("node")
         tail = np.frombuffer(node[int(np.flatnonzero(level < 0)[0])].as_py(), np.uint8)
-        n, low = targets.num_rows, (key[1].as_py() << BITS)
+        n, low = targets.num_rows, (key[1].as_py() << bits)
         at = targets.column("pos").to_numpy() - low
         steps = []
         for k in range(level.max() - base):
@@ -167,7 +167,7 @@ def block_paths(base: int, schema: pa.Schema):
             step[:, 0] = np.where(there, np.where(sibling < at >> k, LEFT, RIGHT), ALONE)
             step[there, 1:] = siblings[sibling[there]]
             steps.append(step)
-        path = np.concatenate([*steps, np.broadcast_to(tail[32:], (n, len(tail) - 32))], axis=1)
+        path = np.concatenate([*steps, np.broadcast_to(tail[32:], (n, len(tail[32:])))], axis=1)
         ends = np.arange(n + 1, dtype=np.int32) * path.shape[1]
         packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(path.tobytes())])
         more = {"path": packed, "subroot": pa.array([tail[:32].tobytes()] * n, pa.binary())}
@@ -196,7 +196,7 @@ def proved(forest: Forest, suffixes: DataFrame, targets: DataFrame | None = None
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), PATHS])
         kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32()}
         arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in kept] + [("path", pa.binary()), ("subroot", pa.binary())])
-        above = rows.groupBy("grp", "block").cogroup(nodes.groupBy("grp", "block")).applyInArrow(block_paths(BITS * k, arrow), schema)
+        above = rows.groupBy("grp", "block").cogroup(nodes.groupBy("grp", "block")).applyInArrow(block_paths(BITS * k, BITS, arrow), schema)
         if k:
             above = materialize(above.withColumnRenamed("pos", "block"), "merkle-paths")
     return above

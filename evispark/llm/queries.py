@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, mixing, neardup, quality_gam, quality_rules, secrets, tokencount, urlfilter
+from . import decontaminate, hmm, langid, merkle, mixing, neardup, quality_gam, quality_rules, secrets, tokencount, urlfilter
 from .common import ADDED, part_of, table
 from .sql import oracle_sql  # noqa: F401  for __spark_entry__
 
@@ -83,5 +83,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), urlfilter.default_rules(spark), ["page_id"]).select("page_id", *added("host", "path", "rule", "verdict"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaf = lambda n_chars: merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    docs = table(spark, sf_dir, "documents")
+    made = merkle.manifest(docs.select(merkle.group_of(F.col("lang")).alias("grp"), leaf(F.col("n_chars")).alias("node"), F.when(tampered, leaf(F.col("n_chars") + 1)).alias("shown"), "doc_id"), ["doc_id"])
+    rows = made.proofs().withColumn("steps", merkle.steps_of(F.col("path")))
+    rows = rows.withColumn("folded_root", merkle.folded(merkle.hex_of(F.coalesce("shown", "node")), F.col("steps")))
+    return rows.select("doc_id", merkle.hex_of(F.col("node")).alias("leaf"), merkle.hex_of(F.col("subroot")).alias("subroot"), F.lit(made.root).cast("string").alias("root"), merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.lit(made.root).cast("string")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
