@@ -167,7 +167,7 @@ def block_paths(base: int, bits: int, schema: pa.Schema):
             step[:, 0] = np.where(there, np.where(sibling < at >> k, LEFT, RIGHT), ALONE)
             step[there, 1:] = siblings[sibling[there]]
             steps.append(step)
-        path = np.concatenate([*steps, np.broadcast_to(tail[32:], (n, len(tail[32:])))], axis=1)
+        path = np.concatenate([*steps, np.broadcast_to(tail[32:], (n, len(tail) - 32))], axis=1)
         ends = np.arange(n + 1, dtype=np.int32) * path.shape[1]
         packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(path.tobytes())])
         more = {"path": packed, "subroot": pa.array([tail[:32].tobytes()] * n, pa.binary())}
@@ -212,7 +212,7 @@ class Manifest:
 
     def proofs(self, targets: DataFrame | None = None) -> DataFrame:
         """Rows of forest.leaves with path (steps from leaf to root) and subroot."""
-        none = self.upper.leaves.sparkSession.createDataFrame([("", b"", b"")], "grp string, subroot binary, path binary")
+        none = self.upper.leaves.sparkSession.createDataFrame([("", bytes(32), b"")], "grp string, subroot binary, path binary")
         heads = proved(self.upper, none).select(F.col("of").alias("grp"), F.col("node").alias("subroot"), "path")
         return proved(self.forest, materialize(heads, "merkle-heads"), targets)
 
