@@ -225,7 +225,7 @@ def prefix_trie(conversations: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     root = root.select(zero.alias("depth"), zero.alias("a"), zero.alias("b"), (zero - 1).alias("pa"), (zero - 1).alias("pb"), "conv_id", "n_convs", zero.alias("bytes"), "length")
     upper = root.unionByName(heavy.drop("below")).join(up, NODE, "left").fillna(0, list(nothing))
     # The upper levels are one tree of a bounded number of nodes.
-    upper = materialize(upper.groupBy(F.lit(0)).applyInArrow(lambda t: roll_shard(t), ROLLED), "trie-upper")
+    upper = materialize(upper.withColumn("tree", F.lit(0)).groupBy("tree").applyInArrow(lambda t: roll_shard(t), ROLLED), "trie-upper")
 
     over = upper.select((F.col("depth") + 1).alias("depth"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("over"))
     joined = lower.join(over, ["depth", "pa", "pb"], "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "over")).drop("over")
