@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, merkle, mixing, neardup, quality_gam, quality_rules, secrets, tokencount, trie, urlfilter
+from . import ann, decontaminate, hmm, langid, merkle, mixing, neardup, quality_gam, quality_rules, secrets, tokencount, trie, urlfilter
 from .common import ADDED, part_of, table
 from .sql import oracle_sql  # noqa: F401  for __spark_entry__
 
@@ -93,6 +93,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", merkle.hex_of(F.col("node")).alias("leaf"), merkle.hex_of(F.col("subroot")).alias("subroot"), F.lit(made.root).cast("string").alias("root"), merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.lit(made.root).cast("string")).alias("verified"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
