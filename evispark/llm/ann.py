@@ -4,7 +4,7 @@ Nearness is the inner product. In a shard, vectors get one more component that m
 distance are those of the largest product. Equal vectors are one node with all their rows. Points enter the graph in batches:
 a greedy search from the entry nodes proposes neighbours, relaxed distance pruning keeps a diverse few of them (a candidate
 goes if one that is kept is ALPHA times nearer to it than the point is), and reverse edges are added and pruned likewise.
-A query's beam starts at the entry nodes and widens the BEAM best found until all of them are expanded; what it found is
+A query's beam starts at the entry nodes and widens the REACH best found until all of them are expanded; what it found is
 scored anew in double precision on the original vectors.
 
 Plan: rows are dealt by hash into shards of about PER rows, and each shard's graph is written as one Parquet row of fixed
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of a shard; edges of a node; width of a beam; nodes that a step expands; nodes that a beam starts at.
-PER, DEGREE, BEAM, STEP, ENTRIES = 8192, 32, 64, 4, 64
+#: Rows of a shard; edges of a node; width of a beam that proposes neighbours, and of a query's; nodes that a step expands; nodes that a beam starts at.
+PER, DEGREE, BEAM, REACH, STEP, ENTRIES = 8192, 32, 64, 128, 4, 64
 ALPHA, BATCH, BLOCK_BYTES = 1.2, 256, 16 << 20
 VECTORS = "uid long, vec_id long, dim int, x binary"
 SHARD = "dim int, ids binary, uids binary, ends binary, points binary, edges binary"
@@ -148,7 +148,7 @@ def graph_of(points: np.ndarray, degree: int = DEGREE, width: int = BEAM, alpha:
         by = np.argsort(to, kind="stable")
         to, source = to[by], source[by]
         targets, first, counts = np.unique(to, return_index=True, return_counts=True)
-        for few in np.array_split(np.arange(len(targets)), -(-len(targets) // BATCH)):
+        for few in np.array_split(np.arange(len(targets)), max(1, -(-len(targets) // BATCH))):
             if not len(few):
                 continue
             most = int(counts[few].max())
@@ -196,7 +196,7 @@ def shard_hits(shard: dict, queries: np.ndarray, own: np.ndarray, k: int) -> tup
         some = queries[lo : lo + BATCH]
         asked = np.zeros((len(some), flat.shape[1]), np.float32)
         asked[:, :-1] = some / np.abs(some).max(1, keepdims=True)
-        nodes = beam_search(flat, edges, entries, asked, max(BEAM, 2 * k))
+        nodes = beam_search(flat, edges, entries, asked, max(REACH, 2 * k))
         q, at = np.nonzero(nodes >= 0)
         node = nodes[q, at]
         # Of a node's rows the k + 1 of the smallest ids: one may be the query's own.
