@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,47 +48,41 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+def stripped(parts: Iterable[str]) -> list[str]:
+    return [p for p in map(str.strip, parts) if p]
+
+
 def units(text: str, size: int, count: Callable[[str], int]) -> list[str]:
-    """Paragraphs that fit, else their sentences, else windows of words."""
-    out = []
-    for paragraph in (p.strip() for p in PARAGRAPH.split(text)):
-        if not paragraph:
-            continue
-        if count(paragraph) <= size:
-            out.append(paragraph)
-            continue
-        for sentence in (s.strip() for s in SENTENCE.split(paragraph)):
-            if not sentence:
-                continue
-            words = sentence.split()
-            out += [sentence] if count(sentence) <= size else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+    """The pieces of a text that doesn't fit: whatever is too long at one level of breaks is broken at the next."""
+    breaks = [PARAGRAPH.split, SENTENCE.split, lambda t: map(" ".join, batched(t.split(), size))]
+    pieces = stripped(breaks[0](text))
+    for cut in breaks[1:]:
+        pieces = [p for whole in pieces for p in ([whole] if count(whole) <= size else stripped(cut(whole)))]
+    return pieces
+
+
+def spans(sizes: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of units that make chunks, of prefix sums alone: where a chunk ends and where its overlap begins are searches for all units at once, and the walk takes a jump a chunk."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    fits = np.searchsorted(upto, upto + size, side="right") - 1
+    tails = np.minimum(np.searchsorted(upto, upto - overlap, side="left"), np.arange(len(upto)))
+    out, start, end = [], 0, 0
+    while end < len(sizes):
+        # The unit that didn't fit opens the next chunk, behind the overlap, even where both exceed the size.
+        end = max(end + 1, int(fits[start]))
+        out.append((start, end))
+        start = max(start, int(tails[end]))
     return out
 
 
 def packed(text: str, settings: Settings, count: Callable[[str], int] = count_words) -> list[str]:
     """The chunks of a section: whole if it fits, else units packed with whole trailing units as overlap; a tiny last chunk joins its predecessor."""
-    size, overlap = settings.chunk_size, settings.chunk_overlap
-    if count(text) <= size:
-        return [text.strip()] if text.strip() else []
-    done, held, total = [], [], 0
-    for unit in units(text, size, count):
-        n = count(unit)
-        if held and total + n > size:
-            done.append(" ".join(u for u, _ in held))
-            tail, total = [], 0
-            for u, m in reversed(held):
-                if total + m > overlap:
-                    break
-                tail.append((u, m))
-                total += m
-            held = tail[::-1]
-        held.append((unit, n))
-        total += n
-    if held:
-        done.append(" ".join(u for u, _ in held))
-    if len(done) > 1 and count(done[-1]) < settings.chunk_min_tokens:
-        done[-2:] = [done[-2] + "\n\n" + done[-1]]
-    return done
+    if count(text) <= settings.chunk_size:
+        return stripped([text])
+    pieces = units(text, settings.chunk_size, count)
+    made = [" ".join(pieces[a:b]) for a, b in spans(np.array([count(p) for p in pieces], np.int64), settings.chunk_size, settings.chunk_overlap)]
+    tiny = len(made) > 1 and count(made[-1]) < settings.chunk_min_tokens
+    return [*made[:-2], "\n\n".join(made[-2:])] if tiny else made
 
 
 def config_fingerprint(settings: Settings, counter: str = "whitespace-v1", counter_version: str | None = None) -> str:

@@ -63,11 +63,22 @@ def latency_percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame
 
 
 def case_comparison(results: DataFrame) -> DataFrame:
-    """results(case_id, strategy, hit) compared at hit: hybrid or graph over vector, vector, all failed, none."""
-    of = lambda s: F.coalesce(F.max(F.when(F.col("strategy") == s, F.col("hit"))), F.lit(0))
-    met = results.groupBy("case_id").agg(of("vector").alias("v"), of("graph").alias("g"), of("hybrid").alias("h"))
-    verdict = F.when((F.col("h") > F.col("v")), "hybrid_beats_vector").when(F.col("g") > F.col("v"), "graph_beats_vector").when((F.col("v") > F.col("g")) & (F.col("v") > F.col("h")), "vector").when(F.col("v") + F.col("g") + F.col("h") == 0, "all_fail").otherwise("none")
-    return met.select("case_id", verdict.alias("comparison"))
+    """results(case_id, strategy, applicable, hit, reciprocal_rank), a row a strategy: who wins each case.
+
+    An inapplicable strategy has no hit. Hybrid, then graph, win what vector misses; vector wins what it hits unless an
+    applicable hybrid hits it too with a greater reciprocal rank.
+    """
+    of = lambda s, value: F.max(F.when(F.col("strategy") == s, value))
+    hits = [F.coalesce(of(s, F.col("applicable") & (F.col("hit") > 0)), F.lit(False)).alias(s) for s in ("vector", "graph", "hybrid")]
+    ranks = [F.coalesce(of(s, F.col("reciprocal_rank")), F.lit(0.0)).alias(f"{s}_rank") for s in ("vector", "hybrid")]
+    vector, graph, hybrid = map(F.col, ("vector", "graph", "hybrid"))
+    verdict = F.when(hybrid & ~vector, "HYBRID_WINS").when(graph & ~vector, "GRAPH_WINS").when(~vector, "ALL_FAIL").when(~hybrid | (F.col("vector_rank") >= F.col("hybrid_rank")), "VECTOR_WINS").otherwise("NO_CLEAR_WIN")
+    return results.groupBy("case_id").agg(*hits, *ranks).select("case_id", verdict.alias("comparison"))
+
+
+def win_lists(comparisons: DataFrame) -> DataFrame:
+    """case_comparison() rows as one row a verdict: how many cases, and a list of them in order (as large as the benchmark)."""
+    return comparisons.groupBy("comparison").agg(F.count("*").alias("cases"), F.sort_array(F.collect_list("case_id")).alias("case_ids"))
 
 
 def pairwise_wins(results: DataFrame) -> DataFrame:
@@ -84,7 +95,8 @@ def failure_reason(returned: Column, provenance_gap: Column, relevant: Column) -
 
 
 def failure_histogram(results: DataFrame) -> DataFrame:
-    return results.where("reason is not null").groupBy("system", "reason").agg(F.count("*").alias("failures"))
+    """Cases by system and reason; those without a reason count as `none`."""
+    return results.groupBy("system", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("failures"))
 
 
 def end_to_end_aggregate(results: DataFrame, by: str = "system") -> DataFrame:

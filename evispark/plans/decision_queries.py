@@ -289,9 +289,12 @@ def oracle_sql() -> dict[str, str]:
           SELECT case_id, strategy, {', '.join(f"coalesce(round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (kind = '{k}'), 9), -1) AS {n}" for k, n in (('entity', 'entity_recall'), ('relationship', 'relationship_recall'), ('path', 'exact_path_match')))}, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
         "strategy_aggregate": f"WITH {results} SELECT category, strategy, count(*) AS cases, count(*) FILTER (applicable) AS applicable_cases, round(coalesce(avg(hit) FILTER (applicable), 0), 9) AS hit, round(coalesce(avg(recall) FILTER (applicable), 0), 9) AS recall, round(coalesce(avg(reciprocal_rank) FILTER (applicable), 0), 9) AS reciprocal_rank, round(avg(latency_ms), 6) AS latency_mean, round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95 FROM r GROUP BY GROUPING SETS ((strategy), (category, strategy))",
         "latency_percentiles": f"WITH {results} SELECT strategy, category, count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean, " + ", ".join(f"round(quantile_cont(latency_ms, {p}), 6) AS {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " FROM r GROUP BY ALL",
-        "case_comparison": f"WITH {results}, c AS (SELECT case_id, coalesce(max(hit) FILTER (strategy = 'vector'), 0) AS v, coalesce(max(hit) FILTER (strategy = 'graph'), 0) AS g, coalesce(max(hit) FILTER (strategy = 'hybrid'), 0) AS h FROM r GROUP BY 1) SELECT case_id, CASE WHEN h > v THEN 'hybrid_beats_vector' WHEN g > v THEN 'graph_beats_vector' WHEN v > g AND v > h THEN 'vector' WHEN v + g + h = 0 THEN 'all_fail' ELSE 'none' END AS comparison FROM c",
+        "case_comparison": f"""WITH {results}, s AS (SELECT case_id, strategy, applicable AND hit > 0 AS hit, reciprocal_rank AS mrr, applicable FROM r),
+          c AS (SELECT case_id, coalesce(bool_or(hit) FILTER (strategy = 'vector'), false) AS v, coalesce(bool_or(hit) FILTER (strategy = 'graph'), false) AS g, coalesce(bool_or(hit) FILTER (strategy = 'hybrid'), false) AS h,
+            coalesce(bool_or(applicable) FILTER (strategy = 'hybrid'), false) AS h_applies, coalesce(max(mrr) FILTER (strategy = 'vector'), 0) AS v_mrr, coalesce(max(mrr) FILTER (strategy = 'hybrid'), 0) AS h_mrr FROM s GROUP BY 1)
+          SELECT case_id, CASE WHEN h AND NOT v THEN 'HYBRID_WINS' WHEN g AND NOT v THEN 'GRAPH_WINS' WHEN v AND (NOT h_applies OR v_mrr >= h_mrr OR NOT h) THEN 'VECTOR_WINS' WHEN NOT v AND NOT g AND NOT h THEN 'ALL_FAIL' ELSE 'NO_CLEAR_WIN' END AS comparison FROM c""",
         "pairwise_wins": f"WITH {results}, x AS (SELECT case_id, strategy AS s, CASE WHEN correct THEN 1 ELSE 0 END AS a, CASE WHEN citations_ok THEN 1 ELSE 0 END AS b, recall AS c, -latency_ms AS d FROM r) SELECT l.s AS left_system, m.s AS right_system, count(*) FILTER ((l.a, l.b, l.c, l.d) > (m.a, m.b, m.c, m.d)) AS wins, count(*) FILTER ((l.a, l.b, l.c, l.d) = (m.a, m.b, m.c, m.d)) AS ties, count(*) FILTER ((l.a, l.b, l.c, l.d) < (m.a, m.b, m.c, m.d)) AS losses FROM x l JOIN x m ON l.case_id = m.case_id AND l.s < m.s GROUP BY ALL",
-        "failure_histogram": "WITH r AS (SELECT (['vector', 'graph', 'hybrid'])[event_id // 2 % 3 + 1] AS system, CASE WHEN event_id % 6 = 0 THEN 'no_results' WHEN event_id % 5 = 1 THEN 'provenance_gap' WHEN event_id % 4 <> 0 THEN 'nothing_relevant' END AS reason FROM events) SELECT system, reason, count(*) AS failures FROM r WHERE reason IS NOT NULL GROUP BY ALL",
+        "failure_histogram": "WITH r AS (SELECT (['vector', 'graph', 'hybrid'])[event_id // 2 % 3 + 1] AS system, CASE WHEN event_id % 6 = 0 THEN 'no_results' WHEN event_id % 5 = 1 THEN 'provenance_gap' WHEN event_id % 4 <> 0 THEN 'nothing_relevant' END AS reason FROM events) SELECT system, coalesce(reason, 'none') AS reason, count(*) AS failures FROM r GROUP BY ALL",
         "illegal_transitions": f"WITH m AS (SELECT user_id AS job_id, event_id, {status} AS status, lag({status}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) SELECT job_id, event_id, previous, status FROM m WHERE previous IS NOT NULL AND NOT (previous NOT IN ('ready', 'failed') AND ({steps} OR status = 'failed'))",
         "resume_points": f"WITH j AS (SELECT event_id AS job_id, {status} AS status, {_nth(control.STATUS_CHAIN, 'event_id // 13')} AS failed_stage FROM events) SELECT job_id, status, CASE CASE WHEN status = 'failed' THEN failed_stage ELSE status END {nxt} END AS next_stage FROM j",
         "step_attempts": "SELECT event_id, user_id AS job_id, event_type AS stage, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM events",

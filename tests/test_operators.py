@@ -429,3 +429,27 @@ def test_embedding_providers(spark):
 
 
 random.seed(0)
+
+
+def test_case_comparison_follows_ranks_and_applicability(spark):
+    rows = []
+    cases = {
+        "all hit, vector first": [(True, 1, 1.0), (True, 1, 0.5), (True, 1, 0.5)],
+        "all hit, hybrid first": [(True, 1, 0.5), (True, 1, 1.0), (True, 1, 1.0)],
+        "hybrid misses": [(True, 1, 0.2), (True, 1, 1.0), (True, 0, 0.0)],
+        "hybrid doesn't apply": [(True, 1, 0.2), (False, 0, 0.0), (False, 1, 1.0)],
+        "hybrid alone": [(True, 0, 0.0), (True, 1, 1.0), (True, 1, 0.5)],
+        "graph alone": [(True, 0, 0.0), (True, 1, 1.0), (True, 0, 0.0)],
+        "none": [(True, 0, 0.0), (False, 1, 1.0), (True, 0, 0.0)],
+    }
+    for name, found in cases.items():
+        rows += [(name, s, *x) for s, x in zip(("vector", "graph", "hybrid"), found)]
+    out = metrics.case_comparison(spark.createDataFrame(rows, "case_id string, strategy string, applicable boolean, hit int, reciprocal_rank double"))
+    got = dict(map(tuple, out.collect()))
+    assert [got[c] for c in cases] == ["VECTOR_WINS", "NO_CLEAR_WIN", "VECTOR_WINS", "VECTOR_WINS", "HYBRID_WINS", "GRAPH_WINS", "ALL_FAIL"]
+    assert {r["comparison"]: (r["cases"], r["case_ids"][0]) for r in metrics.win_lists(out).collect()}["VECTOR_WINS"] == (3, "all hit, vector first")
+
+
+def test_failures_without_a_reason_count(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", None), ("a", None)], "system string, reason string")
+    assert sorted(map(tuple, metrics.failure_histogram(rows).collect())) == [("a", "none", 2), ("a", "x", 1)]
