@@ -5,10 +5,10 @@ goes on up to `?`, `#` or end. A rule (host, path, action) fits its host and all
 starts with the rule's. Of several, the longest host and path together wins, then the longer host, then `block`.
 
 Plan (DataFrame functions only): every distinct (host, path) is expanded once into expressions, one for each
-dot-suffix of the host and each length that rules' paths have; these meet the rules on the first 8 hex digits of
+dot-suffix of the host of as many labels as a rule's host has, and each length that rules' paths have; these meet the rules on the first 8 hex digits of
 SHA-256, and full digests confirm. Verdicts, written once, join back to the rows on (host, path), so a hot URL is judged
 once; the verdicts of the HOT_URLS URLs of most rows are broadcast, and rows without a host join nothing, so that no task
-gets a hot URL's rows. Path lengths that rules have are collected:
+gets a hot URL's rows. Label counts and path lengths that rules have are collected: of the latter
 there are at most MAX_PATH of them, as longer rule paths fall in one class that is expanded from the rule side's
 lengths by a join on the host alone.
 
@@ -54,17 +54,22 @@ def ready_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("full", digest(F.col("r_host"), F.col("r_path"))).withColumn("short", F.substring("full", 1, 8))
 
 
-def suffixes(host):
-    """The host and each of its parents, as an array."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def labels_of(host):
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
+def suffixes(host, sizes: list[int]):
+    """The host's last labels, as many as any of the sizes says, as an array."""
+    own = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= labels_of(host))
+    return F.transform(own, lambda n: F.call_function("substring_index", host, F.lit("."), -n))
 
 
 def matches(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path) with each rule that fits."""
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).where(F.length("r_path") <= MAX_PATH).distinct().collect())  # at most MAX_PATH + 1 numbers
+    labels = sorted(r[0] for r in rules.select(labels_of(F.col("r_host"))).distinct().collect())  # n different numbers take rules of n * n / 2 labels
     prefixes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
-    each = keys.where("host <> ''").select("host", "path", F.explode(suffixes(F.col("host"))).alias("suffix"))
+    each = keys.where("host <> ''").select("host", "path", F.explode(suffixes(F.col("host"), labels)).alias("suffix"))
     short = each.select("host", "path", "suffix", F.explode(prefixes).alias("size")).withColumn("wanted", digest(F.col("suffix"), F.expr("substring(path, 1, size)"))).withColumn("short", F.substring("wanted", 1, 8))
     found = short.join(rules, "short").where("wanted = full").select("host", "path", "r_host", "r_path", "r_action")
     if rules.where(F.length("r_path") > MAX_PATH).isEmpty():
