@@ -4,7 +4,8 @@ Base spans: `assign` (a credential word, an assignment sign and a value of 6 cha
 capitals or digits, 20 or more), `hex` (24 lower-case hexadecimal digits or more); per kind leftmost matches that
 don't overlap, whole matches as code point spans. The method adds `guess` spans: values after a wider set of
 credential words whose guess cost, taken over the whole value, is at least 10**MIN_COST; where base spans cover a part
-of the value, the other parts are spans.
+of the value, the other parts are spans. A value in quotes ends at the closing quote of its line, any other at white space;
+it may stand in the line after its sign. Punctuation at its end counts for no cost, but belongs to the span.
 
 Guess cost: the least sum, over all segmentations of the value, of the log10 costs of its spans: words of a ranked list
 (any case, and with digits or signs for letters), dates and years, repeats of the last 1 to 4 characters, keyboard walks, and brute force by
@@ -43,11 +44,25 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: A wider context: any of these words, then a sign or a little prose, then a value with no space or quote.
-CONTEXT = re.compile(r"""(?ai:(?<![a-z])(?:password|passwd|passphrase|pass|pwd|secret|token|api[ _-]?key|private[ _-]?key|credentials?|auth|login))["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;]+)""")
+#: Words that announce a credential, in the languages of the corpus; a parameter of scan() and redact().
+CONTEXTS = ("password", "passwd", "passphrase", "pass", "pwd", "secret", "token", "api[ _-]?key", "private[ _-]?key", "credentials?", "auth", "login", "passwort", "kennwort", "contrase[ñÑ]a", "clave", "mot de passe", "senha", "wachtwoord")
 #: Lower-cased bytes, one of which any match of the patterns above holds.
 ASSIGN_NEEDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-CONTEXT_NEEDS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"login")
+#: A value goes from one quote to the next in its line or, without quotes, to white space.
+VALUE = r"""(?:"([^"\n]+)"|'([^'\n]+)'|["']?([^\s"']\S*))"""
+
+
+def context_of(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words (patterns of letters), a sign with the value behind it or in the next line, or a little English prose."""
+    return re.compile(rf"""(?ai:(?<![a-z])(?:{"|".join(words)}))["']?\x20*(?:[:=][\x20\t]*(?:\r?\n[\x20\t]*)?|\bis\b\x20*){VALUE}""")
+
+
+def needs_of(words: tuple[str, ...]) -> list[bytes]:
+    """Lower-case letters, one of which stands in any text with a match: those that a word begins with."""
+    begun = {m[0].encode() if (m := re.match(r"[a-z]+(?![?*{])", w)) else b"" for w in words}
+    return sorted(x for x in begun if not any(y != x and x.startswith(y) for y in begun))
+
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 HEX_OR_SPACE = bytes(104 if c in b"0123456789abcdef" else 32 for c in range(256))
 
@@ -100,7 +115,8 @@ def brute(c: str) -> float:
 class Guesses:
     """Guess costs over one ranked list of words."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], contexts: tuple[str, ...] = CONTEXTS):
+        self.context, self.needs = context_of(contexts), needs_of(contexts)
         self.rank = {w: math.log10(k + 2) for k, w in enumerate(dict.fromkeys([*WORDS, *words]))}
         self.longest = max(map(len, self.rank))
         self.known: dict[str, float] = {}
@@ -146,7 +162,7 @@ def find(text: bytes, guesses: Guesses) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all spans in code points, by start and then kind."""
     small, spans = text.translate(LOWER), []
     assign = any(x in small for x in ASSIGN_NEEDS)
-    context = assign or any(x in small for x in CONTEXT_NEEDS)
+    context = any(x in small for x in guesses.needs)
     access, hexes = b"AKIA" in text, b"h" * 24 in text.translate(HEX_OR_SPACE)
     if not (context or access or hexes):
         return []
@@ -158,24 +174,41 @@ def find(text: bytes, guesses: Guesses) -> list[tuple[int, str, int]]:
     if hexes:
         spans += [(m.start(), "hex", m.end()) for m in HEX.finditer(body)]
     if context:
-        base = sorted((a, b) for a, _, b in spans)
-        for m in CONTEXT.finditer(body):
-            a, b = m.span(1)
-            b -= len(m[1]) - len(m[1].rstrip(".!?)]}"))
-            if (parts := outside(a, b, base)) and guesses.cost(body[a:b]) >= MIN_COST:
-                spans += [(x, "guess", y) for x, y in parts]
+        spans += guessed(body, spans, guesses)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of a stretch that no one of the sorted spans covers."""
+def guessed(body: str, base: list[tuple[int, str, int]], guesses: Guesses) -> list[tuple[int, str, int]]:
+    """The parts of hard values that no base span covers; values and base spans are walked once, side by side."""
+    covered, out, at = united(base), [], 0
+    for m in guesses.context.finditer(body):
+        a, b = m.span(m.lastindex)
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        if (parts := outside(a, b, covered, at)) and guesses.cost(m[m.lastindex].rstrip(".,;!?)]}>\"'")) >= MIN_COST:
+            out += [(x, "guess", y) for x, y in parts]
+    return out
+
+
+def united(spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """Disjoint stretches, in order, that cover what the spans cover."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def outside(a: int, b: int, covered: list[tuple[int, int]], at: int = 0) -> list[tuple[int, int]]:
+    """The parts of a stretch that no one of the disjoint sorted stretches from the at-th on covers."""
     parts = []
-    for x, y in spans:
-        if x >= b:
-            break
+    while at < len(covered) and covered[at][0] < b:
+        x, y = covered[at]
         if a < x:
             parts.append((a, x))
-        a = max(a, y)
+        a, at = max(a, y), at + 1
     return [*parts, (a, b)] if a < b else parts
 
 
@@ -189,12 +222,12 @@ def shared_words(docs: DataFrame, words: list[str]) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(words)
 
 
-def scan(docs: DataFrame, keep: list[str], words: list[str], text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], words: list[str], text_col: str = "text", contexts: tuple[str, ...] = CONTEXTS) -> DataFrame:
     """The `keep` columns and the list of spans (kind, start, end) under the ADDED prefix; words: a ranked list."""
     shared = shared_words(docs, words)
 
     def make():
-        guesses = Guesses(shared.value)
+        guesses = Guesses(shared.value, contexts)
         return lambda col: [pa.array([[{"kind": k, "start": a, "end": b} for a, k, b in find(t, guesses)] for t in each_text(col)], ARROW_SPANS)]
 
     return scan_texts(docs, text_col, keep, [T.StructField("spans", SPAN_LIST)], make)
@@ -220,13 +253,13 @@ def cut(text: str, spans: list[dict], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, words: list[str], *, text_col: str = "text", mark: str = "<{kind}>") -> DataFrame:
+def redact(docs: DataFrame, words: list[str], *, text_col: str = "text", mark: str = "<{kind}>", contexts: tuple[str, ...] = CONTEXTS) -> DataFrame:
     """All documents, with every span of their texts replaced by its mark; null texts stay null. One scan finds and replaces."""
     own, names = apart(docs)
     text, shared = names[text_col], shared_words(docs, words)
 
     def make():
-        guesses = Guesses(shared.value)
+        guesses = Guesses(shared.value, contexts)
 
         def kernel(col: pa.Array) -> list[pa.Array]:
             found = {k: spans for k, t in enumerate(each_text(col)) if (spans := find(t, guesses))}
