@@ -2,12 +2,16 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -475,6 +479,58 @@ def test_rare_languages_are_learnt(spark):
     assert {r.text: r[1] for r in got} == {"das Haus über Straße": "de", "the house": "en"}
 
 
+def test_a_thousand_languages(spark):
+    """Every language is learnt, whatever their number; a language's words tell it from the others."""
+    rng = random.Random(3)
+    words_of = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3)] for _ in range(1000)]
+    rows = [(4 * y + k, " ".join(words_of[y]), f"l{y:04}") for y in range(1000) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i, _, _ in rows}
+    learnt = {lang for i, _, lang in rows if part[i] != 2}
+    model = langid.trained(langid.training_rows(docs))
+    assert model.languages == sorted(learnt) and len(learnt) > 980
+    got = langid.predicted(docs.where("doc_id % 4 = 0"), model, ["lang"]).collect()
+    assert sum(r[0] == r[1] for r in got if r[0] in learnt) / len(got) > 0.95
+
+
+def test_pieces_of_a_long_text_count_its_n_grams_once(monkeypatch):
+    """Pieces, slices of positions and slices of weights change no count and no sum, ends of texts included."""
+    rng = np.random.default_rng(2)
+    texts = ["", "a", "ab", "abc", *("".join(rng.choice(list("abc dß"), n)) for n in (5, 6, 7, 8, 9, 10, 11, 64, 201)), "ΑΣ ΣΑΣ"]
+    table = np.vstack((rng.normal(size=(langid.SIZE, 3)).astype(np.float32), np.zeros((1, 3), np.float32)))
+    model = langid.Model(["x", "y", "z"], np.arange(langid.SIZE, dtype=np.int32), table, np.zeros(3), 1.0)
+    whole, scored = [langid.sparse(t) for t in texts], langid._kernel(model)(pa.array(texts))
+    for t, (f, n, total) in zip(texts, whole):
+        assert total == n.sum() == sum(max(0, len(t.lower()) - o + 1) for o in langid.ORDERS)
+    monkeypatch.setattr(langid, "CHUNK", 5)
+    monkeypatch.setattr(langid, "CELLS", 21)
+    for t, want in zip(texts, whole):
+        f, n, total = langid.sparse(t)
+        assert (f.tolist(), n.tolist(), total) == (want[0].tolist(), want[1].tolist(), want[2])
+    cut = langid._kernel(model)(pa.array(texts))
+    assert cut[0] == scored[0] and cut[1].to_pylist() == pytest.approx(scored[1].to_pylist(), abs=1e-9)
+
+
+def test_long_text_and_many_languages_in_bounded_memory():
+    """A text of 20 MB, and 256 languages, within the memory of some pieces."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from evispark.llm import langid
+table = np.ones((langid.SIZE + 1, 256), np.float32)
+model = langid.Model([str(i) for i in range(256)], np.arange(langid.SIZE, dtype=np.int32), table, np.zeros(256), 1.0)
+col = pa.array(["the house and the tree " * 45000])
+small = langid.Model(["a", "b"], model.place, table[:, :2].copy(), np.zeros(2), 1.0)
+long = pa.array(["the house and the tree " * 900000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+langid._kernel(model)(col)
+langid._kernel(small)(long)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=root)
+    assert int(out.stdout) < 500
+
+
 def plain_gam(x, y):
     """Cyclic boosting row by row: the same trees from plain sums over rows."""
     G = quality_gam
