@@ -44,17 +44,44 @@ def graph_provenance(rels: Column | str) -> dict[str, Column]:
     return {"source_chunk_ids": chunks, "provenance_type": kind}
 
 
-def bridge(graph: DataFrame, chunks: DataFrame, most: int = 5) -> DataFrame:
+def chunk_versions(rels: Column | str, chunks: Column) -> Column:
+    """The paper version that each of `chunks` (distinct, some few) should be of: that of the last edge with a version that names the chunk."""
+    rels = F.col(rels) if isinstance(rels, str) else rels
+    versioned = F.filter(rels, lambda r: F.coalesce(r["paper_version_id"], F.lit("")) != "")
+    names = lambda r, c: F.coalesce(r["source_chunk_id"] == c, F.lit(False)) | F.coalesce(F.array_contains(r["supporting_chunk_ids"], c), F.lit(False))
+    return F.map_from_arrays(chunks, F.transform(chunks, lambda c: F.try_element_at(F.filter(versioned, lambda r: names(r, c)), F.lit(-1))["paper_version_id"]))
+
+
+def bridge(graph: DataFrame, chunks: DataFrame, most: int = 5, *, generation: str | None = None, strict: bool = True) -> DataFrame:
     """graph(query_id, evidence_id, source_chunk_ids, provenance_type) with the text evidence of its first `most` chunks.
 
     Support ids stand in list order; a missing chunk is a warning; evidence without chunks is complete unless it is
     metadata. chunks(chunk_id, vector_generation_fingerprint) are met in one join instead of a lookup an item.
+
+    A chunk of another vector generation than `generation`, or of another paper version than expected, is foreign: it
+    fails the job, or where `strict` is off gives a warning and no support. The expected version is the chunk's in graph's
+    chunk_versions (a map), else graph's paper_version_id; each is compared if its column is there and not null, and
+    chunks have a paper_version_id.
     """
-    wanted = graph.select("query_id", "evidence_id", F.posexplode(F.slice("source_chunk_ids", 1, most)).alias("at", "chunk_id"))
-    store = chunks.select("chunk_id", text_evidence_id("chunk_id", "vector_generation_fingerprint").alias("text_id"))
-    met = wanted.join(store, "chunk_id", "left").groupBy("query_id", "evidence_id").agg(F.array_sort(F.collect_list(F.struct("at", "text_id", "chunk_id"))).alias("each"))
-    found = F.transform(F.filter("each", lambda e: e["text_id"].isNotNull()), lambda e: e["text_id"])
-    lost = F.transform(F.filter("each", lambda e: e["text_id"].isNull()), lambda e: F.concat(F.lit("missing chunk "), e["chunk_id"]))
+    versions = "paper_version_id" in chunks.columns
+    nothing = F.lit(None).cast("string")
+    listed = F.col("chunk_versions") if "chunk_versions" in graph.columns else F.lit(None).cast("map<string,string>")
+    wanted = graph.select("query_id", "evidence_id", listed.alias("listed"), (F.col("paper_version_id") if "paper_version_id" in graph.columns else nothing).alias("version"), F.posexplode(F.slice("source_chunk_ids", 1, most)).alias("at", "chunk_id"))
+    wanted = wanted.select("query_id", "evidence_id", "at", "chunk_id", F.coalesce(F.try_element_at("listed", F.col("chunk_id")), "version").alias("expected"))
+    store = chunks.select("chunk_id", text_evidence_id("chunk_id", "vector_generation_fingerprint").alias("text_id"), F.col("vector_generation_fingerprint").alias("held_generation"), (F.col("paper_version_id") if versions else nothing).alias("held_version"))
+    foreign = F.lit(False)
+    if versions:
+        foreign = foreign | (F.col("text_id").isNotNull() & F.col("expected").isNotNull() & ~F.col("held_version").eqNullSafe(F.col("expected")))
+    if generation is not None:
+        foreign = foreign | (F.col("text_id").isNotNull() & ~F.col("held_generation").eqNullSafe(generation))
+    met = wanted.join(store, "chunk_id", "left").withColumn("foreign", foreign)
+    if strict:
+        # the check stands in the id that is used, so that no column pruning can take it away
+        fault = F.raise_error(F.concat(F.lit("foreign chunk "), "chunk_id", F.lit(": paper version "), F.coalesce("held_version", F.lit("unknown")), F.lit(", vector generation "), F.coalesce("held_generation", F.lit("unknown"))))
+        met = met.withColumn("text_id", F.when(F.col("foreign"), fault).otherwise(F.col("text_id")))
+    met = met.groupBy("query_id", "evidence_id").agg(F.array_sort(F.collect_list(F.struct("at", "text_id", "chunk_id", "foreign"))).alias("each"))
+    found = F.transform(F.filter("each", lambda e: e["text_id"].isNotNull() & ~e["foreign"]), lambda e: e["text_id"])
+    lost = F.transform(F.filter("each", lambda e: e["text_id"].isNull() | e["foreign"]), lambda e: F.concat(F.when(e["foreign"], "foreign chunk ").otherwise("missing chunk "), e["chunk_id"]))
     met = met.select("query_id", "evidence_id", found.alias("supporting_text_evidence_ids"), lost.alias("lost"))
     none = F.array().cast("array<string>")
     out = graph.join(met, ["query_id", "evidence_id"], "left")

@@ -134,8 +134,13 @@ def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def structural_metrics(spark: SparkSession, d: str) -> DataFrame:
     items, targets, matches = _evaluation(spark, d)
-    out = metrics.structural_metrics(items.withColumn("provenance_complete", F.col("rank") % 2 == 1), targets, matches)
-    return out.select("case_id", "strategy", *[F.coalesce(F.round(c, 9), F.lit(-1.0)).alias(c) for c in ("entity_recall", "relationship_recall", "exact_path_match", "provenance_rate")])
+    # every second item ends at the path of the next vector
+    number = F.regexp_extract("chunk_id", "[0-9]+$", 0)
+    following = F.concat(F.lit("path:"), F.regexp_replace("chunk_id", "[0-9]+$", ""), (number.cast("long") + 1).cast("string"))
+    none = F.array().cast("array<string>")
+    ends = metrics.endpoint(F.when(F.col("rank") % 2 == 0, F.array(F.lit("x"), following)).otherwise(none), none, F.col("entity_ids"))
+    out = metrics.structural_metrics(items.withColumn("provenance_complete", F.col("rank") % 2 == 1).withColumn("endpoint", ends), targets, matches)
+    return out.select("case_id", "strategy", *[F.coalesce(F.round(c, 9), F.lit(-1.0)).alias(c) for c in ("entity_recall", "relationship_recall", "exact_path_match", "endpoint_accuracy", "provenance_rate")])
 
 
 def _results(spark: SparkSession, d: str) -> DataFrame:
@@ -285,15 +290,15 @@ def oracle_sql() -> dict[str, str]:
         "ranking_metrics": f"""{evaluation}, f AS (SELECT case_id, strategy, target_id, min(rank) AS first FROM matches GROUP BY ALL), s AS (SELECT case_id, strategy, min(first) AS best, count(*) FILTER (first <= 5) AS found, coalesce(list_sum(list_transform(list(DISTINCT first) FILTER (first <= 5), lambda r: 1 / log2(r + 1))), 0) AS gain FROM f GROUP BY ALL),
           w AS (SELECT case_id, strategy, count(*) FILTER (rank <= 5) AS within_k FROM items GROUP BY ALL), t AS (SELECT case_id, count(DISTINCT target_id) AS n FROM targets GROUP BY ALL), j AS (SELECT w.*, coalesce(best, 99) AS best, s.best IS NULL AS no, coalesce(found, 0) AS found, coalesce(gain, 0) AS gain, n, least(5, n, within_k) AS ideal_n FROM w JOIN t USING (case_id) LEFT JOIN s USING (case_id, strategy))
           SELECT case_id, strategy, CAST(best <= 5 AS BIGINT) AS hit, round(CASE WHEN no THEN 0 ELSE 1 / best END, 9) AS reciprocal_rank, round(found / within_k, 9) AS precision, round(found / n, 9) AS recall, round(gain / list_sum(list_transform(range(1, ideal_n + 1), lambda r: 1 / log2(r + 1))), 9) AS ndcg FROM j""",
-        "structural_metrics": f"""{evaluation}, p AS (SELECT case_id, strategy, avg(CASE WHEN rank % 2 = 1 THEN 1.0 ELSE 0 END) AS rate FROM items GROUP BY ALL), x AS (SELECT p.case_id, p.strategy, rate, t.kind, (p.case_id, p.strategy, t.target_id) IN (SELECT (case_id, strategy, target_id) FROM matches) AS hit FROM p LEFT JOIN (SELECT DISTINCT case_id, kind, target_id FROM targets) t ON t.case_id = p.case_id)
-          SELECT case_id, strategy, {', '.join(f"coalesce(round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (kind = '{k}'), 9), -1) AS {n}" for k, n in (('entity', 'entity_recall'), ('relationship', 'relationship_recall'), ('path', 'exact_path_match')))}, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
+        "structural_metrics": f"""{evaluation}, p AS (SELECT case_id, strategy, avg(CASE WHEN rank % 2 = 1 THEN 1.0 ELSE 0 END) AS rate FROM items GROUP BY ALL), x AS (SELECT p.case_id, p.strategy, rate, t.kind, (p.case_id, p.strategy, t.target_id) IN (SELECT (case_id, strategy, target_id) FROM matches) AS hit, (p.case_id, p.strategy, t.target_id) IN (SELECT (case_id, strategy, 'w' || (vec_id + 1)) FROM items WHERE rank % 2 = 0) AS ends FROM p LEFT JOIN (SELECT DISTINCT case_id, kind, target_id FROM targets) t ON t.case_id = p.case_id)
+          SELECT case_id, strategy, {', '.join(f"coalesce(round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END) FILTER (kind = '{k}'), 9), -1) AS {n}" for k, n in (('entity', 'entity_recall'), ('relationship', 'relationship_recall'), ('path', 'exact_path_match')))}, coalesce(round(avg(CASE WHEN hit OR ends THEN 1.0 ELSE 0 END) FILTER (kind = 'path'), 9), -1) AS endpoint_accuracy, round(max(rate), 9) AS provenance_rate FROM x GROUP BY ALL""",
         "strategy_aggregate": f"WITH {results} SELECT category, strategy, count(*) AS cases, count(*) FILTER (applicable) AS applicable_cases, round(coalesce(avg(hit) FILTER (applicable), 0), 9) AS hit, round(coalesce(avg(recall) FILTER (applicable), 0), 9) AS recall, round(coalesce(avg(reciprocal_rank) FILTER (applicable), 0), 9) AS reciprocal_rank, round(avg(latency_ms), 6) AS latency_mean, round(quantile_cont(latency_ms, 0.5), 6) AS latency_median, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95 FROM r GROUP BY GROUPING SETS ((strategy), (category, strategy))",
         "latency_percentiles": f"WITH {results} SELECT strategy, category, count(latency_ms) AS n, round(avg(latency_ms), 6) AS mean, " + ", ".join(f"round(quantile_cont(latency_ms, {p}), 6) AS {n}" for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + " FROM r GROUP BY ALL",
         "case_comparison": f"""WITH {results}, s AS (SELECT case_id, strategy, applicable AND hit > 0 AS hit, reciprocal_rank AS mrr, applicable FROM r),
           c AS (SELECT case_id, coalesce(bool_or(hit) FILTER (strategy = 'vector'), false) AS v, coalesce(bool_or(hit) FILTER (strategy = 'graph'), false) AS g, coalesce(bool_or(hit) FILTER (strategy = 'hybrid'), false) AS h,
             coalesce(bool_or(applicable) FILTER (strategy = 'hybrid'), false) AS h_applies, coalesce(max(mrr) FILTER (strategy = 'vector'), 0) AS v_mrr, coalesce(max(mrr) FILTER (strategy = 'hybrid'), 0) AS h_mrr FROM s GROUP BY 1)
           SELECT case_id, CASE WHEN h AND NOT v THEN 'HYBRID_WINS' WHEN g AND NOT v THEN 'GRAPH_WINS' WHEN v AND (NOT h_applies OR v_mrr >= h_mrr OR NOT h) THEN 'VECTOR_WINS' WHEN NOT v AND NOT g AND NOT h THEN 'ALL_FAIL' ELSE 'NO_CLEAR_WIN' END AS comparison FROM c""",
-        "pairwise_wins": f"WITH {results}, x AS (SELECT case_id, strategy AS s, CASE WHEN correct THEN 1 ELSE 0 END AS a, CASE WHEN citations_ok THEN 1 ELSE 0 END AS b, recall AS c, -latency_ms AS d FROM r) SELECT l.s AS left_system, m.s AS right_system, count(*) FILTER ((l.a, l.b, l.c, l.d) > (m.a, m.b, m.c, m.d)) AS wins, count(*) FILTER ((l.a, l.b, l.c, l.d) = (m.a, m.b, m.c, m.d)) AS ties, count(*) FILTER ((l.a, l.b, l.c, l.d) < (m.a, m.b, m.c, m.d)) AS losses FROM x l JOIN x m ON l.case_id = m.case_id AND l.s < m.s GROUP BY ALL",
+        "pairwise_wins": f"WITH {results}, x AS (SELECT case_id, strategy AS s, CASE WHEN applicable THEN (CASE WHEN correct THEN 1 ELSE 0 END, CASE WHEN citations_ok THEN 1 ELSE 0 END, recall, -latency_ms) ELSE (0, 0, 0, 0) END AS q FROM r) SELECT l.s AS left_system, m.s AS right_system, count(*) FILTER (l.q > m.q) AS wins, count(*) FILTER (l.q = m.q) AS ties, count(*) FILTER (l.q < m.q) AS losses FROM x l JOIN x m ON l.case_id = m.case_id AND l.s < m.s GROUP BY ALL",
         "failure_histogram": "WITH r AS (SELECT (['vector', 'graph', 'hybrid'])[event_id // 2 % 3 + 1] AS system, CASE WHEN event_id % 6 = 0 THEN 'no_results' WHEN event_id % 5 = 1 THEN 'provenance_gap' WHEN event_id % 4 <> 0 THEN 'nothing_relevant' END AS reason FROM events) SELECT system, coalesce(reason, 'none') AS reason, count(*) AS failures FROM r GROUP BY ALL",
         "illegal_transitions": f"WITH m AS (SELECT user_id AS job_id, event_id, {status} AS status, lag({status}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) SELECT job_id, event_id, previous, status FROM m WHERE previous IS NOT NULL AND NOT (previous NOT IN ('ready', 'failed') AND ({steps} OR status = 'failed'))",
         "resume_points": f"WITH j AS (SELECT event_id AS job_id, {status} AS status, {_nth(control.STATUS_CHAIN, 'event_id // 13')} AS failed_stage FROM events) SELECT job_id, status, CASE CASE WHEN status = 'failed' THEN failed_stage ELSE status END {nxt} END AS next_stage FROM j",

@@ -97,10 +97,11 @@ class Retriever:
         version = F.col("paper_version_id") if "paper_version_id" in self.store.edges.columns else F.lit(None).cast("string")
         kinds = self.store.edges.select("relationship_id", "provenance_type", version.alias("paper_version_id"))
         rels = found.select("evidence_id", F.posexplode("rels").alias("at", "r")).select("evidence_id", "at", "r.*").join(kinds, "relationship_id")
-        rels = rels.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("at", "source_chunk_id", "supporting_chunk_ids", "provenance_type"))).alias("own"), F.min_by("paper_version_id", F.when(F.col("paper_version_id").isNotNull(), F.col("at"))).alias("paper_version_id"))
+        rels = rels.groupBy("evidence_id").agg(F.array_sort(F.collect_list(F.struct("at", "source_chunk_id", "supporting_chunk_ids", "provenance_type", "paper_version_id"))).alias("own"), F.min_by("paper_version_id", F.when(F.col("paper_version_id").isNotNull(), F.col("at"))).alias("paper_version_id"))
         made = E.graph_provenance("own")
         rows = found.drop("source_chunk_ids").join(rels, "evidence_id").withColumn("source_chunk_ids", made["source_chunk_ids"]).withColumn("provenance_type", made["provenance_type"]).withColumn("query_id", F.col("start"))
-        chunks = self.store.vectors.select("chunk_id", "vector_generation_fingerprint")
+        rows = rows.withColumn("chunk_versions", E.chunk_versions("own", F.slice("source_chunk_ids", 1, s.supporting_chunks)))
+        chunks = self.store.vectors.select("chunk_id", "vector_generation_fingerprint", *[c for c in ("paper_version_id",) if c in self.store.vectors.columns])
         rows = E.bridge(rows, chunks, s.supporting_chunks).orderBy("rank").collect()
         graph = [{"evidence_id": r.evidence_id, "evidence_type": r.evidence_type, "chunk_id": r.chunk_id, "paper_id": r.paper_id, "paper_version_id": r.paper_version_id, "section_type": None, "page_start": None, "page_end": None, "text": r.text, "score": r.path_confidence, "score_kind": "path_confidence", "entity_ids": r.entity_ids, "relationship_ids": r.relationship_ids, "source_chunk_ids": r.source_chunk_ids, "support": r.supporting_text_evidence_ids, "warnings": r.warnings, "provenance_complete": r.provenance_complete} for r in rows]
         wanted = [c for g in graph for c in g["source_chunk_ids"][: s.supporting_chunks]]

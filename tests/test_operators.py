@@ -247,6 +247,22 @@ def test_bridge(spark):
     assert not out["g2"].provenance_complete and out["g3"].provenance_complete and len(out["g4"].supporting_text_evidence_ids) == 5
 
 
+def test_bridge_marks_or_refuses_foreign_chunks(spark):
+    """A chunk of another generation or of another version than its edge says is no support; an edge's version goes before the item's."""
+    rels = "array<struct<source_chunk_id string, supporting_chunk_ids array<string>, paper_version_id string>>"
+    rows = [(0, "own", ["c1", "c2"], "chunk", "v1", [("c1", ["c2"], None)]), (0, "edge", ["c3"], "chunk", "v1", [("c3", None, "v1"), ("x", ["c3"], "v2")]), (0, "version", ["c3", "c1"], "chunk", "v1", []), (0, "generation", ["c4"], "chunk", None, [])]
+    graph = spark.createDataFrame(rows, f"query_id int, evidence_id string, source_chunk_ids array<string>, provenance_type string, paper_version_id string, own {rels}")
+    graph = graph.withColumn("chunk_versions", evidence.chunk_versions("own", F.slice("source_chunk_ids", 1, 5)))
+    chunks = spark.createDataFrame([("c1", "g", "v1"), ("c2", "g", "v1"), ("c3", "g", "v2"), ("c4", "old", "v1")], "chunk_id string, vector_generation_fingerprint string, paper_version_id string")
+    out = {r.evidence_id: r for r in evidence.bridge(graph, chunks, generation="g", strict=False).collect()}
+    assert {k: r.warnings for k, r in out.items()} == {"own": [], "edge": [], "version": ["foreign chunk c3"], "generation": ["foreign chunk c4"]}
+    assert len(out["version"].supporting_text_evidence_ids) == 1 and not out["version"].provenance_complete and out["edge"].provenance_complete
+    for bad in ("version", "generation"):
+        with pytest.raises(Exception, match="foreign chunk"):
+            evidence.bridge(graph.where(F.col("evidence_id") == bad), chunks, generation="g").collect()
+    assert evidence.bridge(graph.where("evidence_id in ('own', 'edge')"), chunks, generation="g").where("provenance_complete").count() == 2
+
+
 # --- vectors
 
 
@@ -453,3 +469,22 @@ def test_case_comparison_follows_ranks_and_applicability(spark):
 def test_failures_without_a_reason_count(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", None), ("a", None)], "system string, reason string")
     assert sorted(map(tuple, metrics.failure_histogram(rows).collect())) == [("a", "none", 2), ("a", "x", 1)]
+
+
+def test_inapplicable_systems_compare_as_zeros(spark):
+    """A system that doesn't apply ties with one that doesn't either and beats a miss that took time."""
+    schema = "case_id int, system string, applicable boolean, correct boolean, citations_ok boolean, recall double, latency_ms double"
+    rows = [(1, "a", False, True, True, 1.0, 0.0), (1, "b", True, False, False, 0.0, 5.0), (2, "a", False, False, False, 0.0, 9.0), (2, "b", False, True, True, 1.0, 1.0), (3, "a", False, True, True, 1.0, 0.0), (3, "b", True, True, False, 0.0, 5.0)]
+    results = spark.createDataFrame(rows, schema)
+    assert tuple(metrics.pairwise_wins(results).first()) == ("a", "b", 1, 1, 1)
+    assert sorted(map(tuple, metrics.outcomes(results, "a", ["b"]).collect())) == [(1, "win"), (3, "loss")]
+
+
+def test_endpoints_count_beside_exact_paths(spark):
+    items = spark.createDataFrame([(1, "s", 1, "e1", True), (1, "s", 2, "p9", True), (1, "t", 1, None, False)], "case_id int, strategy string, rank int, endpoint string, provenance_complete boolean")
+    targets = spark.createDataFrame([(1, "path", "p9"), (1, "path", "q"), (1, "path", "r")], "case_id int, target_type string, target_id string")
+    matches = spark.createDataFrame([(1, "s", 2, "q")], "case_id int, strategy string, rank int, target_id string")
+    out = {r.strategy: (round(r.exact_path_match, 3), round(r.endpoint_accuracy, 3)) for r in metrics.structural_metrics(items, targets, matches).collect()}
+    assert out == {"s": (0.333, 0.667), "t": (0.0, 0.0)}
+    ends = spark.createDataFrame([(["a", "b"], ["c"], ["d"]), ([], ["c"], ["d"]), (None, None, ["d"]), ([], [], [])], "x array<string>, y array<string>, z array<string>")
+    assert [r[0] for r in ends.select(metrics.endpoint(F.col("x"), F.col("y"), F.col("z"))).collect()] == ["b", "c", "d", None]
