@@ -14,10 +14,15 @@ them, and a hub with a third of all edges doesn't multiply.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import path_evidence_id
+from ..schemas import ONTOLOGY
 
 # Operation -> (shape, relationship, end type).
 OPERATIONS = {
@@ -42,11 +47,25 @@ OPERATIONS = {
 THROUGH = {"citing": "cites", "through_paper": "evaluated_on"}
 
 
-def _edge(prefix: str) -> Column:
-    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in OWN])
+OWN = ("relationship_id", "relationship_type", "confidence", "source_chunk_id", "supporting_chunk_ids")
+ENDS = ("source_entity_id", "target_entity_id", "source_node", "target_node")
 
 
-OWN = ("relationship_id", "relationship_type", "confidence", "source_chunk_id", "supporting_chunk_ids")
+@dataclass(frozen=True)
+class Edges:
+    """Edges in a stored form of few bytes: rows with relationship_type, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones.
+
+    Rows are joined, sorted and cut as they are stored; long ids, names and chunk lists are made of the paths that stay.
+    """
+
+    rows: DataFrame
+    view: Callable[[Callable[[str], Column], str], dict[str, Column]]
+
+    def of(self, prefix: str, kind: str) -> tuple[DataFrame, dict[str, Column]]:
+        """One type's rows with prefixed columns, and their view."""
+        mine = [c for c in self.rows.columns if c != "relationship_type"]
+        rows = self.rows.where(F.col("relationship_type") == kind).select(*[F.col(c).alias(f"{prefix}_{c}") for c in mine])
+        return rows, self.view(lambda c: F.lit(kind) if c == "relationship_type" else F.col(f"{prefix}_{c}"), kind)
 
 
 def end_node(entity_id: Column | str = "entity_id") -> Column:
@@ -64,51 +83,63 @@ def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges
 
 
-def _edges(edges: DataFrame, nodes: DataFrame, prefix: str, kind: str) -> DataFrame:
-    """Edges of one type with prefixed columns: src, dst, source and target nodes, and their own."""
-    typed = with_ends(edges.where(F.col("relationship_type") == kind), nodes)
-    return typed.select(F.col("source_entity_id").alias(f"{prefix}_src"), F.col("target_entity_id").alias(f"{prefix}_dst"), F.col("source_node").alias(f"{prefix}_src_node"), F.col("target_node").alias(f"{prefix}_dst_node"), *[F.col(c).alias(f"{prefix}_{c}") for c in OWN])
+def _edges(edges: DataFrame | Edges, nodes: DataFrame | None, prefix: str, kind: str) -> tuple[DataFrame, dict[str, Column]]:
+    if isinstance(edges, DataFrame):
+        ended = with_ends(edges.where(F.col("relationship_type") == kind), nodes)
+        edges = Edges(ended.select(*OWN, *ENDS), lambda stored, _: {c: stored(c) for c in (*OWN, *ENDS)})
+    return edges.of(prefix, kind)
 
 
 def _cut(df: DataFrame, by: list[str], order: list[Column], limit: int, place: str = "place") -> DataFrame:
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= limit)
 
 
-def _of(end: str, kind: str) -> Column:
-    """Whether an edge's end has a type."""
-    return F.col(f"{end}_node.entity_type") == kind
+def _is(node: Column, kind: str) -> Column:
+    return node["entity_type"] == kind
+
 
+def _shown(found: DataFrame, ends: list[Column], rels: list[dict[str, Column]]) -> DataFrame:
+    """Paths with these nodes and edges, in order."""
+    node = lambda end: F.struct(*[end[c].alias(c) for c in ("entity_id", "entity_type", "name")])
+    return found.select("start", "place", F.array(*[node(e) for e in ends]).alias("nodes"), F.array(*[F.struct(*[r[c].alias(c) for c in OWN]) for r in rels]).alias("rels"))
 
-def _shown(found: DataFrame, ends: list[str], rels: list[str]) -> DataFrame:
-    """Paths with the nodes at these ends of their edges, in order."""
-    node = lambda end: F.struct(*[F.col(f"{end}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "name")])
-    return found.select("start", "place", F.array(*[node(e) for e in ends]).alias("nodes"), F.array(*[_edge(r) for r in rels]).alias("rels"))
 
+def direct(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, kind: str, end_type: str, incoming: bool, limit: int) -> DataFrame:
+    """One edge from (or, incoming, to) the start; by confidence descending, then end id. The edge's stored direction stays.
 
-def direct(requests: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str, end_type: str, incoming: bool, limit: int) -> DataFrame:
-    """One edge from (or, incoming, to) the start; by confidence descending, then end id. The edge's stored direction stays."""
-    start, end = ("r_dst", "r_src") if incoming else ("r_src", "r_dst")
-    found = _edges(edges, nodes, "r", kind).where(_of(end, end_type)).join(requests, F.col("start") == F.col(start))
-    return _shown(_cut(found, ["start"], [F.desc("r_confidence"), F.col(end)], limit), [start, end], ["r"])
+    Incoming edges may be those of a hub, so a target's are cut before they meet the requests.
+    """
+    start, end = ("target", "source") if incoming else ("source", "target")
+    rows, r = _edges(edges, nodes, "r", kind)
+    order = [F.desc(r["confidence"]), r[f"{end}_entity_id"]]
+    mine = rows.where(_is(r[f"{end}_node"], end_type)).withColumn("mine", r[f"{start}_entity_id"])
+    if incoming:
+        mine = _cut(mine, ["mine"], order, limit, "nth").drop("nth")
+    found = mine.join(requests, F.col("start") == F.col("mine"))
+    return _shown(_cut(found, ["start"], order, limit), [r[f"{start}_node"], r[f"{end}_node"]], [r])
 
 
-def shared(requests: DataFrame, nodes: DataFrame, edges: DataFrame, kind: str, mid_type: str, limit: int) -> DataFrame:
+def shared(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, kind: str, mid_type: str, limit: int) -> DataFrame:
     """start -> x <- other by one type, other not the start; by x, then other."""
-    mine = _edges(edges, nodes, "r", kind).where(_of("r_dst", mid_type) & _of("r_src", "paper")).join(requests, F.col("start") == F.col("r_src"))
-    members = _cut(_edges(edges, nodes, "s", kind).where(_of("s_src", "paper")), ["s_dst"], [F.col("s_src")], limit + 1, "nth").drop("nth")
-    found = mine.join(members, F.col("r_dst") == F.col("s_dst")).where("s_src <> start")
-    return _shown(_cut(found, ["start"], [F.col("r_dst"), F.col("s_src")], limit), ["r_src", "r_dst", "s_src"], ["r", "s"])
+    rows, r = _edges(edges, nodes, "r", kind)
+    members, s = _edges(edges, nodes, "s", kind)
+    mine = rows.where(_is(r["target_node"], mid_type) & _is(r["source_node"], "paper")).withColumn("x", r["target_entity_id"]).join(requests, F.col("start") == r["source_entity_id"])
+    members = _cut(members.where(_is(s["source_node"], "paper")).withColumn("hub", s["target_entity_id"]), ["hub"], [s["source_entity_id"]], limit + 1, "nth").drop("nth")
+    found = mine.join(members, F.col("x") == F.col("hub")).where(s["source_entity_id"] != F.col("start"))
+    return _shown(_cut(found, ["start"], [F.col("x"), s["source_entity_id"]], limit), [r["source_node"], r["target_node"], s["source_node"]], [r, s])
 
 
-def through(requests: DataFrame, nodes: DataFrame, edges: DataFrame, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
+def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
     """start <- paper -> end; by end id, then paper id."""
-    first = _edges(edges, nodes, "r", first_kind).where(_of("r_src", "paper")).join(requests, F.col("start") == F.col("r_dst"))
-    second = _cut(_edges(edges, nodes, "s", second_kind).where(_of("s_dst", end_type)), ["s_src"], [F.col("s_dst")], limit, "nth").drop("nth")
-    found = _cut(first.join(second, F.col("r_src") == F.col("s_src")), ["start"], [F.col("s_dst"), F.col("r_src")], limit)
-    return _shown(found, ["r_dst", "r_src", "s_dst"], ["r", "s"])
+    rows, r = _edges(edges, nodes, "r", first_kind)
+    ends, s = _edges(edges, nodes, "s", second_kind)
+    first = rows.where(_is(r["source_node"], "paper")).withColumn("mine", r["target_entity_id"]).join(requests, F.col("start") == F.col("mine"))
+    second = _cut(ends.where(_is(s["target_node"], end_type)).withColumn("middle", s["source_entity_id"]), ["middle"], [s["target_entity_id"]], limit, "nth").drop("nth")
+    found = _cut(first.join(second, r["source_entity_id"] == F.col("middle")), ["start"], [s["target_entity_id"], r["source_entity_id"]], limit)
+    return _shown(found, [r["target_node"], r["source_node"], s["target_node"]], [r, s])
 
 
-def citations(requests: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int, limit: int) -> DataFrame:
+def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, depth: int, limit: int) -> DataFrame:
     """Citation neighbourhood: at depth 1 outgoing, then incoming edges; at depth 2 two-edge chains alone, the same way.
 
     Each branch has its own order and limit; the branches stand one after the other and are cut at the limit again.
@@ -118,21 +149,23 @@ def citations(requests: DataFrame, nodes: DataFrame, edges: DataFrame, depth: in
         raise ValueError("the citation neighbourhood has depth 1 or 2")
     branches = []
     for branch, incoming in enumerate((False, True)):
-        start, other = ("dst", "src") if incoming else ("src", "dst")
-        first = _edges(edges, nodes, "r", "cites").where(_of(f"r_{other}", "paper")).join(requests, F.col("start") == F.col(f"r_{start}"))
+        start, other = ("target", "source") if incoming else ("source", "target")
+        rows, r = _edges(edges, nodes, "r", "cites")
+        first = rows.where(_is(r[f"{other}_node"], "paper")).join(requests, F.col("start") == r[f"{start}_entity_id"])
         if depth == 1:
-            found, ends, rels, order = first, [f"r_{start}", f"r_{other}"], ["r"], [F.col(f"r_{other}")]
+            found, ends, rels, order = first, [r[f"{start}_node"], r[f"{other}_node"]], [r], [r[f"{other}_entity_id"]]
         else:
-            second = _edges(edges, nodes, "s", "cites").where(_of(f"s_{other}", "paper"))
-            second = _cut(second, [f"s_{start}"], [F.col(f"s_{other}")], limit + 1, "nth").drop("nth")
-            found = first.join(second, (F.col(f"r_{other}") == F.col(f"s_{start}")) & (F.col("r_relationship_id") != F.col("s_relationship_id")))
-            ends, rels, order = [f"r_{start}", f"r_{other}", f"s_{other}"], ["r", "s"], [F.col(f"r_{other}"), F.col(f"s_{other}")]
+            second, s = _edges(edges, nodes, "s", "cites")
+            second = second.where(_is(s[f"{other}_node"], "paper")).withColumn("hub", s[f"{start}_entity_id"])
+            second = _cut(second, ["hub"], [s[f"{other}_entity_id"]], limit + 1, "nth").drop("nth")
+            found = first.join(second, (r[f"{other}_entity_id"] == F.col("hub")) & (r["relationship_id"] != s["relationship_id"]))
+            ends, rels, order = [r[f"{start}_node"], r[f"{other}_node"], s[f"{other}_node"]], [r, s], [r[f"{other}_entity_id"], s[f"{other}_entity_id"]]
         branches.append(_shown(_cut(found, ["start"], order, limit), ends, rels).withColumn("branch", F.lit(branch)))
     both = branches[0].unionByName(branches[1]).withColumnRenamed("place", "within")
     return _cut(both, ["start"], [F.col("branch"), F.col("within")], limit).select("start", "place", "nodes", "rels")
 
 
-def paths(operation: str, requests: DataFrame, nodes: DataFrame, edges: DataFrame, *, depth: int = 1, limit: int = 20) -> DataFrame:
+def paths(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, *, depth: int = 1, limit: int = 20) -> DataFrame:
     """(start, place, nodes, rels) of an allow-listed operation."""
     shape, kind, end = OPERATIONS[operation]
     if shape in ("outgoing", "incoming"):
@@ -174,16 +207,29 @@ def resolution(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("name", "entity_type", status.alias("status"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
-def neighbourhood(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _met(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, mine: str) -> list[DataFrame]:
+    """Each start's edges by one end, the edges' kinds apart."""
+    kinds = [r for r, _, _ in ONTOLOGY]
+    if isinstance(edges, DataFrame):
+        return [with_ends(edges, nodes).join(requests, F.col(f"{mine}_entity_id") == F.col("start"))]
+    out = []
+    for kind in kinds:
+        rows, r = edges.of("r", kind)
+        met = rows.withColumn("mine", r[f"{mine}_entity_id"]).join(requests, F.col("start") == F.col("mine"))
+        out.append(met.select("start", *[c.alias(n) for n, c in r.items()]))
+    return out
+
+
+def neighbourhood(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges) -> DataFrame:
     """Outgoing edges of each start and their targets."""
-    out = with_ends(edges, nodes).join(requests, F.col("source_entity_id") == F.col("start"))
+    out = reduce(DataFrame.unionByName, _met(requests, nodes, edges, "source"))
     return out.withColumn("target_type", F.col("target_node.entity_type")).withColumn("target_name", F.col("target_node.canonical_name"))
 
 
-def context(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def context(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges) -> DataFrame:
     """Outgoing, then incoming edges of each start with the neighbour; a self-loop comes twice."""
     parts = []
     for direction, mine, other in (("outgoing", "source", "target"), ("incoming", "target", "source")):
-        met = with_ends(edges, nodes).join(requests, F.col(f"{mine}_entity_id") == F.col("start"))
-        parts.append(met.select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", *[F.col(f"{other}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "canonical_name")]))
-    return parts[0].unionByName(parts[1])
+        for met in _met(requests, nodes, edges, mine):
+            parts.append(met.select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", *[F.col(f"{other}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "canonical_name")]))
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph_paths as G
-from .projections import GRAPH_SQL, edges, nodes, requests
+from .projections import GRAPH_SQL, made_nodes, nodes, packed_edges, requests
 
 LIMIT = 20
 STARTS = {"papers_for_method": "method", "papers_for_dataset": "dataset", "papers_for_task": "task", "methods_for_dataset": "dataset"}
@@ -18,7 +18,7 @@ def shown(out: DataFrame) -> DataFrame:
 
 def _query(operation: str, depth: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = G.paths(operation, requests(spark, d, STARTS.get(operation, "paper")), nodes(spark, d), edges(spark, d), depth=depth, limit=LIMIT)
+        found = G.paths(operation, requests(spark, d, STARTS.get(operation, "paper")), None, packed_edges(spark, d), depth=depth, limit=LIMIT)
         return shown(G.evidence(operation, found))
 
     return run
@@ -73,13 +73,13 @@ def lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
-    out = G.neighbourhood(requests(spark, d, "paper"), nodes(spark, d), edges(spark, d))
+    out = G.neighbourhood(requests(spark, d, "paper"), None, packed_edges(spark, d))
     return out.select("start", "relationship_id", "relationship_type", "target_entity_id", "target_type", "target_name", F.round("confidence", 6).alias("confidence"))
 
 
 def context(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d)
-    return G.context(n.select(F.col("entity_id").alias("start")), n, edges(spark, d)).select("start", "direction", "relationship_id", "relationship_type", "entity_id", "entity_type", "canonical_name")
+    starts = made_nodes(spark, d).select(F.col("entity_id").alias("start"))
+    return G.context(starts, None, packed_edges(spark, d)).select("start", "direction", "relationship_id", "relationship_type", "entity_id", "entity_type", "canonical_name")
 
 
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 _written: list[tuple[SparkSession, str]] = []
 _kept: dict[tuple, tuple] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +36,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run within leaves no shuffle files behind: a table's own don't lie beside those of its readers."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """df as Parquet, read back: lineage ends there, and losing an executor loses nothing of it."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path, partitionBy=by)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_parts(spark: SparkSession, label: str, by: str, parts: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Tables of one schema as one that is laid out by `by`, written one after the other: the shuffles of one at a time take disk."""
+    path = new_path(spark, label)
+    with shuffles_removed(spark):
+        for value, make in parts.items():
+            part = make()
+            part.write.parquet(f"{path}/{by}={value}", compression="zstd")
+    return spark.read.schema(StructType([*part.schema.fields, StructField(by, StringType())])).parquet(path)
+
+
 def _place(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -72,11 +97,12 @@ def state_of(spark: SparkSession, path: str) -> tuple[int, int]:
     return files.getContentSummary(where).getLength(), files.getFileStatus(where).getModificationTime()
 
 
-def once(spark: SparkSession, label: str, inputs: list[str], make: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
-    """make(), written once in an application for each state of its inputs."""
+def once(spark: SparkSession, label: str, inputs: list[str], make: Callable[[], DataFrame | dict[str, Callable[[], DataFrame]]], by: list[str] | None = None) -> DataFrame:
+    """make(), written once in an application for each state of its inputs; a dict holds the parts by the one column of `by`."""
     key = (spark.sparkContext.applicationId, label, *[(p, *state_of(spark, p)) for p in inputs])
     if key not in _kept:
-        out = written(make(), label, by)
+        made = make()
+        out = written_parts(spark, label, by[0], made) if isinstance(made, dict) else written(made, label, by)
         _kept[key] = out.schema, _written[-1][1]
     schema, path = _kept[key]
     return spark.read.schema(schema).parquet(path)
