@@ -24,7 +24,7 @@ def test_stored_edges_take_about_the_disk_of_their_inputs(spark, sf):
     assert sum(os.path.getsize(re.sub("^/+", "/", f)) for f in files) < 2 * inputs
 
 
-LISTS = ["edge_provenance", "generation_members"]
+LISTS = ["edge_provenance", "generation_members", "relationship_ids"]
 
 
 @pytest.mark.parametrize("name", LISTS)
