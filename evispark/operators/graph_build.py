@@ -162,9 +162,10 @@ def generation_ids(edges: DataFrame, version: str, generation: str) -> DataFrame
 def swap_generation(edges: DataFrame, current: DataFrame) -> DataFrame:
     """edges without those of a version in current(paper_version_id, generation) whose generation is another; null generations stay."""
     now = current.select("paper_version_id", F.col("generation").alias("current_generation"))
-    met = edges.join(now, "paper_version_id", "left")
+    none = F.col("graph_index_generation_fingerprint").isNull()
+    met = edges.where(~none).join(now, "paper_version_id", "left")
     stale = F.coalesce(F.col("graph_index_generation_fingerprint") != F.col("current_generation"), F.lit(False))
-    return met.where(~stale).drop("current_generation")
+    return met.where(~stale).select(*edges.columns).union(edges.where(none))
 
 
 def verify_generation(written: DataFrame, expected: DataFrame) -> None:

@@ -59,3 +59,9 @@ def test_repeated_names_and_orders_and_unknown_orders(spark, odd, name):
     got = registry.queries()[name](spark, odd).toPandas()[list(want.columns)]
     rows = lambda f: sorted(map(str, f.itertuples(index=False, name=None)))
     assert len(got) == len(want) and rows(got) == rows(want)
+
+
+def test_edges_of_no_generation_meet_no_version(spark, sf):
+    """They stay whatever the current generation is, so they are not shuffled."""
+    plan = plan_of(registry.queries()["generation_swap"](spark, sf))
+    assert re.search(r"isnotnull\([^\n]*confidence", plan) or "Union" in plan.split("Join")[0]
