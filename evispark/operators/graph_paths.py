@@ -53,7 +53,8 @@ ENDS = ("source_entity_id", "target_entity_id", "source_node", "target_node")
 
 @dataclass(frozen=True)
 class Edges:
-    """Edges in a stored form of few bytes: rows with relationship_type, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones.
+    """Edges in a stored form of few bytes: rows with relationship_type, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones; where it
+    also gives target_degree, that many papers at least have an edge to the target.
 
     Rows are joined, sorted and cut as they are stored; long ids, names and chunk lists are made of the paths that stay.
     """
@@ -124,11 +125,20 @@ def shared(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edge
     rows, r = _edges(edges, nodes, "r", kind)
     members, s = _edges(edges, nodes, "s", kind)
     mine = rows.where(_is(r["target_node"], mid_type) & _is(r["source_node"], "paper")).withColumn("x", r["target_entity_id"]).join(requests, F.col("start") == r["source_entity_id"])
+    if "target_degree" in r:
+        mine = _first_hubs(mine, r["target_degree"], limit)
     members = _cut(members.where(_is(s["source_node"], "paper")).withColumn("hub", s["target_entity_id"]), ["hub"], [s["source_entity_id"]], limit + 1, "nth").drop("nth")
     found = mine.join(members, F.col("x") == F.col("hub")).where(s["source_entity_id"] != F.col("start"))
     return _shown(_cut(found, ["start"], [F.col("x"), s["source_entity_id"]], limit), [r["source_node"], r["target_node"], s["source_node"]], [r, s])
 
 
+def _first_hubs(mine: DataFrame, degree: Column, limit: int) -> DataFrame:
+    """(start, x) without the x that follow, in order, on x of `limit` other members: the limit never gets to them. Unknown degrees count as none."""
+    hubs = mine.withColumn("others", F.least(F.coalesce(degree, F.lit(1)), F.lit(limit + 1)) - 1)
+    upto, own = F.sum("others").over(Window.partitionBy("start").orderBy("x")), F.sum("others").over(Window.partitionBy("start", "x"))
+    return hubs.withColumn("before", upto - own).where(F.col("before") < limit).drop("others", "before")
+
+
 def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
     """start <- paper -> end; by end id, then paper id."""
     rows, r = _edges(edges, nodes, "r", first_kind)
@@ -207,22 +217,21 @@ def resolution(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("name", "entity_type", status.alias("status"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
-def _met(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, mine: str) -> list[DataFrame]:
-    """Each start's edges by one end, the edges' kinds apart."""
-    kinds = [r for r, _, _ in ONTOLOGY]
+def _met(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, mine: str) -> DataFrame:
+    """Each start's edges by one end; stored edges of all kinds meet the starts in one join."""
     if isinstance(edges, DataFrame):
-        return [with_ends(edges, nodes).join(requests, F.col(f"{mine}_entity_id") == F.col("start"))]
-    out = []
-    for kind in kinds:
-        rows, r = edges.of("r", kind)
-        met = rows.withColumn("mine", r[f"{mine}_entity_id"]).join(requests, F.col("start") == F.col("mine"))
-        out.append(met.select("start", *[c.alias(n) for n, c in r.items()]))
-    return out
+        return with_ends(edges, nodes).join(requests, F.col(f"{mine}_entity_id") == F.col("start"))
+    parts = {kind: edges.of("r", kind) for kind, _, _ in ONTOLOGY}
+    rows = reduce(DataFrame.unionByName, [rows.withColumn("mine", r[f"{mine}_entity_id"]).withColumn("kind", F.lit(kind)) for kind, (rows, r) in parts.items()])
+    met = rows.join(requests, F.col("start") == F.col("mine"))
+    views = [(kind, r) for kind, (_, r) in parts.items()]
+    made = lambda c: reduce(lambda out, v: out.when(F.col("kind") == v[0], v[1][c]), views[1:], F.when(F.col("kind") == views[0][0], views[0][1][c]))
+    return met.select("start", *[made(c).alias(c) for c in (*OWN, *ENDS)])
 
 
 def neighbourhood(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges) -> DataFrame:
     """Outgoing edges of each start and their targets."""
-    out = reduce(DataFrame.unionByName, _met(requests, nodes, edges, "source"))
+    out = _met(requests, nodes, edges, "source")
     return out.withColumn("target_type", F.col("target_node.entity_type")).withColumn("target_name", F.col("target_node.canonical_name"))
 
 
@@ -230,6 +239,6 @@ def context(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edg
     """Outgoing, then incoming edges of each start with the neighbour; a self-loop comes twice."""
     parts = []
     for direction, mine, other in (("outgoing", "source", "target"), ("incoming", "target", "source")):
-        for met in _met(requests, nodes, edges, mine):
-            parts.append(met.select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", *[F.col(f"{other}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "canonical_name")]))
-    return reduce(DataFrame.unionByName, parts)
+        met = _met(requests, nodes, edges, mine)
+        parts.append(met.select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", *[F.col(f"{other}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "canonical_name")]))
+    return parts[0].unionByName(parts[1])

@@ -61,7 +61,36 @@ def test_repeated_names_and_orders_and_unknown_orders(spark, odd, name):
     assert len(got) == len(want) and rows(got) == rows(want)
 
 
-def test_edges_of_no_generation_meet_no_version(spark, sf):
+def test_edges_of_no_generation_meet_no_version(spark):
     """They stay whatever the current generation is, so they are not shuffled."""
-    plan = plan_of(registry.queries()["generation_swap"](spark, sf))
-    assert re.search(r"isnotnull\([^\n]*confidence", plan) or "Union" in plan.split("Join")[0]
+    from evispark.operators import graph_build
+
+    edges = spark.createDataFrame([("r1", "v", "g1"), ("r2", "v", "g2"), ("r3", "v", None), ("r4", "w", "g1")], "relationship_id string, paper_version_id string, graph_index_generation_fingerprint string")
+    out = graph_build.swap_generation(edges, spark.createDataFrame([("v", "g2")], "paper_version_id string, generation string"))
+    assert "isnotnull(graph_index_generation_fingerprint" in plan_of(out)
+    assert sorted(r.relationship_id for r in out.collect()) == ["r2", "r3", "r4"]
+
+
+def moved(spark, df):
+    """The columns of all exchanges."""
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [set(re.findall(r"(\w+)#", m)) for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", text)]
+
+
+PATHS = ["graph_citation_neighborhood_d1"]
+
+
+@pytest.mark.parametrize("name", PATHS)
+def test_paths_are_made_after_the_shuffle(spark, sf, name):
+    """Neither nodes nor chunk lists nor ids of relationships are in the rows that are joined and cut."""
+    of = moved(spark, registry.queries()[name](spark, sf))
+    assert of and not any(columns & {"source_node", "target_node", "r_source_node", "r_src_node", "r_supporting_chunk_ids", "r_relationship_id", "s_relationship_id"} for columns in of)
+
+
+def test_hubs_behind_full_ones_are_left_out(spark):
+    """A start's second shared dataset is joined only where the first has too few other papers."""
+    from evispark.operators import graph_paths
+
+    rows = spark.createDataFrame([("s", "a", 3), ("s", "b", 9), ("t", "a", 4), ("t", "b", 2), ("u", "a", None), ("u", "b", 5), ("u", "c", 5), ("v", "a", 2), ("v", "a", 2), ("v", "b", 2)], "start string, x string, degree long")
+    kept = graph_paths._first_hubs(rows, F.col("degree"), 3).collect()
+    assert sorted((r.start, r.x) for r in kept) == [("s", "a"), ("s", "b"), ("t", "a"), ("u", "a"), ("u", "b"), ("v", "a"), ("v", "a"), ("v", "b")]
