@@ -77,7 +77,7 @@ def moved(spark, df):
     return [set(re.findall(r"(\w+)#", m)) for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", text)]
 
 
-PATHS = "graph_citation_neighborhood_d1 graph_citation_neighborhood_d2".split()
+PATHS = "graph_citation_neighborhood_d1 graph_citation_neighborhood_d2 graph_paper_authors".split()
 
 
 @pytest.mark.parametrize("name", PATHS)
