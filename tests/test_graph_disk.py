@@ -77,7 +77,7 @@ def moved(spark, df):
     return [set(re.findall(r"(\w+)#", m)) for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", text)]
 
 
-PATHS = "graph_citation_neighborhood_d1 graph_citation_neighborhood_d2 graph_paper_authors graph_paper_citations graph_paper_cited_by graph_paper_datasets graph_paper_methods graph_paper_neighborhood graph_paper_tasks graph_papers_for_dataset graph_papers_for_method graph_papers_for_task graph_datasets_from_citing_papers graph_entity_context graph_methods_for_dataset path_signatures graph_evidence".split()
+PATHS = "graph_citation_neighborhood_d1 graph_citation_neighborhood_d2 graph_paper_authors graph_paper_citations graph_paper_cited_by graph_paper_datasets graph_paper_methods graph_paper_neighborhood graph_paper_tasks graph_papers_for_dataset graph_papers_for_method graph_papers_for_task graph_datasets_from_citing_papers graph_entity_context graph_methods_for_dataset path_signatures graph_evidence graph_shared_datasets".split()
 
 
 @pytest.mark.parametrize("name", PATHS)
