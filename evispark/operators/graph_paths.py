@@ -53,19 +53,19 @@ ENDS = ("source_entity_id", "target_entity_id", "source_node", "target_node")
 
 @dataclass(frozen=True)
 class Edges:
-    """Edges in a stored form of few bytes: rows with relationship_type, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones; where it
+    """Edges in a stored form of few bytes: rows(kind), a type's rows, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones; where it
     also gives target_degree, that many papers at least have an edge to the target.
 
     Rows are joined, sorted and cut as they are stored; long ids, names and chunk lists are made of the paths that stay.
     """
 
-    rows: DataFrame
+    rows: Callable[[str], DataFrame]
     view: Callable[[Callable[[str], Column], str], dict[str, Column]]
 
     def of(self, prefix: str, kind: str) -> tuple[DataFrame, dict[str, Column]]:
         """One type's rows with prefixed columns, and their view."""
-        mine = [c for c in self.rows.columns if c != "relationship_type"]
-        rows = self.rows.where(F.col("relationship_type") == kind).select(*[F.col(c).alias(f"{prefix}_{c}") for c in mine])
+        rows = self.rows(kind)
+        rows = rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns])
         return rows, self.view(lambda c: F.lit(kind) if c == "relationship_type" else F.col(f"{prefix}_{c}"), kind)
 
 
@@ -87,7 +87,8 @@ def with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _edges(edges: DataFrame | Edges, nodes: DataFrame | None, prefix: str, kind: str) -> tuple[DataFrame, dict[str, Column]]:
     if isinstance(edges, DataFrame):
         ended = with_ends(edges.where(F.col("relationship_type") == kind), nodes)
-        edges = Edges(ended.select(*OWN, *ENDS), lambda stored, _: {c: stored(c) for c in (*OWN, *ENDS)})
+        mine = [c for c in (*OWN, *ENDS) if c != "relationship_type"]
+        edges = Edges(lambda _: ended.select(*mine), lambda stored, _: {c: stored(c) for c in (*OWN, *ENDS)})
     return edges.of(prefix, kind)
 
 

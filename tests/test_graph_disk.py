@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from evispark import storage
 from evispark.plans import projections, registry
 
 
@@ -94,3 +95,18 @@ def test_hubs_behind_full_ones_are_left_out(spark):
     rows = spark.createDataFrame([("s", "a", 3), ("s", "b", 9), ("t", "a", 4), ("t", "b", 2), ("u", "a", None), ("u", "b", 5), ("u", "c", 5), ("v", "a", 2), ("v", "a", 2), ("v", "b", 2)], "start string, x string, degree long")
     kept = graph_paths._first_hubs(rows, F.col("degree"), 3).collect()
     assert sorted((r.start, r.x) for r in kept) == [("s", "a"), ("s", "b"), ("t", "a"), ("u", "a"), ("u", "b"), ("v", "a"), ("v", "a"), ("v", "b")]
+
+
+TYPES = {
+    "graph_paper_authors": {"authored_by"},
+}
+
+
+@pytest.mark.parametrize("name", TYPES)
+def test_queries_write_the_edges_of_their_types_alone(spark, sf, monkeypatch, name):
+    asked = set()
+    for kind, make in projections.PARTS.items():
+        monkeypatch.setitem(projections.PARTS, kind, lambda *a, kind=kind, make=make: asked.add(kind) or make(*a))
+    storage.discard()
+    registry.queries()[name](spark, sf)
+    assert asked == TYPES[name]
