@@ -100,6 +100,7 @@ def test_hubs_behind_full_ones_are_left_out(spark):
 TYPES = {
     "graph_paper_authors": {"authored_by"},
     "graph_paper_citations": {"cites"},
+    "graph_paper_cited_by": {"cites"},
 }
 
 
