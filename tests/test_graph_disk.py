@@ -101,6 +101,7 @@ TYPES = {
     "graph_paper_authors": {"authored_by"},
     "graph_paper_citations": {"cites"},
     "graph_paper_cited_by": {"cites"},
+    "graph_citation_neighborhood_d2": {"cites"},
 }
 
 
