@@ -102,6 +102,7 @@ TYPES = {
     "graph_paper_citations": {"cites"},
     "graph_paper_cited_by": {"cites"},
     "graph_citation_neighborhood_d2": {"cites"},
+    "graph_paper_tasks": {"addresses"},
 }
 
 
