@@ -103,6 +103,7 @@ TYPES = {
     "graph_paper_cited_by": {"cites"},
     "graph_citation_neighborhood_d2": {"cites"},
     "graph_paper_tasks": {"addresses"},
+    "graph_papers_for_task": {"addresses"},
 }
 
 
