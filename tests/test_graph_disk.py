@@ -104,6 +104,7 @@ TYPES = {
     "graph_citation_neighborhood_d2": {"cites"},
     "graph_paper_tasks": {"addresses"},
     "graph_papers_for_task": {"addresses"},
+    "graph_papers_for_method": {"uses_method"},
 }
 
 
