@@ -105,6 +105,7 @@ TYPES = {
     "graph_paper_tasks": {"addresses"},
     "graph_papers_for_task": {"addresses"},
     "graph_papers_for_method": {"uses_method"},
+    "graph_paper_methods": {"uses_method"},
 }
 
 
