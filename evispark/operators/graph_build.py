@@ -116,10 +116,14 @@ def remap_edges(edges: DataFrame, remap: DataFrame) -> DataFrame:
     b = remap.select(F.col("old_id").alias("target_entity_id"), F.col("new_id").alias("new_target"))
     rows = edges.join(a, "source_entity_id", "left").join(b, "target_entity_id", "left").select(F.coalesce("new_source", "source_entity_id").alias("source_entity_id"), "relationship_type", F.coalesce("new_target", "target_entity_id").alias("target_entity_id"), "confidence", "source_chunk_id", "supporting_chunk_ids", "pos")
     by = ["source_entity_id", "relationship_type", "target_entity_id"]
+    return merged_edges(rows, by).withColumn("relationship_id", relationship_id(*by))
+
+
+def merged_edges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One edge for each `by`, ids or shorter keys that stand for them: greatest confidence, first source chunk by pos, sorted set of all chunks."""
     chunk = F.explode_outer(F.array_distinct(F.concat(F.coalesce("supporting_chunk_ids", F.array().cast("array<string>")), F.array("source_chunk_id"))))
     each = rows.select(*by, "confidence", "source_chunk_id", "pos", chunk.alias("chunk"))
-    out = each.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.min_by("source_chunk_id", F.when(F.col("source_chunk_id").isNotNull(), F.col("pos"))).alias("source_chunk_id"), F.array_sort(F.collect_set("chunk")).alias("supporting_chunk_ids"))
-    return out.withColumn("relationship_id", relationship_id(*by))
+    return each.groupBy(*by).agg(F.max("confidence").alias("confidence"), F.min_by("source_chunk_id", F.when(F.col("source_chunk_id").isNotNull(), F.col("pos"))).alias("source_chunk_id"), F.array_sort(F.collect_set("chunk")).alias("supporting_chunk_ids"))
 
 
 def citation_targets(citations: DataFrame, papers: DataFrame) -> DataFrame:

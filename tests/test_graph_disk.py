@@ -117,3 +117,19 @@ def test_queries_write_the_edges_of_their_types_alone(spark, sf, monkeypatch, na
     storage.discard()
     registry.queries()[name](spark, sf)
     assert asked == TYPES[name]
+
+
+@pytest.mark.parametrize("which", ["sf", "odd"])
+def test_remapped_edges_are_made_after_the_shuffle(spark, request, which):
+    import duckdb
+
+    d = request.getfixturevalue(which)
+    out = registry.queries()["edge_remap_dedup"](spark, d)
+    assert not any(columns & {"source_entity_id", "target_entity_id", "source_chunk_id", "chunk", "supporting_chunk_ids"} for columns in moved(spark, out))
+    con = duckdb.connect()
+    for t in projections.SOURCES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet{'/*.parquet' if which == 'odd' else ''}')")
+    want = con.sql(registry.oracle_sql()["edge_remap_dedup"]).df()
+    got = out.toPandas()[list(want.columns)]
+    rows = lambda f: sorted(map(str, f.itertuples(index=False, name=None)))
+    assert len(got) == len(want) and rows(got) == rows(want)
