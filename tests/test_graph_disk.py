@@ -106,6 +106,7 @@ TYPES = {
     "graph_papers_for_task": {"addresses"},
     "graph_papers_for_method": {"uses_method"},
     "graph_paper_methods": {"uses_method"},
+    "graph_papers_for_dataset": {"evaluated_on"},
 }
 
 
