@@ -151,12 +151,26 @@ def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """new rows (with `pos` as the order of writes) over old ones by (source, type, target, id): the last write owns the edge; edges without both endpoints are left out silently."""
-    ids = nodes.select("entity_id")
-    there = new.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
     key = ["source_entity_id", "relationship_type", "target_entity_id", "relationship_id"]
     rest = [c for c in old.columns if c not in key]
-    rows = old.withColumn("pos", F.lit(-1).cast("long")).select(*key, *rest, "pos").union(there.select(*key, *rest, F.col("pos").cast("long")))
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "pos").alias("last")).select(*key, "last.*")
+    rows = old.withColumn("pos", F.lit(-1).cast("long")).select(*key, *rest, "pos").union(new.select(*key, *rest, F.col("pos").cast("long")))
+    return upserted_edges(rows, nodes, key)
+
+
+def upserted_edges(rows: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
+    """What upsert_edges() leaves of stored rows (pos below 0) and writes; source, target and nodes' entity_id are ids or shorter keys that stand for them.
+
+    Writes of one edge have the same endpoints, so the last one alone meets the nodes.
+    """
+    rest = F.struct(*[c for c in rows.columns if c not in (*key, "pos")])
+    last = lambda which: F.max_by(rest, F.when(which, F.col("pos")))
+    out = rows.groupBy(*key).agg(last(F.col("pos") < 0).alias("stored"), last(F.col("pos") >= 0).alias("last"))
+    ids = nodes.select("entity_id").distinct()
+    for end in ("source", "target"):
+        there = ids.select(F.col("entity_id").alias(f"{end}_entity_id"), F.lit(True).alias(f"{end}_there"))
+        out = out.join(there, f"{end}_entity_id", "left")
+    own = F.when(F.col("source_there") & F.col("target_there") & F.col("last").isNotNull(), F.col("last")).otherwise(F.col("stored"))
+    return out.withColumn("own", own).where("own is not null").select(*key, "own.*")
 
 
 def generation_ids(edges: DataFrame, version: str, generation: str) -> DataFrame:

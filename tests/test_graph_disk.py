@@ -107,6 +107,7 @@ TYPES = {
     "graph_papers_for_method": {"uses_method"},
     "graph_paper_methods": {"uses_method"},
     "graph_papers_for_dataset": {"evaluated_on"},
+    "edge_upsert": {"evaluated_on"},
 }
 
 
@@ -134,3 +135,19 @@ def test_remapped_edges_are_made_after_the_shuffle(spark, request, which):
     got = out.toPandas()[list(want.columns)]
     rows = lambda f: sorted(map(str, f.itertuples(index=False, name=None)))
     assert len(got) == len(want) and rows(got) == rows(want)
+
+
+def test_an_edge_moves_once_for_all_its_writes(spark, sf):
+    of = moved(spark, registry.queries()["edge_upsert"](spark, sf))
+    assert not any(columns & {"relationship_id", "relationship_type", "paper_version_id", "pos"} for columns in of)
+
+
+def test_writes_need_both_endpoints_and_stored_edges_stay(spark):
+    from evispark.operators import graph_build
+
+    edge = lambda s, t, **more: dict(source_entity_id=s, relationship_type="cites", target_entity_id=t, relationship_id=f"{s}{t}", **more)
+    old = spark.createDataFrame([edge("a", "b", g="old"), edge("a", "x", g="old"), edge("x", "b", g="old"), edge("b", "a", g=None)])
+    new = spark.createDataFrame([edge("a", "b", g="one", pos=1), edge("a", "b", g="two", pos=2), edge("a", "x", g="one", pos=1), edge("x", "c", g="one", pos=1), edge("b", "c", g="one", pos=1)])
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "entity_id string")
+    out = graph_build.upsert_edges(old, new, nodes).collect()
+    assert sorted((r.relationship_id, r.g) for r in out) == [("ab", "two"), ("ax", "old"), ("ba", None), ("bc", "one"), ("xb", "old")]
