@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import path_evidence_id
 from ..schemas import ONTOLOGY
+from ..storage import written
 
 # Operation -> (shape, relationship, end type).
 OPERATIONS = {
@@ -47,6 +48,10 @@ OPERATIONS = {
 THROUGH = {"citing": "cites", "through_paper": "evaluated_on"}
 
 
+#: Members of a hub whose starts are ranked where the hub is, in one task.
+HUB_MOST = 10_000
+
+
 OWN = ("relationship_id", "relationship_type", "confidence", "source_chunk_id", "supporting_chunk_ids")
 ENDS = ("source_entity_id", "target_entity_id", "source_node", "target_node")
 
@@ -100,13 +105,33 @@ def _is(node: Column, kind: str) -> Column:
     return node["entity_type"] == kind
 
 
-def _shown(found: DataFrame, ends: list[Column], rels: list[dict[str, Column]]) -> DataFrame:
+@dataclass(frozen=True)
+class Part:
+    """Paths as joined and cut: found(start, place, stored columns), their nodes and edges in order, and the columns that a start's rows share, start first."""
+
+    found: DataFrame
+    ends: list[Column]
+    rels: list[dict[str, Column]]
+    by: list[str]
+
+    def shown(self) -> DataFrame:
+        return _shown(self.found, self.ends, self.rels)
+
+    def evidence(self, operation: str) -> DataFrame:
+        """Ranked where the paths were cut; nodes, chunk lists and texts are made of the sorted rows."""
+        ids, rel_ids = F.array(*[e["entity_id"] for e in self.ends]), F.array(*[r["relationship_id"] for r in self.rels])
+        found = self.found.withColumn("evidence_id", path_evidence_id(_evidence_type(F.lit(len(self.rels))), F.lit(operation), ids, rel_ids))
+        order = Window.partitionBy(*self.by).orderBy(F.desc(_path_confidence(F.array(*[r["confidence"] for r in self.rels]))), "evidence_id")
+        return evidence(operation, _shown(found.withColumn("rank", F.row_number().over(order)), self.ends, self.rels, "evidence_id", "rank"))
+
+
+def _shown(found: DataFrame, ends: list[Column], rels: list[dict[str, Column]], *more: str) -> DataFrame:
     """Paths with these nodes and edges, in order."""
     node = lambda end: F.struct(*[end[c].alias(c) for c in ("entity_id", "entity_type", "name")])
-    return found.select("start", "place", F.array(*[node(e) for e in ends]).alias("nodes"), F.array(*[F.struct(*[r[c].alias(c) for c in OWN]) for r in rels]).alias("rels"))
+    return found.select("start", *more, "place", F.array(*[node(e) for e in ends]).alias("nodes"), F.array(*[F.struct(*[r[c].alias(c) for c in OWN]) for r in rels]).alias("rels"))
 
 
-def direct(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, kind: str, end_type: str, incoming: bool, limit: int) -> DataFrame:
+def direct(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, kind: str, end_type: str, incoming: bool, limit: int) -> Part:
     """One edge from (or, incoming, to) the start; by confidence descending, then end id. The edge's stored direction stays.
 
     Incoming edges may be those of a hub, so a target's are cut before they meet the requests.
@@ -118,36 +143,52 @@ def direct(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edge
     if incoming:
         mine = _cut(mine, ["mine"], order, limit, "nth").drop("nth")
     found = mine.join(requests, F.col("start") == F.col("mine"))
-    return _shown(_cut(found, ["start"], order, limit), [r[f"{start}_node"], r[f"{end}_node"]], [r])
+    return Part(_cut(found, ["start"], order, limit), [r[f"{start}_node"], r[f"{end}_node"]], [r], ["start"])
+
 
+def shared(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, kind: str, mid_type: str, limit: int) -> list[Part]:
+    """start -> x <- other by one type, other not the start; by x, then other.
 
-def shared(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, kind: str, mid_type: str, limit: int) -> DataFrame:
-    """start -> x <- other by one type, other not the start; by x, then other."""
+    A start whose first x fills the limit has all its paths where that x's members are: they are cut and ranked there.
+    """
     rows, r = _edges(edges, nodes, "r", kind)
     members, s = _edges(edges, nodes, "s", kind)
-    mine = rows.where(_is(r["target_node"], mid_type) & _is(r["source_node"], "paper")).withColumn("x", r["target_entity_id"]).join(requests, F.col("start") == r["source_entity_id"])
-    if "target_degree" in r:
-        mine = _first_hubs(mine, r["target_degree"], limit)
+    mine = rows.where(_is(r["target_node"], mid_type) & _is(r["source_node"], "paper")).join(requests, F.col("start") == r["source_entity_id"]).withColumn("x", r["target_entity_id"])
     members = _cut(members.where(_is(s["source_node"], "paper")).withColumn("hub", s["target_entity_id"]), ["hub"], [s["source_entity_id"]], limit + 1, "nth").drop("nth")
-    found = mine.join(members, F.col("x") == F.col("hub")).where(s["source_entity_id"] != F.col("start"))
-    return _shown(_cut(found, ["start"], [F.col("x"), s["source_entity_id"]], limit), [r["source_node"], r["target_node"], s["source_node"]], [r, s])
+
+    def part(mine: DataFrame, by: list[str]) -> Part:
+        found = mine.join(members, F.col("x") == F.col("hub")).where(s["source_entity_id"] != F.col("start"))
+        return Part(_cut(found, by, [F.col("x"), s["source_entity_id"]], limit), [r["source_node"], r["target_node"], s["source_node"]], [r, s], by)
+
+    if "target_degree" not in r:
+        return [part(mine, ["start"])]
+    mine = written(_first_hubs(mine, r["target_degree"], limit), "first-hubs")
+    return [part(mine.where("alone").drop("alone"), ["start", "x"]), part(mine.where("not alone").drop("alone"), ["start"])]
 
 
 def _first_hubs(mine: DataFrame, degree: Column, limit: int) -> DataFrame:
-    """(start, x) without the x that follow, in order, on x of `limit` other members: the limit never gets to them. Unknown degrees count as none."""
+    """(start, x) without the x that follow, in order, on x of `limit` other members: the limit never gets to them. Unknown degrees count as none.
+
+    alone: the start keeps one x, and its members are no more than one task takes.
+    """
     hubs = mine.withColumn("others", F.least(F.coalesce(degree, F.lit(1)), F.lit(limit + 1)) - 1)
     upto, own = F.sum("others").over(Window.partitionBy("start").orderBy("x")), F.sum("others").over(Window.partitionBy("start", "x"))
-    return hubs.withColumn("before", upto - own).where(F.col("before") < limit).drop("others", "before")
+    hubs = hubs.withColumn("own", own).withColumn("before", upto - F.col("own")).where(F.col("before") < limit)
+    return hubs.withColumn("alone", (F.col("before") == 0) & (F.col("own") >= limit) & F.coalesce(degree <= HUB_MOST, F.lit(False))).drop("others", "own", "before")
 
 
-def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
+def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, first_kind: str, second_kind: str, end_type: str, limit: int) -> list[Part]:
     """start <- paper -> end; by end id, then paper id."""
     rows, r = _edges(edges, nodes, "r", first_kind)
     ends, s = _edges(edges, nodes, "s", second_kind)
-    first = rows.where(_is(r["source_node"], "paper")).withColumn("mine", r["target_entity_id"]).join(requests, F.col("start") == F.col("mine"))
+    first = rows.where(_is(r["source_node"], "paper")).withColumn("mine", r["target_entity_id"]).join(requests, F.col("start") == F.col("mine")).drop("mine")
     second = _cut(ends.where(_is(s["target_node"], end_type)).withColumn("middle", s["source_entity_id"]), ["middle"], [s["target_entity_id"]], limit, "nth").drop("nth")
-    found = _cut(first.join(second, r["source_entity_id"] == F.col("middle")), ["start"], [s["target_entity_id"], r["source_entity_id"]], limit)
-    return _shown(found, [r["target_node"], r["source_node"], s["target_node"]], [r, s])
+
+    def part(first: DataFrame, by: list[str]) -> Part:
+        found = first.withColumn("paper", r["source_entity_id"]).join(second, F.col("paper") == F.col("middle"))
+        return Part(_cut(found, by, [s["target_entity_id"], r["source_entity_id"]], limit), [r["target_node"], r["source_node"], s["target_node"]], [r, s], by)
+
+    return [part(first, ["start"])]
 
 
 def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, depth: int, limit: int) -> DataFrame:
@@ -176,30 +217,52 @@ def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | E
     return _cut(both, ["start"], [F.col("branch"), F.col("within")], limit).select("start", "place", "nodes", "rels")
 
 
-def paths(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, *, depth: int = 1, limit: int = 20) -> DataFrame:
-    """(start, place, nodes, rels) of an allow-listed operation."""
+def _parts(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, limit: int) -> list[Part]:
     shape, kind, end = OPERATIONS[operation]
     if shape in ("outgoing", "incoming"):
-        return direct(requests, nodes, edges, kind, end, shape == "incoming", limit)
+        return [direct(requests, nodes, edges, kind, end, shape == "incoming", limit)]
     if shape == "shared":
         return shared(requests, nodes, edges, kind, end, limit)
-    if shape in THROUGH:
-        return through(requests, nodes, edges, THROUGH[shape], kind, end, limit)
-    return citations(requests, nodes, edges, depth, limit)
+    return through(requests, nodes, edges, THROUGH[shape], kind, end, limit)
+
+
+def paths(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, *, depth: int = 1, limit: int = 20) -> DataFrame:
+    """(start, place, nodes, rels) of an allow-listed operation."""
+    if OPERATIONS[operation][0] == "citations":
+        return citations(requests, nodes, edges, depth, limit)
+    return reduce(DataFrame.unionByName, [part.shown() for part in _parts(operation, requests, nodes, edges, limit)])
+
+
+def ranked(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, *, depth: int = 1, limit: int = 20) -> DataFrame:
+    """evidence() of paths(), ranked where the paths are cut."""
+    if OPERATIONS[operation][0] == "citations":
+        return evidence(operation, citations(requests, nodes, edges, depth, limit))
+    return reduce(DataFrame.unionByName, [part.evidence(operation) for part in _parts(operation, requests, nodes, edges, limit)])
+
+
+def _evidence_type(hops: Column) -> Column:
+    return F.when(hops == 1, F.lit("graph_relationship")).otherwise(F.lit("graph_path"))
+
+
+def _path_confidence(each: Column) -> Column:
+    return F.coalesce(F.array_min(each), F.lit(1.0))
 
 
 def evidence(operation: str, found: DataFrame) -> DataFrame:
-    """Paths as evidence, ranked within each request by hops, confidence descending and evidence id."""
+    """Paths as evidence, ranked within each request by hops, confidence descending and evidence id, where they have no rank."""
     ids = F.transform("nodes", lambda n: n["entity_id"])
     rel_ids = F.transform("rels", lambda r: r["relationship_id"])
-    kind = F.when(F.size("rels") == 1, F.lit("graph_relationship")).otherwise(F.lit("graph_path"))
+    kind = _evidence_type(F.size("rels"))
+    own = "rank" in found.columns
     chunks = F.array_distinct(F.filter(F.flatten(F.transform("rels", lambda r: F.concat(F.array(r["source_chunk_id"]), F.coalesce(r["supporting_chunk_ids"], F.array().cast("array<string>"))))), lambda c: c.isNotNull() & (c != "")))
-    confidence = F.coalesce(F.array_min(F.transform("rels", lambda r: r["confidence"])), F.lit(1.0))
+    confidence = _path_confidence(F.transform("rels", lambda r: r["confidence"]))
     first, second = F.col("nodes")[0], F.col("nodes")[1]
     sentence = F.concat(F.initcap(first["entity_type"]), F.lit(" '"), first["name"], F.lit("' "), F.replace(F.col("rels")[0]["relationship_type"], F.lit("_"), F.lit(" ")), F.lit(" "), second["entity_type"], F.lit(" '"), second["name"], F.lit("'."))
     arrows = F.concat(F.lit("Graph path: "), F.array_join(F.transform("nodes", lambda n: F.concat(n["entity_type"], F.lit(":"), n["name"])), " -> "), F.lit("."))
-    out = found.select("start", F.lit(operation).alias("operation"), kind.alias("evidence_type"), path_evidence_id(kind, F.lit(operation), ids, rel_ids).alias("evidence_id"), ids.alias("entity_ids"), rel_ids.alias("relationship_ids"), chunks.alias("source_chunk_ids"), confidence.alias("path_confidence"), F.when((F.size("nodes") == 2) & (F.size("rels") == 1), sentence).otherwise(arrows).alias("text"), F.filter("nodes", lambda n: n["entity_type"] == "paper")[0]["entity_id"].alias("paper_id"), "nodes", "rels")
+    out = found.select("start", *(["rank"] if own else []), F.lit(operation).alias("operation"), kind.alias("evidence_type"), (F.col("evidence_id") if own else path_evidence_id(kind, F.lit(operation), ids, rel_ids)).alias("evidence_id"), ids.alias("entity_ids"), rel_ids.alias("relationship_ids"), chunks.alias("source_chunk_ids"), confidence.alias("path_confidence"), F.when((F.size("nodes") == 2) & (F.size("rels") == 1), sentence).otherwise(arrows).alias("text"), F.filter("nodes", lambda n: n["entity_type"] == "paper")[0]["entity_id"].alias("paper_id"), "nodes", "rels")
     out = out.withColumn("chunk_id", F.when(F.size("source_chunk_ids") == 1, F.col("source_chunk_ids")[0]))
+    if own:
+        return out
     order = Window.partitionBy("start").orderBy(F.size("relationship_ids"), F.desc("path_confidence"), "evidence_id")
     return out.withColumn("rank", F.row_number().over(order))
 

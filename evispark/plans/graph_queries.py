@@ -18,8 +18,7 @@ def shown(out: DataFrame) -> DataFrame:
 
 def _query(operation: str, depth: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = G.paths(operation, requests(spark, d, STARTS.get(operation, "paper")), None, packed_edges(spark, d), depth=depth, limit=LIMIT)
-        return shown(G.evidence(operation, found))
+        return shown(G.ranked(operation, requests(spark, d, STARTS.get(operation, "paper")), None, packed_edges(spark, d), depth=depth, limit=LIMIT))
 
     return run
 

@@ -151,3 +151,13 @@ def test_writes_need_both_endpoints_and_stored_edges_stay(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "entity_id string")
     out = graph_build.upsert_edges(old, new, nodes).collect()
     assert sorted((r.relationship_id, r.g) for r in out) == [("ab", "two"), ("ax", "old"), ("ba", None), ("bc", "one"), ("xb", "old")]
+
+
+@pytest.mark.parametrize("operation", ["shared_datasets"])
+def test_starts_of_one_hub_are_cut_and_ranked_where_it_is(spark, sf, operation):
+    """Their paths, which have the columns of both edges, don't move again."""
+    from evispark.operators import graph_paths
+
+    alone, others = graph_paths._parts(operation, projections.requests(spark, sf, "paper"), None, projections.packed_edges(spark, sf), 20)
+    paths = lambda part: [c for c in moved(spark, part.evidence(operation)) if {"start", "s_target"} <= c]
+    assert not paths(alone) and paths(others) and not alone.found.isEmpty()
