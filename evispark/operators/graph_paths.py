@@ -178,7 +178,10 @@ def _first_hubs(mine: DataFrame, degree: Column, limit: int) -> DataFrame:
 
 
 def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, first_kind: str, second_kind: str, end_type: str, limit: int) -> list[Part]:
-    """start <- paper -> end; by end id, then paper id."""
+    """start <- paper -> end; by end id, then paper id.
+
+    A start that one paper cites has all its paths where that paper's ends are: they are cut and ranked there.
+    """
     rows, r = _edges(edges, nodes, "r", first_kind)
     ends, s = _edges(edges, nodes, "s", second_kind)
     first = rows.where(_is(r["source_node"], "paper")).withColumn("mine", r["target_entity_id"]).join(requests, F.col("start") == F.col("mine")).drop("mine")
@@ -188,7 +191,10 @@ def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edg
         found = first.withColumn("paper", r["source_entity_id"]).join(second, F.col("paper") == F.col("middle"))
         return Part(_cut(found, by, [s["target_entity_id"], r["source_entity_id"]], limit), [r["target_node"], r["source_node"], s["target_node"]], [r, s], by)
 
-    return [part(first, ["start"])]
+    if first_kind != "cites" or isinstance(edges, DataFrame):
+        return [part(first, ["start"])]
+    first = written(first.withColumn("papers", F.count("*").over(Window.partitionBy("start"))), "citing-papers")
+    return [part(first.where("papers = 1").drop("papers"), ["start", "paper"]), part(first.where("papers > 1").drop("papers"), ["start"])]
 
 
 def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, depth: int, limit: int) -> DataFrame:

@@ -153,7 +153,7 @@ def test_writes_need_both_endpoints_and_stored_edges_stay(spark):
     assert sorted((r.relationship_id, r.g) for r in out) == [("ab", "two"), ("ax", "old"), ("ba", None), ("bc", "one"), ("xb", "old")]
 
 
-@pytest.mark.parametrize("operation", ["shared_datasets"])
+@pytest.mark.parametrize("operation", ["shared_datasets", "datasets_from_citing_papers"])
 def test_starts_of_one_hub_are_cut_and_ranked_where_it_is(spark, sf, operation):
     """Their paths, which have the columns of both edges, don't move again."""
     from evispark.operators import graph_paths
