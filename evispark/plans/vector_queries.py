@@ -116,8 +116,7 @@ def no_new_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def _shared(spark: SparkSession, d: str) -> DataFrame:
     e = packed_edges(spark, d)
-    found = G.paths("shared_datasets", requests(spark, d, "paper"), None, e, limit=5)
-    out = G.evidence("shared_datasets", found).unionByName(G.evidence("paper_authors", G.paths("paper_authors", requests(spark, d, "paper"), None, e, limit=5)))
+    out = G.ranked("shared_datasets", requests(spark, d, "paper"), None, e, limit=5).unionByName(G.ranked("paper_authors", requests(spark, d, "paper"), None, e, limit=5))
     rels = F.transform("rels", lambda r: F.struct(r["source_chunk_id"].alias("source_chunk_id"), r["supporting_chunk_ids"].alias("supporting_chunk_ids"), F.when(r["relationship_type"] == "authored_by", "metadata").otherwise("chunk").alias("provenance_type")))
     made = E.graph_provenance(rels)
     return out.select(F.col("start").alias("query_id"), "evidence_id", "operation", made["source_chunk_ids"].alias("source_chunk_ids"), made["provenance_type"].alias("provenance_type"), "path_confidence")

@@ -161,3 +161,9 @@ def test_starts_of_one_hub_are_cut_and_ranked_where_it_is(spark, sf, operation):
     alone, others = graph_paths._parts(operation, projections.requests(spark, sf, "paper"), None, projections.packed_edges(spark, sf), 20)
     paths = lambda part: [c for c in moved(spark, part.evidence(operation)) if {"start", "s_target"} <= c]
     assert not paths(alone) and paths(others) and not alone.found.isEmpty()
+
+
+def test_ranks_are_sorted_without_nodes_and_chunk_lists(spark, sf):
+    text = spark._jvm.PythonSQLUtils.explainString(registry.queries()["graph_evidence"](spark, sf)._jdf.queryExecution(), "formatted")
+    sorts = re.findall(r"\) Sort\nInput \[\d+\]: \[([^\n]*)\]", text)
+    assert sorts and not any(re.search(r"\b(nodes|rels|entity_ids|text)#", s) for s in sorts)
