@@ -59,19 +59,21 @@ ENDS = ("source_entity_id", "target_entity_id", "source_node", "target_node")
 @dataclass(frozen=True)
 class Edges:
     """Edges in a stored form of few bytes: rows(kind), a type's rows, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones; where it
-    also gives target_degree, that many papers at least have an edge to the target.
+    also gives target_degree, that many papers at least have an edge to the target. Ids that are at hand are given to it by name. named: the stored columns
+    that ids and nodes are made of.
 
     Rows are joined, sorted and cut as they are stored; long ids, names and chunk lists are made of the paths that stay.
     """
 
     rows: Callable[[str], DataFrame]
-    view: Callable[[Callable[[str], Column], str], dict[str, Column]]
+    view: Callable[..., dict[str, Column]]
+    named: tuple[str, ...] = ()
 
-    def of(self, prefix: str, kind: str) -> tuple[DataFrame, dict[str, Column]]:
+    def of(self, prefix: str, kind: str, **known: Column) -> tuple[DataFrame, dict[str, Column]]:
         """One type's rows with prefixed columns, and their view."""
         rows = self.rows(kind)
         rows = rows.select(*[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns])
-        return rows, self.view(lambda c: F.lit(kind) if c == "relationship_type" else F.col(f"{prefix}_{c}"), kind)
+        return rows, self.view(lambda c: F.lit(kind) if c == "relationship_type" else F.col(f"{prefix}_{c}"), kind, **known)
 
 
 def end_node(entity_id: Column | str = "entity_id") -> Column:
@@ -287,16 +289,18 @@ def resolution(names: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("name", "entity_type", status.alias("status"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
-def _met(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, mine: str) -> DataFrame:
-    """Each start's edges by one end; stored edges of all kinds meet the starts in one join."""
+def _met(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, mine: str, keep: bool = False) -> DataFrame:
+    """Each start's edges by one end; stored edges of all kinds meet the starts in one join, and the start stands for the id of its end. keep: what met is written, names alone."""
     if isinstance(edges, DataFrame):
         return with_ends(edges, nodes).join(requests, F.col(f"{mine}_entity_id") == F.col("start"))
-    parts = {kind: edges.of("r", kind) for kind, _, _ in ONTOLOGY}
-    rows = reduce(DataFrame.unionByName, [rows.withColumn("mine", r[f"{mine}_entity_id"]).withColumn("kind", F.lit(kind)) for kind, (rows, r) in parts.items()])
+    ids = {kind: edges.of("r", kind) for kind, _, _ in ONTOLOGY}
+    rows = reduce(DataFrame.unionByName, [rows.withColumn("mine", r[f"{mine}_entity_id"]).withColumn("kind", F.lit(kind)) for kind, (rows, r) in ids.items()])
     met = rows.join(requests, F.col("start") == F.col("mine"))
-    views = [(kind, r) for kind, (_, r) in parts.items()]
+    if keep:
+        met = written(met.select("start", "kind", *[f"r_{c}" for c in edges.named if c != f"{mine}_entity_id"]), f"met-{mine}")
+    views = [(kind, edges.of("r", kind, **{f"{mine}_entity_id": F.col("start")})[1]) for kind in ids]
     made = lambda c: reduce(lambda out, v: out.when(F.col("kind") == v[0], v[1][c]), views[1:], F.when(F.col("kind") == views[0][0], views[0][1][c]))
-    return met.select("start", *[made(c).alias(c) for c in (*OWN, *ENDS)])
+    return met.select("start", *[made(c).alias(c) for c in (*OWN, *ENDS) if not keep or c not in ("confidence", "source_chunk_id", "supporting_chunk_ids")])
 
 
 def neighbourhood(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges) -> DataFrame:
@@ -306,9 +310,9 @@ def neighbourhood(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame
 
 
 def context(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges) -> DataFrame:
-    """Outgoing, then incoming edges of each start with the neighbour; a self-loop comes twice."""
+    """Outgoing, then incoming edges of each start with the neighbour; a self-loop comes twice. The first direction is written, so that one's shuffles are there at once."""
     parts = []
     for direction, mine, other in (("outgoing", "source", "target"), ("incoming", "target", "source")):
-        met = _met(requests, nodes, edges, mine)
+        met = _met(requests, nodes, edges, mine, keep=direction == "outgoing")
         parts.append(met.select("start", F.lit(direction).alias("direction"), "relationship_id", "relationship_type", *[F.col(f"{other}_node.{c}").alias(c) for c in ("entity_id", "entity_type", "canonical_name")]))
     return parts[0].unionByName(parts[1])

@@ -167,3 +167,14 @@ def test_ranks_are_sorted_without_nodes_and_chunk_lists(spark, sf):
     text = spark._jvm.PythonSQLUtils.explainString(registry.queries()["graph_evidence"](spark, sf)._jdf.queryExecution(), "formatted")
     sorts = re.findall(r"\) Sort\nInput \[\d+\]: \[([^\n]*)\]", text)
     assert sorts and not any(re.search(r"\b(nodes|rels|entity_ids|text)#", s) for s in sorts)
+
+
+@pytest.mark.parametrize("name, end", [("graph_entity_context", "r_target")])
+def test_a_start_stands_for_the_id_of_its_end(spark, sf, name, end):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        of = [c for c in moved(spark, registry.queries()[name](spark, sf)) if "mine" in c]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert of and not any(end in c for c in of)
