@@ -169,7 +169,7 @@ def test_ranks_are_sorted_without_nodes_and_chunk_lists(spark, sf):
     assert sorts and not any(re.search(r"\b(nodes|rels|entity_ids|text)#", s) for s in sorts)
 
 
-@pytest.mark.parametrize("name, end", [("graph_entity_context", "r_target")])
+@pytest.mark.parametrize("name, end", [("graph_entity_context", "r_target"), ("graph_paper_neighborhood", "r_source_entity_id")])
 def test_a_start_stands_for_the_id_of_its_end(spark, sf, name, end):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
