@@ -16,14 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import path_evidence_id
 from ..schemas import ONTOLOGY
-from ..storage import written
+from ..storage import written, written_parts
 
 # Operation -> (shape, relationship, end type).
 OPERATIONS = {
@@ -48,6 +48,14 @@ OPERATIONS = {
 THROUGH = {"citing": "cites", "through_paper": "evaluated_on"}
 
 
+#: Slices of starts or middle papers that are joined one after the other, so that the shuffles of one at a time take disk.
+SLICES = 4
+#: Times the limit that the paths of a start should come to where only its first ends are joined.
+SPARE = 1.6
+#: Requests up to which starts are picked by a broadcast after a count, and joined at once.
+REQUESTS_FEW = 100_000
+
+
 #: Members of a hub whose starts are ranked where the hub is, in one task.
 HUB_MOST = 10_000
 
@@ -59,8 +67,9 @@ ENDS = ("source_entity_id", "target_entity_id", "source_node", "target_node")
 @dataclass(frozen=True)
 class Edges:
     """Edges in a stored form of few bytes: rows(kind), a type's rows, and view(stored, kind), the columns OWN and ENDS of one kind's stored ones; where it
-    also gives target_degree, that many papers at least have an edge to the target. Ids that are at hand are given to it by name. named: the stored columns
-    that ids and nodes are made of.
+    also gives target_degree, that many papers at least have an edge to the target, and target_share, the part of the range of ids that lies below the target's;
+    source_order and target_order stand as the ids do. Ids that are at hand are given to it by name. named: the stored columns that ids and nodes are made of,
+    the source's first.
 
     Rows are joined, sorted and cut as they are stored; long ids, names and chunk lists are made of the paths that stay.
     """
@@ -95,7 +104,7 @@ def _edges(edges: DataFrame | Edges, nodes: DataFrame | None, prefix: str, kind:
     if isinstance(edges, DataFrame):
         ended = with_ends(edges.where(F.col("relationship_type") == kind), nodes)
         mine = [c for c in (*OWN, *ENDS) if c != "relationship_type"]
-        edges = Edges(lambda _: ended.select(*mine), lambda stored, _: {c: stored(c) for c in (*OWN, *ENDS)})
+        edges = Edges(lambda _: ended.select(*mine), lambda stored, _: {c: stored(c) for c in (*OWN, *ENDS)} | {f"{e}_order": stored(f"{e}_entity_id") for e in ("source", "target")})
     return edges.of(prefix, kind)
 
 
@@ -121,8 +130,7 @@ class Part:
 
     def evidence(self, operation: str) -> DataFrame:
         """Ranked where the paths were cut; nodes, chunk lists and texts are made of the sorted rows."""
-        ids, rel_ids = F.array(*[e["entity_id"] for e in self.ends]), F.array(*[r["relationship_id"] for r in self.rels])
-        found = self.found.withColumn("evidence_id", path_evidence_id(_evidence_type(F.lit(len(self.rels))), F.lit(operation), ids, rel_ids))
+        found = _with_evidence_id(operation, self.found, self.ends, self.rels)
         order = Window.partitionBy(*self.by).orderBy(F.desc(_path_confidence(F.array(*[r["confidence"] for r in self.rels]))), "evidence_id")
         return evidence(operation, _shown(found.withColumn("rank", F.row_number().over(order)), self.ends, self.rels, "evidence_id", "rank"))
 
@@ -199,6 +207,72 @@ def through(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edg
     return [part(first.where("papers = 1").drop("papers"), ["start", "paper"]), part(first.where("papers > 1").drop("papers"), ["start"])]
 
 
+def through_first(operation: str, requests: DataFrame, edges: Edges, first_kind: str, second_kind: str, end_type: str, limit: int) -> DataFrame:
+    """through() as ranked evidence for starts of many papers: each start meets its first ends alone, and all of them where those don't fill the limit.
+
+    Ends are as many to each part of their ids' range, about: a start of `degree` papers takes those below a share of it that should hold the limit
+    SPARE times. What the share leaves out comes after all that it keeps, so a start that fills the limit is whole; the others are joined again, with all ends.
+    """
+    mean = edges.rows(second_kind).agg(F.count("*") / F.greatest(F.approx_count_distinct(edges.named[0]), F.lit(1))).first()[0] or 1.0
+    whole, held = _first_ends(operation, requests, edges, (first_kind, second_kind, end_type), limit, mean), (F.col("held") >= limit) | (F.col("share") >= 1)
+    rest = written(requests.join(whole.where(held).select("start").distinct(), "start", "left_anti"), "unfilled-starts")
+    parts = [whole.where(held)] if rest.isEmpty() else [whole.where(held), _first_ends(operation, rest, edges, (first_kind, second_kind, end_type), limit, None)]
+    ends, rels = _first_path(edges, first_kind, second_kind)
+    return reduce(DataFrame.unionByName, [evidence(operation, _shown(_with_evidence_id(operation, part, ends, rels), ends, rels, "evidence_id", "rank")) for part in parts])
+
+
+def _first_path(edges: Edges, first_kind: str, second_kind: str) -> tuple[list[Column], list[dict[str, Column]]]:
+    """Nodes and edges of start <- paper -> end, where the start's id is at hand and the paper is stored once."""
+    r = edges.of("r", first_kind, target_entity_id=F.col("start"))[1]
+    s = edges.of("s", second_kind, source_entity_id=r["source_entity_id"])[1]
+    return [r["target_node"], r["source_node"], s["target_node"]], [r, s]
+
+
+def _with_evidence_id(operation: str, found: DataFrame, ends: list[Column], rels: list[dict[str, Column]]) -> DataFrame:
+    ids, rel_ids = F.array(*[e["entity_id"] for e in ends]), F.array(*[r["relationship_id"] for r in rels])
+    return found.withColumn("evidence_id", path_evidence_id(_evidence_type(F.lit(len(rels))), F.lit(operation), ids, rel_ids))
+
+
+def _slice(of: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(slices)).cast("int")
+
+
+def _first_ends(operation: str, requests: DataFrame, edges: Edges, kinds: tuple[str, str, str], limit: int, mean: float | None) -> DataFrame:
+    """Cut and ranked paths (start, place, rank, stored columns) of each start's first ends, `mean` ends to a paper, or of all; held: a start's paths; share: of all ends.
+
+    Papers' edges are joined by slices of papers and written as stored, paths are cut by slices of starts.
+    """
+    first_kind, second_kind, end_type = kinds
+    rows, r = edges.of("r", first_kind)
+    ends, s = edges.of("s", second_kind)
+    share = F.lit(1.0) if mean is None else F.coalesce(F.least(F.lit(1.0), limit * SPARE / (r["target_degree"] * mean)), F.lit(1.0))
+    paper = F.col(f"r_{edges.named[0]}"), F.col(f"s_{edges.named[0]}")
+    asked = rows.where(_is(r["source_node"], "paper"))
+    few = requests.limit(REQUESTS_FEW + 1).count() <= REQUESTS_FEW
+    slices = 1 if few else SLICES
+    if few:
+        asked = asked.join(F.broadcast(requests.select(F.col("start").alias("asked")).distinct()), r["target_entity_id"] == F.col("asked"), "left_semi")
+    second = ends.where(_is(s["target_node"], end_type)).withColumn("lies", s["target_share"])
+
+    def joined(k: int) -> DataFrame:
+        mine = asked.where(_slice(paper[0], slices) == k).withColumn("share", share)
+        mids = _cut(second.where(_slice(paper[1], slices) == k), [f"s_{edges.named[0]}"], [s["target_order"]], limit, "nth").drop("nth")
+        return mine.join(mids, (paper[0] == paper[1]) & ((F.col("share") >= 1) | (F.col("lies") < F.col("share")))).drop("lies", paper[1]).withColumn("starts", _slice(r["target_entity_id"], slices))
+
+    spark = requests.sparkSession
+    met = written_parts(spark, "first-ends", "papers", {str(k): partial(joined, k) for k in range(slices)}).drop("papers")
+    nodes, rels = _first_path(edges, first_kind, second_kind)
+
+    def cut(k: int) -> DataFrame:
+        mine = met.where(F.col("starts") == k).drop("starts").withColumn("mine", r["target_entity_id"])
+        found = _cut(mine.join(requests, F.col("start") == F.col("mine")).drop("mine"), ["start"], [s["target_order"], r["source_order"]], limit)
+        found = _with_evidence_id(operation, found.withColumn("held", F.count("*").over(Window.partitionBy("start"))), nodes, rels)
+        order = Window.partitionBy("start").orderBy(F.desc(_path_confidence(F.array(r["confidence"], s["confidence"]))), "evidence_id")
+        return found.withColumn("rank", F.row_number().over(order)).drop("evidence_id")
+
+    return written_parts(spark, "cut-paths", "slice", {str(k): partial(cut, k) for k in range(slices)}).drop("slice")
+
+
 def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, depth: int, limit: int) -> DataFrame:
     """Citation neighbourhood: at depth 1 outgoing, then incoming edges; at depth 2 two-edge chains alone, the same way.
 
@@ -245,6 +319,9 @@ def ranked(operation: str, requests: DataFrame, nodes: DataFrame | None, edges:
     """evidence() of paths(), ranked where the paths are cut."""
     if OPERATIONS[operation][0] == "citations":
         return evidence(operation, citations(requests, nodes, edges, depth, limit))
+    shape, kind, end = OPERATIONS[operation]
+    if shape == "through_paper" and isinstance(edges, Edges):
+        return through_first(operation, requests, edges, THROUGH[shape], kind, end, limit)
     return reduce(DataFrame.unionByName, [part.evidence(operation) for part in _parts(operation, requests, nodes, edges, limit)])
 
 

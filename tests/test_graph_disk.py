@@ -185,3 +185,24 @@ def test_papers_are_stored_as_numbers_and_counted_before_they_are_cited(spark, s
     stored = projections.stored_kind(spark, sf, "cites")
     assert dict(stored.dtypes)["paper"] == "bigint" and not stored.where("target like 'paper:%'").head(1)
     assert not any(columns & {"papers", "ends", "target"} for columns in moved(spark, projections._citation_edges(spark, sf)))
+
+
+@pytest.mark.parametrize("spare", [1.6, 0.05])
+def test_a_dataset_meets_its_first_methods_alone(spark, sf, monkeypatch, spare):
+    """What is joined is near the limit; starts that their first ends don't fill are joined again, in either case the result is that of the SQL."""
+    import duckdb
+    from evispark.operators import graph_paths
+
+    made = {}
+    monkeypatch.setattr(graph_paths, "SPARE", spare)
+    monkeypatch.setattr(graph_paths, "REQUESTS_FEW", 50)
+    monkeypatch.setattr(graph_paths, "written_parts", lambda spark, label, by, parts: made.setdefault((label, len(made)), storage.written_parts(spark, label, by, parts)))
+    out = registry.queries()["path_signatures"](spark, sf).toPandas()
+    first = next(df for (label, _), df in made.items() if label == "first-ends").count()
+    con = duckdb.connect()
+    for t in projections.SOURCES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    whole = con.sql("SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) USING (l_orderkey)").fetchall()[0][0]
+    want = con.sql(registry.oracle_sql()["path_signatures"]).df()
+    rows = lambda f: sorted(map(str, f[list(want.columns)].itertuples(index=False, name=None)))
+    assert first < whole / 2 and rows(out) == rows(want)
