@@ -273,30 +273,40 @@ def _first_ends(operation: str, requests: DataFrame, edges: Edges, kinds: tuple[
     return written_parts(spark, "cut-paths", "slice", {str(k): partial(cut, k) for k in range(slices)}).drop("slice")
 
 
-def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, depth: int, limit: int) -> DataFrame:
+def citations(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, depth: int, limit: int) -> Part:
     """Citation neighbourhood: at depth 1 outgoing, then incoming edges; at depth 2 two-edge chains alone, the same way.
 
-    Each branch has its own order and limit; the branches stand one after the other and are cut at the limit again.
+    Each branch has its own order; the branches stand one after the other, and one cut takes both as they are stored.
+    Stored edges' chains are written, one direction after the other, so that the joins of one at a time take disk.
     A chain's edges differ, which takes one of a hub's members at most.
     """
     if depth not in (1, 2):
         raise ValueError("the citation neighbourhood has depth 1 or 2")
-    branches = []
-    for branch, incoming in enumerate((False, True)):
+    _, r = _edges(edges, nodes, "r", "cites")
+    _, s = _edges(edges, nodes, "s", "cites")
+    cites = {prefix: _edges(edges, nodes, prefix, "cites")[0] for prefix in ("r", "s")[:depth]}
+
+    def chains(incoming: bool) -> DataFrame:
         start, other = ("target", "source") if incoming else ("source", "target")
-        rows, r = _edges(edges, nodes, "r", "cites")
-        first = rows.where(_is(r[f"{other}_node"], "paper")).join(requests, F.col("start") == r[f"{start}_entity_id"])
+        found = cites["r"].where(_is(r[f"{other}_node"], "paper")).join(requests, F.col("start") == r[f"{start}_entity_id"])
         if depth == 1:
-            found, ends, rels, order = first, [r[f"{start}_node"], r[f"{other}_node"]], [r], [r[f"{other}_entity_id"]]
-        else:
-            second, s = _edges(edges, nodes, "s", "cites")
-            second = second.where(_is(s[f"{other}_node"], "paper")).withColumn("hub", s[f"{start}_entity_id"])
-            second = _cut(second, ["hub"], [s[f"{other}_entity_id"]], limit + 1, "nth").drop("nth")
-            found = first.join(second, (r[f"{other}_entity_id"] == F.col("hub")) & (r["relationship_id"] != s["relationship_id"]))
-            ends, rels, order = [r[f"{start}_node"], r[f"{other}_node"], s[f"{other}_node"]], [r, s], [r[f"{other}_entity_id"], s[f"{other}_entity_id"]]
-        branches.append(_shown(_cut(found, ["start"], order, limit), ends, rels).withColumn("branch", F.lit(branch)))
-    both = branches[0].unionByName(branches[1]).withColumnRenamed("place", "within")
-    return _cut(both, ["start"], [F.col("branch"), F.col("within")], limit).select("start", "place", "nodes", "rels")
+            return found
+        second = cites["s"].where(_is(s[f"{other}_node"], "paper")).withColumn("hub", s[f"{start}_order"])
+        second = _cut(second, ["hub"], [s[f"{other}_order"]], limit + 1, "nth").drop("nth")
+        return found.join(second, (r[f"{other}_order"] == F.col("hub")) & (r["relationship_id"] != s["relationship_id"])).drop("hub")
+
+    if depth == 1 or isinstance(edges, DataFrame):
+        both = reduce(DataFrame.unionByName, [chains(incoming).withColumn("branch", F.lit(int(incoming))) for incoming in (False, True)])
+    else:
+        names = [f"{prefix}_{c}" for prefix in ("r", "s") for c in edges.named]
+        both = written_parts(requests.sparkSession, "citation-chains", "branch", {str(int(incoming)): partial(lambda i: chains(i).select("start", *names), incoming) for incoming in (False, True)})
+        both = both.withColumn("branch", F.col("branch").cast("int"))
+    rels = [r] if depth == 1 else [r, s]
+    by = lambda a, b: F.when(F.col("branch") == 0, a).otherwise(b)
+    node = lambda a, b: {c: by(a[c], b[c]) for c in ("entity_id", "entity_type", "name")}
+    order = [by(e["target_order"], e["source_order"]) for e in rels]
+    ends = [node(r["source_node"], r["target_node"]), *[node(e["target_node"], e["source_node"]) for e in rels]]
+    return Part(_cut(both, ["start"], [F.col("branch"), *order], limit), ends, rels, ["start"])
 
 
 def _parts(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, limit: int) -> list[Part]:
@@ -311,14 +321,14 @@ def _parts(operation: str, requests: DataFrame, nodes: DataFrame | None, edges:
 def paths(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, *, depth: int = 1, limit: int = 20) -> DataFrame:
     """(start, place, nodes, rels) of an allow-listed operation."""
     if OPERATIONS[operation][0] == "citations":
-        return citations(requests, nodes, edges, depth, limit)
+        return citations(requests, nodes, edges, depth, limit).shown()
     return reduce(DataFrame.unionByName, [part.shown() for part in _parts(operation, requests, nodes, edges, limit)])
 
 
 def ranked(operation: str, requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edges, *, depth: int = 1, limit: int = 20) -> DataFrame:
     """evidence() of paths(), ranked where the paths are cut."""
     if OPERATIONS[operation][0] == "citations":
-        return evidence(operation, citations(requests, nodes, edges, depth, limit))
+        return citations(requests, nodes, edges, depth, limit).evidence(operation)
     shape, kind, end = OPERATIONS[operation]
     if shape == "through_paper" and isinstance(edges, Edges):
         return through_first(operation, requests, edges, THROUGH[shape], kind, end, limit)

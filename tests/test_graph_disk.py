@@ -206,3 +206,17 @@ def test_a_dataset_meets_its_first_methods_alone(spark, sf, monkeypatch, spare):
     want = con.sql(registry.oracle_sql()["path_signatures"]).df()
     rows = lambda f: sorted(map(str, f[list(want.columns)].itertuples(index=False, name=None)))
     assert first < whole / 2 and rows(out) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["graph_citation_neighborhood_d1", "graph_citation_neighborhood_d2"])
+def test_both_directions_are_cut_as_stored(spark, sf, name):
+    """No node or edge is in the rows of the cut of both, and no whole id of a paper but the start's."""
+    of = moved(spark, registry.queries()[name](spark, sf))
+    assert not any(columns & {"nodes", "rels", "within", "r_source_entity_id", "s_source_entity_id"} for columns in of)
+
+
+def test_chains_of_one_direction_are_joined_at_a_time(spark, sf, monkeypatch):
+    """Both are written as they are stored; the shuffle that cuts them is the last query's only one."""
+    out = registry.queries()["graph_citation_neighborhood_d2"](spark, sf)
+    of = moved(spark, out)
+    assert len(of) == 1 and {"branch", "r_paper", "s_paper"} <= of[0]
