@@ -112,6 +112,17 @@ def _cut(df: DataFrame, by: list[str], order: list[Column], limit: int, place: s
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= limit)
 
 
+def _few(requests: DataFrame) -> bool:
+    return requests.limit(REQUESTS_FEW + 1).count() <= REQUESTS_FEW
+
+
+def _asked(requests: DataFrame, edges: DataFrame | Edges) -> DataFrame:
+    """Requests as they are joined with edges: where those are stored in few bytes, their files' size would have millions of them broadcast, so a count decides."""
+    if isinstance(edges, DataFrame):
+        return requests
+    return F.broadcast(requests) if _few(requests) else requests.hint("merge")
+
+
 def _is(node: Column, kind: str) -> Column:
     return node["entity_type"] == kind
 
@@ -152,7 +163,7 @@ def direct(requests: DataFrame, nodes: DataFrame | None, edges: DataFrame | Edge
     mine = rows.where(_is(r[f"{end}_node"], end_type)).withColumn("mine", r[f"{start}_entity_id"])
     if incoming:
         mine = _cut(mine, ["mine"], order, limit, "nth").drop("nth")
-    found = mine.join(requests, F.col("start") == F.col("mine"))
+    found = mine.join(_asked(requests, edges), F.col("start") == F.col("mine"))
     return Part(_cut(found, ["start"], order, limit), [r[f"{start}_node"], r[f"{end}_node"]], [r], ["start"])
 
 
@@ -248,7 +259,7 @@ def _first_ends(operation: str, requests: DataFrame, edges: Edges, kinds: tuple[
     share = F.lit(1.0) if mean is None else F.coalesce(F.least(F.lit(1.0), limit * SPARE / (r["target_degree"] * mean)), F.lit(1.0))
     paper = F.col(f"r_{edges.named[0]}"), F.col(f"s_{edges.named[0]}")
     asked = rows.where(_is(r["source_node"], "paper"))
-    few = requests.limit(REQUESTS_FEW + 1).count() <= REQUESTS_FEW
+    few = _few(requests)
     slices = 1 if few else SLICES
     if few:
         asked = asked.join(F.broadcast(requests.select(F.col("start").alias("asked")).distinct()), r["target_entity_id"] == F.col("asked"), "left_semi")

@@ -220,3 +220,21 @@ def test_chains_of_one_direction_are_joined_at_a_time(spark, sf, monkeypatch):
     out = registry.queries()["graph_citation_neighborhood_d2"](spark, sf)
     of = moved(spark, out)
     assert len(of) == 1 and {"branch", "r_paper", "s_paper"} <= of[0]
+
+
+@pytest.mark.parametrize("few, join", [(2, "SortMergeJoin"), (100_000, "BroadcastHashJoin")])
+@pytest.mark.parametrize("name", ["graph_paper_tasks", "graph_papers_for_task"])
+def test_a_count_of_the_requests_decides_how_they_meet_stored_edges(spark, sf, monkeypatch, name, few, join):
+    """Edges, whose files are small for their number, are never broadcast, and starts only where they are few; the result is that of the SQL either way."""
+    import duckdb
+    from evispark.operators import graph_paths
+
+    monkeypatch.setattr(graph_paths, "REQUESTS_FEW", few)
+    out = registry.queries()[name](spark, sf)
+    assert re.findall(r"(\w+Join) .*?Inner(, Build\w+)?", plan_of(out)) == [(join, ", BuildRight" if join == "BroadcastHashJoin" else "")]
+    con = duckdb.connect()
+    for t in projections.SOURCES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want, got = con.sql(registry.oracle_sql()[name]).df(), out.toPandas()
+    rows = lambda f: sorted(map(str, f[list(want.columns)].itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
